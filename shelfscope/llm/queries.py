@@ -21,3 +21,27 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@_query
+def op1_collision_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept."""
+    from .collisions import linked_vectors
+
+    return linked_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@_query
+def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    from .packing import pack_documents
+
+    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@_query
+def op8_multinomial_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken."""
+    from .mixing import mix_plan
+
+    return mix_plan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
