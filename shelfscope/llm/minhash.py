@@ -228,7 +228,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialise(buckets.join(sets, ["band", "key"]).where("doc <> pivot").select("band", "key", "size", "pivot", "doc"), "buckets")
 
     wanted = members.select("doc").unionAll(members.select(F.col("pivot").alias("doc"))).distinct()
-    bodies = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(wanted, "doc", "left_semi")
+    # The ids grow with the corpus; a plan that broadcasts them while they are few would not be the one that runs at scale.
+    bodies = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(wanted.hint("merge"), "doc", "left_semi")
     bodies = materialise(bodies.dropDuplicates(["doc"]), "bodies")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
