@@ -45,3 +45,13 @@ def op8_multinomial_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_plan
 
     return mix_plan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@_query
+def op6_ivf_pq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the 10 nearest of every hundredth vector."""
+    from pyspark.sql import functions as F
+
+    from .ivfpq import nearest_neighbours
+
+    return nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
