@@ -55,3 +55,41 @@ def op6_ivf_pq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ivfpq import nearest_neighbours
 
     return nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
+#: The rules of op7: host, path, verdict.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+@_query
+def op7_url_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict."""
+    from .urlfilter import filter_urls
+
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
+
+
+ORACLE["op7_url_range_join"] = r"""
+WITH rules(host, path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+urls AS (
+    SELECT page_id,
+           translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+    FROM pages
+),
+fits AS (
+    SELECT u.page_id, u.host, u.path, r.host || r.path AS rule, r.verdict,
+           row_number() OVER (PARTITION BY u.page_id ORDER BY length(r.host || r.path) DESC NULLS LAST, r.verdict DESC, r.host || r.path) AS n
+    FROM urls u LEFT JOIN rules r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE n = 1
+"""
+
+
+@_query
+def op9_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    from .pii_crf import digest, find_pii
+
+    return digest(find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet")))
