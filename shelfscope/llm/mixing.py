@@ -136,7 +136,8 @@ def _overlaps(rows: DataFrame, weights: tuple[float, ...], max_repeats: int, blo
     low = F.greatest("start", F.col("block") * F.col("words"))
     high = F.least(F.col("start") + F.col("_size"), (F.col("block") + 1) * F.col("words"))
     parts = parts.withColumns({"at": low - F.col("start"), "part": high - low})
-    return parts.join(times, ["k", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    # Blocks grow with the corpus, whatever the planner thinks of a table made from a few shards.
+    return parts.join(times.hint("merge"), ["k", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
 
 
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = (5, 2, 1), max_repeats: int = 3, block_words: int = 256, seed: int = 1) -> DataFrame:
