@@ -93,3 +93,16 @@ def op9_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii_crf import digest, find_pii
 
     return digest(find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+@_query
+def op3_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    from pyspark.sql import functions as F
+
+    from .quality_cnn import held_out, score_quality, train_quality
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = score_quality(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 _ODD = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
