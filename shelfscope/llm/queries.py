@@ -106,3 +106,49 @@ def op3_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = score_quality(docs, model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@_query
+def op5_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k (chosen) and 2k + 1 (rejected) as pair k; a conversation without partner is paired with none."""
+    from pyspark.sql import functions as F
+
+    from .preference import format_preferences
+
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    ids = turns.where("conv_id is not null").select("conv_id").distinct()
+    side = F.pmod("conv_id", F.lit(2))
+    pairs = ids.groupBy(F.floor(F.col("conv_id") / 2).alias("pair_id")).agg(F.max(F.when(side == 0, F.col("conv_id"))).alias("chosen"), F.max(F.when(side == 1, F.col("conv_id"))).alias("rejected"))
+    return format_preferences(pairs, turns)
+
+
+ORACLE["op5_preference_pairs"] = r"""
+WITH t AS (
+    SELECT conv_id, floor(conv_id / 2)::BIGINT AS pair_id, CASE WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS n,
+           coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM conversations WHERE conv_id IS NOT NULL
+),
+places AS (
+    SELECT pair_id, n, count(*) = 2 AND min(role) = max(role) AND min(text) = max(text) AS same FROM t GROUP BY pair_id, n
+),
+cut AS (SELECT pair_id, coalesce(min(CASE WHEN NOT same THEN n END), max(n) + 1) AS shared FROM places GROUP BY pair_id),
+r AS (
+    SELECT t.*, cut.shared, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS piece,
+           CASE WHEN n < shared THEN 'prompt' ELSE side END AS part
+    FROM t JOIN cut USING (pair_id)
+),
+b AS (
+    SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY pair_id, side, part ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r
+),
+s AS (
+    SELECT *, CASE WHEN role = 'assistant' THEN (before + length(role) + 5)::BIGINT::VARCHAR || ':' || (before + length(piece))::BIGINT::VARCHAR END AS span FROM b
+)
+SELECT pair_id, max(shared)::BIGINT AS shared_turns,
+       coalesce(string_agg(piece, '' ORDER BY n) FILTER (part = 'prompt' AND side = 'chosen'), '') AS prompt,
+       coalesce(string_agg(piece, '' ORDER BY n) FILTER (part = 'chosen'), '') AS chosen,
+       coalesce(string_agg(piece, '' ORDER BY n) FILTER (part = 'rejected'), '') AS rejected,
+       coalesce(string_agg(span, ',' ORDER BY n) FILTER (part = 'chosen'), '') AS chosen_loss,
+       coalesce(string_agg(span, ',' ORDER BY n) FILTER (part = 'rejected'), '') AS rejected_loss
+FROM s GROUP BY pair_id
+"""
