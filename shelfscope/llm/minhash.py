@@ -273,3 +273,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = out.join(components.withColumnRenamed("id", "copy_of"), "copy_of", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "copy_of", "doc_id"))
     return out.select("doc_id", own.alias("class_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that near_duplicates() keeps, all columns as they are.
+
+    Rows that repeat a doc_id share its fate; rows with a null doc_id stay.
+    """
+    gone = near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    # Ids that go grow with the corpus: never broadcast.
+    return docs.join(gone.hint("merge"), docs[id_col].cast("long") == F.col("_gone"), "left_anti")

@@ -152,3 +152,19 @@ SELECT pair_id, max(shared)::BIGINT AS shared_turns,
        coalesce(string_agg(span, ',' ORDER BY n) FILTER (part = 'rejected'), '') AS rejected_loss
 FROM s GROUP BY pair_id
 """
+
+
+@_query
+def op2_wrapper_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars."""
+    from .html_wrapper import extract_main_text
+
+    return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@_query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline.py, one after the other."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
