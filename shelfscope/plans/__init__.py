@@ -1 +1,3 @@
-"""Plans of the catalog engine."""
+"""Queries over the catalog; importing the package registers them."""
+
+from . import classify, compare, dedup, diff, insights, matching, monitor, pages, ranking, scalars  # noqa: F401

@@ -1 +1 @@
-"""Sources of the catalog engine."""
+"""Catalog tables read from the driver's Parquet files."""
