@@ -1 +1 @@
-"""Operators of the catalog engine."""
+"""Operators that are more than one expression."""

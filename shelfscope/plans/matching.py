@@ -1 +1,132 @@
-"""."""
+"""Similarity scores and matching of products, collections and pages between sites.
+
+Candidates come from equi-joins on blocks (category, shared word, vendor), never from all pairs.
+"""
+
+from __future__ import annotations
+
+from difflib import SequenceMatcher
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import bigrams, jaccard, price_closeness
+from ..operators.assignment import greedy_one_to_one
+from ..registry import query
+from ..sources.catalog import CATALOG_SQL, catalog, rnd, table
+
+#: Sites whose products are matched: the owner and its closest rivals.
+RIVALS = 4
+
+_CARDS_SQL = f"""{CATALOG_SQL}, cards AS (SELECT site, product, name, category, vendor, price, string_split(name, ' ') AS ws FROM catalog WHERE site <= {RIVALS} AND product % 5 = 0)"""
+
+
+def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth product of the matched sites, the card set that the comparison shows."""
+    rows = catalog(spark, sf_dir).where((F.col("site") <= RIVALS) & (F.col("product") % 5 == 0))
+    return rows.select("site", "product", "name", "category", "vendor", "price", F.split("name", " ").alias("ws"))
+
+
+_SCORE_SQL = """floor((0.35 + least(0.3, 0.75 * coalesce(len(list_intersect(a.ws, b.ws)) / nullif(CAST(len(list_distinct(list_concat(a.ws, b.ws))) AS DOUBLE), 0), 0)) + 0.1 * CASE WHEN a.price > 0 AND b.price > 0 THEN greatest(0.0, 1.0 - abs(ln(a.price / b.price)) / ln(3.0)) ELSE 0.0 END + CASE WHEN a.vendor = b.vendor THEN 0.2 ELSE 0.0 END) * 10000 + 0.5) / 10000"""
+_EDGES_SQL = f"""{_CARDS_SQL}, edges AS (SELECT b.site, a.product AS left_product, b.product AS right_product, {_SCORE_SQL} AS score FROM cards a JOIN cards b ON a.category = b.category AND a.name = b.name WHERE a.site = 0 AND b.site <> 0)"""
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored candidates: owner's and rival's cards of the same category and name."""
+    cards = _cards(spark, sf_dir)
+    a = cards.where("site = 0").select("category", "name", *(F.col(c).alias(f"a_{c}") for c in ("product", "vendor", "price", "ws")))
+    b = cards.where("site <> 0").select("category", "name", "site", *(F.col(c).alias(f"b_{c}") for c in ("product", "vendor", "price", "ws")))
+    score = F.lit(0.35) + F.least(F.lit(0.3), F.lit(0.75) * jaccard(F.col("a_ws"), F.col("b_ws"))) + F.lit(0.1) * price_closeness(F.col("a_price"), F.col("b_price")) + F.when(F.col("a_vendor") == F.col("b_vendor"), 0.2).otherwise(0.0)
+    return a.join(b, ["category", "name"]).select("site", F.col("a_product").alias("left_product"), F.col("b_product").alias("right_product"), rnd(score, 4).alias("score"))
+
+
+@query(f"WITH {_EDGES_SQL} SELECT *, CASE WHEN score >= 0.8 THEN 'strong' WHEN score >= 0.7 THEN 'moderate' ELSE 'weak' END AS tier FROM edges")
+def product_match_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Match scores with their tier."""
+    tier = F.when(F.col("score") >= 0.8, "strong").when(F.col("score") >= 0.7, "moderate").otherwise("weak")
+    return edges(spark, sf_dir).withColumn("tier", tier)
+
+
+@query(f"""WITH {_EDGES_SQL}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site, left_product ORDER BY score DESC, right_product) AS n FROM edges WHERE score >= 0.34) WHERE n = 1),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site, right_product ORDER BY score DESC, left_product DESC) AS m FROM l) WHERE m = 1)
+SELECT site, left_product, right_product, score FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY score DESC, left_product) AS k FROM r) WHERE k <= 40""")
+def suggest_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best partner of each owner's product, then one owner's product per partner, forty per rival.  Two grouped maxima, no iteration."""
+    from pyspark.sql import Window
+
+    good = edges(spark, sf_dir).where("score >= 0.34")
+    left = good.groupBy("site", "left_product").agg(F.max(F.struct("score", (-F.col("right_product")).alias("r"))).alias("x")).select("site", "left_product", (-F.col("x.r")).alias("right_product"), "x.score")
+    right = left.groupBy("site", "right_product").agg(F.max(F.struct("score", "left_product")).alias("x")).select("site", F.col("x.left_product").alias("left_product"), "right_product", "x.score")
+    return right.withColumn("k", F.row_number().over(Window.partitionBy("site").orderBy(F.desc("score"), "left_product"))).where("k <= 40").drop("k")
+
+
+@query()
+def match_products_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy one-to-one matching per rival; tested against a plain greedy loop."""
+    found = greedy_one_to_one(edges(spark, sf_dir).where("score >= 0.45"), "site", "left_product", "right_product")
+    return found.select("site", "left_product", "right_product", "score")
+
+
+@query(f"""WITH {CATALOG_SQL}, g AS (SELECT site, category, vendor, count(*) AS n FROM catalog WHERE site <= {RIVALS} GROUP BY ALL), t AS (SELECT site, category, arg_max(vendor, (n, vendor)) AS vendor, max(n) AS n FROM g GROUP BY site, category),
+u AS (SELECT * FROM t WHERE site = 0), c AS (SELECT category, arg_max(site, (n, site)) AS site, arg_max(vendor, (n, site)) AS vendor FROM t WHERE site <> 0 GROUP BY category)
+SELECT coalesce(u.category, c.category) AS category, u.vendor AS user_collection, c.site AS rival, c.vendor AS rival_collection, CASE WHEN u.category IS NULL THEN 'competitor_only' WHEN c.category IS NULL THEN 'user_only' ELSE 'pair' END AS kind FROM u FULL JOIN c ON u.category = c.category""")
+def auto_pair_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per category each side's largest collection; pairs and what has no partner."""
+    g = catalog(spark, sf_dir).where(F.col("site") <= RIVALS).groupBy("site", "category", "vendor").agg(F.count("*").alias("n"))
+    top = g.groupBy("site", "category").agg(F.max(F.struct("n", "vendor")).alias("x")).select("site", "category", "x.vendor", "x.n")
+    own = top.where("site = 0").select("category", F.col("vendor").alias("user_collection"))
+    rival = top.where("site <> 0").groupBy("category").agg(F.max(F.struct("n", "site", "vendor")).alias("x")).select("category", F.col("x.site").alias("rival"), F.col("x.vendor").alias("rival_collection"))
+    kind = F.when(F.col("user_collection").isNull(), "competitor_only").when(F.col("rival").isNull(), "user_only").otherwise("pair")
+    return own.join(rival, "category", "full_outer").select("category", "user_collection", "rival", "rival_collection", kind.alias("kind"))
+
+
+@query(f"""WITH {CATALOG_SQL}, m AS (SELECT s_suppkey AS site, s_nationkey % 6 AS c FROM supplier), k AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY site) - 1 AS ord FROM (SELECT DISTINCT site, category FROM catalog))
+SELECT a.category, b.site, 1.0::DOUBLE AS confidence FROM (SELECT DISTINCT category FROM catalog WHERE site = 0) a JOIN (SELECT DISTINCT site, category FROM catalog WHERE site <> 0) b ON a.category = b.category JOIN m ON m.site = b.site
+WHERE m.c = CASE a.category WHEN 'ECONOMY' THEN 0 WHEN 'LARGE' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'PROMO' THEN 3 WHEN 'SMALL' THEN 4 ELSE 5 END""")
+def match_collections_explicit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs that a mapping table names, at full confidence; similarity is not asked."""
+    order = {"ECONOMY": 0, "LARGE": 1, "MEDIUM": 2, "PROMO": 3, "SMALL": 4, "STANDARD": 5}
+    named = F.broadcast(spark.createDataFrame(list(order.items()), "category string, c int"))  # a fixed mapping
+    collections = catalog(spark, sf_dir).select("site", "category").distinct()
+    mapping = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("site"), (F.col("s_nationkey") % 6).alias("c")).join(named, "c").select("site", "category")
+    own = collections.where("site = 0").select("category")
+    return collections.where("site <> 0").join(mapping, ["site", "category"]).join(own, "category").select("category", "site", F.lit(1.0).alias("confidence"))
+
+
+@query(f"""WITH {CATALOG_SQL}, n AS (SELECT DISTINCT vendor, lower(name) AS name FROM catalog WHERE site = 0), g AS (SELECT vendor, name, list_transform(generate_series(1, length(name) - 1), lambda i: substr(name, i, 2)) AS g FROM n)
+SELECT a.vendor, a.name AS a, b.name AS b, floor(CAST(len(list_distinct(list_intersect(a.g, b.g))) AS DOUBLE) * 2 / (len(list_distinct(a.g)) + len(list_distinct(b.g))) * 10000 + 0.5) / 10000 AS dice FROM g a JOIN g b ON a.vendor = b.vendor AND string_split(a.name, ' ')[1] = string_split(b.name, ' ')[1] AND a.name < b.name""")
+def url_dice_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dice similarity of the bigrams of names that share vendor and first word."""
+    names = catalog(spark, sf_dir).where("site = 0").select("vendor", F.lower("name").alias("name")).distinct().withColumn("first", F.split_part("name", F.lit(" "), F.lit(1)))
+    g = names.withColumn("g", F.array_distinct(bigrams(F.col("name"))))
+    a, b = g.select("vendor", "first", F.col("name").alias("a"), F.col("g").alias("ga")), g.select("vendor", "first", F.col("name").alias("b"), F.col("g").alias("gb"))
+    return a.join(b, ["vendor", "first"]).where("a < b").select("vendor", "a", "b", rnd(F.size(F.array_intersect("ga", "gb")) * 2.0 / (F.size("ga") + F.size("gb")), 4).alias("dice"))
+
+
+@F.pandas_udf("double")
+def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Ratcliff-Obershelp similarity, which depends on the order of its arguments."""
+    return pd.Series([1.0 if x == y else SequenceMatcher(None, x, y).ratio() for x, y in zip(a.fillna(""), b.fillna(""), strict=True)])
+
+
+@query()
+def seq_ratio_text_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of pages that follow each other on a host and how alike they are; equal ones need no Python."""
+    from pyspark.sql import Window
+
+    host = F.regexp_extract("url", "://([^/?#]*)", 1)
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    pages = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), title.alias("new"))
+    pages = pages.withColumn("old", F.lag("new").over(Window.partitionBy("host").orderBy("page_id"))).where("old is not null")
+    return pages.select("page_id", F.when(F.col("old") == F.col("new"), 1.0).otherwise(sequence_ratio("old", "new")).alias("ratio")).withColumn("changed", F.col("ratio") < 0.75)
+
+
+@query(f"""WITH {CATALOG_SQL}, s AS (SELECT site, count(*) AS n, CAST(sum(CAST(price AS DECIMAL(18,4))) AS DOUBLE) / count(*) AS p, count(DISTINCT vendor || '/' || name) AS v FROM catalog GROUP BY site), o AS (SELECT * FROM s WHERE site = 0)
+SELECT site, floor((0.35 * least(s.p, o.p) / greatest(s.p, o.p) + 0.2 * least(s.n, o.n) / greatest(s.n, o.n) + 0.15 * least(s.v, o.v) / greatest(s.v, o.v)) / 0.7 * 10000 + 0.5) / 10000 AS similarity FROM (SELECT s.*, 1 AS j FROM s WHERE site <> 0) s JOIN (SELECT p, n, v, 1 AS j FROM o) o USING (j)""")
+def competitor_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How like the owner a competitor is: a mean of ratios, weights renormalised over those known."""
+    s = catalog(spark, sf_dir).groupBy("site").agg(F.count("*").alias("n"), (F.sum(F.col("price").cast("decimal(18,4)")).cast("double") / F.count("*")).alias("p"), F.count_distinct(F.concat_ws("/", "vendor", "name")).alias("v"))
+    own = F.broadcast(s.where("site = 0").select(*(F.col(c).alias(f"o{c}") for c in "npv")))  # one row
+    near = lambda c: F.least(F.col(c), F.col(f"o{c}")) / F.greatest(F.col(c), F.col(f"o{c}"))
+    return s.where("site <> 0").join(own).select("site", rnd((0.35 * near("p") + 0.2 * near("n") + 0.15 * near("v")) / 0.7, 4).alias("similarity"))

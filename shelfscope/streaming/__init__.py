@@ -1 +1 @@
-"""Streaming of the catalog engine."""
+"""Structured Streaming jobs over event files."""
