@@ -10,6 +10,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import bigrams, jaccard, price_closeness
 from ..operators.assignment import greedy_one_to_one
@@ -104,7 +105,7 @@ def url_dice_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, ["vendor", "first"]).where("a < b").select("vendor", "a", "b", rnd(F.size(F.array_intersect("ga", "gb")) * 2.0 / (F.size("ga") + F.size("gb")), 4).alias("dice"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity, which depends on the order of its arguments."""
     return pd.Series([1.0 if x == y else SequenceMatcher(None, x, y).ratio() for x, y in zip(a.fillna(""), b.fillna(""), strict=True)])
