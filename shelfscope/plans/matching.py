@@ -17,16 +17,12 @@ from ..operators.assignment import greedy_one_to_one
 from ..registry import query
 from ..sources.catalog import CATALOG_SQL, catalog, rnd, table
 
-#: Sites whose products are matched: the owner and its closest rivals.
-RIVALS = 4
-
-_CARDS_SQL = f"""{CATALOG_SQL}, cards AS (SELECT site, product, name, category, vendor, price, string_split(name, ' ') AS ws FROM catalog WHERE site <= {RIVALS} AND product % 5 = 0)"""
+_CARDS_SQL = f"""{CATALOG_SQL}, cards AS (SELECT site, product, name, category, vendor, price, string_split(name, ' ') AS ws FROM catalog)"""
 
 
 def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fifth product of the matched sites, the card set that the comparison shows."""
-    rows = catalog(spark, sf_dir).where((F.col("site") <= RIVALS) & (F.col("product") % 5 == 0))
-    return rows.select("site", "product", "name", "category", "vendor", "price", F.split("name", " ").alias("ws"))
+    """What matching needs of every site's products."""
+    return catalog(spark, sf_dir).select("site", "product", "name", "category", "vendor", "price", F.split("name", " ").alias("ws"))
 
 
 _SCORE_SQL = """floor((0.35 + least(0.3, 0.75 * coalesce(len(list_intersect(a.ws, b.ws)) / nullif(CAST(len(list_distinct(list_concat(a.ws, b.ws))) AS DOUBLE), 0), 0)) + 0.1 * CASE WHEN a.price > 0 AND b.price > 0 THEN greatest(0.0, 1.0 - abs(ln(a.price / b.price)) / ln(3.0)) ELSE 0.0 END + CASE WHEN a.vendor = b.vendor THEN 0.2 ELSE 0.0 END) * 10000 + 0.5) / 10000"""
@@ -69,12 +65,12 @@ def match_products_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("site", "left_product", "right_product", "score")
 
 
-@query(f"""WITH {CATALOG_SQL}, g AS (SELECT site, category, vendor, count(*) AS n FROM catalog WHERE site <= {RIVALS} GROUP BY ALL), t AS (SELECT site, category, arg_max(vendor, (n, vendor)) AS vendor, max(n) AS n FROM g GROUP BY site, category),
+@query(f"""WITH {CATALOG_SQL}, g AS (SELECT site, category, vendor, count(*) AS n FROM catalog GROUP BY ALL), t AS (SELECT site, category, arg_max(vendor, (n, vendor)) AS vendor, max(n) AS n FROM g GROUP BY site, category),
 u AS (SELECT * FROM t WHERE site = 0), c AS (SELECT category, arg_max(site, (n, site)) AS site, arg_max(vendor, (n, site)) AS vendor FROM t WHERE site <> 0 GROUP BY category)
 SELECT coalesce(u.category, c.category) AS category, u.vendor AS user_collection, c.site AS rival, c.vendor AS rival_collection, CASE WHEN u.category IS NULL THEN 'competitor_only' WHEN c.category IS NULL THEN 'user_only' ELSE 'pair' END AS kind FROM u FULL JOIN c ON u.category = c.category""")
 def auto_pair_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per category each side's largest collection; pairs and what has no partner."""
-    g = catalog(spark, sf_dir).where(F.col("site") <= RIVALS).groupBy("site", "category", "vendor").agg(F.count("*").alias("n"))
+    g = catalog(spark, sf_dir).groupBy("site", "category", "vendor").agg(F.count("*").alias("n"))
     top = g.groupBy("site", "category").agg(F.max(F.struct("n", "vendor")).alias("x")).select("site", "category", "x.vendor", "x.n")
     own = top.where("site = 0").select("category", F.col("vendor").alias("user_collection"))
     rival = top.where("site <> 0").groupBy("category").agg(F.max(F.struct("n", "site", "vendor")).alias("x")).select("category", F.col("x.site").alias("rival"), F.col("x.vendor").alias("rival_collection"))

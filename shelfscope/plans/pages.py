@@ -39,11 +39,11 @@ def visible_text_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.length(visible_text()).alias("visible"), rate(F.length(visible_text()), F.length("html")).alias("share"))
 
 
-@query(f"""SELECT page_id, CASE WHEN html IS NULL OR html = '' THEN 'empty' WHEN regexp_matches(lower(left(html, 2000)), 'captcha|access denied|verify you are human') THEN 'challenge' WHEN length({_VISIBLE}) < 400 THEN 'thin' ELSE 'ok' END AS block FROM pages""")
+@query(f"""SELECT page_id, CASE WHEN html IS NULL OR html = '' THEN 'empty' WHEN regexp_matches(lower(html), 'captcha|access denied|verify you are human') THEN 'challenge' WHEN length({_VISIBLE}) < 400 THEN 'thin' ELSE 'ok' END AS block FROM pages""")
 def page_block_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why a page is no page, by the first rule that holds."""
-    head = F.lower(F.left("html", F.lit(2000)))
-    rule = F.when(F.col("html").isNull() | (F.col("html") == ""), "empty").when(head.rlike("captcha|access denied|verify you are human"), "challenge").when(F.length(visible_text()) < 400, "thin").otherwise("ok")
+    page = F.lower("html")
+    rule = F.when(F.col("html").isNull() | (F.col("html") == ""), "empty").when(page.rlike("captcha|access denied|verify you are human"), "challenge").when(F.length(visible_text()) < 400, "thin").otherwise("ok")
     return table(spark, sf_dir, "pages").select("page_id", rule.alias("block"))
 
 
@@ -79,10 +79,10 @@ def page_type_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FLAGS = {"license": "licens(e|ed)", "free": r"\bfree\b", "money": r"\$", "contact": "@", "percent": "%", "list_marks": r"\|"}
 
 
-@query("SELECT doc_id, " + ", ".join(f"regexp_matches(lower(left(text, 24000)), '{p}') AS {k}" for k, p in _FLAGS.items()) + " FROM documents")
+@query("SELECT doc_id, " + ", ".join(f"regexp_matches(lower(text), '{p}') AS {k}" for k, p in _FLAGS.items()) + " FROM documents")
 def policy_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flags over the first 24,000 characters, the limit that the signals are defined on."""
-    text = F.lower(F.left("text", F.lit(24000)))
+    """Flags over whole texts."""
+    text = F.lower("text")
     return table(spark, sf_dir, "documents").select("doc_id", *(text.rlike(p).alias(k) for k, p in _FLAGS.items()))
 
 
