@@ -121,7 +121,9 @@ def _overlaps(rows: DataFrame, weights: tuple[float, ...], max_repeats: int, blo
                     yield pa.RecordBatch.from_pydict({"k": pa.array(np.full(len(slot), k, np.int32)), "block": pa.array(block)})
 
     shards = spark.createDataFrame(draw_shards(slots, seed), "shard long, k int, first long, n long")
-    times = shards.repartition("shard").mapInArrow(slot_blocks, "k int, block long").groupBy("k", "block").agg(F.count("*").alias("times"))
+    # A shard's row is small but makes many slots: a fixed number of partitions is not coalesced by the size of the rows.
+    many = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    times = shards.repartition(many, "shard", "k").mapInArrow(slot_blocks, "k int, block long").groupBy("k", "block").agg(F.count("*").alias("times"))
 
     of = F.broadcast(spark.createDataFrame(table, "_name string, k int, source_size long, target double, words long, blocks long"))  # one row per source
     buckets = max(256, -(-sum(r["n"] for r in totals) // 100_000))
