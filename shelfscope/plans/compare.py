@@ -247,3 +247,9 @@ def radar_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = x.agg(*(F.max(c).alias(f"best_{c}") for c in names))  # one row
     score = lambda c: F.least(F.lit(100.0), F.greatest(F.lit(0.0), rnd(F.try_divide(F.lit(100.0) * F.col(c), F.col(f"best_{c}").cast("double")), 0)))
     return x.join(F.broadcast(best)).select("site", *(score(c).alias(c) for c in names))
+
+
+@query(f"""WITH {CATALOG_SQL} SELECT site, {rate_sql('count(in_stock)', 'count(*)')} AS coverage FROM catalog GROUP BY site""")
+def availability_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of a site's products whose stock is known at all."""
+    return catalog(spark, sf_dir).groupBy("site").agg(rate(F.count("in_stock"), F.count("*")).alias("coverage"))

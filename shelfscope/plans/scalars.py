@@ -135,3 +135,21 @@ def title_from_handle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ai_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cost of a turn at four characters a token."""
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", rnd(F.length("text") / 4.0 / 1000 * 0.002, 8).alias("cost"))
+
+
+#: Units as they are written and as they are counted.
+UNITS = {"litre": "l", "liter": "l", "inches": "inch", "watt": "w", "watts": "w", "volt": "v", "pc": "pcs", "piece": "pcs", "pieces": "pcs", "pair": "pairs"}
+_UNIT_PATTERN = r"([0-9]+(?:\.[0-9]+)?) ?(litre|liter|inches|inch|watts|watt|volt|pieces|piece|pairs|pair|pcs|pc|ml|l|w|v)( |$)"
+_UNIT_CASE = "CASE u " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in UNITS.items()) + " ELSE u END"
+_SIZE_TEXT = "lower(p_name || ' ' || p_size || CASE p_type WHEN 'PROMO' THEN ' litre' WHEN 'ECONOMY' THEN 'ml' WHEN 'LARGE' THEN ' inches' WHEN 'SMALL' THEN ' pieces' ELSE ' watts' END || ' 2 pc')"
+
+
+@query(f"""WITH t AS (SELECT p_partkey AS part, {_SIZE_TEXT} AS t FROM part), m AS (SELECT part, unnest(regexp_extract_all(t, '{_UNIT_PATTERN}', 1)) AS q, unnest(regexp_extract_all(t, '{_UNIT_PATTERN}', 2)) AS u FROM t)
+SELECT part, string_agg(DISTINCT q || {_UNIT_CASE}, ',' ORDER BY q || {_UNIT_CASE}) AS attributes FROM m GROUP BY part""")
+def attribute_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities with their unit, each unit under one name."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.expr(_SIZE_TEXT).alias("t"))
+    pieces = F.arrays_zip(F.regexp_extract_all("t", F.lit(_UNIT_PATTERN), F.lit(1)).alias("q"), F.regexp_extract_all("t", F.lit(_UNIT_PATTERN), F.lit(2)).alias("u"))
+    named = parts.select("part", F.explode(pieces).alias("m")).select("part", F.col("m.q").alias("q"), F.col("m.u").alias("u"))
+    named = named.select("part", F.concat("q", F.expr(_UNIT_CASE)).alias("x"))
+    return named.groupBy("part").agg(F.array_join(F.array_sort(F.collect_set("x")), ",").alias("attributes"))

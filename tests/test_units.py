@@ -58,3 +58,30 @@ def test_greedy_is_the_plain_greedy(spark):
             used |= {(b, "l", left), (b, "r", right)}
             expected.add((b, left, right, score))
     assert {tuple(r) for r in got} == expected
+
+
+def test_collections_are_matched_greedily(spark):
+    from shelfscope.plans.matching import match_collections_greedy
+    from shelfscope.sources.catalog import catalog
+
+    data = "/root/testdata/sf0.001"
+    kept = {(r.site, r.category, r.vendor) for r in catalog(spark, data).select("site", "category", "vendor").distinct().collect()}
+    number = lambda v: int("".join(c for c in v if c.isdigit()))
+    words = lambda c, v: set("".join(x if x.isalnum() else " " for x in f"{c} {v}".lower()).split())
+    pairs = [(r.a, r.b) for r in spark.createDataFrame(sorted({(f"{c} {v}".lower(), f"{c} {w}".lower()) for s, c, v in kept if s == 0 for t, d, w in kept if t != 0 and c == d}), "a string, b string").collect()]
+    ratio = {(r.a, r.b): r.r for r in spark.createDataFrame(pairs, "a string, b string").withColumn("r", sequence_ratio("a", "b")).collect()}
+    expected = set()
+    for site in {s for s, _, _ in kept} - {0}:
+        scored = []
+        for _, c, v in (x for x in kept if x[0] == 0):
+            for _, _, w in (x for x in kept if x[0] == site and x[1] == c):
+                a, b, r = words(c, v), words(c, w), ratio[f"{c} {v}".lower(), f"{c} {w}".lower()]
+                score = 0.6 + min(0.25, 0.9 * len(a & b) / len(a | b)) + (min(0.15, 0.15 * r) if r >= 0.5 else 0)
+                scored.append((-int(score * 1000 + 0.5) / 1000, number(v), number(w), c))
+        used = set()
+        for score, left, right, c in sorted(scored):
+            if not used & {("l", c, left), ("r", c, right)}:
+                used |= {("l", c, left), ("r", c, right)}
+                expected.add((site, c, left, right, -score))
+    got = {tuple(r) for r in match_collections_greedy(spark, data).collect()}
+    assert got == expected
