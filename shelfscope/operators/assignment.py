@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,3 +34,27 @@ def greedy_one_to_one(edges: DataFrame, block: str = "block", left: str = "left"
         if rest.isEmpty():
             return taken.select(F.col("b").alias(block), F.col("l").alias(left), F.col("r").alias(right), F.col("s").alias(score))
     raise RuntimeError("the assignment did not settle")
+
+
+def greedy_in_order(edges: DataFrame, block: str = "block", left: str = "left", right: str = "right", score: str = "score") -> DataFrame:
+    """The matching of greedy_one_to_one() in one pass over the sorted edges of each block.
+
+    For blocks with many edges and ties, where rounds are many.  A task holds the matched ends of
+    one block only; its edges stream by.
+    """
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, lefts, rights = None, set(), set()
+        for batch in batches:
+            kept = []
+            for i, (b, x, y) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
+                if b != at:
+                    at, lefts, rights = b, set(), set()
+                if x not in lefts and y not in rights:
+                    lefts.add(x)
+                    rights.add(y)
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    rows = edges.select(block, left, right, score)
+    return rows.repartition(block).sortWithinPartitions(F.col(block), F.desc(score), F.col(left), F.col(right)).mapInArrow(take, rows.schema)

@@ -1,6 +1,9 @@
 """Similarity scores and matching of products, collections and pages between sites.
 
-Candidates come from equi-joins on blocks (category, shared word, vendor), never from all pairs.
+Candidates come from equi-joins on blocks, never from all pairs.  The greedy matching of products
+has every pair that can reach its bar: same category and a shared word, the vendor or the price.
+product_match_scores and suggest_matches, like their oracle SQL, score products of the same
+category and name only.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import bigrams, jaccard, price_closeness
-from ..operators.assignment import greedy_one_to_one
+from ..operators.assignment import greedy_in_order, greedy_one_to_one
 from ..registry import query
 from ..sources.catalog import CATALOG_SQL, catalog, rnd, table
 
@@ -38,6 +41,36 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, ["category", "name"]).select("site", F.col("a_product").alias("left_product"), F.col("b_product").alias("right_product"), rnd(score, 4).alias("score"))
 
 
+def comparable(cards: DataFrame) -> DataFrame:
+    """All pairs of an owner's and a rival's card of one category that score 0.45 or more.
+
+    Pairs that share a word or the vendor are found among distinct classes (category, name, vendor)
+    and joined back to products.  Any other pair has 0.35 and a tenth of its price closeness, so it
+    reaches the bar, which rounding puts at 0.44995, only if the logarithms of its prices differ by
+    0.0005 ln 3 or less; such prices lie in the same or neighbouring steps of 0.00055.
+    """
+    step = lambda c: F.floor(F.log(c) / 0.00055)
+    side = lambda rows, p: rows.select("category", *(F.col(c).alias(f"{p}_{c}") for c in rows.columns if c != "category"))
+    own, rival = side(cards.where("site = 0").drop("site"), "a"), side(cards.where("site <> 0"), "b")
+    classes_a, classes_b = (x.select("category", f"{p}_name", f"{p}_vendor", f"{p}_ws").distinct() for x, p in ((own, "a"), (rival, "b")))
+
+    worded = classes_a.withColumn("w", F.explode(F.array_distinct("a_ws"))).join(classes_b.withColumn("w", F.explode(F.array_distinct("b_ws"))), ["category", "w"]).drop("w")
+    vended = classes_a.join(classes_b.withColumn("a_vendor", F.col("b_vendor")), ["category", "a_vendor"]).select(worded.columns)
+    alike = worded.unionAll(vended).distinct().withColumn("names", F.least(F.lit(0.3), F.lit(0.75) * jaccard(F.col("a_ws"), F.col("b_ws"))))
+    alike = alike.withColumn("vendors", F.when(F.col("a_vendor") == F.col("b_vendor"), 0.2).otherwise(0.0)).drop("a_ws", "b_ws")
+    same = lambda p: [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in ("category", f"{p}_name", f"{p}_vendor")]
+    alike = alike.alias("x").join(own.alias("y"), same("a")).select("x.*", "a_product", "a_price")
+    alike = alike.alias("x").join(rival.alias("y"), same("b")).select("b_site", "a_product", "b_product", "a_price", "b_price", "names", "vendors")
+
+    near = own.where("a_price > 0").withColumn("step", step("a_price")).withColumn("step", F.explode(F.sequence(F.col("step") - 1, F.col("step") + 1)))
+    near = near.join(rival.where("b_price > 0").withColumn("step", step("b_price")), ["category", "step"])
+    near = near.where(~F.coalesce(F.col("a_vendor") == F.col("b_vendor"), F.lit(False)) & ~F.coalesce(F.arrays_overlap("a_ws", "b_ws"), F.lit(False)))
+    near = near.select("b_site", "a_product", "b_product", "a_price", "b_price", F.lit(0.0).alias("names"), F.lit(0.0).alias("vendors"))
+
+    score = rnd(F.lit(0.35) + F.col("names") + F.lit(0.1) * price_closeness(F.col("a_price"), F.col("b_price")) + F.col("vendors"), 4)
+    return alike.unionAll(near).select(F.col("b_site").alias("site"), F.col("a_product").alias("left_product"), F.col("b_product").alias("right_product"), score.alias("score")).where("score >= 0.45")
+
+
 @query(f"WITH {_EDGES_SQL} SELECT *, CASE WHEN score >= 0.8 THEN 'strong' WHEN score >= 0.7 THEN 'moderate' ELSE 'weak' END AS tier FROM edges")
 def product_match_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Match scores with their tier."""
@@ -60,8 +93,8 @@ def suggest_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def match_products_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy one-to-one matching per rival; tested against a plain greedy loop."""
-    found = greedy_one_to_one(edges(spark, sf_dir).where("score >= 0.45"), "site", "left_product", "right_product")
+    """Greedy one-to-one matching per rival over all pairs of a category; tested against a plain greedy loop."""
+    found = greedy_in_order(comparable(_cards(spark, sf_dir)), "site", "left_product", "right_product")
     return found.select("site", "left_product", "right_product", "score")
 
 

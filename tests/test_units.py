@@ -1,12 +1,13 @@
 """Small cases of the functions and operators."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from shelfscope.functions import jaccard, parse_number, price_closeness, stem, truncate, url_key
-from shelfscope.operators.assignment import greedy_one_to_one
+from shelfscope.operators.assignment import greedy_in_order, greedy_one_to_one
 from shelfscope.plans.dedup import fold_survivors
 from shelfscope.plans.matching import sequence_ratio
 
@@ -85,3 +86,35 @@ def test_collections_are_matched_greedily(spark):
                 expected.add((site, c, left, right, -score))
     got = {tuple(r) for r in match_collections_greedy(spark, data).collect()}
     assert got == expected
+
+
+def test_products_are_matched_greedily_over_all_pairs(spark):
+    from shelfscope.plans.matching import _cards, comparable, match_products_greedy
+
+    data = "/root/testdata/sf0.001"
+    cards = _cards(spark, data).collect()
+    expected = {}
+    for a in (x for x in cards if x.site == 0):
+        for b in (x for x in cards if x.site != 0 and x.category == a.category):
+            names = min(0.3, 0.75 * (len(set(a.ws) & set(b.ws)) / len(set(a.ws) | set(b.ws))))
+            closeness = max(0.0, 1.0 - abs(math.log(a.price / b.price)) / math.log(3.0)) if a.price > 0 and b.price > 0 else 0.0
+            score = math.floor((0.35 + names + 0.1 * closeness + (0.2 if a.vendor == b.vendor else 0.0)) * 10000 + 0.5) / 10000
+            if score >= 0.45:
+                expected[b.site, a.product, b.product] = score
+    found = comparable(_cards(spark, data)).collect()
+    assert len(found) == len(expected)
+    assert {(r.site, r.left_product, r.right_product): r.score for r in found} == expected
+    assert any(score == 0.45 for score in expected.values())  # by category and price alone
+    matched, used = set(), set()
+    for (site, left, right), score in sorted(expected.items(), key=lambda e: (e[0][0], -e[1], e[0][1], e[0][2])):
+        if not used & {(site, "l", left), (site, "r", right)}:
+            used |= {(site, "l", left), (site, "r", right)}
+            matched.add((site, left, right, score))
+    assert {tuple(r) for r in match_products_greedy(spark, data).collect()} == matched
+
+
+def test_greedy_in_order_is_the_greedy_by_rounds(spark):
+    rng = random.Random(4)
+    edges = [(*e, rng.choice([0.5, 0.6, 0.7])) for e in sorted({(b, rng.randrange(8), rng.randrange(8)) for b in range(6) for _ in range(30)})]
+    df = spark.createDataFrame(edges, "block int, left int, right int, score double")
+    assert {tuple(r) for r in greedy_in_order(df).collect()} == {tuple(r) for r in greedy_one_to_one(df).collect()}
