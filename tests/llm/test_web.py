@@ -1,4 +1,4 @@
-from shelfscope.llm.html_wrapper import extract_main_text, generalised, main_text, parse, region_of, wrapper_of
+from shelfscope.llm.html_wrapper import extract_main_text, generalised, main_text, page_hash, parse, region_of, wrapper_of
 from shelfscope.llm.preference import format_preferences
 from shelfscope.llm.urlfilter import filter_urls
 
@@ -75,6 +75,31 @@ def test_constant_text_outside_articles(spark):
     assert {r["text"] for r in extract_main_text(df).collect()} == {f"w{i} text w{i} text w{i} text" for i in range(5)}
 
 
+def test_text_of_single_pages_is_no_constant(spark):
+    page = "<body><div id=top>Welcome</div><div id=c>{1}<p>{0} text {0} text {0} text</div></body>"
+    extra = ["<h2>only here</h2>", "<ul><li>one</li></ul>", "<pre>code</pre>", "", "", ""]
+    df = spark.createDataFrame([(i, "http://h/x", page.format(f"w{i}", e)) for i, e in enumerate(extra)], "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in extract_main_text(df).collect()}
+    tail = "w{0} text w{0} text w{0} text"
+    assert [got[i] for i in range(6)] == ["only here\n\n" + tail.format(0), "one\n\n" + tail.format(1), "code\n\n" + tail.format(2), *(tail.format(i) for i in (3, 4, 5))]
+
+
+def test_copies_of_a_page_count_once(spark):
+    page = "<body><div id=top>Welcome</div><div id=c><p>{0} text</p></div></body>"
+    rows = [(i, "http://h/x", page.format("same")) for i in range(5)] + [(9, "http://g/x", page.format(w)) for w in ("a", "a", "a", "b")]
+    got = sorted(r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect())
+    assert len(got) == 9
+    assert all(t.endswith(" text") for t in got)
+
+
+def test_constants_survive_an_odd_page():
+    pages = [f"<body><div id=top>Welcome</div><div id=c><p>w{i} text</p></div></body>" for i in range(40)] + ["<body><h1>Not found</h1></body>"]
+    wrapper = None
+    for html in pages + pages[:5]:
+        wrapper = generalised(wrapper, wrapper_of(parse(html), page_hash(html)))
+    assert region_of(wrapper, 46)[1] == ["Welcome"]
+
+
 def test_preferences(spark):
     turns = [(1, 0, "system", "s"), (1, 1, "user", "q"), (1, 2, "assistant", "good"), (2, 0, "system", "s"), (2, 1, "user", "q"), (2, 2, "assistant", "bad"), (2, 3, "user", "why"), (3, 0, None, None), (4, 0, "user", "a"), (5, 0, "user", "a"), (None, 0, "user", "z")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3)
