@@ -100,6 +100,24 @@ def test_constants_survive_an_odd_page():
     assert region_of(wrapper, 46)[1] == ["Welcome"]
 
 
+def test_names_of_containers_do_not_drop_the_page():
+    kept = [
+        "<html class='no-search'><body class='has-sidebar'><p>x</body>",
+        "<body class='sidebar'><main class='search'><p>x</main>",
+        "<article class='post has-comments'><p>x</article>",
+        "<div id='content' class='no-sidebar'><p>x</div>",
+        "<div id='content' class='sidebar'><p>x</div>",
+        "<div class='widget'><article><p>x</article></div>",
+        "<div data-id='sidebar' data-hidden='1' title='id=menu'><p>x</div>",
+        "<p class='share-price'>x",
+        "<p>x<div class='comments-area'>no</div><div class='site-footer'>no</div><div class='siteSidebar'>no</div>",
+        "<main><p>x</main><div class='comments'><article>no</article></div>",
+        "<p>some words x<div class='comment'><div class='content'>no</div></div>",
+        "<p>some words x<div class='main-menu'>no</div>",
+    ]
+    assert [main_text(html, None, None).removeprefix("some words ") for html in kept] == ["x"] * len(kept)
+
+
 def test_preferences(spark):
     turns = [(1, 0, "system", "s"), (1, 1, "user", "q"), (1, 2, "assistant", "good"), (2, 0, "system", "s"), (2, 1, "user", "q"), (2, 2, "assistant", "bad"), (2, 3, "user", "why"), (3, 0, None, None), (4, 0, "user", "a"), (5, 0, "user", "a"), (None, 0, "user", "z")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3)
