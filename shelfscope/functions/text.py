@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import clean_text, stem
 
@@ -34,7 +35,7 @@ def clean_markup_text(x: Column) -> Column:
     return F.nullif(clean_text(plain), F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(x: pd.Series) -> pd.Series:
     """All of HTML's character references; the JVM has no function for the 2,000 named ones."""
     return x.map(html.unescape, na_action="ignore")
@@ -88,7 +89,7 @@ def detect_terms(x: Column, terms: list[str], limit: int = 15) -> Column:
 
 def descriptor_phrases(x: Column, pattern: str, edges: list[str], limit: int = 6) -> Column:
     """Distinct phrases of 5 to 50 letters that a pattern finds and that neither begin nor end with a stop word."""
-    found = F.transform(F.regexp_extract_all(F.lower(x), F.lit(pattern), F.lit(0)), F.trim)
+    found = F.transform(F.regexp_extract_all(F.lower(x), F.lit(pattern), F.lit(0)), lambda v: F.trim(v))
     kept = F.filter(found, lambda p: F.length(p).between(5, 50) & ~F.split(p, " ")[0].isin(edges) & ~F.element_at(F.split(p, " "), -1).isin(edges))
     return F.slice(F.array_distinct(kept), 1, limit)
 

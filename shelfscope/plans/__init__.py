@@ -1,3 +1,3 @@
 """Queries over the catalog; importing the package registers them."""
 
-from . import classify, compare, dedup, diff, insights, matching, monitor, pages, ranking, scalars, texts  # noqa: F401
+from . import classify, compare, dedup, diff, insights, markup, matching, monitor, pages, ranking, scalars, texts  # noqa: F401
