@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import slices
+from .textops import slices, tidy
 from .tokens import batch_tokenizer, default_path
 
 #: Sequence numbers are unique over partitions: the partition's number times this, plus a count.
@@ -110,6 +110,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     path = path or default_path()
     limits = (length, max_segments, max_loss or length)
 
+    @tidy
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, base = batch_tokenizer(path), TaskContext.get().partitionId() * PER_PARTITION
         rows: list[list] = [[] for _ in range(7)]
@@ -153,6 +154,7 @@ def pack_examples(examples: DataFrame, id_col: str, tokens_col: str, loss_col: s
     has none and is left out.
     """
 
+    @tidy
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() * PER_PARTITION
         rows: list[tuple] = []

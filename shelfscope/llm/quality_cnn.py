@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textops import slices, utf8_buffer
+from .textops import slices, tidy, utf8_buffer
 
 #: Bytes per half chunk, width and step of the filters in bytes.
 HALF, WIDTH, STEP = 128, 8, 2
@@ -154,6 +154,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     parts = F.when(F.col("y") == 1, max(1, sizes[1] // per_class)).otherwise(max(1, sizes[0] // per_class))
     some = known.where(F.pmod(F.xxhash64("id"), parts) == 0).limit(4 * per_class)
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -186,6 +187,7 @@ def score_quality(docs: DataFrame, model: ByteCnn | None, id_col: str = "doc_id"
     """Scores of whole texts: doc_id, score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
 
+    @tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
@@ -199,6 +201,7 @@ def keep_good(docs: DataFrame, model: ByteCnn | None, threshold: float = 0.3, te
     """The rows whose whole text scores at least ``threshold``, all columns as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col, 1 << 20):

@@ -1,7 +1,8 @@
 """Written tables that cut lineage, in the folder all executors share.
 
-``spark.checkpoint.dir`` names that folder.  Only where a session has none (unit tests,
-local runs) a temporary folder is used instead.
+``spark.checkpoint.dir`` names that folder.  A session on one machine (unit tests, local runs) that
+has none gets a temporary folder; on a cluster its absence is an error, as executors would not see
+each other's files.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ def base_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="llm-scratch-")

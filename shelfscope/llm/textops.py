@@ -6,7 +6,9 @@ few array operations instead of a Python call.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,9 @@ import pyarrow.compute
 _ODD = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _INVERSE = pow(_ODD, -1, 1 << 64)
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: A prime below 2**31 and the base of the hash modulo it.
+_PRIME, _BASE = (1 << 31) - 1, 1_540_483_477
+_POWERS: dict[str, np.ndarray] = {}
 
 #: ASCII white space: space and U+0009 to U+000D.
 WHITE = np.zeros(256, bool)
@@ -31,24 +35,46 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = max(n, 1 << 16)
-        for k, base in enumerate((_ODD, _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[k] = np.multiply.accumulate(steps)
-    return _POWERS[0][:n], _POWERS[1][:n]
+def _series(base: int, n: int, prime: int | None = None) -> np.ndarray:
+    """base ** 0 to n - 1, modulo the prime or 2 ** 64."""
+    out = np.ones(n, np.uint64)
+    have, step = 1, base
+    while have < n:
+        more = out[: min(have, n - have)] * np.uint64(step)
+        out[have : have + len(more)] = more % np.uint64(prime) if prime else more
+        have, step = have * 2, step * step % (prime or 1 << 64)
+    return out
+
+
+def _powers(n: int) -> dict[str, np.ndarray]:
+    """Powers for buffers of up to n bytes; those of ordinary buffers stay."""
+    size = max(n, 1 << 16)
+    if len(_POWERS.get("up", ())) >= n:
+        return _POWERS
+    found = {"up": _series(_ODD, size), "down": _series(_INVERSE, size), "rise": _series(_BASE, size, _PRIME), "fall": _series(pow(_BASE, -1, _PRIME), size, _PRIME)}
+    if size <= 2 << 20:
+        _POWERS.update(found)
+    return found
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of every span data[start:end]; equal bytes give equal hashes."""
+    """A 64-bit hash of every span data[start:end]; equal bytes give equal hashes.
+
+    Two polynomial hashes in one: modulo 2**64, and modulo a prime, since some texts of different
+    bytes (Thue-Morse sequences) have equal hashes modulo 2**64 to every base.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * down[starts])
+    powers, n = _powers(len(data) + 1), len(data)
+    value = data.astype(np.uint64) + np.uint64(1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(value * powers["up"][:n], out=sums[1:])
+    wide = (sums[ends] - sums[starts]) * powers["down"][starts]
+    value *= powers["rise"][:n]
+    np.cumsum(value, out=sums[1:]) if n < 1 << 24 else np.cumsum(value % np.uint64(_PRIME), out=sums[1:])
+    prime = np.uint64(_PRIME)
+    narrow = (sums[ends] - sums[starts]) % prime * powers["fall"][starts] % prime
+    return mix64(wide + mix64(narrow))
 
 
 def utf8_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +92,7 @@ def utf8_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(table: pa.Table | pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.Table]:
+def slices(table: pa.Table | pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.Table]:
     """Cut a batch so that each part holds about ``limit`` bytes of ``column`` (one row at least)."""
     if isinstance(table, pa.RecordBatch):
         table = pa.Table.from_batches([table])
@@ -78,6 +104,22 @@ def slices(table: pa.Table | pa.RecordBatch, column: str, limit: int = 4 << 20)
             yield table.slice(a, b - a)
 
 
+def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same task function; at its end the worker, which Spark keeps for later tasks, gives free memory back."""
+
+    @functools.wraps(f)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim:
+                trim(0)
+
+    return run
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of every white-space delimited word."""
     if not len(data):

@@ -1,16 +1,18 @@
 """Token ids of whole batches, equal to those of the ``tokenizers`` library.
 
 A byte-level BPE encodes every pre-token on its own, and texts repeat pre-tokens.  So a batch is
-cut into pre-tokens with array operations, each distinct one is encoded once, and ids are
-gathered from there.  Texts whose cutting depends on more than character classes (contractions,
+cut into pre-tokens with array operations, each distinct one (by its bytes) is encoded once, and
+ids are gathered from there.  Texts whose cutting depends on more than character classes (contractions,
 the special token's string) go to the library as they are.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import sys
 import unicodedata
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -50,25 +52,25 @@ def _byte_letters() -> dict[str, int]:
 class BatchTokenizer:
     """encode(column) gives (ids, offsets): row k has ids[offsets[k]:offsets[k + 1]]."""
 
-    def __init__(self, path: str, cache: int = 1_000_000) -> None:
+    def __init__(self, path: str, cache: int = 200_000) -> None:
+        """cache: how many short pre-tokens are remembered from batch to batch (some 200 bytes each)."""
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.path, self.limit = path, cache
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
         letters = _byte_letters()
         ranks = {bytes(letters[c] for c in word): n for word, n in vocabulary.items() if all(c in letters for c in word) and word != "<|endoftext|>"}
         self.single = tiktoken.Encoding("single", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         self.classes = _classes()
-        self.limit = cache
-        self._clear()
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    @functools.cached_property
+    def library(self):
+        from tokenizers import Tokenizer
 
-    def _clear(self) -> None:
-        self.place: dict[int, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.bounds = np.zeros((1 << 14, 2), np.int64)
-        self.used = 0
+        return Tokenizer.from_file(self.path)
 
     def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Byte positions at which pre-tokens start."""
@@ -93,28 +95,44 @@ class BatchTokenizer:
         start[enters[point[enters - 1] == 32]] = False
         return at[start]
 
-    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        codes, distinct = pd.factorize(hashes)
-        if len(self.place) + len(distinct) > self.limit:
-            self._clear()
+    def _distinct(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each pre-token a number, equal for equal bytes, and for each number the first pre-token that has it."""
+        codes, distinct = pd.factorize(span_hashes(data, starts, ends))
         first = np.empty(len(distinct), np.int64)
         first[codes[::-1]] = np.arange(len(codes))[::-1]
-        rows = np.empty(len(distinct), np.int64)
-        raw, encode = data.tobytes(), self.single._encode_single_piece
-        for k, h in enumerate(distinct.tolist()):
-            row = self.place.get(h)
-            if row is None:
-                ids = encode(raw[starts[first[k]] : ends[first[k]]])
-                row = self.place[h] = len(self.place)
-                if row >= len(self.bounds):
-                    self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.bounds[row] = self.used, len(ids)
-                self.used += len(ids)
-            rows[k] = row
-        return self.bounds[rows][codes]
+        # Equal hashes prove nothing: every pre-token's bytes are held against the first one's.
+        lengths = ends - starts
+        like = first[codes]
+        same = lengths == lengths[like]
+        shift = np.where(same, starts[like] - starts, 0)
+        other = np.flatnonzero(data[np.arange(len(data)) + np.repeat(shift, lengths)] != data)
+        odd = np.unique(np.concatenate([np.flatnonzero(~same), np.searchsorted(starts, other, "right") - 1]))
+        if len(odd):
+            by: dict[bytes, int] = {}
+            for k in odd.tolist():
+                codes[k] = by.setdefault(data[starts[k] : ends[k]].tobytes(), len(first) + len(by))
+            fresh = np.empty(len(by), np.int64)
+            fresh[codes[odd[::-1]] - len(first)] = odd[::-1]
+            first = np.concatenate([first, fresh])
+        return codes, first
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all distinct pre-tokens, and of each pre-token where they start and how many they are."""
+        codes, first = self._distinct(data, starts, ends)
+        raw, encode, known, old = data.tobytes(), self.single._encode_single_piece, self.known, self.old
+        found = []
+        for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True):
+            piece = raw[a:b]
+            ids = known.get(piece)
+            if ids is None:
+                ids = old.get(piece) or array("I", encode(piece)).tobytes()
+                if len(piece) <= 32:
+                    if 2 * len(known) >= self.limit:  # what was not met since the last turn is forgotten
+                        self.known, self.old = known, old = {}, known
+                    known[piece] = ids
+            found.append(ids)
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return np.frombuffer(b"".join(found), np.uint32), (np.cumsum(lengths) - lengths)[codes], lengths[codes]
 
     def encode(self, column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         data, offsets = utf8_buffer(column)
@@ -123,10 +141,9 @@ class BatchTokenizer:
             return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
         starts = self._pieces(data, offsets)
         ends = np.append(starts[1:], len(data))
-        spans = self._learn(data, starts, ends, span_hashes(data, starts, ends))
-        lengths = spans[:, 1]
+        flat, place, lengths = self._learn(data, starts, ends)
         after = np.cumsum(lengths)
-        ids = self.flat[np.repeat(spans[:, 0] - after + lengths, lengths) + np.arange(after[-1])]
+        ids = flat[np.repeat(place - after + lengths, lengths) + np.arange(after[-1])]
         bounds = np.concatenate([[0], after])[np.searchsorted(starts, offsets)]
         quotes = np.unique(np.searchsorted(offsets, np.flatnonzero((data == 0x27) | (data == 0x3C)), "right") - 1)
         if len(quotes):
