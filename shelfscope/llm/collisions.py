@@ -7,15 +7,19 @@ sqrt(2 - 2c) apart and differ on a line by a normal variate of that deviation, s
 of a pair are binomial with a known probability; the count asked for is the largest one that a
 pair right at the threshold reaches with the chosen recall.
 
-Counting against every other vector would take quadratic time.  So sorting starts coarsely: the
-signs of ``bits`` of the lines name a cell of the order, vectors meet within cells, and this is
-repeated for several tables of lines, as many as the recall at the threshold needs.  A pair that
-meets in several tables counts in the first one only.  Cells of more than ``block`` vectors are
-compared in pairs of blocks.  Tasks return counts and a spanning forest of their links, never
+Windows on single lines let through a fixed share of all pairs (a third, at the default width), so
+counting them against every other vector would take quadratic time.  Sorting therefore starts
+coarsely: on ``bits`` further lines the order is cut at 0, the halves name a cell, vectors meet
+within cells, and this is repeated for several tables of such lines, as many as the recall at the
+threshold needs.  The lines that are counted on are others than those that cut cells, so that
+counts do not depend on the cell.  A pair that meets in several tables counts in the first one
+only.  Cells of more than ``block`` vectors are compared in pairs of blocks.  Vectors travel in
+their own type (floats as floats); tasks return counts and a spanning forest of their links, never
 pairs.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components link with
-nothing (n_links 0, own component); exact copies collapse before anything is compared and link
+nothing (n_links 0, own component); components of any finite size are scaled before squares are
+taken; exact copies collapse before anything is compared and link
 with each other; vectors of another length than most are compared with their own length only;
 rows that repeat a vec_id with the same vector are one vector; a row with a null id has null
 component and counts for nothing; other columns are ignored; an empty table gives no rows.
@@ -30,11 +34,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .graph import connected_components
 from .scratch import materialise
-from .textops import sorted_groups
-from .vectors import distinct_vectors, matrix, usable
+from .textops import sorted_groups, tidy
+from .vectors import distinct_vectors, matrix, unit_rows, usable, vector_hashes
 
 
 def collision_probability(cosine: float, half: float) -> float:
@@ -103,17 +108,18 @@ def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "e
     bits = max(1, math.ceil(math.log2(max(n, 2) / cell)))
     tables = tables_needed(threshold, bits, recall)
     least = calibrated_count(threshold, half, lines, recall)
+    single = isinstance(vectors.schema[vec_col].dataType.elementType, FloatType)
 
+    @tidy
     def name_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths = np.asarray(pa.compute.list_value_length(batch["vector"]))
             for dim in np.unique(lengths):
                 part = batch.filter(pa.array(lengths == dim))
                 x = matrix(part["vector"])
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                cells = _cells(x, bits, tables, seed) + (np.int64(dim) << 40)
+                cells = _cells(unit_rows(x), bits, tables, seed) + (np.int64(dim) << 40)
                 repeat = np.repeat(np.arange(len(x)), tables)
-                raw = pa.array([v.tobytes() for v in x], pa.binary())
+                raw = pa.array([v.tobytes() for v in (x.astype(np.float32) if single else x)], pa.binary())  # floats lose nothing
                 yield pa.RecordBatch.from_arrays([part["id"].take(pa.array(repeat)), part["copies"].take(pa.array(repeat)), raw.take(pa.array(repeat)), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(x))), pa.array(cells.ravel())], ["id", "copies", "raw", "table", "cell"])
 
     placed = points.mapInArrow(name_cells, "id long, copies long, raw binary, table int, cell long")
@@ -123,16 +129,17 @@ def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "e
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least("mine", j).alias("x"), F.greatest("mine", j).alias("y")))
     placed = placed.select("id", "copies", "raw", "table", "cell", "mine", F.explode(pairs).alias("pair")).select("id", "copies", "raw", "table", "mine", F.col("pair.x").alias("x"), F.col("pair.y").alias("y"), F.xxhash64("table", "cell", "pair.x", "pair.y").alias("group"))
 
+    @tidy
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, table), group in sorted_groups(batches, ["group", "table"]):
             ids, copies = np.asarray(group["id"]), np.asarray(group["copies"])
-            unit = np.frombuffer(b"".join(group["raw"].to_pylist()), float).reshape(len(ids), -1)
+            unit = unit_rows(np.frombuffer(b"".join(group["raw"].to_pylist()), np.float32 if single else float).astype(float).reshape(len(ids), -1))
             mine, x, y = group["mine"][0].as_py(), group["x"][0].as_py(), group["y"][0].as_py()
             own = np.asarray(group["mine"])
             left, right = (np.arange(len(ids)),) * 2 if x == y else (np.flatnonzero(own == x), np.flatnonzero(own == y))
             if not len(left) or not len(right):
                 continue
-            on = unit @ _lines(unit.shape[1], bits * tables, seed)[:, :lines] if bits * tables >= lines else unit @ _lines(unit.shape[1], lines, seed + 1)
+            on = unit @ _lines(unit.shape[1], lines, seed + 1)
             counts = count_collisions(on[left], on[right], half)
             a, b = np.nonzero(counts >= least)
             a, b = left[a], right[b]
@@ -160,10 +167,15 @@ def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "e
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     components = connected_components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct())
 
-    facts = points.select("id", "copies", F.xxhash64("vector").alias("h1"), F.xxhash64("vector", F.lit(7)).alias("h2"))
-    facts = facts.join(links, "id", "left").join(components, "id", "left").select("h1", "h2", F.col("id").alias("copy_of"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "id").alias("component"))
+    facts = points.select("id", "copies", *vector_hashes(F.col("vector")))
+    facts = facts.join(links.hint("merge"), "id", "left").join(components.hint("merge"), "id", "left")
+    facts = materialise(facts.select("h1", "h2", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id")), "facts")
     vector = F.col(vec_col).cast("array<double>")
     out = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(usable(vector) & F.col(id_col).isNotNull(), vector).alias("vector"))
-    out = out.select("vec_id", F.when(F.col("vector").isNotNull(), F.xxhash64("vector")).alias("h1"), F.when(F.col("vector").isNotNull(), F.xxhash64("vector", F.lit(7))).alias("h2"))
-    out = out.join(facts, ["h1", "h2"], "left")
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    some = out.where("vector is not null").select("vec_id", *vector_hashes(F.col("vector")))
+    # Vectors with at least a 4096th of all copies are 4096 at most: they are broadcast, so that no key of the other join is hot.
+    all_ = facts.agg(F.sum("copies")).first()[0] or 0
+    hot, rest = F.broadcast(facts.where(F.col("copies") * 4096 >= all_).drop("copies")), facts.where(F.col("copies") * 4096 < all_).drop("copies")
+    both = some.join(hot, ["h1", "h2"]).unionByName(some.join(hot, ["h1", "h2"], "left_anti").join(rest.hint("merge"), ["h1", "h2"])).select("vec_id", "n_links", "component_id")
+    both = both.unionByName(out.where("vector is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
+    return both.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -14,6 +14,17 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & ~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def vector_hashes(vector: Column) -> tuple[Column, Column]:
+    """h1 and h2; the salt stands first, as it is the seed with which the vector is then hashed."""
+    return F.xxhash64(vector).alias("h1"), F.xxhash64(F.lit(7), vector).alias("h2")
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; each is first divided by its largest component, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def distinct_vectors(vectors: DataFrame, id_col: str, vec_col: str, keep_ids: int) -> DataFrame:
     """One row per distinct usable vector: id (its smallest), ids (its ``keep_ids`` smallest), copies, vector.
 
@@ -21,7 +32,7 @@ def distinct_vectors(vectors: DataFrame, id_col: str, vec_col: str, keep_ids: in
     the shuffle, so any number of copies costs each task a few rows.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vector")).where(usable(F.col("vector")) & F.col("id").isNotNull())
-    rows = rows.distinct().withColumns({"h1": F.xxhash64("vector"), "h2": F.xxhash64("vector", F.lit(7))})
+    rows = rows.distinct().withColumns(dict(zip(("h1", "h2"), vector_hashes(F.col("vector")), strict=True)))
     counts = rows.groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min_by("vector", "id").alias("vector"))
     ranked = rows.select("h1", "h2", "id").withColumn("n", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))).where(F.col("n") <= keep_ids)
     ids = ranked.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("id")).alias("ids"))
