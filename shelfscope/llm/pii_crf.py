@@ -3,15 +3,17 @@
 The patterns find e-mail addresses, IP addresses, payment card numbers and phone numbers that are
 written as the book has it.  The CRF adds what is written otherwise (card numbers that fail the
 check digit, phone numbers without country code, spelt-out addresses).  Its features are the
-shapes of a word and its neighbours; it is trained on a small labelled table, made here, by
-maximum likelihood, and decoded by Viterbi over numpy batches of sequences.
+shapes of a word and of two neighbours on each side; it is trained on a small labelled table, made
+here, by maximum likelihood, and decoded by Viterbi over numpy batches of sequences.
 
-All kinds hold a digit, an @ or a spelt-out dot, so a text is searched through for those, and the
-sequences are the stretches of text around them; the whole text is covered.
+A sequence is a line; the lines of a text are all of it, so every word of every text is decoded.
+Shapes and features are numbers that come from the text's code points by array operations.
 
 Edge cases: a null or empty text has no spans; offsets count code points; spans that the CRF adds
-never overlap one of the patterns; rows that repeat a doc_id are handled each, a null doc_id stays
-null; other columns are ignored by find_pii and kept by redact; an empty table gives no rows.
+never overlap one of the patterns, nor cross a line's end; long lines are decoded with few others,
+so that memory stays bounded; a number of any length is no error; rows that repeat a doc_id are
+handled each, a null doc_id stays null; other columns are ignored by find_pii and kept by redact;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import slices
+from .textops import slices, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -37,10 +39,9 @@ _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|\b[Dd][Oo][Tt]\b")
-_TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]|_|\d+")
 _DIGIT = re.compile(r"[0-9]")
-_LEXICON = frozenset("at dot com org net version v phone tel call fax card ip host mail page".split())
+#: Words that are shapes of their own.
+_LEXICON = "at dot com org net version v phone tel call fax card ip host mail page".split()
 
 
 def luhn(digits: str) -> bool:
@@ -51,6 +52,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _octet(digits: str) -> bool:
+    """At most 255; the number may have any length, as leading zeros count for nothing."""
+    value = digits.lstrip("0")
+    return len(value) < 4 and int(value or "0") <= 255
+
+
 def pattern_spans(text: str) -> list[tuple[int, int, str]]:
     """The pattern matches, per kind leftmost and non-overlapping; linear in the text's length."""
     found, last = [], 0
@@ -64,7 +71,7 @@ def pattern_spans(text: str) -> list[tuple[int, int, str]]:
             found.append((start, m.end(), "email"))
             last = m.end()
         at = text.find("@", max(at + 1, last))
-    found += [(*m.span(), "ip") for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m.groups())]
+    found += [(*m.span(), "ip") for m in _IP.finditer(text) if all(_octet(p) for p in m.groups())]
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 12 <= len(digits) <= 19 and luhn(digits):
@@ -75,44 +82,100 @@ def pattern_spans(text: str) -> list[tuple[int, int, str]]:
 
 # Sequences and features.
 
-
-def stretches(text: str, around: int = 32) -> list[tuple[int, int]]:
-    """Where the CRF looks: the text within ``around`` characters of a digit, an @ or a spelt-out dot."""
-    out: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - around), min(len(text), m.end() + around)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
-def tokens(text: str, a: int, b: int) -> list[tuple[int, int]]:
-    return [m.span() for m in _TOKEN.finditer(text, a, b)]
+_SPACE, _LETTER, _NUMBER, _SIGN = range(4)
+#: Shapes before and after a sequence; digits are 1 to 20, words 30 to 38 and from 50, signs from 100.
+_BEFORE, _AFTER = (250, 251), (252, 253)
 
 
-def _shape(word: str) -> str:
-    if word[0].isdigit():
-        return f"d{min(len(word), 20)}"
-    if word[0].isalpha():
-        low = word.lower()
-        if low in _LEXICON:
-            return f"={low}"
-        return ("A" if word.isupper() else "Aa" if word[0].isupper() else "a") + ("1" if len(word) == 1 else "2" if len(word) < 4 else "4")
-    return word
+@functools.lru_cache(maxsize=1)
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """Kind of each code point of the basic plane (others are signs), and whether it is upper case."""
+    points = [chr(c) for c in range(1 << 16)]
+    kinds = [_SPACE if c.isspace() else _LETTER if c.isalpha() else _NUMBER if c in "0123456789" else _SIGN for c in points]
+    return np.array(kinds, np.uint8), np.array([c.isupper() for c in points])
 
 
-def features(text: str, spans: list[tuple[int, int]]) -> list[list[str]]:
-    """Feature names of each token: its shape, those of two neighbours on each side, and whether blanks part them."""
-    shapes = ["^^", "^", *(_shape(text[a:b]) for a, b in spans), "$", "$$"]
-    gaps = [True, True, *(k == 0 or a > spans[k - 1][1] for k, (a, _) in enumerate(spans)), True, True]
-    out = []
-    for k in range(2, len(spans) + 2):
-        c, p, n = shapes[k], shapes[k - 1], shapes[k + 1]
-        g, h = "_" * gaps[k], "_" * gaps[k + 1]
-        out.append([f"c{c}", f"p{p}{g}", f"n{h}{n}", f"q{shapes[k - 2]}{'_' * gaps[k - 1]}{p}{g}{c}", f"m{c}{h}{n}{'_' * gaps[min(k + 2, len(gaps) - 1)]}{shapes[k + 2]}", f"b{p}{g}{c}", f"f{c}{h}{n}"])
-    return out
+@functools.lru_cache(maxsize=1)
+def _words() -> tuple[np.ndarray, np.ndarray]:
+    """The lexicon as sorted numbers (8 bits a letter), and the shape of each."""
+    codes = np.array([sum(ord(c) << 8 * k for k, c in enumerate(w)) for w in _LEXICON], np.uint64)
+    order = np.argsort(codes)
+    return codes[order], 50 + order
+
+
+class Tokens:
+    """The tokens of a text: start, end, shape, line (number of its line) and gap (white space before it)."""
+
+    __slots__ = ("end", "gap", "line", "shape", "start")
+
+    def __init__(self, text: str) -> None:
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        table, capitals = _kinds()
+        low = np.minimum(points, 0xFFFF)
+        kind = np.where(points > 0xFFFF, _SIGN, table[low])
+        new = np.ones(len(kind), bool)
+        new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _SIGN)
+        first = np.flatnonzero(new)
+        ends = np.append(first[1:], len(kind))
+        some = kind[first] != _SPACE
+        self.start, self.end = first[some], ends[some]
+        kind, size = kind[self.start], self.end - self.start
+        shape = np.where(kind == _NUMBER, np.minimum(size, 20), 0)
+        upper = np.concatenate([[0], np.cumsum(capitals[low])])
+        big = upper[self.end] - upper[self.start]
+        cased = np.where(big == size, 0, np.where(capitals[low[self.start]], 1, 2))
+        shape = np.where(kind == _LETTER, 30 + 3 * cased + np.where(size == 1, 0, np.where(size < 4, 1, 2)), shape)
+        shape = np.where(kind == _SIGN, 100 + np.minimum(points[self.start], 128), shape)
+        short = np.flatnonzero((kind == _LETTER) & (size <= 7))
+        code = np.zeros(len(short), np.uint64)
+        for k in range(7):
+            at = self.start[short] + k
+            letter = low[np.minimum(at, len(low) - 1)].astype(np.uint64) | np.uint64(0x20)
+            code |= np.where(at < self.end[short], letter, np.uint64(0)) << np.uint64(8 * k)
+        plain = np.concatenate([[0], np.cumsum(points > 127)])
+        names, shapes = _words()
+        place = np.minimum(np.searchsorted(names, code), len(names) - 1)
+        known = (names[place] == code) & (plain[self.end[short]] == plain[self.start[short]])
+        shape[short[known]] = shapes[place[known]]
+        self.shape = shape.astype(np.int64)
+        self.gap = np.ones(len(size), bool)
+        self.gap[1:] = self.start[1:] > self.end[:-1]
+        self.line = np.cumsum(points == 10)[self.start]
+
+
+def features(tokens: Tokens, at: int = 0, to: int | None = None) -> np.ndarray:
+    """Seven feature numbers of each token (of those from ``at`` to ``to``): its shape, those of its neighbours, and whether blanks part them."""
+    # Two more on each side tell all that the features of a token depend on.
+    whole = len(tokens.shape)
+    begin, stop = max(0, at - 2), min(whole, (whole if to is None else to) + 2)
+    shape, gaps, line = tokens.shape[begin:stop], tokens.gap[begin:stop], tokens.line[begin:stop]
+    n = len(shape)
+    same = [np.zeros(n, bool) for _ in range(5)]  # whether the token two or one before, itself, one or two after is of the same line
+    for k in range(-2, 3):
+        here = np.arange(max(0, -k), min(n, n - k))
+        same[k + 2][here] = line[here] == line[here + k]
+
+    def near(k: int) -> np.ndarray:
+        there = shape[np.clip(np.arange(n) + k, 0, max(n - 1, 0))]
+        side = _BEFORE[::-1] if k < 0 else _AFTER
+        inner = same[2 + k // abs(k)]
+        return np.where(same[k + 2], there, np.where(inner, side[0], side[abs(k) - 1]))
+
+    def gap(k: int) -> np.ndarray:
+        """Whether white space, or the line's end, stands before the token k places on."""
+        inside = same[k + 2] & same[k + 1] if k <= 0 else same[k + 2]
+        return np.where(inside, gaps[np.clip(np.arange(n) + k, 0, max(n - 1, 0))], True).astype(np.int64)
+
+    c, p, q, nx, nn = shape, near(-1), near(-2), near(1), near(2)
+    g, gp, h, hn = gap(0), gap(-1), gap(1), gap(2)
+    parts = [(c,), (p, g), (h, nx), (q, gp, p, g, c), (c, h, nx, hn, nn), (p, g, c), (c, h, nx)]
+    out = np.empty((n, 7), np.int64)
+    for k, values in enumerate(parts):
+        code = np.full(n, k + 1, np.int64)
+        for v in values:
+            code = (code << 8) | v
+        out[:, k] = code
+    return out[at - begin : (whole if to is None else min(to, whole)) - begin]
 
 
 # The labelled table.
@@ -127,7 +190,7 @@ def labelled_table(rows: int = 400, seed: int = 7) -> list[tuple[str, list[tuple
     octets = lambda: [str(rng.randint(0, 255)) for _ in range(4)]
     hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
     makers = {
-        "email": [lambda: f"{word()}.{digits(2)}@{host()}", lambda: f"{word()}@{host()}", lambda: f"{word()} at {word()} dot {rng.choice(['com', 'org', 'net'])}", lambda: f"{word()} (at) {word()} (dot) {rng.choice(['com', 'org', 'net'])}"],
+        "email": [lambda: f"{word()}.{digits(2)}@{host()}", lambda: f"{word()}@{host()}", lambda: f"{word()} at {word()} dot {rng.choice(['com', 'org', 'net'])}", lambda: f"{word()} (at) {word()} (dot) {rng.choice(['com', 'org', 'net'])}", lambda: f"{word()}{rng.choice([' [at] ', '[at]', ' (at) ', '(at)'])}{word()}.{rng.choice(['com', 'org', 'net', 'de'])}"],
         "ip": [lambda: ".".join(octets())],
         "card": [lambda: digits(16), lambda: " ".join(digits(4) for _ in range(4)), lambda: "-".join(digits(4) for _ in range(4)), lambda: digits(15), lambda: digits(13)],
         "phone": [lambda: f"+{digits(1)} ({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"{digits(3)}-{digits(3)}-{digits(4)}", lambda: f"+{digits(2)} {digits(3)} {digits(7)}"],
@@ -159,10 +222,10 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 class Crf:
-    """Weights of features (by name) and of label pairs; forbidden pairs (I after another kind) have minus infinity."""
+    """Weights of features (names: their numbers, sorted) and of label pairs; forbidden pairs (I after another kind) have minus infinity."""
 
-    def __init__(self, names: dict[str, int], weights: np.ndarray, pairs: np.ndarray) -> None:
-        self.names, self.weights, self.pairs = names, weights, pairs
+    def __init__(self, names: np.ndarray, weights: np.ndarray, pairs: np.ndarray) -> None:
+        self.names, self.weights, self.pairs = names, np.vstack([weights, np.zeros(len(LABELS))]).astype(np.float32), pairs.astype(np.float32)
 
     @staticmethod
     def allowed() -> np.ndarray:
@@ -173,79 +236,102 @@ class Crf:
                 ok[:, b] = [a < len(LABELS) and LABELS[a][2:] == label[2:] for a in range(len(LABELS) + 1)]
         return ok
 
-    def emissions(self, lists: list[list[str]]) -> np.ndarray:
-        index = np.array([[self.names.get(n, len(self.names)) for n in names] for names in lists], np.int64).reshape(len(lists), -1)
-        return np.vstack([self.weights, np.zeros(len(LABELS))])[index].sum(axis=1)
-
-    def decode(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
-        """Viterbi for many sequences of emissions at once, those of similar length together."""
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(sequences)
-        order = sorted((k for k, s in enumerate(sequences) if len(s)), key=lambda k: len(sequences[k]))
-        for at in range(0, len(order), 256):
-            some = order[at : at + 256]
-            lengths = np.array([len(sequences[k]) for k in some])
-            e = np.zeros((len(some), lengths.max(), len(LABELS)))
-            for row, k in enumerate(some):
-                e[row, : lengths[row]] = sequences[k]
-            score, back = e[:, 0] + self.pairs[-1], np.zeros(e.shape, np.int8)
-            last = score.copy()
-            for t in range(1, e.shape[1]):
-                step = score[:, :, None] + self.pairs[:-1]
-                back[:, t] = step.argmax(axis=1)
-                score = step.max(axis=1) + e[:, t]
-                last[lengths == t + 1] = score[lengths == t + 1]
-            for row, k in enumerate(some):
-                path = np.zeros(lengths[row], np.int64)
-                path[-1] = last[row].argmax()
-                for t in range(lengths[row] - 1, 0, -1):
-                    path[t - 1] = back[row, t, path[t]]
-                out[k] = path
+    def emissions(self, found: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(found), len(LABELS)), np.float32)
+        for k in range(found.shape[1]):
+            place = np.minimum(np.searchsorted(self.names, found[:, k]), len(self.names) - 1)
+            out += self.weights[np.where(self.names[place] == found[:, k], place, len(self.names))]
         return out
 
+    def decode(self, scores: np.ndarray, cuts: np.ndarray, most: int = 1 << 16) -> np.ndarray:
+        """Labels by Viterbi; sequence k is scores[cuts[k]:cuts[k + 1]].  Those of similar length go together, ``most`` tokens at once."""
+        out, lengths = np.zeros(len(scores), np.int8), np.diff(cuts)
+        order = np.argsort(lengths, kind="stable")
+        order = order[lengths[order] > 0]
+        at = 0
+        while at < len(order):
+            # Lengths rise, so the last one is that of the padded batch.
+            to = at + 1
+            step = 1
+            while to < len(order) and (to - at + step) * lengths[order[min(to + step, len(order)) - 1]] <= most:
+                to = min(to + step, len(order))
+                step *= 2
+            some, own = order[at:to], lengths[order[at:to]]
+            size = int(own[-1])
+            where = cuts[some][:, None] + np.minimum(np.arange(size), own[:, None] - 1)
+            e = scores[where]
+            back = np.empty((len(some), size, len(LABELS)), np.int8)
+            score = e[:, 0] + self.pairs[-1]
+            last, from_ = score.copy(), self.pairs[:-1].T[None]
+            for t in range(1, size):
+                step_ = score[:, None, :] + from_
+                back[:, t] = step_.argmax(axis=2)
+                score = np.take_along_axis(step_, back[:, t, :, None], 2)[:, :, 0] + e[:, t]
+                live = own > t
+                last[live] = score[live]
+            label = last.argmax(axis=1)
+            for t in range(size - 1, -1, -1):
+                live = np.flatnonzero(own > t)
+                out[cuts[some[live]] + t] = label[live]
+                if t:
+                    label[live] = back[live, t, label[live]]
+            at = to
+        return out
 
-def train(table: list[tuple[str, list[tuple[int, int, str]]]], rounds: int = 110, rate: float = 0.25, decay: float = 1e-3) -> Crf:
-    """Maximum likelihood by full-batch Adam; forward and backward run over all rows at once."""
-    names: dict[str, int] = {}
+
+def train(table: list[tuple[str, list[tuple[int, int, str]]]], rounds: int = 80, rate: float = 0.3, decay: float = 1e-3) -> Crf:
+    """Maximum likelihood by full-batch Adam; forward and backward run over rows of similar length at once."""
     rows = []
     for text, marked in table:
-        spans = [s for a, b in stretches(text) for s in tokens(text, a, b)]
-        if not spans:
-            continue
+        words = Tokens(text)
         labels = []
-        for a, b in spans:
+        for a, b in zip(words.start.tolist(), words.end.tolist(), strict=True):
             kind = next(((x, k) for x, y, k in marked if x <= a and b <= y), None)
             labels.append(0 if kind is None else LABELS.index(("B-" if kind[0] == a else "I-") + kind[1]))
-        rows.append(([[names.setdefault(n, len(names)) for n in f] for f in features(text, spans)], labels))
-    length, n, size = max(len(r[1]) for r in rows), len(rows), len(LABELS)
-    index = np.full((n, length, 7), len(names), np.int64)
-    gold, there = np.zeros((n, length), np.int64), np.zeros((n, length), bool)
-    for k, (f, labels) in enumerate(rows):
-        index[k, : len(f)], gold[k, : len(f)], there[k, : len(f)] = f, labels, True
+        found = features(words)
+        for line in np.unique(words.line):
+            some = np.flatnonzero(words.line == line)
+            rows.append((found[some], [labels[k] for k in some]))
+    names = np.unique(np.concatenate([r[0].ravel() for r in rows]))
+    rows = [(np.searchsorted(names, f), labels) for f, labels in rows]
+    n, size = len(rows), len(LABELS)
+    rows.sort(key=lambda r: len(r[1]))
+    groups = []  # rows of similar length, padded: index, gold, there
+    for at in range(0, n, 64):
+        some = rows[at : at + 64]
+        length = len(some[-1][1])
+        index = np.full((len(some), length, 7), len(names), np.int64)
+        gold, there = np.zeros((len(some), length), np.int64), np.zeros((len(some), length), bool)
+        for k, (f, labels) in enumerate(some):
+            index[k, : len(f)], gold[k, : len(f)], there[k, : len(f)] = f, labels, True
+        groups.append((index, gold, there))
     allowed = Crf.allowed()
     weights, pairs = np.zeros((len(names) + 1, size)), np.zeros((size + 1, size))
     truth_w, truth_p = np.zeros_like(weights), np.zeros_like(pairs)
-    np.add.at(truth_w, (index[there], gold[there][:, None]), 1)
-    np.add.at(truth_p, (size, gold[:, 0]), 1)
-    both = there[:, 1:]
-    np.add.at(truth_p, (gold[:, :-1][both], gold[:, 1:][both]), 1)
+    for index, gold, there in groups:
+        np.add.at(truth_w, (index[there], gold[there][:, None]), 1)
+        np.add.at(truth_p, (size, gold[:, 0]), 1)
+        both = there[:, 1:]
+        np.add.at(truth_p, (gold[:, :-1][both], gold[:, 1:][both]), 1)
     state = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(pairs), np.zeros_like(pairs)]
     for step in range(1, rounds + 1):
         p = np.where(allowed, pairs, -1e9)
-        e = weights[index].sum(axis=2)
-        forward, backward = np.zeros((n, length, size)), np.zeros((n, length, size))
-        forward[:, 0] = e[:, 0] + p[-1]
-        for t in range(1, length):
-            forward[:, t] = np.where(there[:, t, None], _log_sum(forward[:, t - 1, :, None] + p[:-1], 1) + e[:, t], forward[:, t - 1])
-        total = _log_sum(forward[:, -1], 1)
-        for t in range(length - 2, -1, -1):
-            backward[:, t] = np.where(there[:, t + 1, None], _log_sum(p[:-1] + (e[:, t + 1] + backward[:, t + 1])[:, None, :], 2), 0)
-        unary = np.exp(forward + backward - total[:, None, None]) * there[:, :, None]
         grad_w, grad_p = -truth_w, -truth_p
-        grad_w = grad_w + np.stack([np.bincount(index[there].ravel(), np.repeat(unary[there][:, c], 7), len(weights)) for c in range(size)], axis=1)
-        grad_p = grad_p.copy()
-        grad_p[-1] += unary[:, 0].sum(axis=0)
-        pair = np.exp(forward[:, :-1, :, None] + p[:-1] + (e[:, 1:] + backward[:, 1:])[:, :, None, :] - total[:, None, None, None])
-        grad_p[:-1] += (pair * both[:, :, None, None]).sum(axis=(0, 1))
+        for index, _, there in groups:
+            e = weights[index].sum(axis=2)
+            length = e.shape[1]
+            forward, backward = np.zeros(e.shape), np.zeros(e.shape)
+            forward[:, 0] = e[:, 0] + p[-1]
+            for t in range(1, length):
+                forward[:, t] = np.where(there[:, t, None], _log_sum(forward[:, t - 1, :, None] + p[:-1], 1) + e[:, t], forward[:, t - 1])
+            total = _log_sum(forward[:, -1], 1)
+            for t in range(length - 2, -1, -1):
+                backward[:, t] = np.where(there[:, t + 1, None], _log_sum(p[:-1] + (e[:, t + 1] + backward[:, t + 1])[:, None, :], 2), 0)
+            unary = np.exp(forward + backward - total[:, None, None]) * there[:, :, None]
+            grad_w += np.stack([np.bincount(index[there].ravel(), np.repeat(unary[there][:, c], 7), len(weights)) for c in range(size)], axis=1)
+            grad_p[-1] += unary[:, 0].sum(axis=0)
+            pair = np.exp(forward[:, :-1, :, None] + p[:-1] + (e[:, 1:] + backward[:, 1:])[:, :, None, :] - total[:, None, None, None])
+            grad_p[:-1] += (pair * there[:, 1:, None, None]).sum(axis=(0, 1))
         for k, (value, grad) in enumerate(((weights, grad_w / n + decay * weights), (pairs, grad_p / n + decay * pairs))):
             state[2 * k] = 0.9 * state[2 * k] + 0.1 * grad
             state[2 * k + 1] = 0.999 * state[2 * k + 1] + 0.001 * grad**2
@@ -261,10 +347,10 @@ def default_model() -> Crf:
 def _plausible(kind: str, piece: str) -> bool:
     digits = len(_DIGIT.findall(piece))
     if kind == "email":
-        return "@" in piece or bool(re.fullmatch(r"\w[\w.+-]*\s+\W?at\W?\s+[\w-]+(\s+\W?dot\W?\s+[\w-]+)+", piece, re.IGNORECASE))
+        return "@" in piece or bool(re.fullmatch(r"\w[\w.+-]*(?:\s+\W?at\W?\s+[\w-]+(?:\s+\W?dot\W?\s+[\w-]+)+|\s*[\[({<]\s*at\s*[\])}>]\s*[\w-]+(?:(?:\.|\s*[\[({<]\s*dot\s*[\])}>]\s*)[\w-]+)+)", piece, re.IGNORECASE))
     if kind == "ip":
         parts = piece.split(".")
-        return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) < 4 and int(p) <= 255 for p in parts)
+        return len(parts) == 4 and all(p.isascii() and p.isdigit() and _octet(p) for p in parts)
     return 12 <= digits <= 19 if kind == "card" else 7 <= digits <= 15
 
 
@@ -272,29 +358,26 @@ def find_in_texts(texts: list[str], model: Crf) -> list[tuple[list[tuple[int, in
     """Per text the pattern spans and all spans, by start and kind."""
     order = {k: n for n, k in enumerate(KINDS)}
     base = [sorted(pattern_spans(t), key=lambda s: (s[0], order[s[2]])) if t else [] for t in texts]
-    jobs, lists, cuts = [], [], [0]
-    for k, text in enumerate(texts):
-        for a, b in stretches(text) if text else []:
-            spans = tokens(text, a, b)
-            jobs.append((k, spans))
-            lists += features(text, spans)
-            cuts.append(len(lists))
-    scores = model.emissions(lists) if lists else np.zeros((0, len(LABELS)))
-    paths = model.decode([scores[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
+    # All texts as one, parted by line ends, which no sequence crosses.
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    shift = np.cumsum(sizes) - sizes
+    words = Tokens("\n".join(texts))
+    n = len(words.start)
+    opens = np.ones(n, bool)
+    opens[1:] = words.line[1:] != words.line[:-1]
+    step = 1 << 17
+    scores = np.concatenate([model.emissions(features(words, at, at + step)) for at in range(0, n, step)] or [np.zeros((0, len(LABELS)), np.float32)])
+    labels = model.decode(scores, np.append(np.flatnonzero(opens), n))
     added: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    for (k, spans), path in zip(jobs, paths, strict=True):
-        i = 0
-        while i < len(path):
-            if path[i]:
-                j = i + 1
-                while j < len(path) and path[j] and LABELS[path[j]] == "I-" + LABELS[path[i]][2:]:
-                    j += 1
-                a, b, kind = spans[i][0], spans[j - 1][1], LABELS[path[i]][2:]
-                if _plausible(kind, texts[k][a:b]) and not any(x < b and a < y for x, y, _ in base[k]):
-                    added[k].append((a, b, kind))
-                i = j
-            else:
-                i += 1
+    marked = np.flatnonzero(labels)
+    first = np.array([x[0] == "B" for x in LABELS])[labels[marked]] | np.append(True, np.diff(marked) > 1)[: len(marked)] | opens[marked]
+    begin = marked[first]
+    last = np.append(marked[np.append(first[1:], True)], 0)[: len(begin)] if len(marked) else begin
+    owner = np.searchsorted(shift, words.start[begin], "right") - 1
+    for k, a, b, label in zip(owner.tolist(), words.start[begin].tolist(), words.end[last].tolist(), labels[begin].tolist(), strict=True):
+        a, b, kind = a - int(shift[k]), b - int(shift[k]), LABELS[label][2:]
+        if _plausible(kind, texts[k][a:b]) and not any(x < b and a < y for x, y, _ in base[k]):
+            added[k].append((a, b, kind))
     return [(b, sorted(b + x, key=lambda s: (s[0], order[s[2]]))) for b, x in zip(base, added, strict=True)]
 
 
@@ -303,6 +386,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
     shared = docs.sparkSession.sparkContext.broadcast(model or default_model())
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
+    @tidy
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -337,6 +421,7 @@ def redact(docs: DataFrame, text_col: str = "text", model: Crf | None = None) ->
             last = max(last, b)
         return "".join(out) + text[last:]
 
+    @tidy
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col):
