@@ -13,8 +13,10 @@ up to 2**18 blocks, so there are few.  The place of a document in its source's s
 sum within hashed buckets plus the sum of the buckets before, so no source is one task.
 
 Edge cases: a null or empty text has size 0 and is not taken; a null source is a source, the last;
-rows that repeat a doc_id are documents of their own; a null doc_id stays null; an empty table
-gives no rows; other columns are ignored by mix_plan and kept by mix_documents.
+rows that repeat a doc_id are documents of their own, ordered by size and text; a null doc_id stays
+null; a very long text is cut at words like any other; an empty table gives no rows; other columns
+are ignored by mix_plan and kept by mix_documents, whatever their names.  There are as many sources
+as one driver can list; a source per host of a crawl would be too many.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import materialise
-from .textops import mix64, slices, utf8_buffer, word_spans
+from .textops import mix64, slices, tidy, utf8_buffer, word_spans
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -88,7 +90,9 @@ def draw_shards(slots: list[int], seed: int = 1, most: int = 1 << 18, least_shar
 
 def _sized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows with a number, a size and the key that orders their source's stream (the id, so that a rerun on other partitions agrees)."""
-    return docs.withColumns({"_row": F.monotonically_increasing_id(), "_key": F.coalesce(F.col(id_col).cast("string"), F.monotonically_increasing_id().cast("string")), "_size": F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")})
+    # The text's hash orders rows that repeat an id; rows that are alike in both may stand in any order.
+    key = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.xxhash64(text_col).cast("string"))
+    return docs.withColumns({"_row": F.monotonically_increasing_id(), "_key": key, "_size": F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")})
 
 
 def _overlaps(rows: DataFrame, weights: tuple[float, ...], max_repeats: int, block_words: int, seed: int) -> DataFrame:
@@ -108,6 +112,7 @@ def _overlaps(rows: DataFrame, weights: tuple[float, ...], max_repeats: int, blo
         table.append((s, k, sizes[s], float(targets[s]), words, blocks))
     known = {k: t[5] for k, t in enumerate(table)}
 
+    @tidy
     def slot_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
@@ -176,12 +181,16 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "so
     Where blocks take only part of a document, its row has the text of that part; n_chars, if
     there, follows the text.
     """
+    names = docs.columns
+    docs = docs.toDF(*(f"c{k}" for k in range(len(names))))  # names of its own, whatever the columns are called
     columns = docs.columns
+    id_col, source_col, text_col, counted = (f"c{names.index(c)}" if c in names else "" for c in (id_col, source_col, text_col, "n_chars"))
     rows = materialise(_sized(docs, id_col, text_col).withColumn("_source", F.col(source_col)), "mixing")
     parts = _overlaps(rows.select("_row", "_key", "_source", "_size"), weights, max_repeats, block_words, seed)
     plan = parts.where("times > 0").groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("at", "part", "times"))).alias("_segments"))
     schema = docs.select(*columns).schema
 
+    @tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col):
@@ -192,8 +201,8 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "so
                         texts.append(t)
                 out = part.select(columns).take(pa.array(at, pa.int64()))
                 out = out.set_column(columns.index(text_col), text_col, pa.array(texts, out[text_col].type))
-                if "n_chars" in columns:
-                    out = out.set_column(columns.index("n_chars"), "n_chars", pa.array([len(t) for t in texts], out["n_chars"].type))
+                if counted:
+                    out = out.set_column(columns.index(counted), counted, pa.array([len(t) for t in texts], out[counted].type))
                 yield from out.to_batches()
 
-    return rows.join(plan, "_row").select(*columns, "_segments").mapInArrow(emit, schema)
+    return rows.join(plan, "_row").select(*columns, "_segments").mapInArrow(emit, schema).toDF(*names)
