@@ -110,47 +110,48 @@ def op3_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op5_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2k (chosen) and 2k + 1 (rejected) as pair k; a conversation without partner is paired with none."""
+    """Pair k: conversation k up to its last assistant turn, and the same turns with conversation k + 1's last assistant turn instead.
+
+    Without such a turn there is no pair; without a next conversation that has one, the rejected side ends before it.
+    """
     from pyspark.sql import functions as F
 
-    from .preference import format_preferences
+    from .preference import format_preferences, number_turns
 
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    ids = turns.where("conv_id is not null").select("conv_id").distinct()
-    side = F.pmod("conv_id", F.lit(2))
-    pairs = ids.groupBy(F.floor(F.col("conv_id") / 2).alias("pair_id")).agg(F.max(F.when(side == 0, F.col("conv_id"))).alias("chosen"), F.max(F.when(side == 1, F.col("conv_id"))).alias("rejected"))
-    return format_preferences(pairs, turns)
+    turns = number_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    last = turns.groupBy("conv").agg(F.max(F.when(F.col("role") == "assistant", F.struct("n", "text"))).alias("end")).where("end is not null").select("conv", F.col("end.n").alias("at"), F.col("end.text").alias("answer"))
+    heads = turns.join(last.select("conv", "at"), "conv").where("n <= at")
+    chosen = heads.select((F.col("conv") * 2).alias("conv_id"), F.col("n").alias("turn"), "role", "text")
+    kept = heads.where("n < at").select((F.col("conv") * 2 + 1).alias("conv_id"), F.col("n").alias("turn"), "role", "text")
+    other = last.select((F.col("conv") - 1).alias("conv"), "answer")
+    swapped = last.select("conv", "at").join(other, "conv").select((F.col("conv") * 2 + 1).alias("conv_id"), F.col("at").alias("turn"), F.lit("assistant").alias("role"), F.col("answer").alias("text"))
+    pairs = last.select(F.col("conv").alias("pair_id"), (F.col("conv") * 2).alias("chosen"), (F.col("conv") * 2 + 1).alias("rejected"))
+    return format_preferences(pairs, chosen.unionByName(kept).unionByName(swapped))
 
 
 ORACLE["op5_preference_pairs"] = r"""
-WITH t AS (
-    SELECT conv_id, floor(conv_id / 2)::BIGINT AS pair_id, CASE WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side,
-           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS n,
+WITH turns AS (
+    SELECT conv_id AS conv, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS n,
            coalesce(role, '') AS role, coalesce(text, '') AS text
     FROM conversations WHERE conv_id IS NOT NULL
 ),
-places AS (
-    SELECT pair_id, n, count(*) = 2 AND min(role) = max(role) AND min(text) = max(text) AS same FROM t GROUP BY pair_id, n
-),
-cut AS (SELECT pair_id, coalesce(min(CASE WHEN NOT same THEN n END), max(n) + 1) AS shared FROM places GROUP BY pair_id),
-r AS (
-    SELECT t.*, cut.shared, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS piece,
-           CASE WHEN n < shared THEN 'prompt' ELSE side END AS part
-    FROM t JOIN cut USING (pair_id)
-),
-b AS (
-    SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY pair_id, side, part ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r
+ends AS (SELECT conv, max(n) AS place, arg_max(text, n) AS answer FROM turns WHERE role = 'assistant' GROUP BY conv),
+heads AS (
+    SELECT conv, place, string_agg(CASE WHEN n < place THEN '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) END, '' ORDER BY n) AS prompt
+    FROM turns JOIN ends USING (conv) WHERE n <= place GROUP BY conv, place
 ),
-s AS (
-    SELECT *, CASE WHEN role = 'assistant' THEN (before + length(role) + 5)::BIGINT::VARCHAR || ':' || (before + length(piece))::BIGINT::VARCHAR END AS span FROM b
+sides AS (
+    SELECT e.conv, e.place, coalesce(h.prompt, '') AS prompt, '<|assistant|>' || chr(10) || e.answer || '<|end|>' || chr(10) AS chosen,
+           CASE WHEN o.conv IS NOT NULL THEN '<|assistant|>' || chr(10) || o.answer || '<|end|>' || chr(10) ELSE '' END AS rejected
+    FROM ends e JOIN heads h USING (conv) LEFT JOIN ends o ON o.conv = e.conv + 1
 )
-SELECT pair_id, max(shared)::BIGINT AS shared_turns,
-       coalesce(string_agg(piece, '' ORDER BY n) FILTER (part = 'prompt' AND side = 'chosen'), '') AS prompt,
-       coalesce(string_agg(piece, '' ORDER BY n) FILTER (part = 'chosen'), '') AS chosen,
-       coalesce(string_agg(piece, '' ORDER BY n) FILTER (part = 'rejected'), '') AS rejected,
-       coalesce(string_agg(span, ',' ORDER BY n) FILTER (part = 'chosen'), '') AS chosen_loss,
-       coalesce(string_agg(span, ',' ORDER BY n) FILTER (part = 'rejected'), '') AS rejected_loss
-FROM s GROUP BY pair_id
+SELECT conv AS pair_id, (place + (chosen = rejected)::INT)::BIGINT AS shared_turns,
+       CASE WHEN chosen = rejected THEN prompt || chosen ELSE prompt END AS prompt,
+       CASE WHEN chosen = rejected THEN '' ELSE chosen END AS chosen,
+       CASE WHEN chosen = rejected THEN '' ELSE rejected END AS rejected,
+       CASE WHEN chosen = rejected THEN '' ELSE '14:' || length(chosen)::VARCHAR END AS chosen_loss,
+       CASE WHEN chosen = rejected OR rejected = '' THEN '' ELSE '14:' || length(rejected)::VARCHAR END AS rejected_loss
+FROM sides
 """
 
 
