@@ -69,3 +69,41 @@ def test_icws_collides_as_often_as_weighted_jaccard():
     _, samples = icws(row, h, np.ones(len(h), np.float32), 600)
     a, b = set(h[row == 0].tolist()), set(h[row == 1].tolist())
     assert (samples[0] == samples[1]).mean() == pytest.approx(len(a & b) / len(a | b), abs=0.07)
+
+
+def test_classes_at_the_threshold_by_brute_force(spark):
+    """Every pair of weighted or plain similarity 0.8 shares a class, and each class hangs together by such pairs."""
+    import pyarrow as pa
+
+    from shelfscope.llm.minhash import document_frequencies, idf_table, similarities
+
+    rng, rows = np.random.default_rng(8), []
+    for k in range(40):
+        base = words(100 + k, 90)
+        for c in range(5):
+            w = list(base)
+            for p in rng.integers(0, 90, int(rng.integers(0, 5))):
+                w[p] = f"y{k}-{c}-{p}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(len(rows) + k, rows[0][1] + " tail" * k) for k in range(30)]  # a passage that many share
+    got = classes(spark, rows)
+    idf = idf_table(*document_frequencies(spark.createDataFrame(rows, "doc_id long, text string")))
+    a, b = np.triu_indices(len(rows), 1)
+    texts = pa.array([t for _, t in rows])
+    near = similarities(texts.take(pa.array(a)), texts.take(pa.array(b)), idf, 5) >= 0.8
+    caught = [got[int(i)][0] == got[int(j)][0] for i, j in zip(a[near], b[near], strict=True)]
+    assert len(caught) > 200
+    assert np.mean(caught) >= 0.99
+    label = list(range(len(rows)))
+    for i, j in sorted(zip(a[near].tolist(), b[near].tolist(), strict=True)):
+        low = min(label[i], label[j])
+        label = [low if x in (label[i], label[j]) else x for x in label]
+    assert all(label[i] == label[got[i][0]] for i in range(len(rows)))
+
+
+def test_one_id_with_two_texts_and_clashing_names(spark):
+    a, b = " ".join(words(1, 50)), " ".join(words(2, 50))
+    rows = [(1, a, 5), (2, b, 6), (3, b, 7), (3, a, 8), (None, a, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _gone long").repartition(3)
+    assert sorted(map(str, ((r["doc_id"], r["_gone"]) for r in drop_near_duplicates(df).collect()))) == sorted(map(str, [(1, 5), (2, 6), (None, 9)]))
+    assert drop_near_duplicates(df.withColumnsRenamed({"_gone": "h1"})).columns == ["doc_id", "text", "h1"]

@@ -171,3 +171,125 @@ def test_scores_do_not_depend_on_the_batch():
     together = model.scores(np.concatenate(data), np.cumsum([0, *map(len, data)]))
     alone = [model.scores(d, np.array([0, len(d)]))[0] for d in data]
     assert together == pytest.approx(alone, abs=1e-6)
+
+
+def test_spans_that_the_patterns_miss_by_hand():
+    """Sentences written by hand, none of them made by the training table's code."""
+    from shelfscope.llm.pii_crf import default_model, find_in_texts
+
+    marked = [
+        ("Please reach Anna at anna.k at postbox dot org before noon.", "anna.k at postbox dot org"),
+        ("His handle is mark (at) riverside (dot) com, use it.", "mark (at) riverside (dot) com"),
+        ("Send drafts to editor [at] gazette.org today", "editor [at] gazette.org"),
+        ("Front desk: 415-555-0188, ask for Lee.", "415-555-0188"),
+        ("You may ring (212) 555-0147 after six.", "(212) 555-0147"),
+        ("Charge it to 4111 1111 1111 1112 please", "4111 1111 1111 1112"),
+        ("old number 5500-0000-0000-0005 expired", "5500-0000-0000-0005"),
+        ("the clerk noted 6011000990139425 twice", "6011000990139425"),
+    ]
+    clean = [
+        "We met at noon on 2024-05-17 and paid $ 45.20 for 3 books.",
+        "Version 2.1.4 fixed 12 bugs; see page 118.",
+        "The score was 21-19, then 7-3.",
+        "Look at the map, then at the gate.",
+        "Population 1,204,335 in 1998.",
+        "At 10:45 the train left track 9.",
+        "ISBN 978 was printed 5 times",
+        "Room 204 at Hotel Nord",
+    ]
+    model, right, found = default_model(), 0, 0
+    for text, piece in marked:
+        spans = [text[a:b] for a, b, _ in find_in_texts([text], model)[0][1]]
+        right, found = right + (piece in spans), found + len(spans)
+    found += sum(len(find_in_texts([text], model)[0][1]) for text in clean)
+    print("recall", right / len(marked), "precision", right / found)
+    assert right / len(marked) >= 0.75
+    assert right / found >= 0.75
+
+
+def test_viterbi_by_brute_force():
+    import itertools
+
+    from shelfscope.llm.pii_crf import LABELS, Crf
+
+    rng = np.random.default_rng(3)
+    pairs = np.where(Crf.allowed(), rng.standard_normal((len(LABELS) + 1, len(LABELS))), -1e9)
+    model = Crf(np.arange(1), np.zeros((1, len(LABELS))), pairs)
+    sizes = [1, 4, 0, 3, 2, 4, 1]
+    scores = rng.standard_normal((sum(sizes), len(LABELS))).astype(np.float32)
+    cuts = np.concatenate([[0], np.cumsum(sizes)])
+    for most in (1, 8, 1 << 16):
+        got = model.decode(scores, cuts, most)
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            value = lambda path: sum(scores[a + k, y] + pairs[path[k - 1] if k else -1, y] for k, y in enumerate(path))  # noqa: E731, B023
+            best = max(itertools.product(range(len(LABELS)), repeat=int(b - a)), key=value)
+            assert tuple(got[a:b]) == best
+
+
+def test_digest_by_brute_force(spark):
+    import hashlib
+
+    from shelfscope.llm.pii_crf import digest, find_pii, pattern_spans
+
+    texts = ["a.b@c.de at 10.0.0.1", None, "", "+1 (415) 555-2671 or 4111 1111 1111 1111", "0" * 5000 + ".1.1.1", "x" * 300_000 + " q@r.st", "tie 1.2.3.4"]
+    df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)] + [(6, "tie 1.2.3.4", "k"), (None, "q@r.st", "k")], "doc_id long, text string, spans string").repartition(2)
+    got = [(r["doc_id"], r["base_sha256"], r["n_ip"]) for r in digest(find_pii(df)).collect()]
+    order = {"email": 0, "ip": 1, "card": 2, "phone": 3}
+    for i, t in [*enumerate(texts), (6, texts[6]), (None, "q@r.st")]:
+        spans = sorted(pattern_spans(t or ""), key=lambda s: (s[0], order[s[2]]))
+        want = hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in spans).encode()).hexdigest()
+        assert any(g[0] == i and g[1] == want for g in got)
+    assert sum(g[0] == 6 and g[2] == 1 for g in got) == 2
+
+
+def test_ids_of_texts_with_equal_hashes():
+    import pyarrow as pa
+
+    from shelfscope.llm.textops import span_hashes, utf8_buffer
+    from shelfscope.llm.tokens import batch_tokenizer, default_path
+
+    bits = [0]
+    while len(bits) < 2048:
+        bits += [1 - b for b in bits]
+    texts = ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+    tokenizer = batch_tokenizer(default_path())
+    ids, bounds = tokenizer.encode(pa.array(texts))
+    for k, t in enumerate(texts):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == tokenizer.library.encode(t, add_special_tokens=False).ids
+    data, offsets = utf8_buffer(pa.array(texts))
+    assert len(set(span_hashes(data, offsets[:-1], offsets[1:]).tolist())) == 2
+
+
+def test_network_by_a_plain_convolution():
+    from shelfscope.llm.quality_cnn import HALF, STEP, WIDTH, ByteCnn
+
+    net, rng = ByteCnn(5), np.random.default_rng(1)
+    texts = [rng.integers(1, 256, n).astype(np.uint8) for n in (0, 1, 7, 127, 128, 129, 300, 1000)]
+    got = net.scores(np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    for text, score in zip(texts, got, strict=True):
+        halves = max(1, -(-len(text) // HALF))
+        padded = np.concatenate([text, np.zeros(2 * HALF + WIDTH, np.uint8)])
+        outs = []
+        for c in range(max(1, halves - 1)):
+            best = np.full(len(net.bias), -np.inf)
+            end = min(2, halves) * HALF if halves > 1 else HALF
+            for p in range(0, end, STEP):
+                window = padded[c * HALF + p : c * HALF + p + WIDTH].copy()
+                if c * HALF + p + WIDTH > halves * HALF:
+                    window[max(0, halves * HALF - c * HALF - p) :] = 0
+                best = np.maximum(best, net.embed[window].ravel() @ net.filters)
+            share = np.clip(len(text) - c * HALF, 0, 2 * HALF) / (2 * HALF)
+            outs.append(np.maximum(np.maximum(best + net.bias, 0) @ net.hidden + np.array([share, share**0.5]) @ net.fill + net.hidden_bias, 0))
+        z = float(np.mean(outs, axis=0) @ net.out + net.out_bias[0])
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-4
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    from shelfscope.llm.mixing import mix_documents, mix_plan
+
+    rows = [(i, "word " * 40, "s", 777, "k", 1) for i in range(6)] + [(3, "word " * 40, "s", 777, "k", 1), (3, "other " * 40, "s", 777, "k", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _row long, _key string, c0 long")
+    got = mix_documents(df).collect()
+    assert got and {(r["_row"], r["_key"], r["c0"]) for r in got} == {(777, "k", 1)}
+    plans = [sorted(map(tuple, mix_plan(df.repartition(n)).collect())) for n in (1, 5)]
+    assert plans[0] == plans[1]

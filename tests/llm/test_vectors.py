@@ -78,3 +78,9 @@ def test_search_copies_and_few_rows(spark):
     few = nearest_neighbours(frame(spark, [(0, [1.0, 0.0]), (1, [0.0, 1.0])]), F.col("vec_id") % 100 == 0).collect()
     assert [tuple(r) for r in few] == [(0, 1, 1, 2**0.5)]
     assert nearest_neighbours(frame(spark, []), F.lit(True)).count() == 0
+
+
+def test_vectors_of_extreme_size(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1.01e200]), (3, [1e-200, 3e-200]), (4, [3e-200, 1e-200]), (5, [-1.0, 0.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4), 5: (0, 5)}

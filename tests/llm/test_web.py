@@ -41,7 +41,7 @@ def test_wrapper_generalises():
     wrapper = None
     for n, body in enumerate(["<p>a", "<p>a<p>b<p>c", "<p>q<ul><li>1<li>2</ul>", "<h2>x</h2><p>y<h2>z</h2><p>w"]):
         wrapper = generalised(wrapper, wrapper_of(parse(PAGE.format(n=n, body=body))))
-    path, constants = region_of(wrapper, 4)
+    path, constants, _ = region_of(wrapper)
     assert path[-1] == "article"
     article = wrapper[1][0][0][1][0][0][1][-1][0] if wrapper[1][0][0][0] == "html" else wrapper
     assert any(i[2] for i in article[1])  # a repeat
@@ -49,10 +49,15 @@ def test_wrapper_generalises():
     assert constants == []
 
 
+def alone(html):
+    """Its text as the only page of a host."""
+    return main_text(html, *region_of(wrapper_of(parse(html), page_hash(html))))
+
+
 def test_main_text_cases():
     assert main_text(PAGE.format(n=1, body="<p>a &amp; b<br>c\n d<p>e</p>"), None, None) == "T1\n\na & b c d\n\ne"
     assert main_text("<article><!-- no <p>x</p> --><p>y<script>var t='</p>'</script>z", None, None) == "yz"
-    assert main_text("<body><p>a<div class='comments'><p>no</div><form>no</form><aside>no</aside><p>b", None, None) == "a\n\nb"
+    assert alone("<body><p>a<div class='comments'><p>no</div><form>no</form><aside>no</aside><p>b") == "a\n\nb"
     assert main_text(None, None, None) == main_text("", None, None) == ""
     assert main_text("plain &lt;text", None, None) == "plain <text"
     assert main_text("<p>" * 5000 + "x", None, None) == "x"
@@ -97,7 +102,7 @@ def test_constants_survive_an_odd_page():
     wrapper = None
     for html in pages + pages[:5]:
         wrapper = generalised(wrapper, wrapper_of(parse(html), page_hash(html)))
-    assert region_of(wrapper, 46)[1] == ["Welcome"]
+    assert region_of(wrapper)[1] == ["Welcome"]
 
 
 def test_names_of_containers_do_not_drop_the_page():
@@ -115,7 +120,50 @@ def test_names_of_containers_do_not_drop_the_page():
         "<p>some words x<div class='comment'><div class='content'>no</div></div>",
         "<p>some words x<div class='main-menu'>no</div>",
     ]
-    assert [main_text(html, None, None).removeprefix("some words ") for html in kept] == ["x"] * len(kept)
+    assert [alone(html).removeprefix("some words ") for html in kept] == ["x"] * len(kept)
+
+
+def shop(k, extra=""):
+    """A page whose names mean nothing: a menu of links, the article with a line that all have, a foot note."""
+    menu = "".join(f"<li><a href='/{k}{j}'>link {k} {j} more</a></li>" for j in range(5))
+    return f"<body><div class='x1'><ul>{menu}</ul></div><div class='x2'><h1>Title {k}</h1><p>{f'word{k} ' * 30}</p>{extra}<div class='q7'>Follow us</div></div><div class='x3'>Foot note</div></body>"
+
+
+def test_the_wrapper_decides_where_names_mean_nothing(spark):
+    pages = [shop(k, f"<p class='promotion'>own {k}</p><div class='related-work'>also {k}</div>" if k == 2 else "") for k in range(8)]
+    rows = [(k, f"http://h/{k}", html) for k, html in enumerate(pages)]
+    got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    want = {k: f"Title {k}\n\n" + " ".join([f"word{k}"] * 30) + ("\n\nown 2\n\nalso 2" if k == 2 else "") for k in range(8)}
+    assert got == want
+    assert all(main_text(html) != want[k] for k, html in enumerate(pages))  # without the wrapper the text is wrong
+    right, kept, there = 0, 0, 0
+    for k in range(8):
+        a, b = set(got[k].split()), set(want[k].split())
+        right, kept, there = right + len(a & b), kept + len(a), there + len(b)
+    assert right / kept == right / there == 1
+
+
+def test_named_parts_go_if_two_pages_have_them():
+    pages = [f"<body><article><h1>T{k}</h1><p>text {k}</p><div class='ad'>offer {k}</div></article></body>" for k in range(3)]
+    wrapper = None
+    for html in pages:
+        wrapper = generalised(wrapper, wrapper_of(parse(html), page_hash(html)))
+    assert [main_text(html, *region_of(wrapper)) for html in pages] == [f"T{k}\n\ntext {k}" for k in range(3)]
+
+
+def test_deep_and_long_pages(spark):
+    deep = "<div>" * 3000 + "x<nav>menu</nav>y" + "</div>" * 3000
+    mixed = ["<div>" + "".join(("<p>a</p>", "<pre>b</pre>", "<h2>c</h2>")[(i * 7 + k * i * i) % 3] for i in range(2000)) + "</div>" for k in range(3)]
+    rows = [(0, "http://d/", deep), (1, "http://d/2", deep + "z"), *((k + 2, "http://m/", m) for k, m in enumerate(mixed))]
+    got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "x\n\ny"
+    assert got[1].endswith("z")
+    assert all(len(got[k].split()) == 2000 for k in (2, 3, 4))
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "http://h/1", "<p>x", "a", "b", "c")], "page_id long, url string, html string, host string, path string, parts string")
+    assert [r["text"] for r in extract_main_text(df).collect()] == ["x"]
 
 
 def test_preferences(spark):
@@ -134,3 +182,6 @@ def test_preferences(spark):
     assert (got[3]["shared_turns"], got[3]["chosen"], got[3]["rejected"]) == (1, "", "")
     assert (got[4]["shared_turns"], got[4]["prompt"]) == (0, "")
     assert format_preferences(pairs.limit(0), df).count() == 0
+    twice = spark.createDataFrame([(1, 0, "user", "a"), (1, 0, "user", "a"), (2, 0, "user", "a"), (2, 0, "user", "x" * 200_000)], "conv_id long, turn long, role string, text string")
+    r = format_preferences(pairs.where("pair_id = 1"), twice).first()
+    assert (r["shared_turns"], len(r["rejected"])) == (1, 200_000 + len("<|user|>\n<|end|>\n"))
