@@ -8,8 +8,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import shared_folder
 
-def greedy_one_to_one(edges: DataFrame, block: str = "block", left: str = "left", right: str = "right", score: str = "score", max_rounds: int = 50) -> DataFrame:
+
+def greedy_one_to_one(edges: DataFrame, block: str = "block", left: str = "left", right: str = "right", score: str = "score") -> DataFrame:
     """The matching that takes edges by (score desc, left, right) where both ends are still free.
 
     With that strict order the greedy matching is the locally dominant one: again and again take
@@ -19,12 +21,10 @@ def greedy_one_to_one(edges: DataFrame, block: str = "block", left: str = "left"
     """
     spark = edges.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="assignment-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark, "assignment"))
     rest = edges.select(F.col(block).alias("b"), F.col(left).alias("l"), F.col(right).alias("r"), F.col(score).alias("s")).checkpoint()
     taken = None
-    for _ in range(max_rounds):
+    while True:
         rank = F.struct(F.col("s"), (-F.col("l")).alias("l"), (-F.col("r")).alias("r"))
         best_l = rest.groupBy("b", "l").agg(F.max(rank).alias("x")).select("b", "l", F.col("x.s").alias("s"), (-F.col("x.r")).alias("r"))
         best_r = rest.groupBy("b", "r").agg(F.max(rank).alias("x")).select("b", "r", F.col("x.s").alias("s"), (-F.col("x.l")).alias("l"))
@@ -33,8 +33,6 @@ def greedy_one_to_one(edges: DataFrame, block: str = "block", left: str = "left"
         rest = rest.join(found.select("b", "l"), ["b", "l"], "left_anti").join(found.select("b", "r"), ["b", "r"], "left_anti").checkpoint()
         if rest.isEmpty():
             return taken.select(F.col("b").alias(block), F.col("l").alias(left), F.col("r").alias(right), F.col("s").alias(score))
-    raise RuntimeError("the assignment did not settle")
-
 
 def greedy_in_order(edges: DataFrame, block: str = "block", left: str = "left", right: str = "right", score: str = "score") -> DataFrame:
     """The matching of greedy_one_to_one() in one pass over the sorted edges of each block.
@@ -58,3 +56,26 @@ def greedy_in_order(edges: DataFrame, block: str = "block", left: str = "left",
 
     rows = edges.select(block, left, right, score)
     return rows.repartition(block).sortWithinPartitions(F.col(block), F.desc(score), F.col(left), F.col(right)).mapInArrow(take, rows.schema)
+
+
+def first_come(edges: DataFrame, block: str = "block", left: str = "left", right: str = "right", score: str = "score") -> DataFrame:
+    """Left ends in their order, each with its best right end that is still free.
+
+    One pass over the sorted edges of each block; a task holds the matched right ends of one block.
+    """
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, done, used = None, None, set()
+        for batch in batches:
+            kept = []
+            for i, (b, x, y) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
+                if b != at:
+                    at, done, used = b, None, set()
+                if x != done and y not in used:
+                    done = x
+                    used.add(y)
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    rows = edges.select(block, left, right, score)
+    return rows.repartition(block).sortWithinPartitions(F.col(block), F.col(left), F.desc(score), F.col(right)).mapInArrow(take, rows.schema)

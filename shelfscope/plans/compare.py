@@ -54,11 +54,11 @@ def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return have.where("site <> 0").join(own, "concept", "left_anti").groupBy("concept").agg(F.count_distinct("site").alias("competitors"))
 
 
-@query(f"""WITH {CATALOG_SQL}, c AS (SELECT DISTINCT site, category || '/' || vendor || '/' || name AS concept FROM catalog)
+@query(f"""WITH {CATALOG_SQL}, c AS (SELECT DISTINCT site, product || '/' || rank || '/' || CAST(discount_percent AS INTEGER) AS concept FROM catalog)
 SELECT concept, min(site) AS site FROM c GROUP BY concept HAVING count(*) = 1""")
 def exclusive_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What only one site has."""
-    have = catalog(spark, sf_dir).select("site", F.concat_ws("/", "category", "vendor", "name").alias("concept")).distinct()
+    """What only one site has: a product at a place of the listing with a discount."""
+    have = catalog(spark, sf_dir).select("site", F.concat_ws("/", "product", "rank", F.col("discount_percent").cast("int")).alias("concept")).distinct()
     return have.groupBy("concept").agg(F.min("site").alias("site"), F.count("*").alias("n")).where("n = 1").drop("n")
 
 
@@ -217,14 +217,14 @@ def category_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(main, "vendor").groupBy("site").agg(off.alias("mismatches"), rnd(off.cast("double") / F.count("*"), 4).alias("mismatch_rate"), (off.cast("double") / F.count("*")).alias("r")).where("r > 0.15").drop("r")
 
 
-@query(f"""WITH {CATALOG_SQL}, t AS (SELECT DISTINCT site, name, w.t AS term FROM (SELECT DISTINCT site, name FROM catalog) c, unnest(string_split(c.name, ' ')) AS w(t)), n AS (SELECT site, count(DISTINCT name) AS n FROM catalog GROUP BY site)
-SELECT t.site, term, count(*) AS df FROM t JOIN n ON n.site = t.site WHERE n.n >= 4 GROUP BY t.site, term, n.n HAVING count(*) >= greatest(3, floor(0.34 * n.n))""")
+@query(f"""WITH {CATALOG_SQL}, p AS (SELECT site, product, category, lower(category) || ' ' || name AS name FROM catalog), t AS (SELECT site, category, unnest(list_distinct(string_split(name, ' '))) AS term FROM p), n AS (SELECT site, category, count(*) AS n FROM p GROUP BY site, category HAVING count(*) >= 4)
+SELECT t.site, t.category, term, count(*) AS df FROM t JOIN n ON n.site = t.site AND n.category = t.category GROUP BY t.site, t.category, term, n.n HAVING count(*) >= greatest(3, floor(0.34 * n.n))""")
 def brand_tokens_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words in at least a third of a site's names (and three of them), which tell nothing apart."""
-    names = catalog(spark, sf_dir).select("site", "name").distinct()
-    n = names.groupBy("site").agg(F.count("*").alias("n")).where("n >= 4")
-    df = names.select("site", F.explode(F.array_distinct(F.split("name", " "))).alias("term")).groupBy("site", "term").agg(F.count("*").alias("df"))
-    return df.join(n, "site").where("df >= greatest(3, floor(0.34 * n))").select("site", "term", "df")
+    """Words in at least a third of the names of a site's collection (and three of them), which tell nothing apart; collections of four names or more."""
+    names = catalog(spark, sf_dir).select("site", "category", F.concat_ws(" ", F.lower("category"), "name").alias("name"))
+    n = names.groupBy("site", "category").agg(F.count("*").alias("n")).where("n >= 4")
+    df = names.select("site", "category", F.explode(F.array_distinct(F.split("name", " "))).alias("term")).groupBy("site", "category", "term").agg(F.count("*").alias("df"))
+    return df.join(n, ["site", "category"]).where("df >= greatest(3, floor(0.34 * n))").select("site", "category", "term", "df")
 
 
 @query(f"""WITH {CATALOG_SQL}, w AS (SELECT site, string_split(name, ' ') AS ws FROM catalog), t AS (SELECT site, unnest(ws) AS term FROM w UNION ALL SELECT site, ws[1] || ' ' || ws[2] FROM w WHERE len(ws) > 1)

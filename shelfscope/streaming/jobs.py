@@ -7,8 +7,6 @@ spark.checkpoint.dir names, so any executor can take over.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,10 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.files import shared_folder
+
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return shared_folder(spark, "stream")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,9 +66,9 @@ def snapshot_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
         before = state.get[0] if state.exists else None
         k = rows["k"].astype("Int32")
         delta = k - k.shift(1)
-        if before is not None and len(k):
+        if before is not None and not pd.isna(k.iloc[0]):
             delta.iloc[0] = k.iloc[0] - before
-        state.update((int(k.iloc[-1]),))
+        state.update((None if pd.isna(k.iloc[-1]) else int(k.iloc[-1]),))
         yield pd.DataFrame({"user_id": rows["user_id"], "event_id": rows["event_id"], "k": k, "delta": delta.astype("Int32")})
 
     events = _events(spark, sf_dir).select("user_id", "event_id", "ts", F.get_json_object("props", "$.k").cast("int").alias("k"))
