@@ -12,7 +12,8 @@ Stages, all on Spark:
    lies below the share ``RARE`` at which the IDF stops growing.
 2. *Signatures*, one pass over the texts, no shuffle of texts.
 3. *Exact copies* collapse by two independent 64-bit hashes before anything is compared.
-4. *Pivots.*  In each bucket every document is verified against the bucket's smallest.
+4. *Pivots.*  In each bucket every document is verified against the bucket's smallest, in blocks of
+   bounded size; the smallest one's text goes once to each block.
 5. *Rest.*  Buckets whose other members are still in several components are compared in full, in
    blocks: a member outside the bucket's main component meets every member of the others.  Pairs
    that are connected already are skipped, as they cannot change a class.
@@ -164,12 +165,12 @@ def signatures(docs: DataFrame, idf: np.ndarray, id_col: str, text_col: str, wid
                 values = np.zeros((part.num_rows, bands), np.int64)
                 values[who] = keys.view(np.int64)
                 offsets = pa.array(np.arange(0, (part.num_rows + 1) * bands, bands, dtype=np.int32))
-                arrays = [part["doc_id"].combine_chunks(), part["h1"].combine_chunks(), part["h2"].combine_chunks(), pa.ListArray.from_arrays(offsets, pa.array(values.ravel())), pa.array(worded)]
-                yield pa.RecordBatch.from_arrays([x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in arrays], ["doc_id", "h1", "h2", "keys", "worded"])
+                arrays = [part["doc_id"].combine_chunks(), part["h1"].combine_chunks(), part["h2"].combine_chunks(), part["bytes"].combine_chunks(), pa.ListArray.from_arrays(offsets, pa.array(values.ravel())), pa.array(worded)]
+                yield pa.RecordBatch.from_arrays([x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in arrays], ["doc_id", "h1", "h2", "bytes", "keys", "worded"])
 
     text = F.col(text_col)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *text_hashes(text))
-    return source.mapInArrow(sign, "doc_id long, h1 long, h2 long, keys array<long>, worded boolean")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *text_hashes(text), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"))
+    return source.mapInArrow(sign, "doc_id long, h1 long, h2 long, bytes long, keys array<long>, worded boolean")
 
 
 def similarities(left: pa.ChunkedArray, right: pa.ChunkedArray, idf: np.ndarray, width: int) -> np.ndarray:
@@ -188,6 +189,19 @@ def similarities(left: pa.ChunkedArray, right: pa.ChunkedArray, idf: np.ndarray,
     return best
 
 
+def near_pivot(pivot: pa.ChunkedArray, texts: pa.ChunkedArray, idf: np.ndarray, width: int, threshold: float) -> np.ndarray:
+    """Which texts are as similar to the one pivot as similarities() asks."""
+    _, hp, tp = shingle_counts(pivot, width)
+    row, h, times = shingle_counts(texts, width)
+    place = np.minimum(np.searchsorted(hp, h), max(len(hp) - 1, 0))
+    hit = hp[place] == h if len(hp) else np.zeros(len(h), bool)
+    near = np.zeros(len(texts), bool)
+    for wp, w in ((shingle_weights(idf, hp, tp).astype(float), shingle_weights(idf, h, times).astype(float)), (tp.astype(float), times.astype(float))):
+        shared = np.bincount(row[hit], np.minimum(w[hit], wp[place[hit]]), len(texts))
+        near |= (shared > 0) & (shared >= threshold * (np.bincount(row, w, len(texts)) + wp.sum() - shared))
+    return near
+
+
 def _compare(group: pa.Table, idf: np.ndarray, width: int, threshold: float) -> list[tuple[int, int]]:
     """Links of 'minor' members of a bucket with each other and with its 'major' ones, between different components."""
     group = group.sort_by([("minor", "ascending"), ("doc", "ascending")])
@@ -224,7 +238,7 @@ def _compare(group: pa.Table, idf: np.ndarray, width: int, threshold: float) ->
     return found
 
 
-def _classified(docs: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, width: int = 5, bands: int = 10, rows: int = 3, block: int = 512) -> DataFrame:
+def _classified(docs: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, width: int = 5, bands: int = 10, rows: int = 3, block: int = 512, block_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, h1, h2 (hashes of its text), class_id, kept."""
     spark = docs.sparkSession
     n, sketch = document_frequencies(docs, text_col, width)
@@ -233,13 +247,13 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, threshold: float =
     signed = materialise(signatures(docs, idf, id_col, text_col, width, bands, rows), "signatures")
 
     # One row per distinct text; its number is stable, as the table is written.
-    texts = signed.where("worded and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
+    texts = signed.where("worded and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("bytes").alias("bytes"))
     texts = materialise(texts.withColumn("doc", F.monotonically_increasing_id()), "texts")
-    buckets = texts.select("doc", F.posexplode("keys").alias("band", "key"))
+    buckets = texts.select("doc", "bytes", F.posexplode("keys").alias("band", "key"))
     sets = buckets.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("doc").alias("pivot"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("members")).where("size > 1")
     # Bands often gather the very same documents; one bucket of each set is enough.
     sets = sets.groupBy("size", "pivot", "members").agg(F.min(F.struct("band", "key")).alias("bucket")).select("size", "pivot", "bucket.band", "bucket.key")
-    members = materialise(buckets.join(sets, ["band", "key"]).where("doc <> pivot").select("band", "key", "size", "pivot", "doc"), "buckets")
+    members = materialise(buckets.join(sets, ["band", "key"]).where("doc <> pivot").select("band", "key", "size", "pivot", "doc", "bytes"), "buckets")
 
     wanted = members.select("doc").unionAll(members.select(F.col("pivot").alias("doc"))).distinct()
     wanted = wanted.join(texts.select("doc", "first_doc", "h1", "h2"), "doc")
@@ -247,23 +261,33 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, threshold: float =
     bodies = docs.select(F.col(id_col).cast("long").alias("first_doc"), F.col(text_col).alias("text"), *text_hashes(F.col(text_col))).join(wanted.hint("merge"), ["first_doc", "h1", "h2"])
     bodies = materialise(bodies.dropDuplicates(["first_doc", "h1", "h2"]).select("doc", "text"), "bodies")
 
+    # So many blocks of a number of texts of so many bytes in all hold ``block`` texts and ``block_bytes`` or less, give or take.
+    parts_of = lambda number, size: F.greatest(F.ceil(number / block), F.ceil(size / block_bytes), F.lit(1)).cast("int")
+
     @tidy
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "right", 2 << 20):
-                near = similarities(part["left"], part["right"], shared.value, width) >= threshold
-                yield pa.Table.from_arrays([part["a"], part["b"]], ["a", "b"]).filter(pa.array(near)).combine_chunks().to_batches()[0] if near.any() else pa.RecordBatch.from_pydict({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-
-    pairs = members.select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
-    pairs = pairs.join(bodies.select(F.col("doc").alias("a"), F.col("text").alias("left")), "a").join(bodies.select(F.col("doc").alias("b"), F.col("text").alias("right")), "b")
-    links = materialise(pairs.mapInArrow(verify, "a long, b long"), "links")
+        for (_, pivot), group in sorted_groups(batches, ["cell", "pivot"]):
+            head, rest = group.slice(0, 1), group.slice(1)
+            for part in slices(rest, "text") if rest.num_rows else ():
+                near = near_pivot(head["text"], part["text"], shared.value, width, threshold)
+                found = part["doc"].filter(pa.array(near)).to_pylist()
+                if found:
+                    yield pa.RecordBatch.from_pydict({"a": pa.array([pivot] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
+
+    # A pivot's text goes once to each block of its members, and stands first there.
+    pairs = members.select("pivot", "doc", "bytes").distinct()
+    spread = pairs.groupBy("pivot").agg(parts_of(F.count("*"), F.sum("bytes")).alias("blocks"))
+    heads = spread.select("pivot", F.col("pivot").alias("doc"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"))
+    rest = pairs.join(spread.hint("merge"), "pivot").select("pivot", "doc", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("kind"))
+    rows_ = heads.unionByName(rest).withColumn("cell", F.xxhash64("pivot", "block")).join(bodies.hint("merge"), "doc").select("cell", "pivot", "kind", "doc", "text")
+    links = materialise(rows_.repartition("cell").sortWithinPartitions("cell", "pivot", "kind").mapInArrow(verify, "a long, b long"), "links")
     components = connected_components(links)
 
     # Buckets of three or more whose members other than the pivot are not all connected.
-    rest = members.where("size > 2").join(components.withColumnRenamed("id", "doc"), "doc", "left").select("band", "key", "doc", F.coalesce("component", "doc").alias("comp"))
-    parts = rest.groupBy("band", "key", "comp").agg(F.count("*").alias("n"))
-    main = parts.groupBy("band", "key").agg(F.count("*").alias("kinds"), F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("all")).where("kinds > 1")
-    main = main.select("band", "key", F.col("most.comp").alias("main"), F.ceil(F.col("most.n") / block).cast("int").alias("majors"), F.ceil((F.col("all") - F.col("most.n")) / block).cast("int").alias("minors"))
+    rest = members.where("size > 2").join(components.withColumnRenamed("id", "doc"), "doc", "left").select("band", "key", "doc", "bytes", F.coalesce("component", "doc").alias("comp"))
+    parts = rest.groupBy("band", "key", "comp").agg(F.count("*").alias("n"), F.sum("bytes").alias("size"))
+    main = parts.groupBy("band", "key").agg(F.count("*").alias("kinds"), F.max(F.struct("n", "comp", "size")).alias("most"), F.sum("n").alias("all"), F.sum("size").alias("whole")).where("kinds > 1")
+    main = main.select("band", "key", F.col("most.comp").alias("main"), parts_of(F.col("most.n"), F.col("most.size")).alias("majors"), parts_of(F.col("all") - F.col("most.n"), F.col("whole") - F.col("most.size")).alias("minors"))
     rest = rest.join(main, ["band", "key"]).withColumn("minor", F.col("comp") != F.col("main"))
     mine = F.pmod(F.xxhash64("doc"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors"))).cast("int")
     # A minor block meets every major block, and every minor block at or after its own.
@@ -304,7 +328,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     class_id is the smallest doc_id of the class, kept marks that document.  With 10 bands of 3
     samples a pair of weighted similarity 0.8 shares a band with probability 0.999, one of 0.65
-    with 0.96 and one of 0.3 with 0.24.  Options: threshold, width, bands, rows, block.
+    with 0.96 and one of 0.3 with 0.24.  Options: threshold, width, bands,
+    rows, and block and block_bytes, how many texts and bytes are compared in one piece.
     """
     return _classified(docs, id_col, text_col, **options).select("doc_id", "class_id", "kept")
 
