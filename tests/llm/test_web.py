@@ -185,3 +185,26 @@ def test_preferences(spark):
     twice = spark.createDataFrame([(1, 0, "user", "a"), (1, 0, "user", "a"), (2, 0, "user", "a"), (2, 0, "user", "x" * 200_000)], "conv_id long, turn long, role string, text string")
     r = format_preferences(pairs.where("pair_id = 1"), twice).first()
     assert (r["shared_turns"], len(r["rejected"])) == (1, 200_000 + len("<|user|>\n<|end|>\n"))
+
+
+def test_queries_with_sql_give_its_rows(spark):
+    import os
+
+    import duckdb
+
+    from shelfscope.llm.queries import ORACLE, QUERIES
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        return
+    db = duckdb.connect()
+    for name in ("pages", "conversations"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{data}/{name}.parquet'")
+    for name, sql in ORACLE.items():
+        ours, theirs = QUERIES[name](spark, data).toPandas(), db.execute(sql).df()
+        columns = sorted(ours.columns)
+        assert columns == sorted(theirs.columns)
+        plain = lambda frame: sorted(map(str, frame[columns].astype(object).where(frame[columns].notna(), None).values.tolist()))  # noqa: E731, B023
+        assert plain(ours) == plain(theirs)
+        if name.startswith("op5"):
+            assert ours["shared_turns"].max() > 1 and (ours["prompt"] != "").any()
