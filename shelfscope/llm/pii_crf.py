@@ -10,8 +10,8 @@ A sequence is a line; the lines of a text are all of it, so every word of every
 Shapes and features are numbers that come from the text's code points by array operations.
 
 Edge cases: a null or empty text has no spans; offsets count code points; spans that the CRF adds
-never overlap one of the patterns, nor cross a line's end; long lines are decoded with few others,
-so that memory stays bounded; a number of any length is no error; rows that repeat a doc_id are
+never overlap one of the patterns, nor cross a line's end; lines of any length are decoded without
+padding; a number of any length is no error; rows that repeat a doc_id are
 handled each, a null doc_id stays null; other columns are ignored by find_pii and kept by redact;
 an empty table gives no rows.
 """
@@ -243,39 +243,35 @@ class Crf:
             out += self.weights[np.where(self.names[place] == found[:, k], place, len(self.names))]
         return out
 
-    def decode(self, scores: np.ndarray, cuts: np.ndarray, most: int = 1 << 16) -> np.ndarray:
-        """Labels by Viterbi; sequence k is scores[cuts[k]:cuts[k + 1]].  Those of similar length go together, ``most`` tokens at once."""
+    def decode(self, scores: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """Labels by Viterbi; sequence k is scores[cuts[k]:cuts[k + 1]].
+
+        All sequences advance together, the longest first, so those that go on at a step are the
+        first ones and nothing is padded; memory is that of the scores.
+        """
         out, lengths = np.zeros(len(scores), np.int8), np.diff(cuts)
-        order = np.argsort(lengths, kind="stable")
+        order = np.argsort(-lengths, kind="stable")
         order = order[lengths[order] > 0]
-        at = 0
-        while at < len(order):
-            # Lengths rise, so the last one is that of the padded batch.
-            to = at + 1
-            step = 1
-            while to < len(order) and (to - at + step) * lengths[order[min(to + step, len(order)) - 1]] <= most:
-                to = min(to + step, len(order))
-                step *= 2
-            some, own = order[at:to], lengths[order[at:to]]
-            size = int(own[-1])
-            where = cuts[some][:, None] + np.minimum(np.arange(size), own[:, None] - 1)
-            e = scores[where]
-            back = np.empty((len(some), size, len(LABELS)), np.int8)
-            score = e[:, 0] + self.pairs[-1]
-            last, from_ = score.copy(), self.pairs[:-1].T[None]
-            for t in range(1, size):
-                step_ = score[:, None, :] + from_
-                back[:, t] = step_.argmax(axis=2)
-                score = np.take_along_axis(step_, back[:, t, :, None], 2)[:, :, 0] + e[:, t]
-                live = own > t
-                last[live] = score[live]
-            label = last.argmax(axis=1)
-            for t in range(size - 1, -1, -1):
-                live = np.flatnonzero(own > t)
-                out[cuts[some[live]] + t] = label[live]
-                if t:
-                    label[live] = back[live, t, label[live]]
-            at = to
+        if not len(order):
+            return out
+        start, own = cuts[order], lengths[order]
+        live = np.searchsorted(-own, -np.arange(int(own[0])), "left").tolist()  # how many are longer than t
+        back = np.zeros((len(scores), len(LABELS)), np.int8)
+        score, from_ = scores[start] + self.pairs[-1], self.pairs[:-1].T[None]
+        every, rows = np.arange(len(LABELS))[None], np.arange(len(order))[:, None]
+        for t, n in enumerate(live[1:], 1):
+            at = start[:n] + t
+            step = score[:n, None, :] + from_
+            best = step.argmax(axis=2)
+            back[at] = best
+            score[:n] = step[rows[:n], every, best] + scores[at]
+        label = score.argmax(axis=1)
+        for t in range(len(live) - 1, -1, -1):
+            n = live[t]
+            at = start[:n] + t
+            out[at] = label[:n]
+            if t:
+                label[:n] = back[at, label[:n]]
         return out
 
 
