@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..registry import query
-from ..sources.catalog import CATALOG_SQL, catalog, mean, mean_sql, rate, rate_sql, rnd, table
+from ..sources.catalog import CATALOG_SQL, catalog, mean, medians, mean_sql, rate, rate_sql, rnd, table
 
 
 
@@ -30,7 +30,9 @@ SELECT category, site, count(*) AS products, min(price) AS min_price, max(price)
 FROM catalog GROUP BY category, site""")
 def category_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How each site covers each category."""
-    return catalog(spark, sf_dir).groupBy("category", "site").agg(F.count("*").alias("products"), F.min("price").alias("min_price"), F.max("price").alias("max_price"), mean("price", 2).alias("avg_price"), rnd(F.median("price"), 2).alias("median_price"), F.count_if("on_sale").alias("on_sale"))
+    rows = catalog(spark, sf_dir)
+    g = rows.groupBy("category", "site").agg(F.count("*").alias("products"), F.min("price").alias("min_price"), F.max("price").alias("max_price"), mean("price", 2).alias("avg_price"), F.count_if("on_sale").alias("on_sale"))
+    return g.join(medians(rows, ["category", "site"], "price", "m"), ["category", "site"], "left").withColumn("median_price", rnd(F.col("m"), 2)).drop("m")
 
 
 _CATEGORIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
@@ -99,13 +101,14 @@ def price_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     priced = catalog(spark, sf_dir).where("price > 0")
     stats = priced.groupBy("site").agg(F.min("price").alias("min_price"), F.max("price").alias("max_price"), mean("price", 2).alias("avg_price"), F.count("price").alias("priced"))
     by = Window.partitionBy("site")
-    ends = priced.select("site", "product", F.row_number().over(by.orderBy("price", "product")).alias("low"), F.row_number().over(by.orderBy(F.desc("price"), "product")).alias("high")).where("low <= 10 or high <= 10")
 
-    def joined(rank: str) -> F.Column:
-        items = F.sort_array(F.collect_list(F.when(F.col(rank) <= 10, F.struct(rank, "product"))))
-        return F.array_join(F.transform(items, lambda x: x["product"].cast("string")), ",")
+    def ten(name: str, order: F.Column) -> DataFrame:
+        """The ends of one side only, so that the window's limit is applied before the shuffle."""
+        first = priced.select("site", "product", F.row_number().over(by.orderBy(order, "product")).alias("n")).where("n <= 10")
+        items = F.transform(F.sort_array(F.collect_list(F.struct("n", "product"))), lambda x: x["product"].cast("string"))
+        return first.groupBy("site").agg(F.array_join(items, ",").alias(name))
 
-    ends = ends.groupBy("site").agg(joined("low").alias("lowest"), joined("high").alias("highest"))
+    ends = ten("lowest", F.asc("price")).join(ten("highest", F.desc("price")), "site")
     return stats.join(ends, "site")
 
 
@@ -168,7 +171,9 @@ def site_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {CATALOG_SQL} SELECT vendor, count(price) AS n, min(price) AS low, max(price) AS high, {mean_sql('price', 2)} AS mean, (floor((median(price)) * 100 + 0.5) / 100) AS median FROM catalog GROUP BY vendor""")
 def price_stats_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count, range, mean and exact median of prices by vendor."""
-    return catalog(spark, sf_dir).groupBy("vendor").agg(F.count("price").alias("n"), F.min("price").alias("low"), F.max("price").alias("high"), mean("price", 2).alias("mean"), rnd(F.median("price"), 2).alias("median"))
+    rows = catalog(spark, sf_dir)
+    g = rows.groupBy("vendor").agg(F.count("price").alias("n"), F.min("price").alias("low"), F.max("price").alias("high"), mean("price", 2).alias("mean"))
+    return g.join(medians(rows, ["vendor"], "price", "m"), "vendor", "left").withColumn("median", rnd(F.col("m"), 2)).drop("m")
 
 
 @query(f"""WITH {CATALOG_SQL}, p AS (SELECT site, category, price, row_number() OVER (PARTITION BY site, category ORDER BY price, product) AS i, count(*) OVER (PARTITION BY site, category) AS n, product FROM catalog WHERE price > 0),
@@ -177,12 +182,12 @@ SELECT p.site, p.product, p.category, p.price, CASE WHEN p.price <= q1 THEN 'ent
 def price_band_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price bands by nearest-rank quartiles within a site's category."""
     priced = catalog(spark, sf_dir).where("price > 0").select("site", "product", "category", "price")
-    cuts = priced.groupBy("site", "category").agg(F.sort_array(F.collect_list("price")).alias("p")).where("size(p) >= 4")
-
-    def at(q: float) -> F.Column:
-        return F.element_at("p", F.greatest(F.lit(1), F.bround(F.size("p") * F.lit(q), 0).cast("int")))
-
-    cuts = cuts.select("site", "category", at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
+    # Counts by distinct price and their running sum; no group's prices are gathered.
+    by = priced.groupBy("site", "category", "price").agg(F.count("*").alias("c"))
+    n = by.groupBy("site", "category").agg(F.sum("c").alias("n")).where("n >= 4")
+    upto = by.withColumn("upto", F.sum("c").over(Window.partitionBy("site", "category").orderBy("price"))).join(n, ["site", "category"])
+    at = lambda q: F.min(F.when(F.col("upto") >= F.greatest(F.lit(1.0), F.bround(F.col("n") * F.lit(q), 0)), F.col("price")))
+    cuts = upto.groupBy("site", "category").agg(at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
     band = F.when(F.col("price") <= F.col("q1"), "entry").when(F.col("price") <= F.col("q2"), "mid").when(F.col("price") <= F.col("q3"), "upper").otherwise("premium")
     return priced.join(cuts, ["site", "category"]).select("site", "product", "category", "price", band.alias("band"))
 

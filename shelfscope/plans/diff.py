@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..registry import query
@@ -95,10 +95,10 @@ SELECT site, coalesce(string_agg(name, ',' ORDER BY name) FILTER (c AND n <= 10)
 def diff_nav_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels added and removed, ten at most of each."""
     both = snapshots(spark, sf_dir).where(F.col("year").isin(PREVIOUS, CURRENT))
-    sets = both.groupBy("site").agg(F.collect_set(F.when(F.col("year") == PREVIOUS, F.col("name"))).alias("p"), F.collect_set(F.when(F.col("year") == CURRENT, F.col("name"))).alias("c"))
-    gone = lambda a, b: F.slice(F.array_sort(F.array_except(a, b)), 1, 10)
-    rows = sets.select("site", gone("c", "p").alias("a"), gone("p", "c").alias("r")).where("size(a) > 0 or size(r) > 0")
-    return rows.select("site", F.array_join("a", ",").alias("added"), F.array_join("r", ",").alias("removed"))
+    flags = both.groupBy("site", "name").agg(F.bool_or(F.col("year") == PREVIOUS).alias("p"), F.bool_or(F.col("year") == CURRENT).alias("c")).where("p <> c")
+    first = flags.withColumn("n", F.row_number().over(Window.partitionBy("site", "c").orderBy("name"))).where("n <= 10")
+    told = lambda side: F.array_join(F.array_sort(F.collect_list(F.when(F.col(side), F.col("name")))), ",")
+    return first.groupBy("site").agg(told("c").alias("added"), told("p").alias("removed"))
 
 
 @query(f"""WITH {SNAPSHOT_SQL}, g AS (SELECT site, year, count(*) FILTER (WHERE on_sale) > 10 AS sale, count(*) FILTER (WHERE in_stock) > 10 AS stock, max(price) > 90000 AS luxury FROM snapshots WHERE year IN ({PREVIOUS}, {CURRENT}) GROUP BY ALL),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..registry import query
-from ..sources.catalog import CATALOG_SQL, catalog
+from ..sources.catalog import CATALOG_SQL, catalog, medians
 
 _STATS_SQL = f"""{CATALOG_SQL}, s AS (SELECT site, count(*) AS n, count(DISTINCT category || vendor) AS concepts, median(price) AS med, CAST(count(*) FILTER (WHERE on_sale) AS DOUBLE) / count(*) AS sale, CAST(count(*) FILTER (WHERE in_stock) AS DOUBLE) / nullif(count(in_stock), 0) AS stock FROM catalog GROUP BY site),
 p AS (SELECT c.site, c.n AS n, o.n AS own_n, c.concepts AS concepts, o.concepts AS own_concepts, (o.med - c.med) / c.med * 100 AS gap, c.sale - o.sale AS sale_gap, o.stock - c.stock AS stock_gap FROM s c JOIN (SELECT * FROM s WHERE site = 0) o ON c.site <> 0),
@@ -17,7 +17,9 @@ UNION ALL SELECT site, 'promo_pressure', 4, 55, 'medium' FROM p WHERE sale_gap >
 def insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules over one row per competitor: an array of findings, exploded once."""
     share = lambda part, whole: F.try_divide(part.cast("double"), whole.cast("double"))
-    s = catalog(spark, sf_dir).groupBy("site").agg(F.count("*").alias("n"), F.count_distinct(F.concat("category", "vendor")).alias("concepts"), F.median("price").alias("med"), share(F.count_if("on_sale"), F.count("*")).alias("sale"), share(F.count_if("in_stock"), F.count("in_stock")).alias("stock"))
+    rows = catalog(spark, sf_dir)
+    s = rows.groupBy("site").agg(F.count("*").alias("n"), F.count_distinct(F.concat("category", "vendor")).alias("concepts"), share(F.count_if("on_sale"), F.count("*")).alias("sale"), share(F.count_if("in_stock"), F.count("in_stock")).alias("stock"))
+    s = s.join(medians(rows, ["site"], "price", "med"), "site", "left")
     own = F.broadcast(s.where("site = 0").select(*(F.col(c).alias(f"own_{c}") for c in ("n", "concepts", "med", "sale", "stock"))))  # one row
     p = s.where("site <> 0").join(own)
     gap = (F.col("own_med") - F.col("med")) / F.col("med") * 100

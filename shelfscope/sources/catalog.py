@@ -7,7 +7,7 @@ SQL (CATALOG_SQL, SNAPSHOT_SQL) for the oracle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -76,6 +76,15 @@ SNAPSHOT_SQL = """snapshots AS (
 )"""
 
 
+def medians(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Exact medians by group (keys, name): counts by distinct value and their running sum, so no group is gathered."""
+    by = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    n = by.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    upto = by.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys).orderBy(value))).join(n, keys)
+    at = lambda rank: F.min(F.when(F.col("_upto") >= rank, F.col(value)))
+    return upto.groupBy(*keys).agg(((at(F.floor((F.col("_n") + 1) / 2)) + at(F.floor(F.col("_n") / 2) + 1)) / 2).alias(name))
+
+
 def mean(value: str, digits: int) -> Column:
     """A mean over decimals, so that the order of summing does not matter."""
     total = F.sum(F.col(value).cast("decimal(18,4)")).cast("double")
