@@ -1,3 +1,3 @@
 """Queries over the catalog; importing the package registers them."""
 
-from . import classify, compare, dedup, diff, feeds, insights, markup, matching, monitor, pages, ranking, rules, scalars, texts, upkeep, views  # noqa: F401
+from . import classify, compare, dedup, diff, feeds, insights, markup, matching, monitor, pages, ranking, rules, scalars, texts, topics, upkeep, views  # noqa: F401
