@@ -169,3 +169,50 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@_query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified."""
+    from .merkle import digest, manifest
+
+    return digest(manifest(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def _merkle_sql(levels: int = 6) -> str:
+    """The trees level by level, for sources and numbers of sources of up to 16 ** levels rows."""
+    up = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
+    field = lambda x: f"coalesce(strlen({x}::VARCHAR)::VARCHAR || ':' || {x}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    parts = [
+        # The polynomial of CRC-32, over the ASCII codes of the decimal id.
+        "table256 AS (SELECT list(list_reduce([k] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY k) AS t FROM range(256) AS x(k))",
+        f"leaves AS (SELECT coalesce('s' || source, 'n') AS grp, doc_id, {leaf('text')} AS leaf, {leaf(f'translate(text, {up}, lower({up}))')} AS lowered, "
+        "xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 5 = 0 AS hit FROM documents, table256)",
+        "placed AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM leaves)",
+    ]
+
+    def tree(name: str, first: str) -> None:
+        parts.append(f"{name}0 AS ({first})")
+        for k in range(levels):
+            # A level is built where more than one node is left; else the node stays.
+            parts.append(f"{name}{k}n AS (SELECT *, count(*) OVER (PARTITION BY grp) > 1 AS more FROM {name}{k})")
+            parts.append(f"{name}{k + 1} AS (SELECT grp, place // 16 AS place, CASE WHEN bool_or(more) THEN sha256(string_agg(node, '' ORDER BY place)) ELSE min(node) END AS node FROM {name}{k}n GROUP BY grp, place // 16)")
+
+    tree("a", "SELECT grp, place, leaf AS node FROM placed")
+    tree("b", f"SELECT 0 AS grp, row_number() OVER (ORDER BY grp) - 1 AS place, node FROM a{levels}")
+    parts.append(f"sources AS (SELECT grp, node AS subroot, row_number() OVER (ORDER BY grp) - 1 AS at FROM a{levels})")
+    parts.append("rows0 AS (SELECT p.*, s.subroot, s.at, coalesce(CASE WHEN hit THEN lowered END, leaf) AS fold, '' AS proof FROM placed p JOIN sources s USING (grp))")
+    last = "rows0"
+    for name, own, key in (("a", "r.place", "x.grp = r.grp"), ("b", "r.at", "x.grp = 0")):
+        for k in range(levels):
+            # Both sides of a row in its run, which has fewer than 16 others.
+            side = lambda sign: f"(SELECT coalesce(string_agg(x.node, '' ORDER BY x.place), '') FROM {name}{k}n x WHERE {key} AND x.more AND x.place // 16 = {own} // {16 ** (k + 1)} AND x.place {sign} {own} // {16**k})"  # noqa: B023, E731
+            level = f"{name}{k}"
+            parts.append(f"s{level} AS (SELECT r.*, {side('<')} AS before, {side('>')} AS after, (SELECT bool_or(x.more) FROM {name}{k}n x WHERE {key} AND x.place = {own} // {16**k}) AS more FROM {last} r)")
+            last = f"r{level}"
+            parts.append(f"{last} AS (SELECT * EXCLUDE (fold, proof, before, after, more), CASE WHEN more THEN sha256(before || fold || after) ELSE fold END AS fold, proof || before || after AS proof FROM s{level})")
+    return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, leaf, subroot, b.node AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = b.node AS verified FROM {last}, b{levels} b"
+
+
+ORACLE["op11_merkle_manifest"] = _merkle_sql()
