@@ -216,3 +216,49 @@ def _merkle_sql(levels: int = 6) -> str:
 
 
 ORACLE["op11_merkle_manifest"] = _merkle_sql()
+
+
+@_query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley."""
+    from .audit import interactions
+
+    return interactions(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+ORACLE["op13_filter_audit"] = r"""
+WITH docs AS (
+    SELECT coalesce(source, '') AS part, doc_id, coalesce(text, '') AS body, list_distinct(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS vocabulary,
+           len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+    FROM documents
+),
+fails AS (
+    SELECT part, doc_id, (words < 200)::INT + 2 * (100 * len(vocabulary) < 50 * words)::INT + 4 * (100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 2 * length(body))::INT
+           + 8 * regexp_matches(body, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY body), false)::INT AS mask
+    FROM docs
+),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+counts AS (
+    SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM fails LEFT JOIN marks USING (doc_id) GROUP BY part, mask
+),
+letters(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+    SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+    WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31
+),
+steps AS (
+    SELECT filter_order, step::INT AS step, letter, bit,
+           coalesce((SELECT sum(x.bit) FROM letters x WHERE strpos(filter_order, x.letter) < step), 0)::INT AS before
+    FROM orders, range(1, 6) AS s(step) JOIN letters ON letter = substr(filter_order, step, 1)
+),
+parts AS (
+    SELECT part, filter_order, step, letter, sum(n) FILTER (mask & (before | bit) = 0) AS kept, sum(n) FILTER (mask & bit > 0 AND mask & before = 0) AS removed,
+           sum(n) FILTER (mask & bit > 0 AND mask & before > 0) AS redundant, sum(n) FILTER (mask = bit) AS unique_fails,
+           sum(good) FILTER (mask & bit > 0 AND mask & before = 0) AS good_lost, sum(toxic) FILTER (mask & bit > 0 AND mask & before = 0) AS toxic_lost
+    FROM counts, steps GROUP BY ALL
+)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+       coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       coalesce(sum(removed) OVER (PARTITION BY part, letter), 0)::BIGINT AS shapley
+FROM parts
+"""
