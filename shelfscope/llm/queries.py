@@ -262,3 +262,16 @@ SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(rem
        coalesce(sum(removed) OVER (PARTITION BY part, letter), 0)::BIGINT AS shapley
 FROM parts
 """
+
+
+@_query
+def op12_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    from pyspark.sql import functions as F
+
+    from .quality_cnn import held_out
+    from .toxicity import score_toxicity, train_toxicity
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scored = score_toxicity(docs, train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
