@@ -6,11 +6,12 @@ becomes a lattice: a slot per run of equal characters, whose alternatives are th
 stand for, once or twice, with or without the separator behind it, or the characters themselves.
 Viterbi decoding (exact; a state is the last two slots' alternatives) takes the path of the
 highest probability under channel and character language model, many lattices at a time in numpy.
-The restored words, and the words as they are written, are the features of a logistic regression.
+The restored words, those as they are written, and how many of them begin alike are the features
+of a logistic regression.
 
 The language model is a trigram model over 30 classes of characters, counted in all documents.
 The regression learns from a bounded sample of labelled rows (about ``per_class`` of each label,
-drawn by hash) and keeps the ``width`` words that tell the labels apart best.  Rows whose crc32(id)
+drawn by hash) and keeps the ``width`` features that tell the labels apart best.  Rows whose crc32(id)
 mod 5 is 0 are held out.  A score sees the text and nothing else.
 
 Pieces are words, and chains of words each of whose gaps touches a word of one character, so
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -249,6 +251,17 @@ class Lattices:
         return flat[flat > 0].tobytes().decode("ascii").split("\n")[:n]
 
 
+#: Lengths of beginnings of words, and numbers of different words with the same beginning that count as features.
+STEMS, MANY = (4, 5, 6, 7), (1, 2, 3, 5, 8)
+
+
+def features(words: Iterable[str]) -> set[str]:
+    """The words, and ``stem-n`` where n or more of them begin with the stem."""
+    found = set(words)
+    stems = Counter(w[:k] for w in found for k in STEMS if len(w) > k)
+    return found | {f"{stem}-{n}" for stem, times in stems.items() for n in MANY if n <= times}
+
+
 def _cut(piece: str) -> list[str]:
     return [piece] if len(piece) <= LONGEST else [piece[k : k + LONGEST] for k in range(0, len(piece) - LONGEST // 2, LONGEST // 2)]
 
@@ -269,14 +282,18 @@ def chains(words: list[str]) -> Iterator[tuple[int, int]]:
 class Reader:
     """The words of texts as written and as restored, with runs of a letter taken as one; keeps the pieces seen lately.
 
-    ``only`` names the words wanted; without it all are.
+    ``only`` names the features wanted; without it all words are.
     """
 
     def __init__(self, model: np.ndarray, only: Iterable[str] | None = None, keep: int = 300_000) -> None:
         self.lattices, self.keep, self.only = Lattices(model), keep, None if only is None else frozenset(only)
+        self.stems = frozenset(f"{f.partition('-')[0]}-1" for f in self.only or () if "-" in f)
         self.seen: set[str] = set()
         self.keys: dict[str, tuple[str, ...]] = {}  # of the pieces seen that have any
 
+    def _wanted(self, word: str) -> bool:
+        return self.only is None or word in self.only or any(f"{word[:k]}-1" in self.stems for k in STEMS if len(word) > k)
+
     @staticmethod
     def _folded(pieces: list[str]) -> list[str]:
         """Letters in lower case without accents, runs of one as one, a space for all else; pieces hold no line ends."""
@@ -313,7 +330,7 @@ class Reader:
         found: dict[str, list[str]] = {}
         for of, lines in ((parts, self._folded([x for _, x in parts])), (unsure, self._folded(restored))):
             for (p, _), line in zip(of, lines, strict=True):
-                words = line.split() if self.only is None else [w for w in line.split() if w in self.only]
+                words = [w for w in line.split() if self._wanted(w)]
                 if words:
                     found.setdefault(p, []).extend(words)
         self.seen |= new
@@ -322,17 +339,17 @@ class Reader:
 
 
 class ToxicWords:
-    """Logistic regression on the presence of words in restored texts."""
+    """Logistic regression on features of restored texts."""
 
     def __init__(self, language: np.ndarray, weights: dict[str, float], bias: float) -> None:
         self.language, self.weights, self.bias = language, weights, bias
 
     def scores(self, reader: Reader, texts: list[str | None]) -> np.ndarray:
-        z = np.array([self.bias + sum(self.weights[k] for k in sorted(keys)) for keys in reader.read(texts)], float)
+        z = np.array([self.bias + sum(self.weights[k] for k in sorted(features(keys) & self.weights.keys())) for keys in reader.read(texts)], float)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(rows: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
+def fit(rows: np.ndarray, y: np.ndarray, penalty: float = 0.3) -> np.ndarray:
     """Weights (the last one is the bias) by Newton's method, both labels weighing the same."""
     x = np.hstack([rows.astype(float), np.ones((len(rows), 1))])
     own = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
@@ -366,7 +383,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         reader = Reader(shared.value)
         for batch in batches:
             for part in slices(batch, "text"):
-                keys = [sorted(k) for k in reader.read(part["text"].to_pylist())]
+                keys = [sorted(features(k)) for k in reader.read(part["text"].to_pylist())]
                 yield pa.RecordBatch.from_arrays([part["id"].combine_chunks().cast(pa.int64()), part["y"].combine_chunks().cast(pa.int32()), pa.array(keys, pa.list_(pa.string()))], ["id", "y", "keys"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -375,7 +392,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     total = dict(sample.groupBy("y").agg(F.count("*").alias("n")).collect())
     if len(total) < 2:
         return None
-    # The words by the likelihood ratio of their shares among toxic and other rows.
+    # Features by the likelihood ratio of their shares among toxic and other rows.
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     mean = (a + b) / float(total[0] + total[1])
     gain = F.when(a > 0, a * F.log(a / (mean * total[1]))).otherwise(0) + F.when(b > 0, b * F.log(b / (mean * total[0]))).otherwise(0)
@@ -396,7 +413,7 @@ def score_toxicity(docs: DataFrame, model: ToxicWords | None, id_col: str = "doc
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if model is None:
         return source.select("doc_id", F.lit(0.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred words and CLASSES ** 3 numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred features and CLASSES ** 3 numbers
 
     @tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
