@@ -14,8 +14,8 @@ The regression learns from a bounded sample of labelled rows (about ``per_class`
 drawn by hash) and keeps the ``width`` features that tell the labels apart best.  Rows whose crc32(id)
 mod 5 is 0 are held out.  A score sees the text and nothing else.
 
-Pieces are words, and chains of words each of whose gaps touches a word of one character, so
-"s t u p i d" and "s tupid" are restored and "stu pid" is not.  Pieces of more than ``LONGEST``
+Pieces are words, and chains of words each of whose gaps touches a word of one character (also
+without the longer words at their ends), so "s t u p i d" and "s tupid" are restored and "stu pid" is not.  Pieces of more than ``LONGEST``
 characters are cut in pieces of that length that overlap by half; nothing is left out.
 
 Edge cases: a null or empty text has no words and gets the score of none; null labels and labels
@@ -186,7 +186,7 @@ class Lattices:
         wide = ends - at
         alone = heads & (wide == 1) & np.append(True, ~heads[:-1]) & np.append(~heads[1:], True)
         broken = np.append(gap[at][1:], False) & heads
-        broken = broken.astype(np.int64) + (broken & alone & np.append(alone[2:], [False, False]))
+        broken = broken.astype(np.int64) + (broken & alone & np.append(alone[2:], [False, False])[: len(at)])
         row = kind[at] * 9 + (np.minimum(wide, 3) - 1) * 3 + broken
         owner = np.cumsum(line[at]) - line[at]
         return row[heads], np.bincount(owner[heads], minlength=len(pieces))[: len(pieces)]
@@ -248,7 +248,7 @@ class Lattices:
         symbols = self.symbols[rows[:, :-1], taken[:, :-1]].reshape(n, -1)
         letters = np.where(symbols < 0, 0, np.where((symbols >= 1) & (symbols <= 26), symbols + 96, 32)).astype(np.uint8)
         flat = np.hstack([letters, np.full((n, 1), 10, np.uint8)]).ravel()
-        return flat[flat > 0].tobytes().decode("ascii").split("\n")[:n]
+        return [x.strip() for x in flat[flat > 0].tobytes().decode("ascii").split("\n")[:n]]
 
 
 #: Lengths of beginnings of words, and numbers of different words with the same beginning that count as features.
@@ -312,9 +312,9 @@ class Reader:
             own = [w for w in words[a:b] if len(w) <= LONGEST // 2]
             found.add(" ".join(own))
             single = [k for k, w in enumerate(own) if len(w) == 1]
-            if len(single) > 3:  # a word of one letter may stand before or after a spaced one
-                found.add(" ".join(own[single[0] + 1 :]))
-                found.add(" ".join(own[: single[-1]]))
+            if len(single) > 3:  # a spaced word alone, and without a word of one letter before or after it
+                spaced = own[single[0] : single[-1] + 1]
+                found.update((" ".join(spaced), " ".join(spaced[1:]), " ".join(spaced[:-1])))
         return found
 
     def read(self, texts: Iterable[str | None]) -> list[set[str]]:
