@@ -102,7 +102,7 @@ def test_constants_survive_an_odd_page():
     wrapper = None
     for html in pages + pages[:5]:
         wrapper = generalised(wrapper, wrapper_of(parse(html), page_hash(html)))
-    assert region_of(wrapper)[1] == ["Welcome"]
+    assert region_of(wrapper)[1] == [[["root", "body", "div.top"], "Welcome"]]
 
 
 def test_names_of_containers_do_not_drop_the_page():
@@ -161,6 +161,64 @@ def test_deep_and_long_pages(spark):
     assert all(len(got[k].split()) == 2000 for k in (2, 3, 4))
 
 
+def host(spark, pages):
+    rows = [(k, "http://h/x", html) for k, html in enumerate(pages)]
+    return [r["text"] for r in sorted(extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect())]
+
+
+def test_names_that_hold_main_are_no_article(spark):
+    page = "<div class='{1}'><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></div><div class=text><h1>Title {0}</h1><p>Words of {0}</div>"
+    for name in ("main-menu", "main-nav", "top-menu", "menu main", "mainMenu"):
+        assert host(spark, [page.format(k, name) for k in range(5)]) == [f"Title {k}\n\nWords of {k}" for k in range(5)]
+    assert alone("<div class='main-nav'><ul><li><a>Home</a></ul></div><div><p>The article.</p></div>") == "The article."
+
+
+def test_shared_lines_and_references_of_articles_stay(spark):
+    refs = "<ul>" + "".join(f"<li><a href=/{k}>Reference {k}</a></li>" for k in range(3)) + "</ul>"
+    page = f"<body><div class=q>Hello</div><article><h1>T{{0}}</h1><p>Text {{0}}</p><p>The same line</p>{refs}</article></body>"
+    tail = "The same line\n\nReference 0\n\nReference 1\n\nReference 2"
+    assert host(spark, [page.format(k) for k in range(4)]) == [f"T{k}\n\nText {k}\n\n{tail}" for k in range(4)]
+
+
+def test_constants_go_by_place(spark):
+    page = "<body><div class=a1><p>Home</p></div><div class=a2><p>Home</p><p>{0} long text of this page</p><p>{1}</p></div></body>"
+    pages = [page.format(f"w{k}", f"end {k}") for k in range(4)] + [page.format("w4", "Home")]
+    got = host(spark, pages)
+    assert got[4].endswith("Home") and got[4].count("Home") == 1 or got[4].count("Home") == 2
+    assert all("long text" in t for t in got)
+
+
+def test_text_after_deep_elements_stays(spark):
+    deep = "".join(f"<div class=c{k}>t{k} " for k in range(900))
+    assert host(spark, [deep + "last" + "</div>" * 900 + "z"])[0].split() == [f"t{k}" for k in range(900)] + ["last", "z"]
+
+
+#: Templates with the names that sites use: menu, article, other parts.
+TEMPLATES = [
+    "<body><nav class='main-menu'><ul>{menu}</ul></nav><div class='entry-content'>{text}</div><div class='post-footer'>Filed under {k}</div></body>",
+    "<body><div id='main-nav'><ul>{menu}</ul></div><div id='content'>{text}</div><div class='sidebar-main'><p>Offer {k}</p></div><footer>All rights {k}</footer></body>",
+    "<body><header><div class='site-title'>Site</div></header><main><div class='breadcrumbs'>a / b{k}</div>{text}<div class='related-posts'><a>Other {k}</a></div></main></body>",
+    "<body><div class='top'><ul>{menu}</ul></div><article class='post'>{text}<div class='share-buttons'>Share</div></article><section class='comments'><p>Reader {k}</p></section></body>",
+    "<body><div class='wrap'><div class='story'>{text}</div><div class='newsletter-signup'>Join {k}</div></div></body>",
+    "<body><div class='page'><div class='cookie-notice'>We use cookies {k}</div><div role='main'>{text}</div><div class='ad-box'>Buy {k}</div></div></body>",
+]
+
+
+def test_common_templates(spark):
+    menu = "".join(f"<li><a href=/{k}>Section {k}</a></li>" for k in range(6))
+    rows, want = [], {}
+    for t, template in enumerate(TEMPLATES):
+        for k in range(6):
+            paragraphs = [f"Title {t} {k}"] + [f"para{t}{k}{j} " * 12 for j in range(1 + k)]
+            text = f"<h1>{paragraphs[0]}</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs[1:])
+            rows.append((10 * t + k, f"http://site{t}/{k}", template.format(menu=menu, text=text, k=f"n{k}")))
+            want[10 * t + k] = "\n\n".join(p.strip() for p in paragraphs)
+    got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    right = sum(len(set(got[i].split()) & set(want[i].split())) for i in want)
+    assert right == sum(len(set(w.split())) for w in want.values())  # recall of words 1
+    assert right / sum(len(set(got[i].split())) for i in want) >= 0.99
+
+
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "http://h/1", "<p>x", "a", "b", "c")], "page_id long, url string, html string, host string, path string, parts string")
     assert [r["text"] for r in extract_main_text(df).collect()] == ["x"]
@@ -198,7 +256,7 @@ def test_queries_with_sql_give_its_rows(spark):
     if not os.path.isdir(data):
         return
     db = duckdb.connect()
-    for name in ("pages", "conversations"):
+    for name in ("pages", "conversations", "documents", "labels"):
         db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{data}/{name}.parquet'")
     for name, sql in ORACLE.items():
         ours, theirs = QUERIES[name](spark, data).toPandas(), db.execute(sql).df()
