@@ -119,13 +119,14 @@ def op5_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .preference import format_preferences, number_turns
 
     turns = number_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    side = lambda name: F.struct("conv", F.lit(name).alias("side"))  # noqa: E731  (keys without arithmetic: any long is an id)
     last = turns.groupBy("conv").agg(F.max(F.when(F.col("role") == "assistant", F.struct("n", "text"))).alias("end")).where("end is not null").select("conv", F.col("end.n").alias("at"), F.col("end.text").alias("answer"))
     heads = turns.join(last.select("conv", "at"), "conv").where("n <= at")
-    chosen = heads.select((F.col("conv") * 2).alias("conv_id"), F.col("n").alias("turn"), "role", "text")
-    kept = heads.where("n < at").select((F.col("conv") * 2 + 1).alias("conv_id"), F.col("n").alias("turn"), "role", "text")
-    other = last.select((F.col("conv") - 1).alias("conv"), "answer")
-    swapped = last.select("conv", "at").join(other, "conv").select((F.col("conv") * 2 + 1).alias("conv_id"), F.col("at").alias("turn"), F.lit("assistant").alias("role"), F.col("answer").alias("text"))
-    pairs = last.select(F.col("conv").alias("pair_id"), (F.col("conv") * 2).alias("chosen"), (F.col("conv") * 2 + 1).alias("rejected"))
+    chosen = heads.select(side("chosen").alias("conv_id"), F.col("n").alias("turn"), "role", "text")
+    kept = heads.where("n < at").select(side("rejected").alias("conv_id"), F.col("n").alias("turn"), "role", "text")
+    other = last.where(F.col("conv") > -(2**63)).select((F.col("conv") - 1).alias("conv"), "answer")
+    swapped = last.select("conv", "at").join(other, "conv").select(side("rejected").alias("conv_id"), F.col("at").alias("turn"), F.lit("assistant").alias("role"), F.col("answer").alias("text"))
+    pairs = last.select(F.col("conv").alias("pair_id"), side("chosen").alias("chosen"), side("rejected").alias("rejected"))
     return format_preferences(pairs, chosen.unionByName(kept).unionByName(swapped))
 
 
@@ -143,7 +144,7 @@ heads AS (
 sides AS (
     SELECT e.conv, e.place, coalesce(h.prompt, '') AS prompt, '<|assistant|>' || chr(10) || e.answer || '<|end|>' || chr(10) AS chosen,
            CASE WHEN o.conv IS NOT NULL THEN '<|assistant|>' || chr(10) || o.answer || '<|end|>' || chr(10) ELSE '' END AS rejected
-    FROM ends e JOIN heads h USING (conv) LEFT JOIN ends o ON o.conv = e.conv + 1
+    FROM ends e JOIN heads h USING (conv) LEFT JOIN ends o ON o.conv > -9223372036854775808 AND o.conv - 1 = e.conv
 )
 SELECT conv AS pair_id, (place + (chosen = rejected)::INT)::BIGINT AS shared_turns,
        CASE WHEN chosen = rejected THEN prompt || chosen ELSE prompt END AS prompt,

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from shelfscope.llm.html_wrapper import extract_main_text, generalised, main_text, page_hash, parse, region_of, wrapper_of
 from shelfscope.llm.preference import format_preferences
 from shelfscope.llm.urlfilter import filter_urls
@@ -245,6 +247,18 @@ def test_preferences(spark):
     assert (r["shared_turns"], len(r["rejected"])) == (1, 200_000 + len("<|user|>\n<|end|>\n"))
 
 
+def test_preference_pairs_of_extreme_ids(spark, tmp_path):
+    from shelfscope.llm.queries import QUERIES
+
+    turns = [(c, k, role, f"{role} {c}") for c in (2**63 - 1, 2**62 + 1, -(2**63), -(2**63) + 1, 7, 8) for k, role in enumerate(("user", "assistant"))]
+    turns += turns[:2] + [(None, 0, "assistant", "x"), (9, 0, "user", "x" * 100_000)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("side", F.lit("clash")).withColumn("pair_id", F.lit(1)).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["pair_id"]: r for r in QUERIES["op5_preference_pairs"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == sorted({c for c, *_ in turns if c not in (None, 9)})
+    assert "assistant 8" in got[7]["rejected"] and f"assistant {-(2**63) + 1}" in got[-(2**63)]["rejected"]
+    assert got[2**63 - 1]["rejected"] == got[8]["rejected"] == ""
+
+
 def test_queries_with_sql_give_its_rows(spark):
     import os
 
