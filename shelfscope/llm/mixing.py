@@ -2,11 +2,15 @@
 
 The words of each source, document after document, form a stream that is cut into blocks of a
 fixed number of words.  The mix is a set of output shards; each draws how many blocks it takes of
-each source from a multinomial over what the sources still owe.  A source's slots are numbered
-over the shards, and slot number s is the block at place s mod n of a pseudorandom permutation of
-its n blocks, a new one for every epoch s div n.  So a source is used up evenly: no block is taken
-twice before all are taken once, and none more than ``max_repeats`` times.  Drawn slots and the
-blocks of documents are joined by block number.
+each source from a multinomial with the sources' shares, so a source's target is met in
+expectation: its blocks are so small that it has ``GRAIN`` of them or more (or of one word), which
+makes the standard deviation of what it gives GRAIN ** -0.5, and of ``TRIES`` draws the one is
+taken whose sources come nearest to their targets.  A source's slots are numbered over the shards,
+and slot number s is the block at place s mod n of a pseudorandom permutation of its n blocks, a
+new one for every epoch s div n.  So a source is used up evenly: no block is taken twice before all
+are taken once, and none more than ``max_repeats`` times (a draw beyond that is cut).  Drawn slots
+and the blocks of documents are joined by block number.  mix_documents() puts every repeat of a
+document into the shard of its first block, and writes shard by shard.
 
 What the driver holds is one row per source and one small row per shard and source; shards have
 up to 2**18 blocks, so there are few.  The place of a document in its source's stream is a running
@@ -27,10 +31,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .scratch import materialise
 from .textops import mix64, slices, tidy, utf8_buffer, word_spans
 
+#: Blocks of a source's target at least, and draws of which the nearest one counts.
+GRAIN, TRIES = 8192, 32
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -70,21 +77,25 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def draw_shards(slots: list[int], seed: int = 1, most: int = 1 << 18, least_shards: int = 16) -> list[tuple[int, int, int, int]]:
-    """(shard, source number, first slot, slots): multinomial counts over what each source still owes."""
-    rng, total = np.random.default_rng(seed), sum(slots)
-    size = max(1, min(most, -(-total // least_shards)))
-    left, first, out = np.array(slots, np.int64), np.zeros(len(slots), np.int64), []
-    for shard in range(-(-total // size)):
-        need = min(size, int(left.sum()))
-        counts = np.zeros(len(slots), np.int64)
-        while need:
-            more = np.minimum(rng.multinomial(need, (left - counts) / (left - counts).sum()), left - counts)
-            counts += more
-            need -= int(more.sum())
+def draw_shards(wanted: list[float], most: list[int], seed: int = 1, largest: int = 1 << 18, least_shards: int = 16) -> list[tuple[int, int, int, int]]:
+    """(shard, source number, first slot, slots): multinomial counts of blocks, ``wanted`` of each source in expectation, at most ``most``."""
+    total = round(sum(wanted))
+    if not total:
+        return []
+    size = max(1, min(largest, -(-total // least_shards)))
+    sizes = [min(size, total - at) for at in range(0, total, size)]
+    share = np.array(wanted) / sum(wanted)
+    best, off = None, np.inf
+    for k in range(TRIES):
+        counts = np.random.default_rng([seed, k]).multinomial(sizes, share)
+        far = float(np.max(np.abs(counts.sum(axis=0) - wanted) / np.maximum(wanted, 1)))
+        if far < off:
+            best, off = counts, far
+    first, out = np.zeros(len(wanted), np.int64), []
+    for shard, counts in enumerate(best):
+        counts = np.minimum(counts, np.array(most) - first)
         out += [(shard, k, int(first[k]), int(n)) for k, n in enumerate(counts) if n]
         first += counts
-        left -= counts
     return out
 
 
@@ -102,13 +113,12 @@ def _overlaps(rows: DataFrame, weights: tuple[float, ...], max_repeats: int, blo
     sizes = {r["_source"]: r["size"] for r in totals}
     targets = water_fill(sizes, weights, max_repeats)
     sources = sorted(sizes, key=lambda s: (s is None, s or ""))
-    table, slots = [], []
+    table, wanted = [], []
     for k, s in enumerate(sources):
-        words = int(max(1, min(block_words, targets[s] // 256)))
+        words = int(max(1, min(block_words, targets[s] // GRAIN)))
         blocks = -(-sizes[s] // words)
-        full = int(targets[s] // sizes[s]) if sizes[s] else 0
-        rest = min(blocks, round((targets[s] - full * sizes[s]) / words)) if full < max_repeats else 0
-        slots.append(full * blocks + rest)
+        # The last block is shorter, so a source's words are its blocks' only on the whole.
+        wanted.append(targets[s] * blocks / sizes[s] if sizes[s] else 0.0)
         table.append((s, k, sizes[s], float(targets[s]), words, blocks))
     known = {k: t[5] for k, t in enumerate(table)}
 
@@ -123,12 +133,15 @@ def _overlaps(rows: DataFrame, weights: tuple[float, ...], max_repeats: int, blo
                     for epoch in range(int(slot[0] // n), int(slot[-1] // n) + 1):
                         here = slot // n == epoch
                         block[here] = permute(slot[here] % n, n, (seed * 1_000_003 + k) * 8191 + epoch)
-                    yield pa.RecordBatch.from_pydict({"k": pa.array(np.full(len(slot), k, np.int32)), "block": pa.array(block)})
+                    yield pa.RecordBatch.from_pydict({"k": pa.array(np.full(len(slot), k, np.int32)), "block": pa.array(block), "slot": pa.array(slot), "shard": pa.array(np.full(len(slot), r["shard"]))})
 
-    shards = spark.createDataFrame(draw_shards(slots, seed), "shard long, k int, first long, n long")
+    drawn = draw_shards(wanted, [max_repeats * t[5] for t in table], seed)
+    shards = spark.createDataFrame(drawn, "shard long, k int, first long, n long")
     # A shard's row is small but makes many slots: a fixed number of partitions is not coalesced by the size of the rows.
     many = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    times = shards.repartition(many, "shard", "k").mapInArrow(slot_blocks, "k int, block long").groupBy("k", "block").agg(F.count("*").alias("times"))
+    times = shards.repartition(many, "shard", "k").mapInArrow(slot_blocks, "k int, block long, slot long, shard long")
+    # At most max_repeats slots have the same block.
+    times = times.groupBy("k", "block").agg(F.count("*").alias("times"), F.sort_array(F.collect_list(F.struct("slot", "shard")))["shard"].alias("shards"))
 
     of = F.broadcast(spark.createDataFrame(table, "_name string, k int, source_size long, target double, words long, blocks long"))  # one row per source
     buckets = max(256, -(-sum(r["n"] for r in totals) // 100_000))
@@ -155,13 +168,14 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     return out.select("doc_id", F.col("_size").alias("size"), "source_size", "target", "taken")
 
 
-def _cut(text: str, segments: list[dict]) -> list[str]:
-    """One text per repeat: the words of all segments that are taken so often, in order."""
+def _cut(text: str, segments: list[dict]) -> list[tuple[int, str]]:
+    """Shard and text of each repeat: the words of all segments that are taken so often, in order; the shard is that of the first."""
     data, offsets = utf8_buffer(pa.array([text]))
     starts, ends, _ = word_spans(data, offsets)
     raw, out = data.tobytes(), []
     for repeat in range(1, max((s["times"] for s in segments), default=0) + 1):
         runs: list[list[int]] = []
+        shard = next(s["shards"][repeat - 1] for s in segments if s["times"] >= repeat)
         for s in segments:
             if s["times"] >= repeat:
                 if runs and runs[-1][1] == s["at"]:
@@ -169,9 +183,9 @@ def _cut(text: str, segments: list[dict]) -> list[str]:
                 else:
                     runs.append([s["at"], s["at"] + s["part"]])
         if len(runs) == 1 and runs[0] == [0, len(starts)]:
-            out.append(text)
+            out.append((shard, text))
         else:
-            out.append("\n".join(raw[starts[a] : ends[b - 1]].decode() for a, b in runs))
+            out.append((shard, "\n".join(raw[starts[a] : ends[b - 1]].decode() for a, b in runs)))
     return out
 
 
@@ -187,22 +201,27 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "so
     id_col, source_col, text_col, counted = (f"c{names.index(c)}" if c in names else "" for c in (id_col, source_col, text_col, "n_chars"))
     rows = materialise(_sized(docs, id_col, text_col).withColumn("_source", F.col(source_col)), "mixing")
     parts = _overlaps(rows.select("_row", "_key", "_source", "_size"), weights, max_repeats, block_words, seed)
-    plan = parts.where("times > 0").groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("at", "part", "times"))).alias("_segments"))
+    plan = parts.where("times > 0").groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("at", "part", "times", "shards"))).alias("_segments"))
     schema = docs.select(*columns).schema
 
     @tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col):
-                at, texts = [], []
+                at, texts, shards = [], [], []
                 for k, (text, segments) in enumerate(zip(part[text_col].to_pylist(), part["_segments"].to_pylist(), strict=True)):
-                    for t in _cut(text, segments):
+                    for shard, t in _cut(text, segments):
                         at.append(k)
                         texts.append(t)
+                        shards.append(shard)
                 out = part.select(columns).take(pa.array(at, pa.int64()))
                 out = out.set_column(columns.index(text_col), text_col, pa.array(texts, out[text_col].type))
                 if counted:
                     out = out.set_column(columns.index(counted), counted, pa.array([len(t) for t in texts], out[counted].type))
-                yield from out.to_batches()
+                yield from out.append_column("_shard", pa.array(shards, pa.int64())).to_batches()
 
-    return rows.join(plan, "_row").select(*columns, "_segments").mapInArrow(emit, schema).toDF(*names)
+    taken = rows.join(plan, "_row").select(*columns, "_segments").mapInArrow(emit, StructType([*schema.fields, StructField("_shard", LongType())]))
+    # A shard is dealt to several tasks by its texts, and each task writes shard by shard, in an order that is no source's.
+    taken = taken.withColumn("_spot", F.xxhash64("_shard", text_col))
+    many = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return taken.repartition(many, "_shard", F.pmod("_spot", F.lit(8))).sortWithinPartitions("_shard", "_spot").select(*columns).toDF(*names)
