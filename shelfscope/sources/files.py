@@ -25,6 +25,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """Written to the shared folder and read back: what follows does not recompute it, and a lost executor does not either."""
+    spark = rows.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark, "tables"))
+    return rows.checkpoint()
+
+
 def read_documents(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """JSON lines by schema, and a warning (file, text) for each line that is none; an error if no line is valid."""
     lines = spark.read.text(path).where("trim(value) <> ''").withColumn("file", F.input_file_name())
