@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import page_type as PT
 from ..functions import platforms as PL
+from ..functions.stores import stores
 from ..operators.elements import attribute, decoded, innermost, page_tables, text_table, texts_within
 from ..operators.markers import marker_counts
 from ..registry import query
@@ -176,3 +177,54 @@ def page_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = page_types_of(typed_pages(spark, sf_dir), KEYS)
     shown = [F.col(f"{f}_score").cast("int").alias(f"{f}_score") for f in ("product", "collection", "blog")]
     return rows.select(*KEYS, "page_type", F.col("confidence").cast("double").alias("confidence"), "reason", "subtype", *shown, F.nullif(F.array_join(F.array_sort("found"), ","), F.lit("")).alias("signals"))
+
+
+# Stores.
+
+#: A shop page of a part with stores by language, a list of countries, links that set one, and prices.
+STORES = """'<html' || CASE p_partkey % 3 WHEN 0 THEN ' lang="en-GB"' WHEN 1 THEN ' lang="de"' ELSE '' END || '><head>' || CASE WHEN p_partkey % 2 = 0 THEN '<link rel="alternate" hreflang="en-GB" href="https://uk.shop.example/"><link rel="alternate" hreflang="fr" href="/fr"><link rel="alternate" hreflang="x-default" href="/"><link rel="alternate" hreflang="de-CH" href="https://shop.example/ch">' ELSE '' END
+|| CASE p_partkey % 5 WHEN 0 THEN '<script>Shopify.currency = {"rate":"1","active":"PKR"};</script>' WHEN 1 THEN '<meta itemprop="priceCurrency" content="cad">' WHEN 2 THEN '<script>{"currency": "SEK"}</script>' ELSE '' END || '</head><body>' || CASE WHEN p_partkey % 5 = 3 THEN '<p>' || p_size || ' AED and 7.00 AED or USD 5</p>' ELSE '' END
+|| CASE WHEN p_partkey % 4 = 1 THEN '<select name="country_code"><option value="PK">Pakistan (PKR Rs.)</option><option value="ch">Schweiz<option value="XX" data-currency="usd">Nowhere (x)</option><option value="">none</option></select><a href="/x?country=ca">Canada</a>' ELSE '' END || '</body></html>'"""
+
+
+def store_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crawl = table(spark, sf_dir, "pages").select(F.lit("crawl").alias("origin"), F.col("page_id").alias("id"), "url", "html")
+    return crawl.unionByName(table(spark, sf_dir, "part").select(F.lit("shop").alias("origin"), F.col("p_partkey").alias("id"), F.lit("https://shop.example/a?b").alias("url"), F.expr(STORES).alias("html")))
+
+
+_OWN = "CASE p_partkey % 3 WHEN 0 THEN 'GB' END"
+_MONEY = "CASE p_partkey % 5 WHEN 0 THEN 'PKR' WHEN 1 THEN 'CAD' WHEN 3 THEN 'AED' ELSE CASE WHEN p_partkey % 3 = 0 THEN 'GBP' WHEN p_partkey % 5 = 2 THEN 'SEK' END END"
+_LANG = "CASE p_partkey % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'de' ELSE 'en' END"
+_COUNTRY_SQL = "CASE WHEN regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) SIMILAR TO '.*/(fr|de|es|it)(/.*)?' THEN upper(regexp_extract(url, '^https?://[^/?#]*/([a-z][a-z])(?:/|$)', 1)) END"
+
+
+@query(f"""WITH shops AS (SELECT *, {_OWN} AS own, {_MONEY} AS money, {_LANG} AS lang FROM part),
+found AS (
+    SELECT p_partkey AS id, own, money, unnest([
+        CASE WHEN p_partkey % 2 = 0 THEN {{'k': 0, 'hreflang': 'en-GB', 'country': 'GB', 'name': 'United Kingdom', 'url': 'https://uk.shop.example/', 'currency': CASE WHEN own = 'GB' THEN coalesce(money, 'GBP') ELSE 'GBP' END, 'current': coalesce(own = 'GB', false), 'same_url': false}} END,
+        CASE WHEN p_partkey % 2 = 0 THEN {{'k': 1, 'hreflang': 'de-CH', 'country': 'CH', 'name': 'Switzerland', 'url': 'https://shop.example/ch', 'currency': coalesce(money, 'CHF'), 'current': true, 'same_url': false}} END,
+        CASE WHEN p_partkey % 4 = 1 THEN {{'k': 2, 'hreflang': lang || '-PK', 'country': 'PK', 'name': 'Pakistan', 'url': 'https://shop.example/a?b&country=PK', 'currency': 'PKR', 'current': false, 'same_url': true}} END,
+        CASE WHEN p_partkey % 4 = 1 THEN {{'k': 3, 'hreflang': lang || '-CH', 'country': 'CH', 'name': 'Switzerland', 'url': 'https://shop.example/a?b&country=CH', 'currency': 'CHF', 'current': false, 'same_url': true}} END,
+        CASE WHEN p_partkey % 4 = 1 THEN {{'k': 4, 'hreflang': lang || '-XX', 'country': 'XX', 'name': 'Nowhere', 'url': 'https://shop.example/a?b&country=XX', 'currency': 'USD', 'current': false, 'same_url': true}} END,
+        CASE WHEN p_partkey % 4 = 1 THEN {{'k': 5, 'hreflang': lang || '-CA', 'country': 'CA', 'name': 'Canada', 'url': 'https://shop.example/a?b&country=CA', 'currency': 'CAD', 'current': false, 'same_url': true}} END,
+        CASE WHEN p_partkey % 4 = 3 AND (own IS NOT NULL OR money IS NOT NULL) THEN {{'k': 6, 'hreflang': concat_ws('-', CASE WHEN p_partkey % 3 < 2 THEN lang END, own), 'country': own, 'name': CASE own WHEN 'GB' THEN 'United Kingdom' END, 'url': 'https://shop.example/a?b', 'currency': money, 'current': true, 'same_url': false}} END]) AS x FROM shops
+),
+kept AS (SELECT id, x.*, row_number() OVER (PARTITION BY id ORDER BY x.current DESC, x.k) = 1 AS now FROM found WHERE x IS NOT NULL),
+crawl AS (SELECT page_id, url, {_COUNTRY_SQL} AS country, regexp_extract(html, 'lang="([a-z]+)"', 1) AS lang FROM pages)
+SELECT 'shop' AS origin, id, row_number() OVER (PARTITION BY id ORDER BY now DESC, lower(name), country)::INT AS rank, hreflang, country, name, url, currency, now AS current, same_url FROM kept
+UNION ALL SELECT 'crawl', page_id, 1, lang || '-' || country, country, CASE country WHEN 'FR' THEN 'France' WHEN 'DE' THEN 'Germany' WHEN 'ES' THEN 'Spain' WHEN 'IT' THEN 'Italy' END, url, 'EUR', true, false FROM crawl WHERE country IS NOT NULL""")
+def page_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regional stores of every page, the current one first."""
+    pages = store_pages(spark, sf_dir)
+    toks, els = page_tables(pages, KEYS)
+    return stores(pages, toks, els, KEYS)[0]
+
+
+@query(f"""SELECT 'shop' AS origin, p_partkey AS id, {_MONEY} AS currency, array_to_string(list_sort(list_distinct(list_filter(CASE WHEN p_partkey % 4 = 1 THEN ['PKR', 'CHF', 'USD', 'CAD', {_MONEY}] ELSE [{_MONEY}] END, lambda x: x IS NOT NULL))), ',') AS currencies,
+       CASE WHEN p_partkey % 5 < 2 THEN 'active_currency' WHEN p_partkey % 5 = 3 THEN 'visible_currency' WHEN p_partkey % 3 = 0 THEN 'cctld_currency' WHEN p_partkey % 5 = 2 THEN 'base_currency' END AS source FROM part
+UNION ALL SELECT 'crawl', page_id, CASE WHEN {_COUNTRY_SQL} IS NOT NULL THEN 'EUR' END, CASE WHEN {_COUNTRY_SQL} IS NOT NULL THEN 'EUR' ELSE '' END, CASE WHEN {_COUNTRY_SQL} IS NOT NULL THEN 'cctld_currency' END FROM pages""")
+def page_currencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The currency of every page, all that it offers, and what told it."""
+    pages = store_pages(spark, sf_dir)
+    toks, els = page_tables(pages, KEYS)
+    return stores(pages, toks, els, KEYS)[1].withColumn("currencies", F.array_join("currencies", ","))
