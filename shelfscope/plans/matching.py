@@ -94,8 +94,9 @@ def suggest_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = asked.select(F.col("b_site").alias("site"), F.col("b_name").alias("name"), "price", F.col("product").alias("left_product"), "words", "first")
     both = held.select("site", "name", "price", F.struct("product", "price").alias("there")).unionByName(asked, allowMissingColumns=True)
     below = Window.partitionBy("site", "name").orderBy("price").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    above = Window.partitionBy("site", "name").orderBy("price").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    near = both.select("site", "left_product", "price", "words", "first", F.last("there", True).over(below).alias("low"), F.first("there", True).over(above).alias("high")).where("left_product is not null")
+    # From the other end: a frame that begins at the current row would be read anew for each row.
+    above = Window.partitionBy("site", "name").orderBy(F.desc("price")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    near = both.select("site", "left_product", "price", "words", "first", F.last("there", True).over(below).alias("low"), F.last("there", True).over(above).alias("high")).where("left_product is not null")
     found = near.select("site", "left_product", "price", "words", F.explode(F.array_distinct(F.array("first", "low", "high"))).alias("x")).where("x is not null")
     ratio = F.try_divide(F.least("price", F.col("x.price")), F.greatest("price", F.col("x.price")))
     score = rnd(F.least(F.lit(1.0), F.col("words") + F.when(ratio >= 0.6, 0.15 * ratio).otherwise(0.0)), 6)

@@ -37,7 +37,7 @@ PLATFORMS = [
     ("vue.js", "u", None, "Unknown", "Custom / Undetected", 0.25, False),
     ("vue.js data-v-1", "u", None, "Unknown", "Vue.js", 0.25, False),
     ("vue.js data-v-1 vuex", "u", None, "Vue", "Vue.js", 0.78, False),
-    ("magento", "u", "{'X-Magento': 1}", "Magento", "Magento", 0.95, False),
+    ("magento", "u", "{'X-Magento': 1}", "Magento", "Magento", 0.9, False),
     ("__next_data__ /_next/static react-dom __react", "u", None, "Next.js / React", "React / Next.js", 0.65, False),
     ("webflow.js w-webflow-badge", "u", None, "Unknown", "Custom / Undetected", 0.3, False),
     ("webflow.js w-webflow-badge", "https://a.webflow.io", None, "Webflow", "Webflow", 0.95, False),
