@@ -86,3 +86,25 @@ def streaming_snapshot_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streaming_settled_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of which enough pages are settled."""
     return jobs.settled(spark, sf_dir)
+
+
+@query(f"""SELECT user_id AS key, event_id AS id, {_K} AS value, {_K} - lag({_K}) OVER (PARTITION BY user_id ORDER BY date_trunc('millisecond', ts), event_id) AS delta FROM events""")
+def streaming_ordered_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each report against the one before it by time, from a stream that delivers late, twice and out of order."""
+    return jobs.ordered_snapshots(spark, sf_dir)
+
+
+@query(f"""WITH RECURSIVE asking AS (SELECT user_id AS key, event_id AS id, {_K} AS value, epoch_ms(ts) AS at_, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS n FROM events WHERE {_K} >= 50 OR event_type = 'error'),
+walk AS (
+    SELECT key, id, value, at_, n, at_ AS fired_at, true AS fired FROM asking WHERE n = 1
+    UNION ALL SELECT a.key, a.id, a.value, a.at_, a.n, CASE WHEN a.at_ - w.fired_at > 21600000 THEN a.at_ ELSE w.fired_at END, a.at_ - w.fired_at > 21600000 FROM walk w JOIN asking a ON a.key = w.key AND a.n = w.n + 1
+) SELECT key, id, value FROM walk WHERE fired""")
+def streaming_alerts_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts by competitor, each once, none within six hours of another."""
+    return jobs.fired_alerts(spark, sf_dir)
+
+
+@query("""SELECT user_id AS key, 3 AS needed FROM events WHERE event_type IN ('purchase', 'error') GROUP BY user_id HAVING count(DISTINCT event_id) >= 3""")
+def streaming_rebuild_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Competitors whose pages are all settled, each told once."""
+    return jobs.rebuilds(spark, sf_dir)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.files import shared_folder
+from . import stateful
 
 
 def _folder(spark: SparkSession) -> str:
@@ -80,3 +81,48 @@ def settled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """user_id, settled: keys past the barrier of three settled pages, with their events."""
     counts = _events(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("settled"), F.count_if(F.col("event_type").isin("purchase", "error")).alias("n"))
     return _run(counts, "update", ["user_id"]).where("n >= 3").select("user_id", "settled")
+
+
+# Keyed state over events that arrive late, twice and out of order.
+
+
+#: The key of rows that only move the watermark.
+HEARTBEAT = -1
+
+
+def scattered(spark: SparkSession, sf_dir: str, files: int = 10) -> DataFrame:
+    """The events as a stream of ``files`` files, each event up to two hours out of order and every third one twice; a heartbeat (HEARTBEAT as key) ends it, so that the watermark passes all."""
+    folder = f"{_folder(spark)}/in"
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    copies = events.withColumn("copy", F.explode(F.sequence(F.lit(0), F.when(F.col("event_id") % 3 == 0, 1).otherwise(0))))
+    arrival = F.unix_millis("ts") + F.pmod(F.xxhash64("event_id", "copy"), F.lit(7_200_000))
+    bounds = events.agg(F.min(F.unix_millis("ts")).alias("a"), F.max(F.unix_millis("ts")).alias("b")).first()
+    span = max(1, ((bounds["b"] or 0) - (bounds["a"] or 0) + 7_200_000) // files + 1)
+    numbered = copies.withColumn("file", F.floor((arrival - (bounds["a"] or 0)) / span).cast("int")).drop("copy")
+    last = spark.createDataFrame([(HEARTBEAT, None, None, None, None, files)], numbered.schema).withColumn("ts", F.timestamp_millis(F.lit((bounds["b"] or 0) + 10 * 86_400_000)))
+    # Written one after the other, as the source takes files by their time.
+    for k in range(files):
+        numbered.where(F.col("file") == k).drop("file").coalesce(1).write.mode("append").parquet(folder)
+    last.drop("file").coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(numbered.drop("file").schema).option("maxFilesPerTrigger", 3).parquet(folder)
+
+
+def _timed(rows: DataFrame) -> DataFrame:
+    return rows.where("user_id is not null").withWatermark("ts", "3 hours").select(F.col("user_id").alias("key"), "ts", F.unix_millis("ts").alias("at"), F.coalesce("event_id", F.lit(-1)).alias("id"), F.col("k").alias("value"), "event_type")
+
+
+def ordered_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """key, id, value, delta of all events, in the order of their time."""
+    return _run(stateful.ordered_diffs(_timed(scattered(spark, sf_dir)))).where(F.col("key") != HEARTBEAT)
+
+
+def fired_alerts(spark: SparkSession, sf_dir: str, quiet_ms: int = 6 * 3_600_000) -> DataFrame:
+    """key, id, value of alerts: events of 50 or more, or errors, unless the key had one in the six hours before."""
+    asking = _timed(scattered(spark, sf_dir)).where("value >= 50 or event_type = 'error'" + f" or key = {HEARTBEAT}")
+    return _run(stateful.alerts_once(asking, quiet_ms)).where(F.col("key") != HEARTBEAT)
+
+
+def rebuilds(spark: SparkSession, sf_dir: str, needed: int = 3) -> DataFrame:
+    """key, needed: one row for each key with so many settled pages."""
+    rows = _timed(scattered(spark, sf_dir)).where("event_type in ('purchase', 'error')").select("key", "ts", "at", F.col("id").alias("part"), F.lit(needed).alias("needed"))
+    return _run(stateful.rebuild_once(rows))
