@@ -1,3 +1,3 @@
 """Queries over the catalog; importing the package registers them."""
 
-from . import classify, compare, dedup, diff, dom, feeds, insights, markup, matching, monitor, page_types, pages, pairs, ranking, rules, scalars, texts, topics, upkeep, views  # noqa: F401
+from . import classify, compare, dedup, diff, dom, feeds, insights, markup, matching, monitor, page_types, pages, pairs, ranking, reports, rules, scalars, texts, topics, upkeep, views  # noqa: F401
