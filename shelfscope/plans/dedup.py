@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.provenance import survivors, united
 from ..registry import query
-from ..sources.catalog import CATALOG_SQL, catalog, table
+from ..sources.catalog import CATALOG_SQL, catalog, rnd, table
 
 _FIELDS_SQL = "CASE WHEN product % 3 <> 1 THEN 'https://www.Site' || site || '.example/p/' || product || '/' END AS url, CASE WHEN product % 2 = 0 THEN replace(name, ' ', '-') END AS handle, CASE WHEN product % 5 <> 0 THEN CAST(product AS VARCHAR) END AS id"
 
@@ -48,13 +49,29 @@ def fold_survivors(arrivals: Column, fields: list[str]) -> Column:
 f AS (SELECT site, product, list_reduce(xs, lambda o, n: {'priority': greatest(o.priority, n.priority), 'price': CASE WHEN n.priority > o.priority THEN coalesce(n.price, o.price) ELSE coalesce(o.price, n.price) END, 'discount': CASE WHEN n.priority > o.priority THEN coalesce(n.discount, o.discount) ELSE coalesce(o.discount, n.discount) END}) AS x FROM a)
 SELECT site, product, x.priority AS priority, x.price AS price, x.discount AS discount FROM f""")
 def product_survivorship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Products merged from their pages (line items) in order of arrival."""
+    """Products merged from their pages (line items) in order of arrival; minima by level and field, so no product's items are gathered."""
     line = table(spark, sf_dir, "lineitem")
-    item = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_tax", "l_discount")
-    ordered = line.groupBy(F.col("l_suppkey").alias("site"), F.col("l_partkey").alias("product")).agg(F.sort_array(F.collect_list(item)).alias("xs"))
-    flag = lambda x: F.when(x["l_returnflag"] == "R", 3).when(x["l_returnflag"] == "A", 2).otherwise(1)
-    ordered = ordered.withColumn("xs", F.transform("xs", lambda x: F.struct(flag(x).alias("priority"), F.when(x["l_tax"] > 0.02, x["l_extendedprice"]).alias("price"), F.when(x["l_discount"] > 0.05, x["l_discount"]).alias("discount"))))
-    return ordered.select("site", "product", fold_survivors(F.col("xs"), ["price", "discount"]).alias("x")).select("site", "product", "x.priority", "x.price", "x.discount")
+    flag = F.when(F.col("l_returnflag") == "R", 3).when(F.col("l_returnflag") == "A", 2).otherwise(1)
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_tax", "l_discount"]
+    rows = line.select(F.col("l_suppkey").alias("site"), F.col("l_partkey").alias("product"), *order, flag.alias("priority"), F.when(F.col("l_tax") > 0.02, F.col("l_extendedprice")).alias("price"), F.when(F.col("l_discount") > 0.05, F.col("l_discount")).alias("discount"))
+    return survivors(rows, ["site", "product"], order, "priority", [1, 2, 3], ["price", "discount"])
+
+
+_SEEN_SQL = """seen AS (
+    SELECT site, product, 0 AS source, NULL::DATE AS day, 0::BIGINT AS number, 0 AS line, NULL AS page, NULL::INT AS rank, price, 'catalog' AS origin FROM catalog WHERE on_sale
+    UNION ALL SELECT l_suppkey, l_partkey, 1, CAST(l_shipdate AS DATE), l_orderkey, l_linenumber, '/page/' || (l_orderkey % 20), CASE WHEN l_tax > 0.02 THEN l_linenumber END, floor(l_extendedprice / l_quantity * 100 + 0.5) / 100, 'page' FROM lineitem WHERE l_returnflag <> 'N')"""
+
+
+@query(f"""WITH {CATALOG_SQL}, {_SEEN_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY site, product ORDER BY source, day NULLS FIRST, number, line, price) AS n FROM seen),
+p AS (SELECT site, product, page, arg_min(rank, n) AS rank_null, min(n) AS n FROM r WHERE page IS NOT NULL GROUP BY ALL), f AS (SELECT p.site, p.product, p.page, p.n, r.rank FROM p JOIN r ON r.site = p.site AND r.product = p.product AND r.n = p.n),
+a AS (SELECT site, product, count(*) AS pages, arg_min(page, n) AS first_page, arg_min(rank, n) FILTER (rank IS NOT NULL) AS first_rank FROM f GROUP BY ALL)
+SELECT r.site, r.product, origin, price, coalesce(pages, 0) AS pages, first_page, first_rank FROM r LEFT JOIN a USING (site, product) WHERE r.n = 1""")
+def united_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of the catalog list and of all pages but homepages: the first record of each, and all pages that showed it."""
+    listed = catalog(spark, sf_dir).where("on_sale").select("site", "product", F.lit(0).alias("source"), F.lit(None).cast("date").alias("day"), F.lit(0).cast("long").alias("number"), F.lit(0).alias("line"), F.lit(None).cast("string").alias("page"), F.lit(None).cast("int").alias("rank"), "price", F.lit("catalog").alias("origin"))
+    line = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'N'")
+    shown = line.select(F.col("l_suppkey").alias("site"), F.col("l_partkey").alias("product"), F.lit(1).alias("source"), F.to_date("l_shipdate").alias("day"), F.col("l_orderkey").alias("number"), F.col("l_linenumber").alias("line"), F.concat(F.lit("/page/"), (F.col("l_orderkey") % 20).cast("string")).alias("page"), F.when(F.col("l_tax") > 0.02, F.col("l_linenumber")).alias("rank"), rnd(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("price"), F.lit("page").alias("origin"))
+    return united(listed.unionByName(shown), ["site", "product"], ["source", "day", "number", "line", "price"], "page", "rank", ["origin", "price"])
 
 
 @query("SELECT DISTINCT l_suppkey AS site, l_partkey AS product, l_returnflag AS page_type, l_linenumber AS page FROM lineitem")

@@ -48,6 +48,33 @@ def test_survivors_are_a_fold(spark):
     assert (got["a"], got["b"]) == ("1", "H")
 
 
+def test_survivors_by_minima_are_the_fold(spark):
+    from shelfscope.operators.provenance import survivors, united
+
+    rng = random.Random(9)
+    rows = [(k, n, rng.choice([1, 2, 3]), rng.choice([None, f"a{n}"]), rng.choice([None, f"b{n}"]), rng.choice([None, "p1", "p2"]), rng.choice([None, n])) for k in range(60) for n in range(rng.randint(1, 7))]
+    want, joined = {}, {}
+    for k, n, p, a, b, page, rank in rows:
+        have = want.get(k)
+        if have is None:
+            want[k] = (p, a, b)
+        elif p > have[0]:
+            want[k] = (p, a if a is not None else have[1], b if b is not None else have[2])
+        else:
+            want[k] = (have[0], have[1] if have[1] is not None else a, have[2] if have[2] is not None else b)
+        record = joined.setdefault(k, [a, []])
+        if page and page not in [x[0] for x in record[1]]:
+            record[1].append((page, rank))
+    for parts in (1, 5):
+        given = list(rows)
+        rng.shuffle(given)
+        df = spark.createDataFrame(given, "k int, n int, priority int, a string, b string, page string, rank int").repartition(parts)
+        got = {r["k"]: (r["priority"], r["a"], r["b"]) for r in survivors(df, ["k"], ["n"], "priority", [1, 2, 3], ["a", "b"]).collect()}
+        assert got == want
+        seen = {r["k"]: (r["a"], r["pages"], r["first_page"], r["first_rank"]) for r in united(df, ["k"], ["n"], "page", "rank", ["a"]).collect()}
+        assert seen == {k: (a, len(ps), ps[0][0] if ps else None, next((r for _, r in ps if r is not None), None)) for k, (a, ps) in joined.items()}
+
+
 def test_greedy_is_the_plain_greedy(spark):
     rng = random.Random(3)
     edges = sorted({(b, rng.randrange(8), rng.randrange(8)) for b in range(6) for _ in range(30)})
