@@ -10,7 +10,7 @@ The network is trained on a bounded sample of labelled rows (``per_class`` rows
 crc32(id) mod 5 is 0 are held out.  Scores see the bytes of the text and nothing else.
 
 Edge cases: a null or empty text has one chunk of nothing and gets its score; null labels and
-labels of unknown documents are ignored; without labels of both kinds all scores are 0.5; rows
+labels of unknown documents are ignored, and an id labelled both ways is learned both ways; without labels of both kinds all scores are 0.5; rows
 that repeat a doc_id are scored each; a null doc_id is not held out; other columns are ignored by
 score_quality and kept by keep_good; an empty table gives no rows.
 """
@@ -152,7 +152,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     if len(sizes) < 2:
         return None
     parts = F.when(F.col("y") == 1, max(1, sizes[1] // per_class)).otherwise(max(1, sizes[0] // per_class))
-    some = known.where(F.pmod(F.xxhash64("id"), parts) == 0).limit(4 * per_class)
+    some = known.where(F.pmod(F.xxhash64("id"), parts) == 0).orderBy(F.xxhash64("id"), "id", "y").limit(4 * per_class)  # a fixed order, so that reruns agree
 
     @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +169,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # At most 4 * per_class pairs of numbers are broadcast.
-    rows = texts.join(F.broadcast(some), "id").mapInArrow(cut, "id long, y int, chunks array<binary>").limit(8 * per_class).collect()
+    rows = texts.join(F.broadcast(some), "id").mapInArrow(cut, "id long, y int, chunks array<binary>").orderBy("id", "y", "chunks").limit(8 * per_class).collect()
     rows = sorted(rows, key=lambda r: (r["id"], r["y"], r["chunks"]))
     y = np.array([r["y"] for r in rows])
     if len(set(y.tolist())) < 2:
