@@ -1,3 +1,3 @@
 """Queries over the catalog; importing the package registers them."""
 
-from . import classify, compare, crawl, dedup, diff, dom, feeds, homepages, insights, markup, matching, monitor, page_types, pages, pairs, quality, ranking, reports, rules, scalars, texts, topics, upkeep, views  # noqa: F401
+from . import classify, compare, crawl, dedup, diff, dom, feeds, gates, homepages, insights, markup, matching, monitor, page_types, pages, pairs, quality, ranking, reports, rules, scalars, texts, topics, upkeep, views  # noqa: F401
