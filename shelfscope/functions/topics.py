@@ -16,18 +16,22 @@ TOPICS = {"how_to": ["how to", "guide", "tutorial", "tips", "steps", "ways"], "p
 SPAM = ["casino", "казино", "1win", "1вин", "pin up", "пин ап", "gamstop", "mostbet", "pokerdom", "pinco", "bookmaker", "bukmeker", "online kaszino"]
 
 
-def search_intent(title: Column, text: Column) -> Column:
-    low = text_blob(title, text)
+def search_intent(title: Column, text: Column, headings: Column | None = None) -> Column:
+    """By the title, the first five headings and the text (of the first paragraphs)."""
+    low = text_blob(title, text) if headings is None else F.lower(F.concat_ws(" ", title, F.array_join(F.slice(headings, 1, 5), " "), text))
     return F.when(holds(low, TRANSACTIONAL), "transactional").when(holds(low, COMMERCIAL), "commercial").otherwise("informational")
 
 
-def funnel_stage(title: Column, has_products: Column) -> Column:
-    late = holds(F.lower(F.coalesce(title, F.lit(""))), LATE)
+def funnel_stage(title: Column, has_products: Column, headings: Column | None = None) -> Column:
+    """By the title and the first five headings."""
+    said = F.coalesce(title, F.lit("")) if headings is None else F.concat_ws(" ", F.coalesce(title, F.lit("")), F.array_join(F.slice(headings, 1, 5), " "))
+    late = holds(F.lower(said), LATE)
     return F.when(late & has_products, "bottom_of_funnel").when(late, "middle_of_funnel").otherwise("top_of_funnel")
 
 
-def target_keyword(title: Column) -> Column:
-    """The title without what follows a bar or dash, in lower case."""
+def target_keyword(title: Column, heading: Column | None = None) -> Column:
+    """The title, else the first heading, without what follows a bar or dash, in lower case (fixed behaviour)."""
+    title = title if heading is None else F.coalesce(F.nullif(title, F.lit("")), heading)
     bare = F.trim(F.regexp_replace(title, r"\s*[|–—-]\s*\S+.*$", ""))
     return F.lower(F.coalesce(F.nullif(bare, F.lit("")), title))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import money, urls
+from ..functions import markup, money, topics, urls
 from ..functions import rules as R
 from ..registry import query
 from ..sources.catalog import table
@@ -80,3 +80,25 @@ def crawled_money(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The currency that each url tells, and the first number of each document."""
     pages = table(spark, sf_dir, "pages").select(F.lit("page").alias("origin"), F.col("page_id").alias("id"), money.url_currency(F.col("url")).alias("currency"), F.lit(None).cast("double").alias("number"))
     return pages.unionByName(table(spark, sf_dir, "documents").select(F.lit("document").alias("origin"), F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("currency"), money.price_number(F.col("text")).alias("number")))
+
+
+_HAS = lambda column, words: "(" + " OR ".join(f"contains({column}, {_q(w)})" for w in words) + ")"
+_CLEAN = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
+
+
+@query(rf"""WITH {PAGES_SQL}, a AS (SELECT origin, id, nullif({_CLEAN.format("coalesce(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '')")}, '') AS title, list_filter(list_transform(regexp_extract_all(html, '(?i)<h[1-3][^>]*>([^<]*)</h[1-3]>', 1), lambda h: {_CLEAN.format('h')}), lambda h: h <> '') AS hs,
+    regexp_extract_all(html, '(?i)<p[^>a-z]*>([^<]*)', 1)[:3] AS ps, regexp_matches(html, 'href="[^"]*/products/') AS products, html FROM typed_pages),
+s AS (SELECT *, lower(concat_ws(' ', title, array_to_string(hs[:5], ' '))) AS said, lower(concat_ws(' ', title, array_to_string(hs[:5], ' '), array_to_string(ps, ' '))) AS whole, coalesce(title, hs[1]) AS source FROM a)
+SELECT origin, id, CASE WHEN {_HAS('whole', topics.TRANSACTIONAL)} THEN 'transactional' WHEN {_HAS('whole', topics.COMMERCIAL)} THEN 'commercial' ELSE 'informational' END AS intent,
+       CASE WHEN {_HAS('said', topics.LATE)} THEN CASE WHEN products THEN 'bottom_of_funnel' ELSE 'middle_of_funnel' END ELSE 'top_of_funnel' END AS stage, lower(coalesce(nullif(trim(regexp_replace(source, '\s*[|–—-]\s*\S+.*$', '')), ''), source)) AS keyword,
+       CASE {' '.join(f"WHEN {_HAS('lower(title)', words)} THEN '{name}'" for name, words in topics.TOPICS.items())} ELSE 'general' END AS topic, array_to_string(list_filter([{', '.join(f"CASE WHEN contains(lower(html), {_q(w)}) THEN {_q(w)} END" for w in topics.SPAM)}], lambda x: x IS NOT NULL), ',') AS spam FROM s""")
+def crawled_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search intent, funnel stage, target keyword and topic of each page by its title, first headings and first paragraphs, and words that tell of injected spam."""
+    html = F.col("html")
+    clean = lambda x: F.nullif(F.trim(F.regexp_replace(x, r"\s+", " ")), F.lit(""))
+    rows = typed_pages(spark, sf_dir).select(
+        *KEYS, "html", clean(F.coalesce(markup.one(html, "(?is)<title>(.*?)</title>"), F.lit(""))).alias("title"), F.filter(F.transform(markup.every(html, r"(?i)<h[1-3][^>]*>([^<]*)</h[1-3]>"), clean), lambda h: h.isNotNull()).alias("hs"),
+        F.array_join(F.slice(markup.every(html, "(?i)<p[^>a-z]*>([^<]*)"), 1, 3), " ").alias("ps"), F.regexp_like(html, F.lit('href="[^"]*/products/')).alias("products"),
+    )
+    title, heads = F.col("title"), F.col("hs")
+    return rows.select(*KEYS, topics.search_intent(title, F.col("ps"), heads).alias("intent"), topics.funnel_stage(title, F.col("products"), heads).alias("stage"), topics.target_keyword(title, F.get(heads, 0)).alias("keyword"), topics.topic(title).alias("topic"), F.array_join(topics.spam_words(html), ",").alias("spam"))
