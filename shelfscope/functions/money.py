@@ -19,7 +19,7 @@ LOCALE_CURRENCY = {
     "de-de": "EUR", "fr-fr": "EUR", "it-it": "EUR", "es-es": "EUR", "nl-nl": "EUR", "ja-jp": "JPY", "zh-cn": "CNY", "ko-kr": "KRW",
 }
 SIGNS = {"ca$": "CAD", "a$": "AUD", "nz$": "NZD", "hk$": "HKD", "s$": "SGD", "£": "GBP", "€": "EUR", "₹": "INR", "₨": "PKR", "¥": "JPY", "₩": "KRW", "﷼": "SAR", "د.إ": "AED", "฿": "THB", "₺": "TRY"}
-CODES = "PKR INR AED SAR BDT LKR NPR MYR THB IDR PHP VND NGN KES GHS EGP ZAR CAD AUD NZD SGD HKD MXN BRL JPY CNY KRW GBP EUR CHF SEK NOK DKK PLN TRY RUB USD".split()
+CODES = ["PKR", "INR", "AED", "SAR", "BDT", "LKR", "NPR", "MYR", "THB", "IDR", "PHP", "VND", "NGN", "KES", "GHS", "EGP", "ZAR", "CAD", "AUD", "NZD", "SGD", "HKD", "MXN", "BRL", "JPY", "CNY", "KRW", "GBP", "EUR", "CHF", "SEK", "NOK", "DKK", "PLN", "TRY", "RUB", "USD"]
 PLAN_SIGNS = {"$": "$", "€": "EUR", "£": "GBP", "₹": "INR", "₨": "PKR", "usd": "USD", "eur": "EUR", "gbp": "GBP", "pkr": "PKR", "rs": "PKR", "rs.": "PKR"}
 
 

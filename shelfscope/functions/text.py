@@ -18,7 +18,7 @@ SUGGEST_STOP = ["the", "a", "an", "and", "for", "with", "of", "in", "to", "by",
 # Labels of calls to action that have one spelling.
 CTA_LABELS = {"sign up": "Sign Up", "get started": "Get Started", "talk to sales": "Talk to Sales", "contact sales": "Contact Sales", "contact us": "Contact Us", "request demo": "Request Demo", "request a demo": "Request a Demo", "try for free": "Try for Free", "start free trial": "Start Free Trial", "subscribe": "Subscribe", "download": "Download", "learn more": "Learn More", "get pro": "Get Pro"}
 # The units that sizes are written in, and the unit that some of them count as.
-UNITS = "ml l litre liter g kg mg oz gb tb mb inch inches cm mm w kw watt watts v volt mah hz pcs pc piece pieces pack pair pairs seater ton btu rpm mp".split()
+UNITS = ["ml", "l", "litre", "liter", "g", "kg", "mg", "oz", "gb", "tb", "mb", "inch", "inches", "cm", "mm", "w", "kw", "watt", "watts", "v", "volt", "mah", "hz", "pcs", "pc", "piece", "pieces", "pack", "pair", "pairs", "seater", "ton", "btu", "rpm", "mp"]
 UNIT_NAMES = {"litre": "l", "liter": "l", "inches": "inch", "watt": "w", "watts": "w", "volt": "v", "pc": "pcs", "piece": "pcs", "pieces": "pcs", "pair": "pairs"}
 UNIT_PATTERN = r"\b([0-9]+(?:\.[0-9]+)?)\s?(" + "|".join(sorted(UNITS, key=lambda u: -len(u))) + r")\b"
 
