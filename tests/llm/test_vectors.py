@@ -84,3 +84,25 @@ def test_vectors_of_extreme_size(spark):
     rows = [(1, [1e200, 1e200]), (2, [1e200, 1.01e200]), (3, [1e-200, 3e-200]), (4, [3e-200, 1e-200]), (5, [-1.0, 0.0])]
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4), 5: (0, 5)}
+
+
+def test_neighbours_of_rarer_lengths_are_exact(spark):
+    from shelfscope.llm.ivfpq import nearest_neighbours
+
+    rng = np.random.default_rng(12)
+    rows = [(i, rng.standard_normal(8).round(3).tolist()) for i in range(300)]
+    rows += [(1000 + i, rng.standard_normal(3).round(1).tolist()) for i in range(120)] + [(2000, [1.0, 2.0]), (2100, [1.0, 2.5]), (2200, [4.0] * 5), (1000, rows[0][1])]
+    rows += [(3000 + i, rows[305][1]) for i in range(15)]  # copies of a rare one
+    df = spark.createDataFrame([(i, [float(x) for x in v], "clash") for i, v in rows], "vec_id long, embedding array<float>, vector string").repartition(4)
+    df = df.unionByName(spark.createDataFrame([(4000, None, ""), (4100, [float("nan")] * 3, ""), (None, [1.0] * 3, "")], df.schema))
+    from pyspark.sql import functions as F
+
+    got = {}
+    for r in nearest_neighbours(df, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], round(r["score"], 9)))
+    as_float = [(i, np.array(v, np.float32).astype(float)) for i, v in rows]
+    for id_, q in as_float:
+        if id_ % 100 == 0 and len(q) != 8 and id_ != 1000:
+            want = sorted((float(np.sqrt(((v - q) ** 2).sum())), i) for i, v in as_float if len(v) == len(q) and i != id_)[:10]
+            assert got.get(id_, []) == [(i, round(d, 9)) for d, i in want], id_
+    assert 4000 not in got and 4100 not in got and len(got[100]) == 10
