@@ -106,3 +106,25 @@ def test_neighbours_of_rarer_lengths_are_exact(spark):
             want = sorted((float(np.sqrt(((v - q) ** 2).sum())), i) for i, v in as_float if len(v) == len(q) and i != id_)[:10]
             assert got.get(id_, []) == [(i, round(d, 9)) for d, i in want], id_
     assert 4000 not in got and 4100 not in got and len(got[100]) == 10
+
+
+def test_search_of_extreme_magnitudes(spark):
+    from shelfscope.llm.ivfpq import distances
+
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((900, 16))
+    mixed = x.copy()
+    mixed[100:200:2] *= 1e-200
+    mixed[201:300:2] *= 1e200
+    for rows, scale in ((x * 1e160, 1e160), (x * 1e-170, 1e-170), (x * 1e25, 1e25), (mixed, 1.0)):
+        got = nearest_neighbours(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect()
+        hit = 0
+        for q in range(0, 900, 100):
+            exact = distances(rows, rows[q])
+            if scale != 1:
+                assert np.allclose(exact / scale, np.sqrt(((x - x[q]) ** 2).sum(axis=1)), rtol=1e-12, atol=0)
+            best = [int(i) for i in np.argsort(exact, kind="stable") if i != q][:10]
+            own = {r["vec_id"]: r["score"] for r in got if r["query_id"] == q}
+            assert len(own) == 10 and all(s == exact[i] for i, s in own.items())
+            hit += len(set(own) & set(best))
+        assert hit / 90 >= 0.9
