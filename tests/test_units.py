@@ -27,6 +27,29 @@ def test_price_closeness(spark):
     assert one(spark, price_closeness(F.lit(None).cast("double"), F.lit(4.0))) == 0
 
 
+def test_price_closeness_at_three_times_the_price(spark):
+    import duckdb
+
+    pairs = [(c / 100, 3 * c / 100) for c in range(100, 20000, 3)]
+    frame = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs + [(b, a) for a, b in pairs])], "i long, a double, b double")
+    ours = [r["x"] for r in frame.select("i", price_closeness(F.col("a"), F.col("b")).alias("x")).orderBy("i").collect()]
+    held = frame.toPandas()  # noqa: F841  (read by the SQL)
+    theirs = [r[0] for r in duckdb.sql("SELECT greatest(0.0, 1.0 - abs(ln(a / b)) / ln(3.0)) FROM held ORDER BY i").fetchall()]
+    assert [x > 0 for x in ours] == [x > 0 for x in theirs]
+
+
+def test_staged_pages_of_a_million(spark, tmp_path):
+    import duckdb
+
+    from shelfscope import registry
+
+    rows = [(1, 2), (1_000_001, 20), (1_000_002, 4), (2, 1), (1_200_000, 13), (7, 12), (8, 13), (9, None)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    ours = registry.queries()["staged_pages"](spark, str(tmp_path)).collect()
+    sql = registry.oracle_sql()["staged_pages"].replace("FROM part", f"FROM '{tmp_path}/part.parquet/*.parquet'")
+    assert sorted(tuple(r) for r in ours) == sorted(duckdb.sql(sql).fetchall())
+
+
 def test_texts(spark):
     assert one(spark, truncate(F.lit("abc def"), 5)) == "abc…"
     assert one(spark, url_key(F.lit("HTTPS://www.A.com/b/?q=1#x"))) == "a.com/b"
