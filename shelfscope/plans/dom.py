@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import page_parts as P
-from ..operators.elements import page_tables
+from ..operators.elements import elements_of, page_rows, page_tables
 from ..registry import query
-from ..sources.catalog import table
+from ..sources.catalog import spread, table
 
 #: A shop page by part, in SQL that both engines read.
 SHOP_SQL = """'<html lang="en-GB"><body><header><nav class="main"><ul><li><a href="/collections/women">Women<span class="sr-only"> menu</span></a><div class="mega"><ul><li><a href="/collections/' || lower(p_type) || '">' || p_type || '</a><ul><li><a href="/collections/k' || p_partkey || '?x=1">' || p_name || '</a></li></ul></li></ul>'
@@ -28,8 +28,8 @@ KEYS = ["origin", "id"]
 
 def all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """origin (crawl or shop), id, url, html."""
-    crawl = table(spark, sf_dir, "pages").select(F.lit("crawl").alias("origin"), F.col("page_id").alias("id"), "url", "html")
-    shop = table(spark, sf_dir, "part").select(F.lit("shop").alias("origin"), F.col("p_partkey").alias("id"), F.lit("https://shop.example/collections/all").alias("url"), F.expr(SHOP_SQL).alias("html"))
+    crawl = spread(table(spark, sf_dir, "pages"), "page_id").select(F.lit("crawl").alias("origin"), F.col("page_id").alias("id"), "url", "html")
+    shop = spread(table(spark, sf_dir, "part"), "p_partkey").select(F.lit("shop").alias("origin"), F.col("p_partkey").alias("id"), F.lit("https://shop.example/collections/all").alias("url"), F.expr(SHOP_SQL).alias("html"))
     return crawl.unionByName(shop)
 
 
@@ -38,7 +38,7 @@ SELECT origin, id, len(regexp_extract_all(html, '<(?:div|ul|a|nav|article|main|s
        CASE origin WHEN 'shop' THEN 10 ELSE 4 END AS deepest_item FROM pages_""")
 def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every page the number of elements that need a closing tag and have one, of list items and paragraphs, which need none, and the depth of the deepest item."""
-    toks, els = page_tables(all_pages(spark, sf_dir), KEYS)
+    els = elements_of(page_rows(all_pages(spark, sf_dir), KEYS))
     closed = F.col("tag").isin("div", "ul", "a", "nav", "article", "main", "section", "h1", "h3", "span", "footer")
     kinds = els.groupBy(*KEYS).agg(F.count_if(closed & (F.col("end") > F.col("pos"))).alias("nested"), F.count_if(F.col("tag") == "li").alias("items"), F.count_if(F.col("tag") == "p").alias("paragraphs"), F.max(F.when(F.col("tag") == "li", F.col("depth"))).alias("deepest_item"))
     return kinds

@@ -11,7 +11,7 @@ from ..functions.stores import stores
 from ..operators.elements import attribute, decoded, innermost, page_tables, text_table, texts_within
 from ..operators.markers import marker_counts
 from ..registry import query
-from ..sources.catalog import table
+from ..sources.catalog import spread, table
 from ..sources.files import checkpointed
 from .dom import KEYS
 
@@ -28,8 +28,8 @@ SHOPS = f"""'<html><head><title>' || p_name || '</title>' || {_HEAD} || '</head>
 
 def typed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """origin (crawl or shop), id, url, html."""
-    crawl = table(spark, sf_dir, "pages").select(F.lit("crawl").alias("origin"), F.col("page_id").alias("id"), "url", "html")
-    return crawl.unionByName(table(spark, sf_dir, "part").select(F.lit("shop").alias("origin"), F.col("p_partkey").alias("id"), F.expr(_URL).alias("url"), F.expr(SHOPS).alias("html")))
+    crawl = spread(table(spark, sf_dir, "pages"), "page_id").select(F.lit("crawl").alias("origin"), F.col("page_id").alias("id"), "url", "html")
+    return crawl.unionByName(spread(table(spark, sf_dir, "part"), "p_partkey").select(F.lit("shop").alias("origin"), F.col("p_partkey").alias("id"), F.expr(_URL).alias("url"), F.expr(SHOPS).alias("html")))
 
 
 PAGES_SQL = f"""typed_pages AS (SELECT 'crawl' AS origin, page_id AS id, url, html FROM pages UNION ALL SELECT 'shop', p_partkey, {_URL}, {SHOPS} FROM part)"""
@@ -188,8 +188,8 @@ STORES = """'<html' || CASE p_partkey % 3 WHEN 0 THEN ' lang="en-GB"' WHEN 1 THE
 
 
 def store_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    crawl = table(spark, sf_dir, "pages").select(F.lit("crawl").alias("origin"), F.col("page_id").alias("id"), "url", "html")
-    return crawl.unionByName(table(spark, sf_dir, "part").select(F.lit("shop").alias("origin"), F.col("p_partkey").alias("id"), F.lit("https://shop.example/a?b").alias("url"), F.expr(STORES).alias("html")))
+    crawl = spread(table(spark, sf_dir, "pages"), "page_id").select(F.lit("crawl").alias("origin"), F.col("page_id").alias("id"), "url", "html")
+    return crawl.unionByName(spread(table(spark, sf_dir, "part"), "p_partkey").select(F.lit("shop").alias("origin"), F.col("p_partkey").alias("id"), F.lit("https://shop.example/a?b").alias("url"), F.expr(STORES).alias("html")))
 
 
 _OWN = "CASE p_partkey % 3 WHEN 0 THEN 'GB' END"

@@ -124,3 +124,20 @@ def test_no_pages(spark):
     df = spark.createDataFrame([], "page long, url string, html string")
     toks, els = page_tables(df, ["page"])
     assert els.count() == P.menu_items(df, toks, els, ["page"]).count() == P.folded_sections(toks, els, ["page"]).count() == P.plan_cards(toks, els, ["page"]).count() == 0
+
+
+def test_tables_in_place_equal_windows(spark):
+    from shelfscope.operators.elements import page_rows
+
+    rnd = random.Random(4)
+    bits = "<div>|</div>|<p>|</p>|<li>|</li>|<ul>|</ul>|<td>|<tr>|</tr>|<table>|</table>|<thead>|<tbody>|<br>|<img src='a>b'>|<a/>|x &amp; y| \n|<!-- c -->|<script>a<b</script>|<script>|<|<1|</|<DIV CLASS=x>|<dd>|<dt>|</dt>|<option>|<svg><p></svg >|</p|<é>|<!doctype html>".split("|")
+    pages = [(k, "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 60)))) for k in range(300)] + [(999, None)]
+    df = spark.createDataFrame(pages, "page long, html string").repartition(3)
+    toks = tokens(df, ["page"])
+    names = ["page", "pos", "end", "depth", "parent", "tag", "token"]
+    wanted = sorted(map(str, element_table(toks, ["page"]).select(*names).collect()))
+    own, els = page_tables(df, ["page"])
+    assert sorted(map(str, els.select(*names).collect())) == wanted
+    assert sorted(map(str, text_table(own, ["page"]).collect())) == sorted(map(str, text_table(toks, ["page"]).collect()))
+    # Nothing is shuffled or sorted to find elements.
+    assert "Exchange" not in page_rows(df.coalesce(1), ["page"])._jdf.queryExecution().executedPlan().toString().split("Coalesce")[0]
