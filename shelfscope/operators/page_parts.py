@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import resolve
 from ..sources.files import checkpointed
-from .elements import attribute, class_holds, has_attribute, has_class, innermost, text_table, texts_within
+from .elements import attribute, class_holds, first, gathered, has_attribute, has_class, has_one, held, innermost, innermost_of, inside, span, text_inside, text_table, texts_within
 
 # What names a menu, the paths of categories, and those of pages that are none.
 MENU_CLASSES = ["header__inline-menu", "site-nav", "main-menu", "main-navigation", "primary-menu", "navmenu"]
@@ -22,6 +22,8 @@ UTILITY = (
 # Where products stand, what cards are called, and where their names and prices are.
 AREAS = ["id:product-grid", "collection", "collection-products", "product-grid", "grid--view-items", "main-collection-product-grid", "tag:main"]
 CARD_NAMES = ["product-card", "card-wrapper", "product-item", "grid__item", "grid-product", "product-block", "card"]
+#: Classes of what only screen readers see.
+HIDDEN = ["visually-hidden", "sr-only", "visuallyhidden", "screen-reader-text"]
 NAME_CLASSES = ["product-card__title", "product-title", "product-item__title", "grid-product__title", "product-block__title", "product-card-title"]
 PRICE_CLASSES = ["price", "price-item", "money", "product-price", "grid-product__price"]
 NO_PRODUCTS = r"(?i)^\s*(?:klarna|afterpay|clearpay|sezzle|affirm|paypal|zip|laybuy|shop\s*pay|apple\s*pay|google\s*pay|amazon\s*pay|delivery\s+information|shipping\s+information|size\s+guide|buy\s+now\s+pay\s+later|bnpl)\s*$|^\s*(?:free\s+(?:standard\s+|express\s+)?(?:shipping|delivery|returns?)|(?:standard|express|next[\s-]*day|international)\s+(?:shipping|delivery)|free\s+returns?|returns?\s+&\s+exchanges?)\b"
@@ -66,60 +68,71 @@ def _first(rows: DataFrame, by: list[str], value: str, order: list[str]) -> Data
 
 
 def menu_items(pages: DataFrame, toks: DataFrame, els: DataFrame, keys: list[str], url_col: str = "url") -> DataFrame:
-    """Categories of a page's menu: keys, rank, title, url, path (titles of the items above, three at most; an item with items below it ends its own path).
+    """menus_of() for the tables of pages."""
+    return menus_of(pages.select(*keys, url_col).join(gathered(toks, els, keys), keys), keys, url_col)
+
+
+def menus_of(pages: DataFrame, keys: list[str], url_col: str = "url") -> DataFrame:
+    """Categories of the menus of pages (keys, url, els, texts): keys, rank, title, url, path (titles of the items above, three at most; an item with items below it ends its own path).
 
     The menu is the outermost list within a menu element that has most links to categories; if none
     has two, pages right under the root count as categories too; if there is still nothing, all such
     links of the page are taken, without path.  Items go four levels deep; an item without link is
     named by the first label in it; each url counts once.  Menus that are no lists come out flat.
     """
-    base = pages.select(*keys, F.col(url_col).alias("_base"))
-    texts = text_table(toks.join(_hidden(els, keys), [*keys, "pos"], "left_anti"), keys)
-    token = F.col("token")
-    menus = els.where((F.col("tag") == "nav") | (F.lower(attribute(token, "role")) == "navigation") | (attribute(token, "id") == "AccessibleNav") | has_class(token, MENU_CLASSES)).select(*keys, "pos", "end")
-    lists = els.where("tag = 'ul'").select(*keys, "pos", "end")
-    tops = innermost(innermost(lists, menus, keys, "_menu").where("_menu is not null"), lists, keys, "_list").where("_list is null").select(*keys, "pos", "end")
-    links = els.where((F.col("tag") == "a") & has_attribute(token, "href")).select(*keys, "pos", "end", attribute(token, "href").alias("href"))
-    links = links.join(base, keys).withColumn("url", F.coalesce(resolve(F.col("_base"), F.col("href")), F.lit("")))
-    links = checkpointed(links)  # else the url's expression would be repeated within all that follows
-    links = links.withColumns({"strict": is_category(F.col("url"), F.col("_base"), F.lit(False)), "loose": F.coalesce(is_category(F.col("url"), F.col("_base"), F.lit(True)), F.lit(False))})
-    links = checkpointed(links)
-    counts = innermost(links, tops, keys, "_top").where("_top is not null").groupBy(*keys, "_top").agg(F.count_if("strict").alias("strict"), F.count_if("loose").alias("loose"))
-    best = counts.groupBy(*keys).agg(*[F.max(F.struct(F.col(c).alias("n"), (-F.col("_top.pos")).alias("at"), F.col("_top").alias("top"))).alias(c) for c in ("strict", "loose")])
-    permissive = (F.col("strict.n") < 2) & (F.col("loose.n") > F.col("strict.n"))
-    menu = best.withColumn("permissive", permissive).withColumn("b", F.when(permissive, F.col("loose")).otherwise(F.col("strict"))).where("b.n > 0").select(*keys, "permissive", F.col("b.top.pos").alias("pos"), F.col("b.top.end").alias("end"))
-
-    menu = checkpointed(menu)
-    item = innermost(els.where("tag = 'li'").select(*keys, "pos", "end", "parent"), menu, keys, "_in").where("_in is not null").join(lists.select(*keys, F.col("pos").alias("parent")), [*keys, "parent"], "left_semi").select(*keys, "pos", "end")
-    item = innermost(item, item.select(*keys, "pos", "end"), keys, "_up").withColumn("up", F.col("_up.pos")).drop("_up")
-    own = innermost(links, item, keys, "_li").where("_li is not null").groupBy(*keys, F.col("_li.pos").alias("li")).agg(F.min(F.struct("pos", "end", "url", "strict", "loose")).alias("a"))
-    named = texts_within(own.select(*keys, "li", "a.*").withColumnRenamed("li", "_li"), texts, keys, "label").select(*keys, F.col("_li").alias("pos"), "url", "strict", "loose", F.left("label", F.lit(60)).alias("label"))
-    other = innermost(els.where(F.col("tag").isin("a", "span", "button", "summary", "h2", "h3", "h4", "strong")).select(*keys, "pos", "end"), item, keys, "_li").where("_li is not null")
-    other = _first(texts_within(other.select(*keys, "pos", "end", F.col("_li.pos").alias("_of")), texts, keys, "other").select(*keys, F.col("_of").alias("li"), "pos", F.left("other", F.lit(60)).alias("other")), [*keys, "li"], "other", ["pos"]).withColumnRenamed("li", "pos")
-    item = item.join(named, [*keys, "pos"], "left").join(other, [*keys, "pos"], "left").join(menu.select(*keys, "permissive"), keys)
-    category = F.coalesce(F.when(F.col("permissive"), F.col("loose")).otherwise(F.col("strict")), F.lit(False))
-    slug = F.when(category, F.initcap(F.translate(F.element_at(F.split(_bare(F.col("url")), "/"), -1), "-", " ")))
-    item = item.select(*keys, "pos", "up", "url", category.alias("category"), F.coalesce(F.nullif("label", F.lit("")), "other", slug, F.lit("")).alias("title"))
-    item = checkpointed(item)
-    # The titles above, one level at a time; four levels at most.
-    rows = item.withColumns({"above": F.array().cast("array<string>"), "at": F.col("up"), "fine": F.col("title") != "", "lis": F.array("pos")})
+    els, base, menu = F.col("els"), F.col("_base"), F.col("menu")
+    spans = lambda test: F.transform(F.filter(els, test), span)
+    link = lambda e: F.struct(e["pos"].alias("pos"), e["end"].alias("end"), F.coalesce(resolve(base, attribute(e["token"], "href")), F.lit("")).alias("url"))
+    rows = held(
+        pages.select(*keys, F.col(url_col).alias("_base"), "els", "texts"),
+        links=F.transform(F.filter(els, lambda e: (e["tag"] == "a") & has_attribute(e["token"], "href")), link),
+        menus=spans(lambda e: (e["tag"] == "nav") | (F.lower(attribute(e["token"], "role")) == "navigation") | (attribute(e["token"], "id") == "AccessibleNav") | has_one(e, MENU_CLASSES)),
+        lists=spans(lambda e: e["tag"] == "ul"),
+        hidden=spans(lambda e: has_one(e, HIDDEN) | (F.lower(attribute(e["token"], "aria-hidden")) == "true")),
+    )
+    category = lambda x, permissive: F.coalesce(is_category(x["url"], base, F.lit(permissive)), F.lit(False))
+    rows = held(
+        rows,
+        links=F.transform("links", lambda x: F.struct(*[x[c].alias(c) for c in ("pos", "end", "url")], category(x, False).alias("strict"), category(x, True).alias("loose"))),
+        tops=F.filter("lists", lambda x: innermost_of(F.col("menus"), x["pos"]).isNotNull() & innermost_of(F.col("lists"), x["pos"]).isNull()),
+        texts=F.filter("texts", lambda t: innermost_of(F.col("hidden"), t["pos"]).isNull()),
+    )
+    most = lambda c: F.array_max(F.transform("tops", lambda t: F.struct(F.size(F.filter(inside(F.col("links"), t), lambda x: x[c])).alias("n"), (-t["pos"]).alias("at"), span(t).alias("top"))))
+    rows = held(rows, strict=most("strict"), loose=most("loose"))
+    rows = held(rows, permissive=(F.col("strict.n") < 2) & (F.col("loose.n") > F.col("strict.n")))
+    best = F.when(F.col("permissive"), F.col("loose")).otherwise(F.col("strict"))
+    rows = held(rows, menu=F.when(best["n"] > 0, best["top"]))
+
+    rows = held(rows, items=F.transform(F.filter(inside(els, menu), lambda e: (e["tag"] == "li") & F.exists("lists", lambda x: x["pos"] == e["parent"])), span))
+    item = lambda x: innermost_of(F.col("items"), x["pos"])["pos"].alias("li")
+    label = lambda x: F.left(text_inside(F.col("texts"), x), F.lit(60))
+    labels = F.filter(inside(els, menu), lambda e: e["tag"].isin("a", "span", "button", "summary", "h2", "h3", "h4", "strong"))
+    rows = held(
+        rows,
+        own=F.transform(inside(F.col("links"), menu), lambda x: F.struct(item(x), x.alias("a"), label(x).alias("label"))),
+        other=F.filter(F.transform(labels, lambda e: F.struct(item(e), label(e).alias("label"))), lambda x: x["label"] != ""),
+    )
+    mine = lambda name, i: first(name, lambda x: x["li"] == i["pos"])
+    rows = held(rows, items=F.transform("items", lambda i: F.struct(i["pos"].alias("pos"), item(i).alias("up"), mine("own", i).alias("own"), mine("other", i)["label"].alias("other"))))
+    chosen = lambda i: F.coalesce(F.when(F.col("permissive"), i["own"]["a"]["loose"]).otherwise(i["own"]["a"]["strict"]), F.lit(False)).alias("category")
+    slug = lambda url: F.initcap(F.translate(F.element_at(F.split(_bare(url), "/"), -1), "-", " "))
+    title = lambda i: F.coalesce(F.nullif(i["own"]["label"], F.lit("")), i["other"], F.when(chosen(i), slug(i["own"]["a"]["url"])), F.lit(""))
+    rows = held(rows, items=F.transform("items", lambda i: F.struct(i["pos"].alias("pos"), i["up"].alias("up"), i["own"]["a"]["url"].alias("url"), chosen(i), title(i).alias("title"))))
+    # The items above, one level at a time; four levels at most.
+    rows = held(rows, chains=F.transform("items", lambda i: F.struct(F.array(i).alias("way"), i["up"].alias("at"))))
     for _ in range(3):
-        over = item.select(*keys, F.col("pos").alias("at"), F.col("title").alias("_title"), F.col("up").alias("_next"))
-        rows = rows.join(over, [*keys, "at"], "left").withColumns({"above": F.when(F.col("_title").isNotNull(), F.concat(F.array("_title"), F.col("above"))).otherwise(F.col("above")), "fine": F.col("fine") & (F.coalesce("_title", F.lit("-")) != ""), "lis": F.when(F.col("at").isNotNull(), F.concat("lis", F.array("at"))).otherwise(F.col("lis")), "at": F.col("_next")}).drop("_title", "_next")
-    rows = checkpointed(rows.where("at is null and fine and category"))
-    heads = rows.select(*keys, F.explode(F.slice("lis", 2, 9)).alias("pos")).distinct().withColumn("heads", F.lit(True))
-    rows = rows.join(heads, [*keys, "pos"], "left").select(*keys, "pos", "title", "url", F.slice(F.when(F.col("heads"), F.concat("above", F.array("title"))).otherwise(F.col("above")), 1, 3).alias("path"))
-    flat = texts_within(links.where("loose").join(rows.select(*keys).distinct(), keys, "left_anti").select(*keys, "pos", "end", "url"), texts, keys, "label")
-    flat = flat.select(*keys, "pos", F.coalesce(F.nullif(F.left("label", F.lit(60)), F.lit("")), F.initcap(F.translate(F.element_at(F.split(_bare(F.col("url")), "/"), -1), "-", " "))).alias("title"), "url", F.array().cast("array<string>").alias("path"))
-    every = rows.unionByName(flat).withColumn("_key", _bare(F.col("url"))).groupBy(*keys, "_key").agg(F.min_by(F.struct("pos", "title", "url", "path"), "pos").alias("b")).select(*keys, "b.*")
-    return every.select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy("pos")).alias("rank"), "title", "url", "path")
-
-
-def _hidden(els: DataFrame, keys: list[str]) -> DataFrame:
-    """Places within elements that only screen readers see."""
-    token = F.col("token")
-    spans = els.where(has_class(token, ["visually-hidden", "sr-only", "visuallyhidden", "screen-reader-text"]) | (F.lower(attribute(token, "aria-hidden")) == "true")).select(*keys, "pos", "end")
-    return spans.where("end > pos + 1").select(*keys, F.explode(F.sequence(F.col("pos") + 1, F.col("end") - 1)).alias("pos")).distinct()
+        over = lambda c: F.filter("items", lambda o: o["pos"] == c["at"])
+        rows = held(rows, chains=F.transform("chains", lambda c: F.struct(F.concat(over(c), c["way"]).alias("way"), first(over(c))["up"].alias("at"))))
+    kept = lambda c: c["at"].isNull() & F.forall(c["way"], lambda i: i["title"] != "") & F.element_at(c["way"], -1)["category"]
+    rows = held(rows, ways=F.transform(F.filter("chains", kept), lambda c: c["way"]))
+    rows = held(rows, heads=F.flatten(F.transform("ways", lambda w: F.transform(F.slice(w, 1, F.size(w) - 1), lambda i: i["pos"]))))
+    titles = lambda w: F.slice(F.transform(F.when(F.array_contains("heads", F.element_at(w, -1)["pos"]), w).otherwise(F.slice(w, 1, F.size(w) - 1)), lambda i: i["title"]), 1, 3)
+    entry = lambda x, title, path: F.struct(x["pos"].alias("pos"), title.alias("title"), x["url"].alias("url"), path.alias("path"), _bare(x["url"]).alias("key"))
+    nested = F.transform("ways", lambda w: entry(F.element_at(w, -1), F.element_at(w, -1)["title"], titles(w)))
+    flat = F.transform(F.filter("links", lambda x: x["loose"]), lambda x: entry(x, F.coalesce(F.nullif(label(x), F.lit("")), slug(x["url"])), F.array().cast("array<string>")))
+    rows = held(rows.select(*keys, F.when(F.size("ways") > 0, nested).otherwise(flat).alias("every")), every=F.col("every"))
+    once = F.filter("every", lambda x, k: ~F.exists(F.slice("every", 1, k), lambda y: y["key"] == x["key"]))
+    return rows.select(*keys, F.posexplode(once).alias("_k", "x")).select(*keys, (F.col("_k") + 1).alias("rank"), "x.title", "x.url", "x.path")
 
 
 def product_cards(pages: DataFrame, toks: DataFrame, els: DataFrame, keys: list[str], url_col: str = "url") -> DataFrame:

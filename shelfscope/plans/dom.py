@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import page_parts as P
-from ..operators.elements import elements_of, page_rows, page_tables
+from ..operators.elements import elements_of, page_arrays, page_rows, page_tables
 from ..registry import query
 from ..sources.catalog import spread, table
 
@@ -58,9 +58,7 @@ SELECT 'shop', p_partkey, x.rank, x.title, 'https://shop.example/collections/' |
     {{'rank': 4, 'title': 'New & now', 'url': 'new', 'path': 'Women'}}, {{'rank': 5, 'title': 'Men Shoes', 'url': 'men-shoes', 'path': 'Men'}}]) AS x FROM part)""")
 def menu_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Categories of the menus with the titles above them."""
-    pages = all_pages(spark, sf_dir)
-    toks, els = page_tables(pages, KEYS)
-    found = P.menu_items(pages.select(*KEYS, "url"), toks, els, KEYS)
+    found = P.menus_of(page_arrays(all_pages(spark, sf_dir)), KEYS)
     return found.select(*KEYS, "rank", "title", "url", F.array_join("path", ">").alias("path"))
 
 

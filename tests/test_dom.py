@@ -141,3 +141,22 @@ def test_tables_in_place_equal_windows(spark):
     assert sorted(map(str, text_table(own, ["page"]).collect())) == sorted(map(str, text_table(toks, ["page"]).collect()))
     # Nothing is shuffled or sorted to find elements.
     assert "Exchange" not in page_rows(df.coalesce(1), ["page"])._jdf.queryExecution().executedPlan().toString().split("Coalesce")[0]
+
+
+@pytest.mark.parametrize("name", ["menu_paths"])
+def test_parts_are_sought_within_the_row_of_a_page(spark, name):
+    from shelfscope import registry
+
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # Only what deals out the two tables of pages; no page is shuffled, joined or sorted after that.
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan and "Sort" not in plan and "Window" not in plan
+
+
+def test_arrays_of_pages_equal_their_tables(spark):
+    from shelfscope.operators.elements import gathered, page_arrays
+
+    html = "<nav class='Main x'><ul><li><a href='/c/a'>A &amp; b<li>&nbsp;</ul></nav><b><i>q</b></i>"
+    df = spark.createDataFrame([(1, html), (2, "<p>")], "page long, html string")
+    toks, els = page_tables(df, ["page"])
+    names = ["page", "els", "texts"]
+    assert sorted(map(str, page_arrays(df).select(names).collect())) == sorted(map(str, gathered(toks, els, ["page"]).select(names).collect()))
