@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import resolve
 from ..sources.files import checkpointed
-from .elements import attribute, class_holds, first, gathered, has_attribute, has_class, has_one, held, innermost, innermost_of, inside, span, text_inside, text_table, texts_within
+from .elements import attribute, class_holds, first, gathered, has_attribute, has_class, has_one, held, holds_one, innermost, innermost_of, inside, span, text_inside, text_table, texts_within
 
 # What names a menu, the paths of categories, and those of pages that are none.
 MENU_CLASSES = ["header__inline-menu", "site-nav", "main-menu", "main-navigation", "primary-menu", "navmenu"]
@@ -136,56 +136,58 @@ def menus_of(pages: DataFrame, keys: list[str], url_col: str = "url") -> DataFra
 
 
 def product_cards(pages: DataFrame, toks: DataFrame, els: DataFrame, keys: list[str], url_col: str = "url") -> DataFrame:
-    """Products of a listing by their links: keys, rank, handle, name, url, price_text, price, in_stock (null if nothing is said), image.
+    """cards_of() for the tables of pages."""
+    return cards_of(pages.select(*keys, url_col).join(gathered(toks, els, keys), keys), keys, url_col)
+
+
+def cards_of(pages: DataFrame, keys: list[str], url_col: str = "url") -> DataFrame:
+    """Products of the listings of pages (keys, url, els, texts) by their links: keys, rank, handle, name, url, price_text, price, in_stock (null if nothing is said), image.
 
     Links within the first product area that has any (else the page); a product's card is the
     nearest element around its link that is called one, at most seven levels up, else the element around.
     """
-    base = pages.select(*keys, F.col(url_col).alias("_base"))
-    texts, token = text_table(toks, keys), F.col("token")
-    links = els.where((F.col("tag") == "a") & F.contains(attribute(token, "href"), F.lit("/products/"))).join(base, keys)
-    links = checkpointed(links.select(*keys, "pos", "end", "depth", "parent", _class(token).alias("cls"), F.regexp_replace(resolve(F.col("_base"), attribute(token, "href")), r"\?.*$", "").alias("url"), "_base"))
-    ranks = [F.when(F.col("tag") == a[4:] if a[:4] == "tag:" else attribute(token, "id") == a[3:] if a[:3] == "id:" else has_class(token, [a]), F.lit(k)) for k, a in enumerate(AREAS)]
-    areas = els.select(*keys, "pos", "end", F.explode(F.array_compact(F.array(*ranks))).alias("k")).groupBy(*keys, "k").agg(F.min(F.struct("pos", "end")).alias("x")).select(*keys, "k", "x.*")
-    chosen = _within(links.select(*keys, "pos"), areas, keys).join(areas.withColumnRenamed("pos", "span"), [*keys, "span"]).groupBy(*keys).agg(F.min(F.struct("k", "span", "end")).alias("area")).select(*keys, "area")
-    links = links.join(chosen, keys, "left").where("area is null or (pos > area.span and pos < area.end)").drop("area")
-    handle = F.element_at(F.split(F.regexp_replace("url", "/+$", ""), "/"), -1)
-    links = links.withColumn("handle", handle).withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "handle").orderBy("pos"))).where("_n = 1").drop("_n")
-
-    called = els.where(class_holds(token, CARD_NAMES)).select(*keys, "pos", "end")
-    own = F.exists(F.array(*map(F.lit, CARD_NAMES)), lambda p: F.contains(F.lower(F.col("cls")), p))
-    around = els.select(*keys, F.col("pos").alias("card"), F.col("end").alias("card_end"), F.col("depth").alias("card_depth"))
-    linked = innermost(links.withColumn("own", own), called, keys, "_card").withColumn("card", F.when(F.col("own"), F.col("pos")).otherwise(F.col("_card.pos"))).join(around, [*keys, "card"], "left")
-    linked = linked.withColumn("card", F.when(F.col("depth") - F.col("card_depth") <= 7, F.col("card")).otherwise(F.coalesce("parent", "pos"))).drop("card_end", "card_depth", "_card", "own").join(around.drop("card_depth"), [*keys, "card"])
-    cards = linked.select(*keys, F.col("card").alias("pos"), F.col("card_end").alias("end")).distinct()
-
-    heading = els.where(has_class(token, ["card__heading"])).select(*keys, "pos", "end")
-    rank = F.when(has_class(token, ["card__heading"]), 1)
-    for k, c in enumerate(NAME_CLASSES):
-        rank = F.coalesce(rank, F.when(has_class(token, [c]), 2 + k))
-    marks = innermost(els.select(*keys, "pos", "end", "tag", "token"), heading, keys, "_h")
-    rank = F.when((F.col("tag") == "a") & F.col("_h").isNotNull(), 0).otherwise(F.coalesce(rank, F.when(F.col("tag") == "h3", 10).when(F.col("tag") == "h2", 11)))
-    names = _within(texts_within(marks.withColumn("k", rank).where("k is not null").select(*keys, "pos", "end", "k"), texts, keys, "name"), cards, keys)
-    names = _first(names, [*keys, "span"], "name", ["k", "pos"])
-    images = _within(els.where("tag = 'img'").select(*keys, "pos", attribute(token, "alt").alias("alt"), attribute(token, "src").alias("src")), cards, keys).groupBy(*keys, "span").agg(F.min(F.struct("pos", "alt", "src")).alias("img"))
-    pk = F.lit(None).cast("int")
-    for k, c in enumerate(PRICE_CLASSES):
-        pk = F.coalesce(pk, F.when(has_class(token, [c]), k))
-    pk = F.coalesce(pk, F.when(F.contains(_class(token), F.lit("price")), 9))
-    prices = _within(texts_within(els.withColumn("k", pk).where("k is not null").select(*keys, "pos", "end", "k"), texts, keys, "price_text").where(F.regexp_like("price_text", F.lit(r"\d"))), cards, keys)
-    prices = _first(prices, [*keys, "span"], "price_text", ["k", "pos"])
-    whole = texts_within(cards, texts, keys, "_all").select(*keys, F.col("pos").alias("span"), "_all")
-    out = linked.withColumnRenamed("card", "span").join(names, [*keys, "span"], "left").join(images, [*keys, "span"], "left").join(prices, [*keys, "span"], "left").join(whole, [*keys, "span"], "left")
-    low = F.lower("_all")
+    els, texts, base = F.col("els"), F.col("texts"), F.col("_base")
+    handle = lambda url: F.element_at(F.split(F.regexp_replace(url, "/+$", ""), "/"), -1)
+    link = lambda e: F.struct(*[e[c].alias(c) for c in ("pos", "end", "depth", "parent")], holds_one(e, CARD_NAMES).alias("own"), F.regexp_replace(resolve(base, attribute(e["token"], "href")), r"\?.*$", "").alias("url"))
+    rows = held(pages.select(*keys, F.col(url_col).alias("_base"), "els", "texts"), links=F.transform(F.filter(els, lambda e: (e["tag"] == "a") & F.contains(attribute(e["token"], "href"), F.lit("/products/"))), link))
+    # The rest is asked of pages with links to products.
+    asked = lambda x: F.when(F.size("links") > 0, x)
+    is_ = lambda e, a: e["tag"] == a[4:] if a[:4] == "tag:" else attribute(e["token"], "id") == a[3:] if a[:3] == "id:" else has_one(e, [a])
+    area = lambda a: first(els, lambda e: is_(e, a))
+    named = lambda e: F.coalesce(F.when(has_one(e, ["card__heading"]), 1), *[F.when(has_one(e, [c]), 2 + k) for k, c in enumerate(NAME_CLASSES)], F.when(e["tag"] == "h3", 10), F.when(e["tag"] == "h2", 11))
+    priced = lambda e: F.coalesce(*[F.when(has_one(e, [c]), k) for k, c in enumerate(PRICE_CLASSES)], F.when(F.contains(e["cls"], F.lit("price")), 9))
+    rows = held(
+        rows,
+        areas=asked(F.array_compact(F.array(*map(area, AREAS)))),
+        called=asked(F.transform(F.filter(els, lambda e: holds_one(e, CARD_NAMES)), lambda e: F.struct(*[e[c].alias(c) for c in ("pos", "end", "depth")]))),
+        headings=asked(F.transform(F.filter(els, lambda e: has_one(e, ["card__heading"])), span)),
+        images=asked(F.filter(els, lambda e: e["tag"] == "img")),
+    )
+    ranked = lambda rank, test: F.filter(F.transform(F.filter(F.transform(els, lambda e: F.struct(rank(e).alias("k"), e["pos"].alias("pos"), e["end"].alias("end"))), lambda x: x["k"].isNotNull()), lambda x: F.struct(x["k"].alias("k"), x["pos"].alias("pos"), text_inside(texts, x).alias("said"))), test)
+    rows = held(
+        rows, area=first("areas", lambda a: F.size(inside(F.col("links"), a)) > 0),
+        names=asked(ranked(lambda e: F.when((e["tag"] == "a") & innermost_of(F.col("headings"), e["pos"]).isNotNull(), 0).otherwise(named(e)), lambda x: x["said"] != "")),
+        prices=asked(ranked(priced, lambda x: F.regexp_like(x["said"], F.lit(r"\d")))),
+    )
+    rows = held(rows, links=F.transform(F.when(F.col("area").isNull(), F.col("links")).otherwise(inside(F.col("links"), F.col("area"))), lambda x: F.struct(x.alias("x"), handle(x["url"]).alias("handle"), F.when(x["own"], F.struct(*[x[c].alias(c) for c in ("pos", "end", "depth")])).otherwise(innermost_of(F.col("called"), x["pos"])).alias("card"))))
+    rows = held(rows, links=F.filter("links", lambda x, k: ~F.exists(F.slice("links", 1, k), lambda y: y["handle"] == x["handle"])))
+    near = lambda x: F.when(x["x"]["depth"] - x["card"]["depth"] <= 7, span(x["card"])).when(x["x"]["parent"].isNull(), span(x["x"])).otherwise(span(first(els, lambda e: e["pos"] == x["x"]["parent"])))
+    rows = held(rows, links=F.transform("links", lambda x: F.struct(x["x"]["url"].alias("url"), x["handle"].alias("handle"), near(x).alias("card"))))
+    best = lambda name, x: F.array_min(inside(F.col(name), x["card"]))["said"]
+    image = lambda x, a: F.get(F.transform(F.slice(inside(F.col("images"), x["card"]), 1, 1), lambda e: F.nullif(attribute(e["token"], a), F.lit(""))), F.lit(0))
+    whole = lambda x: F.nullif(text_inside(texts, x["card"]), F.lit(""))
+    facts = lambda x: F.struct(x["url"].alias("url"), x["handle"].alias("handle"), F.coalesce(best("names", x), image(x, "alt"), F.initcap(F.translate(x["handle"], "-", " "))).alias("name"), best("prices", x).alias("price_text"), image(x, "src").alias("image"), whole(x).alias("all"))
+    rows = held(rows, links=F.transform("links", facts))
+    own = F.lower(F.regexp_extract(base, "/collections/([^/?#]+)", 1))
+    kept = F.filter("links", lambda x: ~F.regexp_like(x["name"], F.lit(NO_PRODUCTS)) & (F.lower(x["handle"]) != own))
+    out = rows.select(*keys, F.posexplode(kept).alias("_k", "x")).select(*keys, "_k", "x.*")
+    low = F.lower(F.coalesce("all", F.lit("")))
     said = lambda *xs: F.exists(F.array(*map(F.lit, xs)), lambda x: F.contains(low, x))
-    price_text = F.coalesce("price_text", F.nullif(F.regexp_extract("_all", r"(?i)(?:Rs\.?|PKR|\$|£|€)\s?[\d,]+(?:\.\d+)?", 0), F.lit("")))
-    out = out.select(
-        *keys, "pos", "handle", F.coalesce("name", F.nullif("img.alt", F.lit("")), F.initcap(F.translate("handle", "-", " "))).alias("name"), "url", price_text.alias("price_text"),
-        F.replace(F.regexp_extract(price_text, r"[\d,]*\d(?:\.\d+)?", 0), F.lit(","), F.lit("")).try_cast("double").alias("price"),
-        F.when(said("out of stock", "sold out"), False).when(said("add to cart", "buy now", "choose options"), True).alias("in_stock"), F.nullif("img.src", F.lit("")).alias("image"), F.lower(F.regexp_extract("_base", "/collections/([^/?#]+)", 1)).alias("_own"),
+    out = out.withColumn("price_text", F.coalesce("price_text", F.nullif(F.regexp_extract("all", r"(?i)(?:Rs\.?|PKR|\$|£|€)\s?[\d,]+(?:\.\d+)?", 0), F.lit(""))))
+    return out.select(
+        *keys, (F.col("_k") + 1).alias("rank"), "handle", "name", "url", "price_text", F.replace(F.regexp_extract("price_text", r"[\d,]*\d(?:\.\d+)?", 0), F.lit(","), F.lit("")).try_cast("double").alias("price"),
+        F.when(said("out of stock", "sold out"), False).when(said("add to cart", "buy now", "choose options"), True).alias("in_stock"), "image",
     )
-    out = out.where(~F.regexp_like("name", F.lit(NO_PRODUCTS)) & (F.lower("handle") != F.col("_own")))
-    return out.select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy("pos")).alias("rank"), "handle", "name", "url", "price_text", "price", "in_stock", "image")
 
 
 def plan_cards(toks: DataFrame, els: DataFrame, keys: list[str], most: int = 8) -> DataFrame:

@@ -67,9 +67,7 @@ UNION ALL SELECT 'shop', p_partkey, 2, 'second-one', 'Second One', 'https://shop
 UNION ALL SELECT 'crawl', page_id, 1, '', '', '', '', 0.0, NULL, NULL FROM pages WHERE regexp_matches(html, '<a [^>]*/products/')""")
 def listing_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products of listings: the card around each link, its name, price and stock; badges are no products."""
-    pages = all_pages(spark, sf_dir)
-    toks, els = page_tables(pages, KEYS)
-    return P.product_cards(pages.select(*KEYS, "url"), toks, els, KEYS)
+    return P.cards_of(page_arrays(all_pages(spark, sf_dir)), KEYS)
 
 
 @query("""SELECT 'shop' AS origin, p_partkey AS id, x.rank, x.name, x.price_text, x.price, x.period, x.compare_at, x.features FROM (SELECT *, unnest([
