@@ -191,32 +191,47 @@ def cards_of(pages: DataFrame, keys: list[str], url_col: str = "url") -> DataFra
 
 
 def plan_cards(toks: DataFrame, els: DataFrame, keys: list[str], most: int = 8) -> DataFrame:
-    """Plans of a price table: keys, rank, name, price_text, price, period, compare_at, features; pages with a single card have none.
+    """plans_of() for the tables of pages."""
+    return plans_of(gathered(toks, els, keys), keys, most)
+
+
+def plans_of(pages: DataFrame, keys: list[str], most: int = 8) -> DataFrame:
+    """Plans of the price tables of pages (keys, els, texts): keys, rank, name, price_text, price, period, compare_at, features; pages with a single card have none.
 
     Cards are the outermost elements whose class names a plan and that state money.  What is struck
     out or called an old price is no price, and is a comparison only if it is higher.
     """
-    texts, token = text_table(toks, keys), F.col("token")
+    texts = F.col("texts")
     money = lambda x: F.nullif(F.regexp_extract(x, MONEY, 0), F.lit(""))
     amount = lambda x: F.replace(F.regexp_extract(x, r"\d[\d,]*(?:\.\d+)?", 0), F.lit(","), F.lit("")).try_cast("double")
-    cards = texts_within(els.where(F.regexp_like(_class(token), F.lit(PLAN_CLASS))).select(*keys, "pos", "end"), texts, keys, "all").where((F.length("all") <= 2500) & money(F.col("all")).isNotNull())
-    cards = innermost(cards, cards.select(*keys, "pos", "end"), keys, "_in").where("_in is null").drop("_in")
-    titles = els.withColumn("k", F.when(F.regexp_like(_class(token), F.lit(PLAN_TITLE)), 0).when(F.col("tag").isin("h2", "h3", "h4", "h5", "h6"), 1)).where("k is not null").select(*keys, "pos", "end", "k")
-    names = _within(texts_within(titles, texts, keys, "name"), cards, keys)
+    called = lambda e, pattern: F.regexp_like(e["cls"], F.lit(pattern))
+    said = lambda e: F.struct(e["pos"].alias("pos"), e["end"].alias("end"), text_inside(texts, e).alias("said"))
+    cards = F.filter(F.transform(F.filter("els", lambda e: called(e, PLAN_CLASS)), said), lambda c: (F.length(c["said"]) <= 2500) & money(c["said"]).isNotNull())
+    rows = held(pages.select(*keys, "els", "texts"), cards=cards)
+    # A card alone is none, so the rest is asked of pages with two at least.
+    rows = held(rows, cards=F.filter("cards", lambda c: innermost_of(F.col("cards"), c["pos"]).isNull()))
+    some = lambda test: F.when(F.size("cards") >= 2, F.transform(F.filter("els", test), said))
+    title = lambda e: called(e, PLAN_TITLE)
+    old = lambda e: called(e, PLAN_OLD)
+    priced = lambda xs: F.filter(xs, lambda x: money(x["said"]).isNotNull())
+    rows = held(
+        rows, titles=some(title), heads=some(lambda e: ~title(e) & e["tag"].isin("h2", "h3", "h4", "h5", "h6")),
+        old=priced(some(old)), struck=priced(some(lambda e: ~old(e) & e["tag"].isin("del", "s", "strike"))), lis=some(lambda e: e["tag"] == "li"),
+    )
     # Only the first element that is called a title counts, and it must do for one.
-    names = names.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "span", "k").orderBy("pos"))).where("k = 1 or _n = 1").where((F.length("name") <= 60) & money(F.col("name")).isNull())
-    names = _first(names, [*keys, "span"], "name", ["k", "pos"])
-    old = els.withColumn("k", F.when(F.regexp_like(_class(token), F.lit(PLAN_OLD)), 0).when(F.col("tag").isin("del", "s", "strike"), 1)).where("k is not null").select(*keys, "pos", "end", "k")
-    old = _within(texts_within(old, texts, keys, "old").where(money(F.col("old")).isNotNull()), cards, keys).groupBy(*keys, "span").agg(F.min(F.struct("k", "pos", "end", "old")).alias("o"))
-    rest = _within(texts, cards, keys).join(old, [*keys, "span"], "left").where("o is null or pos < o.pos or pos > o.end")
-    rest = rest.groupBy(*keys, "span").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("rest"))
-    items = _within(texts_within(els.where("tag = 'li'").select(*keys, "pos", "end"), texts, keys, "li"), cards, keys).withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "span").orderBy("pos"))).where("_n <= 10 and li <> '' and length(li) <= 160")
-    items = items.groupBy(*keys, "span").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "li"))), lambda x: x["li"]).alias("features"))
-    out = cards.withColumnRenamed("pos", "span").join(names, [*keys, "span"]).join(rest, [*keys, "span"]).join(old, [*keys, "span"], "left").join(items, [*keys, "span"], "left").withColumn("price_text", money(F.col("rest"))).where("price_text is not null")
-    out = out.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, F.lower("name")).orderBy("span"))).where("_n = 1").withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("span"))).withColumn("_all", F.count("*").over(Window.partitionBy(*keys))).where(f"_all >= 2 and rank <= {most}")
-    was = amount(money(F.col("o.old")))
-    period = F.nullif(F.lower(F.regexp_extract("all", PLAN_PERIOD, 1)), F.lit(""))
-    return out.select(*keys, "rank", "name", "price_text", amount(F.col("price_text")).alias("price"), F.concat(F.lit("/"), period).alias("period"), F.when(was > amount(F.col("price_text")), was).alias("compare_at"), F.coalesce("features", F.array().cast("array<string>")).alias("features"))
+    does = lambda x: (x["said"] != "") & (F.length(x["said"]) <= 60) & money(x["said"]).isNull()
+    name = lambda c: F.coalesce(first(F.slice(inside(F.col("titles"), c), 1, 1), does)["said"], first(inside(F.col("heads"), c), does)["said"])
+    was = lambda c: F.coalesce(first(inside(F.col("old"), c)), first(inside(F.col("struck"), c)))
+    items = lambda c: F.filter(F.transform(F.slice(inside(F.col("lis"), c), 1, 10), lambda x: x["said"]), lambda x: (x != "") & (F.length(x) <= 160))
+    rows = held(rows, cards=F.when(F.size("cards") >= 2, F.transform("cards", lambda c: F.struct(c["pos"].alias("pos"), c["end"].alias("end"), c["said"].alias("said"), name(c).alias("name"), was(c).alias("o"), items(c).alias("features")))))
+    rest = lambda c: F.array_join(F.transform(F.filter(inside(texts, c), lambda t: c["o"].isNull() | (t["pos"] < c["o"]["pos"]) | (t["pos"] > c["o"]["end"])), lambda t: t["text"]), " ")
+    rows = held(rows, cards=F.transform("cards", lambda c: F.struct(*[c[x].alias(x) for x in ("said", "name", "features")], c["o"]["said"].alias("old"), money(rest(c)).alias("price_text"))))
+    rows = held(rows, cards=F.filter("cards", lambda c: c["name"].isNotNull() & c["price_text"].isNotNull()))
+    rows = held(rows, cards=F.filter("cards", lambda c, k: ~F.exists(F.slice("cards", 1, k), lambda o: F.lower(o["name"]) == F.lower(c["name"]))))
+    out = rows.select(*keys, F.posexplode(F.when(F.size("cards") >= 2, F.slice("cards", 1, most))).alias("_k", "c"))
+    price, compared = amount(F.col("c.price_text")), amount(money(F.col("c.old")))
+    period = F.nullif(F.lower(F.regexp_extract("c.said", PLAN_PERIOD, 1)), F.lit(""))
+    return out.select(*keys, (F.col("_k") + 1).alias("rank"), "c.name", "c.price_text", price.alias("price"), F.concat(F.lit("/"), period).alias("period"), F.when(compared > price, compared).alias("compare_at"), "c.features")
 
 
 def folded_sections(toks: DataFrame, els: DataFrame, keys: list[str]) -> DataFrame:

@@ -76,8 +76,7 @@ FROM part WHERE p_partkey % 5 <> 0)
 UNION ALL SELECT 'crawl', page_id, 1, '', '', 0.0, '', 0.0, '' FROM pages WHERE regexp_matches(html, 'class="[^"]*(plan|pricing|tier|package)')""")
 def outer_plan_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plans of price tables by their outermost cards, whatever is nested in them."""
-    toks, els = page_tables(all_pages(spark, sf_dir), KEYS)
-    return P.plan_cards(toks, els, KEYS).withColumn("features", F.array_join("features", "; "))
+    return P.plans_of(page_arrays(all_pages(spark, sf_dir)), KEYS).withColumn("features", F.array_join("features", "; "))
 
 
 @query("""SELECT 'shop' AS origin, p_partkey AS id, x.strategy, x.title, x.content, x.items FROM (SELECT *, unnest([

@@ -143,7 +143,7 @@ def test_tables_in_place_equal_windows(spark):
     assert "Exchange" not in page_rows(df.coalesce(1), ["page"])._jdf.queryExecution().executedPlan().toString().split("Coalesce")[0]
 
 
-@pytest.mark.parametrize("name", ["menu_paths", "listing_cards"])
+@pytest.mark.parametrize("name", ["menu_paths", "listing_cards", "outer_plan_cards"])
 def test_parts_are_sought_within_the_row_of_a_page(spark, name):
     from shelfscope import registry
 
