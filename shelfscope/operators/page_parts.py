@@ -1,16 +1,18 @@
 """Parts of shop pages from the element table: menus, product cards, plan cards, folded sections.
 
-Each function takes tokens() and element_table() of the same pages; all joins are by page.
+Each part is an expression over the arrays of a page's elements and texts, so it is found in the row
+of the page; menu_items() and its like take tokens() and element_table() of pages and gather them first.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import resolve
-from ..sources.files import checkpointed
-from .elements import attribute, class_holds, first, gathered, has_attribute, has_class, has_one, held, holds_one, innermost, innermost_of, inside, span, text_inside, text_table, texts_within
+from .elements import attribute, first, gathered, has_attribute, has_one, held, holds_one, innermost_of, inside, span, text_inside
 
 # What names a menu, the paths of categories, and those of pages that are none.
 MENU_CLASSES = ["header__inline-menu", "site-nav", "main-menu", "main-navigation", "primary-menu", "navmenu"]
@@ -37,10 +39,6 @@ SECTION_WORDS = "ingredient benefit direction usage instruction feature highligh
 HEADS = ["summary", "button", "h1", "h2", "h3", "h4", "h5", "h6"]
 
 
-def _class(token: Column) -> Column:
-    return attribute(token, "class")
-
-
 def _bare(url: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(url, "[?#].*$", ""), "/+$", ""))
 
@@ -57,16 +55,6 @@ def is_category(url: Column, base: Column, permissive: Column) -> Column:
     return F.exists(F.array(*map(F.lit, CATEGORY_PATHS)), lambda p: F.contains(low, p)) | (permissive & root)
 
 
-def _within(inner: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``inner`` (keys, pos, ...) by each span (keys, pos, end) around them: keys, span, and the columns of inner."""
-    return inner.join(spans.select(*keys, F.col("pos").alias("span"), F.col("end").alias("_upto")), keys).where("pos > span and pos < _upto").drop("_upto")
-
-
-def _first(rows: DataFrame, by: list[str], value: str, order: list[str]) -> DataFrame:
-    """The first value that is not empty, by group."""
-    return rows.where(F.col(value) != "").groupBy(*by).agg(F.min(F.struct(*order, value)).alias("_b")).select(*by, F.col(f"_b.{value}").alias(value))
-
-
 def menu_items(pages: DataFrame, toks: DataFrame, els: DataFrame, keys: list[str], url_col: str = "url") -> DataFrame:
     """menus_of() for the tables of pages."""
     return menus_of(pages.select(*keys, url_col).join(gathered(toks, els, keys), keys), keys, url_col)
@@ -235,80 +223,95 @@ def plans_of(pages: DataFrame, keys: list[str], most: int = 8) -> DataFrame:
 
 
 def folded_sections(toks: DataFrame, els: DataFrame, keys: list[str]) -> DataFrame:
-    """Sections that fold open: keys, strategy (1 to 6), title, content (null below ten letters), items; of equal titles the first.
+    """sections_of() for the tables of pages."""
+    return sections_of(gathered(toks, els, keys), keys)
+
+
+def sections_of(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """Sections that fold open, of pages (keys, els, texts): keys, strategy (1 to 6), title, content (null below ten letters), items; of equal titles the first.
 
     1: details with summary; 2: accordion items; 3: collapsibles and disclosures; 4: tab panels, named
     by what controls them; 5: widgets of page builders; 6: headings in product texts, up to the next one.
     """
-    texts, token, cls = text_table(toks, keys), F.col("token"), _class(F.col("token"))
-    holds = lambda *parts: class_holds(token, list(parts))
-    heads = texts_within(els.where(F.col("tag").isin(HEADS)).select(*keys, "pos", "end", F.array_position(F.array(*map(F.lit, HEADS)), F.col("tag")).alias("k")), texts, keys, "title")
-
-    def titled(spans: DataFrame) -> DataFrame:
-        """title by the first heading in the span, its data, or its id."""
-        found = _within(heads, spans, keys)
-        found = found.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "span", "k").orderBy("pos"))).where("_n = 1")
-        found = _first(found, [*keys, "span"], "title", ["k"]).withColumnRenamed("span", "pos")
-        data = F.coalesce(*[F.nullif(F.trim(attribute(token, a)), F.lit("")) for a in ("data-title", "data-tab-title", "data-label", "data-tab", "aria-label")], F.nullif(F.initcap(F.trim(F.translate(attribute(token, "id"), "-_", "  "))), F.lit("")))
-        return spans.join(found, [*keys, "pos"], "left").withColumn("title", F.coalesce("title", data))
-
-    def part(spans: DataFrame, ranked: Column, name: str, within: DataFrame) -> DataFrame:
-        """The first element by rank in each span: keys, pos (of the span), name: struct(pos, end)."""
-        inner = within.withColumn("k", ranked).where("k is not null").select(*keys, "pos", "end", "k")
-        return _within(inner, spans, keys).groupBy(*keys, F.col("span")).agg(F.min(F.struct("k", "pos", "end")).alias(name)).withColumnRenamed("span", "pos")
-
-    def entries(strategy: int, spans: DataFrame, title: Column | None, body: Column | None, within: DataFrame = els) -> DataFrame:
-        """strategy, at, title, from, upto."""
-        spans = titled(spans)
-        if title is not None:
-            own = part(spans, title, "_t", within).select(*keys, F.col("pos").alias("_of"), F.col("_t.pos").alias("pos"), F.col("_t.end").alias("end"))
-            own = texts_within(own, texts, keys, "_own").select(*keys, F.col("_of").alias("pos"), "_own")
-            spans = spans.join(own, [*keys, "pos"], "left").withColumn("title", F.coalesce(F.nullif("_own", F.lit("")), "title"))
-        where = F.struct("pos", "end")
-        if body is not None:
-            spans = spans.join(part(spans, body, "_b", within), [*keys, "pos"], "left")
-            where = F.when(F.col("_b").isNotNull(), F.struct(F.col("_b.pos").alias("pos"), F.col("_b.end").alias("end"))).otherwise(where)
-        return spans.select(*keys, F.lit(strategy).alias("strategy"), F.col("pos").alias("at"), "title", where.alias("body"))
-
-    tag_is = lambda *tags: F.col("tag").isin(*tags)
-    one = entries(1, part(els.where("tag = 'details'"), F.when(tag_is("summary"), 0), "_s", els).select(*keys, "pos").join(els, [*keys, "pos"]), F.when(tag_is("summary"), 0), None)
-    header = els.where(has_class(token, ["accordion-header"])).select(*keys, "pos", "end")
-    in_header = innermost(els.where("tag = 'button'").select(*keys, "pos"), header, keys, "_h").where("_h is not null").select(*keys, "pos", F.lit(True).alias("headed"))
-    marked = els.join(in_header, [*keys, "pos"], "left")
-    button = F.when(holds("accordion-button"), 0).when(holds("accordion__button"), 1).when(F.col("headed"), 2)
-    body = F.when(has_class(token, ["accordion-collapse"]), 0).when(has_class(token, ["accordion-body"]), 1).when(has_class(token, ["accordion__content"]), 2).when(holds("accordion-body", "accordion-collapse", "accordion__content"), 3)
-    two = entries(2, els.where(holds("accordion-item", "accordion__item")), button, body, marked)
-    content = F.when(holds("collapsible-content"), 0).when(has_class(token, ["product__accordion", "product__tab-content", "product-accordion"]), 1).when(has_attribute(token, "data-accordion-content") | has_attribute(token, "data-collapsible-content"), 2).when(holds("product__accordion"), 3).when(has_class(token, ["disclosure__list-item", "disclosure__panel"]), 4)
-    three = entries(3, els.where(has_class(token, ["collapsible", "disclosure"]) | has_attribute(token, "data-accordion") | holds("product__accordion-item", "collapsible-item")), None, content)
-    panels = els.where((F.lower(attribute(token, "role")) == "tabpanel") | holds("tab-pane", "tabs__pane"))
-    four = entries(4, panels, None, None)
-    ids = panels.select(*keys, F.col("pos").alias("at"), F.explode(F.array(F.coalesce(F.nullif(attribute(token, "id"), F.lit("")), F.nullif(attribute(token, "aria-labelledby"), F.lit(""))))).alias("_ref")).where("_ref is not null")
-    refs = els.select(*keys, "pos", "end", F.explode(F.array(F.struct(F.lit(0).alias("k"), attribute(token, "aria-controls").alias("id")), F.struct(F.lit(1).alias("k"), F.regexp_extract(attribute(token, "data-target"), "^#(.+)", 1).alias("id")), F.struct(F.lit(2).alias("k"), F.regexp_extract(attribute(token, "href"), "^#(.+)", 1).alias("id")), F.struct(F.lit(3).alias("k"), F.regexp_extract(attribute(token, "data-bs-target"), "^#(.+)", 1).alias("id")))).alias("r")).where("r.id <> ''")
-    tabs = ids.join(refs.select(*keys, "pos", "end", F.col("r.k").alias("k"), F.col("r.id").alias("_ref")), [*keys, "_ref"]).groupBy(*keys, "at").agg(F.min(F.struct("k", "pos", "end")).alias("x")).select(*keys, "at", F.col("x.pos").alias("pos"), F.col("x.end").alias("end"))
-    tabs = texts_within(tabs, texts, keys, "tab").select(*keys, "at", "tab")
-    four = four.join(tabs, [*keys, "at"], "left").withColumn("title", F.coalesce(F.nullif("tab", F.lit("")), "title")).drop("tab")
-    five = entries(5, els.where(holds("elementor-accordion-item") | has_class(token, ["elementor-toggle-item"])), F.when(has_class(token, ["elementor-accordion-title"]), 0).when(has_class(token, ["elementor-toggle-title"]), 1).when(holds("accordion-title"), 2), F.when(has_class(token, ["elementor-accordion-content"]), 0).when(has_class(token, ["elementor-toggle-content"]), 1).when(holds("accordion-content"), 2))
-    rte = els.where(has_class(token, ["rte"])).select(*keys, F.col("pos").alias("parent"))
-    direct = els.where(tag_is("h2", "h3", "h4")).join(rte, [*keys, "parent"], "left_semi")
-    described = innermost(els.where(tag_is("h3", "h4")), els.where(holds("product-info") | has_class(token, ["product-details"])).select(*keys, "pos", "end"), keys, "_p").where("_p is not null").drop("_p")
-    sectioned = innermost(els.where(F.contains(cls, F.lit("section"))), els.where(has_class(token, ["product-description", "product__description"])).select(*keys, "pos", "end"), keys, "_p").where("_p is not null").drop("_p")
-    texted = texts_within(direct.unionByName(described).unionByName(sectioned).select(*keys, "pos", "end", "parent").distinct(), texts, keys, "title")
-    texted = texted.where((F.length("title") <= 100) & F.exists(F.array(*map(F.lit, SECTION_WORDS)), lambda w: F.contains(F.lower(F.col("title")), w)))
-    siblings = els.where(F.col("tag").isin("h1", "h2", "h3", "h4", "h5", "h6")).select(*keys, F.col("pos").alias("_next"), F.coalesce("parent", F.lit(-1)).alias("_p"))
-    after = texted.withColumn("_p", F.coalesce("parent", F.lit(-1))).join(siblings, [*keys, "_p"], "left").groupBy(*keys, "pos", "end", "title", "parent").agg(F.min(F.when(F.col("_next") > F.col("pos"), F.col("_next"))).alias("_next"))
-    edges = els.select(*keys, F.col("pos").alias("parent"), F.col("end").alias("_edge"))
-    after = after.join(edges, [*keys, "parent"], "left").select(*keys, F.lit(6).alias("strategy"), F.col("pos").alias("at"), "title", F.struct(F.col("end").alias("pos"), F.coalesce("_next", "_edge", F.lit(1 << 30)).cast("int").alias("end")).alias("body"))
-    rows = one.unionByName(two).unionByName(three).unionByName(four).unionByName(five).unionByName(after).where(F.length(F.trim("title")).between(3, 120))
-
-    # Texts of headings within a body are no content; after a heading (6) those of lists are items only.
-    out_ = innermost(texts, els.where(F.col("tag").isin(HEADS)).select(*keys, "pos", "end"), keys, "_h")
-    out_ = innermost(out_, els.where("tag in ('ul', 'ol')").select(*keys, "pos", "end"), keys, "_l").where("_h is null").select(*keys, F.col("pos").alias("_at"), "text", F.col("_l").isNotNull().alias("listed"))
-    spans = rows.select(*keys, "strategy", "at", F.col("body.pos").alias("pos"), F.col("body.end").alias("end"))
-    inner = spans.join(out_, keys).where("_at > pos and _at < end").groupBy(*keys, "strategy", "at").agg(F.array_sort(F.collect_list(F.when(~F.col("listed") | (F.col("strategy") < 6), F.struct("_at", "text")))).alias("c"))
-    inner = inner.select(*keys, "strategy", "at", F.array_join(F.transform("c", lambda x: x["text"]), " ").alias("content"))
-    lis = texts_within(els.where("tag = 'li'").select(*keys, "pos", "end"), texts, keys, "li").where("li <> ''").select(*keys, F.col("pos").alias("_at"), "li")
-    lis = spans.join(lis, keys).where("_at > pos and _at < end and (strategy = 6 or length(li) >= 5)").groupBy(*keys, "strategy", "at").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "li"))), lambda x: x["li"]).alias("items"))
-    rows = rows.join(inner, [*keys, "strategy", "at"], "left").join(lis, [*keys, "strategy", "at"], "left")
-    rows = rows.withColumns({"content": F.when((F.length("content") >= 10) | ((F.col("strategy") == 6) & (F.col("content") != "")), F.col("content")), "items": F.coalesce("items", F.array().cast("array<string>"))}).where("content is not null or size(items) > 0")
-    first = Window.partitionBy(*keys, F.lower(F.trim("title"))).orderBy("strategy", "at")
-    return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*keys, "strategy", "at", "title", "content", "items")
+    els, texts = F.col("els"), F.col("texts")
+    tag_is = lambda e, *tags: e["tag"].isin(*tags)
+    holds = lambda e, *parts: holds_one(e, list(parts))
+    one_of = lambda e, *names: has_one(e, list(names))
+    spans = lambda test: F.transform(F.filter(els, test), span)
+    filled = lambda x: F.nullif(x, F.lit(""))
+    said = lambda x: text_inside(texts, x)
+
+    def ranked(rank: Callable[[Column], Column]) -> Column:
+        """Elements that have a rank, as struct(k, pos, end)."""
+        return F.filter(F.transform(els, lambda e: F.struct(rank(e).alias("k"), e["pos"].alias("pos"), e["end"].alias("end"))), lambda x: x["k"].isNotNull())
+
+    rows = held(
+        pages.select(*keys, "els", "texts"),
+        heads=F.transform(F.filter(els, lambda e: tag_is(e, *HEADS)), lambda e: F.struct(e["pos"].alias("pos"), e["end"].alias("end"), e["tag"].alias("tag"), said(e).alias("said"))),
+        headers=spans(lambda e: one_of(e, "accordion-header")),
+        listed=spans(lambda e: tag_is(e, "ul", "ol")),
+        lis=F.filter(F.transform(F.filter(els, lambda e: tag_is(e, "li")), lambda e: F.struct(e["pos"].alias("pos"), said(e).alias("said"))), lambda x: x["said"] != ""),
+        refs=F.flatten(F.transform(els, lambda e: F.array(*[F.struct(F.lit(k).alias("k"), e["pos"].alias("pos"), e["end"].alias("end"), to.alias("id")) for k, to in enumerate([attribute(e["token"], "aria-controls"), *[F.regexp_extract(attribute(e["token"], a), "^#(.+)", 1) for a in ("data-target", "href", "data-bs-target")]])]))),
+        rte=spans(lambda e: one_of(e, "rte")),
+        product=spans(lambda e: holds(e, "product-info") | one_of(e, "product-details")),
+        description=spans(lambda e: one_of(e, "product-description", "product__description")),
+        summaries=ranked(lambda e: F.when(tag_is(e, "summary"), 0)),
+    )
+    rows = held(
+        rows,
+        refs=F.filter("refs", lambda r: r["id"] != ""),
+        # Texts of headings within a body are no content; after a heading (6) those of lists are items only.
+        free=F.transform(F.filter("texts", lambda t: innermost_of(F.col("heads"), t["pos"]).isNull()), lambda t: F.struct(t["pos"].alias("pos"), t["text"].alias("text"), innermost_of(F.col("listed"), t["pos"]).isNotNull().alias("listed"))),
+        buttons=ranked(lambda e: F.when(holds(e, "accordion-button"), 0).when(holds(e, "accordion__button"), 1).when(tag_is(e, "button") & innermost_of(F.col("headers"), e["pos"]).isNotNull(), 2)),
+        bodies=ranked(lambda e: F.when(one_of(e, "accordion-collapse"), 0).when(one_of(e, "accordion-body"), 1).when(one_of(e, "accordion__content"), 2).when(holds(e, "accordion-body", "accordion-collapse", "accordion__content"), 3)),
+        contents=ranked(lambda e: F.when(holds(e, "collapsible-content"), 0).when(one_of(e, "product__accordion", "product__tab-content", "product-accordion"), 1).when(has_attribute(e["token"], "data-accordion-content") | has_attribute(e["token"], "data-collapsible-content"), 2).when(holds(e, "product__accordion"), 3).when(one_of(e, "disclosure__list-item", "disclosure__panel"), 4)),
+        widget_titles=ranked(lambda e: F.when(one_of(e, "elementor-accordion-title"), 0).when(one_of(e, "elementor-toggle-title"), 1).when(holds(e, "accordion-title"), 2)),
+        widget_bodies=ranked(lambda e: F.when(one_of(e, "elementor-accordion-content"), 0).when(one_of(e, "elementor-toggle-content"), 1).when(holds(e, "accordion-content"), 2)),
+    )
+    part = lambda name, e: F.array_min(inside(F.col(name), e))
+
+    def titled(e: Column) -> Column:
+        """The first heading in an element by the order of HEADS, its data, or its id."""
+        data = [filled(F.trim(attribute(e["token"], a))) for a in ("data-title", "data-tab-title", "data-label", "data-tab", "aria-label")]
+        inner = inside(F.col("heads"), e)
+        return F.coalesce(*[filled(first(inner, lambda h: h["tag"] == tag)["said"]) for tag in HEADS], *data, filled(F.initcap(F.trim(F.translate(attribute(e["token"], "id"), "-_", "  ")))))
+
+    def named(e: Column, name: str) -> Column:
+        return F.when(part(name, e).isNotNull(), filled(said(part(name, e))))
+
+    def entries(strategy: int, test: Callable[[Column], Column], title: Callable[[Column], Column] | None, body: str | None) -> Column:
+        """strategy, at, title, body."""
+        entry = lambda e: F.struct(F.lit(strategy).alias("strategy"), e["pos"].alias("at"), (F.coalesce(title(e), titled(e)) if title else titled(e)).alias("title"), (F.coalesce(F.when(part(body, e).isNotNull(), span(part(body, e))), span(e)) if body else span(e)).alias("body"))
+        return F.transform(F.filter(els, test), entry)
+
+    def controlled(e: Column) -> Column:
+        """The text of what controls a tab panel."""
+        own = F.coalesce(filled(attribute(e["token"], "id")), filled(attribute(e["token"], "aria-labelledby")))
+        ref = F.array_min(F.filter("refs", lambda r: r["id"] == own))
+        return F.when(ref.isNotNull(), filled(said(ref)))
+
+    below = lambda e: e["parent"].isNotNull() & F.exists("rte", lambda r: r["pos"] == e["parent"])
+    described = lambda e: (tag_is(e, "h2", "h3", "h4") & below(e)) | (tag_is(e, "h3", "h4") & innermost_of(F.col("product"), e["pos"]).isNotNull()) | (F.contains(e["cls"], F.lit("section")) & innermost_of(F.col("description"), e["pos"]).isNotNull())
+    texted = F.transform(F.filter(els, described), lambda e: F.struct(*[e[c].alias(c) for c in ("pos", "end", "parent")], said(e).alias("said")))
+    texted = F.filter(texted, lambda x: (F.length(x["said"]) <= 100) & F.exists(F.array(*map(F.lit, SECTION_WORDS)), lambda w: F.contains(F.lower(x["said"]), w)))
+    after = lambda x: first(els, lambda e: tag_is(e, "h1", "h2", "h3", "h4", "h5", "h6") & (e["pos"] > x["pos"]) & e["parent"].eqNullSafe(x["parent"]))["pos"]
+    edge = lambda x: first(els, lambda e: e["pos"] == x["parent"])["end"]
+    upto = lambda x: F.struct(x["end"].alias("pos"), F.coalesce(after(x), edge(x), F.lit(1 << 30)).alias("end"))
+    every = F.concat(
+        entries(1, lambda e: tag_is(e, "details") & part("summaries", e).isNotNull(), lambda e: named(e, "summaries"), None),
+        entries(2, lambda e: holds(e, "accordion-item", "accordion__item"), lambda e: named(e, "buttons"), "bodies"),
+        entries(3, lambda e: one_of(e, "collapsible", "disclosure") | has_attribute(e["token"], "data-accordion") | holds(e, "product__accordion-item", "collapsible-item"), None, "contents"),
+        entries(4, lambda e: (F.lower(attribute(e["token"], "role")) == "tabpanel") | holds(e, "tab-pane", "tabs__pane"), controlled, None),
+        entries(5, lambda e: holds(e, "elementor-accordion-item") | one_of(e, "elementor-toggle-item"), lambda e: named(e, "widget_titles"), "widget_bodies"),
+        F.transform(texted, lambda x: F.struct(F.lit(6).alias("strategy"), x["pos"].alias("at"), x["said"].alias("title"), upto(x).alias("body"))),
+    )
+    rows = held(rows, every=F.filter(every, lambda x: F.length(F.trim(x["title"])).between(3, 120)))
+    content = lambda x: F.array_join(F.transform(F.filter(inside(F.col("free"), x["body"]), lambda t: ~t["listed"] | (x["strategy"] < 6)), lambda t: t["text"]), " ")
+    items = lambda x: F.transform(F.filter(inside(F.col("lis"), x["body"]), lambda i: (x["strategy"] == 6) | (F.length(i["said"]) >= 5)), lambda i: i["said"])
+    own = ("strategy", "at", "title")
+    rows = held(rows, every=F.transform("every", lambda x: F.struct(*[x[c].alias(c) for c in own], content(x).alias("content"), items(x).alias("items"))))
+    does = lambda x: (F.length(x["content"]) >= 10) | ((x["strategy"] == 6) & (x["content"] != ""))
+    rows = held(rows, every=F.filter(F.transform("every", lambda x: F.struct(*[x[c].alias(c) for c in own], F.when(does(x), x["content"]).alias("content"), x["items"].alias("items"))), lambda x: x["content"].isNotNull() | (F.size(x["items"]) > 0)))
+    key = lambda x: F.lower(F.trim(x["title"]))
+    once = F.filter("every", lambda x, k: ~F.exists(F.slice("every", 1, k), lambda y: key(y) == key(x)))
+    return rows.select(*keys, F.inline(once))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import page_parts as P
-from ..operators.elements import elements_of, page_arrays, page_rows, page_tables
+from ..operators.elements import elements_of, page_arrays, page_rows
 from ..registry import query
 from ..sources.catalog import spread, table
 
@@ -86,6 +86,5 @@ def outer_plan_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT 'crawl', page_id, 1, '', '', '' FROM pages WHERE regexp_matches(html, '<details|accordion|collapsible|tabpanel|class="rte')""")
 def folded_page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections that fold open, by six ways of marking them, with their text and list items."""
-    toks, els = page_tables(all_pages(spark, sf_dir), KEYS)
-    found = P.folded_sections(toks, els, KEYS)
+    found = P.sections_of(page_arrays(all_pages(spark, sf_dir)), KEYS)
     return found.select(*KEYS, "strategy", "title", "content", F.array_join("items", "; ").alias("items"))

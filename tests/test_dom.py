@@ -143,7 +143,7 @@ def test_tables_in_place_equal_windows(spark):
     assert "Exchange" not in page_rows(df.coalesce(1), ["page"])._jdf.queryExecution().executedPlan().toString().split("Coalesce")[0]
 
 
-@pytest.mark.parametrize("name", ["menu_paths", "listing_cards", "outer_plan_cards"])
+@pytest.mark.parametrize("name", ["menu_paths", "listing_cards", "outer_plan_cards", "folded_page_sections"])
 def test_parts_are_sought_within_the_row_of_a_page(spark, name):
     from shelfscope import registry
 
@@ -160,3 +160,9 @@ def test_arrays_of_pages_equal_their_tables(spark):
     toks, els = page_tables(df, ["page"])
     names = ["page", "els", "texts"]
     assert sorted(map(str, page_arrays(df).select(names).collect())) == sorted(map(str, gathered(toks, els, ["page"]).select(names).collect()))
+
+
+def test_elements_with_one_title_do_not_double_it(spark):
+    df = spark.createDataFrame([(1, "<details><details><summary>Title one</summary><p>enough of content</p></details></details>")], "page long, html string")
+    got = P.folded_sections(*page_tables(df, ["page"]), ["page"]).collect()
+    assert [(r["at"], r["title"], r["content"]) for r in got] == [(0, "Title one", "enough of content")]
