@@ -49,3 +49,11 @@ def test_changes_of_reports(spark):
     got = {(r["k"], r["path"]): (r["change"], r["old"], r["new"]) for r in report_changes(frame(old), frame(new), ["k"], "j", ("id",)).collect()}
     assert got == {(1, "/l/[y]/p"): ("changed", "2", "3"), (1, "/l/[z]/id"): ("added", None, "z"), (1, "/gone"): ("removed", None, None), (1, "/more"): ("added", None, "true")}
     assert report_changes(frame(old).limit(0), frame(new).limit(0), ["k"], "j", ()).count() == 0
+
+
+def test_reports_are_built_and_walked_once(spark):
+    from shelfscope import registry
+
+    plan = registry.queries()["yearly_report_changes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # One scan of each table; changes are found where the pair of reports lies.
+    assert plan.count("FileScan") == 2 and plan.count("Exchange hashpartitioning") == 3
