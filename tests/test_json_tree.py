@@ -57,3 +57,10 @@ def test_reports_are_built_and_walked_once(spark):
     plan = registry.queries()["yearly_report_changes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     # One scan of each table; changes are found where the pair of reports lies.
     assert plan.count("FileScan") == 2 and plan.count("Exchange hashpartitioning") == 3
+
+
+def test_diffs_of_reports_shuffle_reports_by_key_only(spark):
+    from shelfscope import registry
+
+    plan = registry.queries()["comparison_diffs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and "SortMergeJoin" not in plan
