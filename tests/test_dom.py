@@ -166,3 +166,10 @@ def test_elements_with_one_title_do_not_double_it(spark):
     df = spark.createDataFrame([(1, "<details><details><summary>Title one</summary><p>enough of content</p></details></details>")], "page long, html string")
     got = P.folded_sections(*page_tables(df, ["page"]), ["page"]).collect()
     assert [(r["at"], r["title"], r["content"]) for r in got] == [(0, "Title one", "enough of content")]
+
+
+def test_harvested_menus_write_no_tables_of_pages(spark):
+    from shelfscope import registry
+
+    plan = registry.queries()["harvested_menu"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "Window" not in plan
