@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markup as M
 from ..registry import query
-from ..sources.catalog import table
+from ..sources.catalog import spread, table
 
 #: A page by part, in SQL that both engines read.
 _K = "cast(p_partkey AS varchar(20))"
@@ -31,7 +31,7 @@ PAGE_SQL = f"""'<html lang="en"><head><title>' || p_name || ' | Shop</title><met
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """part, html."""
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.expr(PAGE_SQL).alias("html"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("part"), F.expr(PAGE_SQL).alias("html"))
 
 
 @query("""SELECT p_partkey AS part, p_name || ' | Shop' AS title, 'Buy ' || p_name || ' by ' || p_brand AS description, CASE WHEN p_partkey % 4 <> 0 THEN 'https://shop.example/p/' || p_partkey END AS canonical, p_name AS h1,

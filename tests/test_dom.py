@@ -173,3 +173,9 @@ def test_harvested_menus_write_no_tables_of_pages(spark):
 
     plan = registry.queries()["harvested_menu"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "ExistingRDD" not in plan and "Window" not in plan
+
+
+def test_shop_pages_are_dealt_out_before_they_are_read(spark):
+    from shelfscope.plans.markup import pages
+
+    assert "RepartitionByExpression" in pages(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
