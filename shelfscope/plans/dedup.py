@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.elements import held
 from ..operators.provenance import survivors, united
 from ..registry import query
 from ..sources.catalog import CATALOG_SQL, catalog, rnd, table
@@ -95,13 +96,11 @@ def merge_unique_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Done within the row: nothing is exploded or shuffled.
     """
-    words = F.filter(F.split("text", " "), lambda w: w != "")
-    numbered = F.transform(words, lambda w, i: F.struct(F.lower(w).alias("k"), i.alias("i"), w.alias("w")))
-    keys = F.array_distinct(F.transform(numbered, lambda x: x["k"]))
-    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("ws"), F.slice(keys, 1, 20).alias("ks")).where("size(ks) > 0")
-    lower = F.transform("ws", lambda w: F.lower(w))
+    rows = held(table(spark, sf_dir, "documents").select("doc_id", "text"), ws=F.filter(F.split("text", " "), lambda w: w != ""))
+    rows = held(rows, low=F.transform("ws", F.lower))
+    rows = held(rows, ks=F.slice(F.array_distinct("low"), 1, 20)).where("size(ks) > 0")
     first = F.transform("ks", lambda k: F.element_at("ws", F.array_position(F.col("low"), k).cast("int")))
-    return docs.withColumn("low", lower).select("doc_id", F.array_join(first, " ").alias("words"))
+    return rows.select("doc_id", F.array_join(first, " ").alias("words"))
 
 
 @query("""WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),

@@ -168,3 +168,10 @@ def test_greedy_in_order_is_the_greedy_by_rounds(spark):
     edges = [(*e, rng.choice([0.5, 0.6, 0.7])) for e in sorted({(b, rng.randrange(8), rng.randrange(8)) for b in range(6) for _ in range(30)})]
     df = spark.createDataFrame(edges, "block int, left int, right int, score double")
     assert {tuple(r) for r in greedy_in_order(df).collect()} == {tuple(r) for r in greedy_one_to_one(df).collect()}
+
+
+def test_words_are_lowered_once_a_document(spark):
+    from shelfscope import registry
+
+    plan = registry.queries()["merge_unique_strings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1 and plan.count("split(") == 1
