@@ -11,6 +11,7 @@ from ..functions.page_type import DuckDialect, alternation
 from ..operators.elements import decoded
 from ..registry import query
 from ..sources.catalog import table
+from ..sources.files import stored
 from .page_types import _TEXT, KEYS, PAGES_SQL, typed_pages
 
 # Words of a homepage's features.
@@ -85,7 +86,8 @@ def harvested_menu(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .dom import menu_paths
 
     menu = menu_paths(spark, sf_dir).where("origin = 'shop'").select("id", "title", handle(F.col("url")).alias("slug"), collection_key(F.col("url")).alias("key"))
-    listed = table(spark, sf_dir, "part").select(F.lower("p_type").alias("slug")).distinct()
+    # Few collections against all links: stored, as their number is not that of the parts they are read from.
+    listed = stored(table(spark, sf_dir, "part").select(F.lower("p_type").alias("slug")).distinct())
     by_url = listed.select(F.concat(F.lit("shop.example/collections/"), "slug").alias("key"), F.lit(True).alias("by_url"))
     by_slug = listed.select("slug", F.lit(True).alias("by_slug"))
     # Two equi-joins, as one with "or" could not be spread by key.

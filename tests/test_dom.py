@@ -171,7 +171,7 @@ def test_elements_with_one_title_do_not_double_it(spark):
 def test_harvested_menus_write_no_tables_of_pages(spark):
     from shelfscope import registry
 
-    plan = registry.queries()["harvested_menu"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    plan = registry.queries()["harvested_menu"](spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString()
     assert "ExistingRDD" not in plan and "Window" not in plan
 
 
@@ -179,3 +179,15 @@ def test_shop_pages_are_dealt_out_before_they_are_read(spark):
     from shelfscope.plans.markup import pages
 
     assert "RepartitionByExpression" in pages(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_menus_against_collections_shuffle_no_links(spark):
+    from shelfscope import registry
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "2k")  # below the parts' table, above their types
+    try:
+        plan = registry.queries()["harvested_menu"](spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
