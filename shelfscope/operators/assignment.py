@@ -34,27 +34,51 @@ def greedy_one_to_one(edges: DataFrame, block: str = "block", left: str = "left"
         if rest.isEmpty():
             return taken.select(F.col("b").alias(block), F.col("l").alias(left), F.col("r").alias(right), F.col("s").alias(score))
 
-def greedy_in_order(edges: DataFrame, block: str = "block", left: str = "left", right: str = "right", score: str = "score") -> DataFrame:
-    """The matching of greedy_one_to_one() in one pass over the sorted edges of each block.
+
+def greedy_in_order(edges: DataFrame, block: str = "block", left: str = "left", right: str = "right", score: str = "score", more: tuple[str, ...] = ()) -> DataFrame:
+    """The matching of greedy_one_to_one() in one pass over the sorted edges of each block; columns ``more`` of an edge stay with it.
 
     For blocks with many edges and ties, where rounds are many.  A task holds the matched ends of
     one block only; its edges stream by.
     """
 
+    def coded(column: pa.Array) -> tuple[list[int], list]:
+        """Numbers in place of values, which are made Python objects once each."""
+        found = column.dictionary_encode("encode")
+        return found.indices.to_pylist() if found.indices.null_count else found.indices.to_numpy().tolist(), found.dictionary.to_pylist()
+
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, lefts, rights = None, set(), set()
+        at, begun, lefts, rights = None, False, set(), set()
         for batch in batches:
-            kept = []
-            for i, (b, x, y) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
-                if b != at:
-                    at, lefts, rights = b, set(), set()
-                if x not in lefts and y not in rights:
-                    lefts.add(x)
-                    rights.add(y)
+            (bs, blocks), (xs, left_names), (ys, right_names) = (coded(batch.column(k)) for k in range(3))
+            now = bs[0] if bs and begun and blocks[bs[0]] == at else None
+            # The block of the batch before goes on: its matched ends are not free here.
+            left_of, right_of = ([k for k, v in enumerate(names) if now is not None and v in held] for names, held in ((left_names, lefts), (right_names, rights)))
+            took_left, took_right = bytearray(len(left_names)), bytearray(len(right_names))
+            for v in left_of:
+                took_left[v] = 1
+            for v in right_of:
+                took_right[v] = 1
+            kept: list[int] = []
+            for i, (b, x, y) in enumerate(zip(bs, xs, ys, strict=True)):
+                if b != now:
+                    for v in left_of:
+                        took_left[v] = 0
+                    for v in right_of:
+                        took_right[v] = 0
+                    now, left_of, right_of, lefts, rights = b, [], [], set(), set()
+                if not took_left[x] and not took_right[y]:
+                    took_left[x] = took_right[y] = 1
+                    left_of.append(x)
+                    right_of.append(y)
                     kept.append(i)
+            if bs:
+                at, begun = blocks[now], True
+                lefts.update(left_names[v] for v in left_of)
+                rights.update(right_names[v] for v in right_of)
             yield batch.take(pa.array(kept, pa.int64()))
 
-    rows = edges.select(block, left, right, score)
+    rows = edges.select(block, left, right, score, *more)
     return rows.repartition(block).sortWithinPartitions(F.col(block), F.desc(score), F.col(left), F.col(right)).mapInArrow(take, rows.schema)
 
 
