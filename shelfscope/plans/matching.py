@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import bigrams, jaccard, price_closeness
-from ..operators.assignment import greedy_in_order, greedy_one_to_one
+from ..operators.assignment import greedy_in_order
 from ..registry import query
 from ..sources.catalog import CATALOG_SQL, catalog, rnd, table
+from ..sources.files import stored
 
 _CARDS_SQL = f"""{CATALOG_SQL}, cards AS (SELECT site, product, name, category, vendor, price, string_split(name, ' ') AS ws FROM catalog)"""
 
@@ -189,18 +190,19 @@ def match_collections_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Collections of different categories score below the bar of 0.35 whatever else they share, so
     candidates come from an equi-join on the category.  Titles are scored once per pair of
-    vendors, not per site.  Tested against a plain greedy loop.
+    vendors, not per site, and stored, so Spark knows how few they are and rivals meet them where
+    they lie; a rival's category then has few edges, which one pass matches.  Tested against a plain greedy loop.
     """
     kept = catalog(spark, sf_dir).select("site", "category", "vendor").distinct().withColumn("number", F.regexp_extract("vendor", "([0-9]+)", 1).cast("int"))
-    own = kept.where("site = 0").select("category", F.col("vendor").alias("a"), F.col("number").alias("left_vendor"))
+    own = stored(kept.where("site = 0").select("category", F.col("vendor").alias("a"), F.col("number").alias("left_vendor")))
     rival = kept.where("site <> 0").select("category", "site", F.col("vendor").alias("b"), F.col("number").alias("right_vendor"))
     titles = own.join(rival.select("category", "b").distinct(), "category")
     words = lambda c: F.split(F.lower(F.concat_ws(" ", "category", c)), "[^a-z0-9]+")
     ratio = sequence_ratio(F.lower(F.concat_ws(" ", "category", "a")), F.lower(F.concat_ws(" ", "category", "b")))
     score = F.lit(0.6) + F.least(F.lit(0.25), F.lit(0.9) * jaccard(words("a"), words("b"))) + F.when(F.col("ratio") >= 0.5, F.least(F.lit(0.15), F.lit(0.15) * F.col("ratio"))).otherwise(0.0)
-    scored = titles.withColumn("ratio", ratio).select("category", "b", "left_vendor", rnd(score, 3).alias("score"))
+    scored = stored(titles.withColumn("ratio", ratio).select("category", "b", "left_vendor", rnd(score, 3).alias("score")))
     pairs = scored.join(rival, ["category", "b"]).select(F.concat_ws("/", "site", "category").alias("block"), "left_vendor", "right_vendor", "score")
-    found = greedy_one_to_one(pairs, "block", "left_vendor", "right_vendor")
+    found = greedy_in_order(pairs, "block", "left_vendor", "right_vendor")
     parts = F.split("block", "/")
     return found.select(parts[0].cast("long").alias("site"), parts[1].alias("category"), "left_vendor", "right_vendor", F.col("score").alias("confidence"))
 

@@ -140,3 +140,16 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError):
         shared_folder(Session(), "x")
+
+
+def test_collections_meet_their_scores_where_they_lie(spark):
+    from shelfscope import registry
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        plan = registry.queries()["match_collections_greedy"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    # One pass over the edges; they are not checkpointed round by round, and no join is by category alone.
+    assert "MapInArrow" in plan and "hashpartitioning(category" not in plan
