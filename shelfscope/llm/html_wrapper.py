@@ -6,7 +6,8 @@ some optional, some (or groups of up to four) repeated, and text slots that are
 A host's wrapper starts as its first page and is generalised page by page: streams are aligned, a
 text mismatch makes a slot vary, a missing or extra element becomes optional, and tandem repeats
 become one repeated group.  Generalising is the same for two wrappers as for a wrapper and a
-page, so tasks infer wrappers of what they hold and these are merged per host.
+page, so tasks infer wrappers of what they hold and these are merged per host.  Then every page is
+aligned with its host's wrapper, and the distinct pages that have a place of it are counted, all of them.
 
 The wrapper tells the host's *region*, where the article is: what article or main elements hold,
 else the element that holds all that is not the template's; and what belongs to the template:
@@ -14,7 +15,7 @@ else the element that holds all that is not the template's; and what belongs to
 * constant texts, which nine in ten of its distinct pages (more than two; copies count once) have
   in the same place;
 * link groups, elements that two in three of its pages have in the same place and whose text is
-  mostly links, one after the other (for both, pages are a fixed draw of 32 of the host's distinct pages);
+  mostly links, one after the other;
 * recurrent parts whose class, id or role names a sidebar, notice, advert, comment list or the like
   and which two pages or more have in the same place.  Such names decide alone only where a host
   has a single page.
@@ -40,7 +41,9 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -223,28 +226,27 @@ def _levelled(root: Element) -> Element:
 # Wrappers: [key, items, text, mass, main, seen, linked]; an item is [wrapper, optional, repeated].  A text slot has the
 # key "#", no items, the mark of its constant text (null if it varies), its length and that of links in it; an element's
 # linked is 1 if its names say that it is no article.  A repeated group has a key that starts with "(".  All list the
-# _SEEN smallest hashes of the pages that had them, so copies of a page count once.
+# hashes of the pages that had them, if wrapper_of() was told; infer_templates() counts pages afterwards instead.
 
-_SEEN = 32
 
-
-def _slot(text: str, page: int, linked: bool) -> list:
-    return ["#", [], _mark(text), len(text), 0, [page], len(text) * linked]
+def _slot(text: str, seen: list[int], linked: bool) -> list:
+    return ["#", [], _mark(text), len(text), 0, seen, len(text) * linked]
 
 
 def page_hash(html: str) -> int:
     return int.from_bytes(hashlib.blake2b(html.encode("utf-8", "surrogatepass"), digest_size=6).digest())
 
 
-def wrapper_of(element: Element, page: int = 0) -> list:
+def wrapper_of(element: Element, page: int | None = 0) -> list:
     items = []
+    seen = [] if page is None else [page]
     for part in element.parts:
         if isinstance(part, str):
             if text := " ".join(part.split()):
-                items.append([_slot(text, page, isinstance(part, Link)), False, False])
+                items.append([_slot(text, seen, isinstance(part, Link)), False, False])
         elif not part.dropped:
             items.append([wrapper_of(part, page), False, False])
-    return [element.key, _squared(items), None, 0, element.main, [page], int(element.named)]
+    return [element.key, _squared(items), None, 0, element.main, seen, int(element.named)]
 
 
 def _squared(items: list) -> list:
@@ -284,7 +286,7 @@ def _merged(a: list, b: list) -> list:
 
 
 def _seen(a: list, b: list) -> list:
-    return a if a == b else sorted({*a, *b})[:_SEEN]
+    return a if a == b else sorted({*a, *b})
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -344,32 +346,137 @@ def _links(wrapper: list, repeated: bool = False) -> tuple[int, int, bool]:
     return sum(b[0] for b in below), sum(b[1] for b in below), any(b[2] for b in below) or sum(b[1] > 0 for b in below) > 2
 
 
-def region_of(wrapper: list) -> tuple[list[str], list[list], list[list[str]]]:
-    """Path of keys to the element that holds the article, the texts of the template (path of their element, text), and the paths of its parts."""
+def _linked_mostly(node: list) -> bool:
+    whole, linked, _ = _links(node)
+    return 10 * linked >= 7 * whole
+
+
+def _menu(node: list) -> bool:
+    """Whether an element is a link group of the template if enough pages have it."""
+    return node[0].split(".")[0] not in ("p", "h1", "h2", "h3", "body", "html") and _links(node)[2] and _linked_mostly(node)
+
+
+# Places: a wrapper's nodes, numbered in the order of its JSON.  A plan is the wrapper with what counting needs: [number or
+# null, leaves]; a leaf is [key, constant text or null, optional, plan].  A constant text's plan is its number; the plan is
+# null if nothing below is counted.
+
+
+def places_sought(wrapper: list) -> list:
+    """The plan of a wrapper: all pages count at its root, others at what may belong to the template."""
+    numbers = count()
+
+    def plan(node: list) -> list | int | None:
+        number = next(numbers)
+        if node[0] == "#":
+            return number if node[2] is not None else None
+        leaves = [[item[0], item[2], optional, plan(item)] for item, optional, _ in node[1]]
+        group = node[0].startswith("(")
+        own = number if number == 0 or (not group and (node[6] or _menu(node))) else None
+        return [own, leaves] if own is not None or any(leaf[3] is not None for leaf in leaves) else None
+
+    return plan(wrapper)
+
+
+def _run(items: list, start: int, leaves: list[list]) -> list[tuple[list, list]]:
+    """A repeated group that a page has once, so that it is none there: its items from ``start`` on that are the group's, one after the other."""
+    pairs = []
+    for leaf in leaves:
+        if start < len(items) and items[start][0][0] == leaf[0]:
+            pairs.append((items[start][0], leaf))
+            start += 1
+        elif not leaf[2]:
+            return []
+    return pairs
+
+
+def _fitted(items: list, leaves: list[list]) -> list[tuple[list, list]]:
+    """Pairs of a page's nodes and the leaves they are, in order: as many as can be, constant texts first."""
+    if len(items) == len(leaves) and all(i[0][0] == x[0] and x[1] in (None, i[0][2]) for i, x in zip(items, leaves, strict=True)):
+        return [(i[0], x) for i, x in zip(items, leaves, strict=True)]
+    n, m = len(items), len(leaves)
+    names: dict = {}
+    codes = np.array([names.setdefault((x[0], x[1]), len(names)) for x in leaves], np.int64)
+    gains = np.array([2 if x[1] is None else 3 for x in leaves], np.int32)
+    groups = [(j, x[3][1]) for j, x in enumerate(leaves) if x[0].startswith("(") and x[3]]
+    best = np.zeros((n + 1, m + 1), np.int32)  # best[i, j]: what items from i on gain by leaves from j on
+
+    def gained(i: int) -> tuple[np.ndarray, dict[int, list]]:
+        node = items[i][0]
+        fits = (codes == names.get((node[0], None), -1)) | (codes == names.get((node[0], node[2]), -1))
+        by = np.where(fits, gains + best[i + 1, 1:], 0)
+        runs = {}
+        for j, inner in groups:
+            if not fits[j] and (run := _run(items, i, inner)):
+                runs[j] = run
+                by[j] = 2 * len(run) + best[i + len(run), j + 1]
+        return by, runs
+
+    for i in range(n - 1, -1, -1):
+        best[i, :-1] = np.maximum(np.maximum.accumulate(gained(i)[0][::-1])[::-1], best[i + 1, :-1])
+    found, i, j = [], 0, 0
+    while i < n and j < m and best[i, j]:
+        by, runs = gained(i)
+        taken = np.flatnonzero(by[j:] == best[i, j])
+        if not len(taken):
+            i += 1
+            continue
+        j += int(taken[0])
+        found += runs[j] if j in runs else [(items[i][0], leaves[j])]
+        i, j = i + (len(runs[j]) if j in runs else 1), j + 1
+    return found
+
+
+def places_of(page: list, plan: list) -> set[int]:
+    """The numbers of the counted places that a page (its own wrapper) has; it may be any page of the plan's host."""
+    places: set[int] = set()
+    todo = [(page, plan)]
+    while todo:
+        node, (own, leaves) = todo.pop()
+        if own is not None:
+            places.add(own)
+        if all(leaf[3] is None for leaf in leaves):
+            continue
+        for inner, leaf in _fitted(node[1], leaves):
+            if isinstance(leaf[3], int):
+                if inner[2] == leaf[1]:
+                    places.add(leaf[3])
+            elif leaf[3] is not None:
+                todo.append((inner, leaf[3]))
+    return places
+
+
+def region_of(wrapper: list, counts: dict[int, int] | None = None) -> tuple[list[str], list[list], list[list[str]]]:
+    """Path of keys to the element that holds the article, the texts of the template (path of their element, text), and the paths of its parts.
+
+    ``counts`` tells how many distinct pages have each place; without it the wrapper's own lists of pages do.
+    """
     found: list[tuple[bool, int, int, int, list[str]]] = []
     constants: list[list] = []
     named: set[str] = set()
     parts: list[list[str]] = []
-    drawn = frozenset(wrapper[5])  # all distinct pages, or a fixed draw of them
-    held = lambda node: len(drawn.intersection(node[5]))
+    numbers: dict[int, int] = {}
 
-    def linked_mostly(node: list) -> bool:
-        whole, linked, _ = _links(node)
-        return 10 * linked >= 7 * whole
+    def number(node: list) -> None:
+        numbers[id(node)] = len(numbers)
+        for item in node[1]:
+            number(item[0])
+
+    if counts is not None:
+        number(wrapper)
+    held = lambda node: len(node[5]) if counts is None else counts.get(numbers[id(node)], 0)
+    all_pages = held(wrapper)
 
     def template(node: list) -> bool:
-        if node[4] > 1 or (node[4] and not linked_mostly(node)):
+        if node[4] > 1 or (node[4] and not _linked_mostly(node)):
             return False
-        if node[6] and (held(node) > 1 or len(drawn) == 1):
+        if node[6] and (held(node) > 1 or all_pages == 1):
             return True
-        if len(drawn) < 3 or 3 * held(node) < 2 * len(drawn) or node[0].split(".")[0] in ("p", "h1", "h2", "h3", "body", "html"):
-            return False
-        return _links(node)[2] and linked_mostly(node)
+        return all_pages > 2 and 3 * held(node) >= 2 * all_pages and _menu(node)
 
     def walk(node: list, path: list[str], outside: bool) -> tuple[int, int]:
         """Length of the node's text that is not the template's, and of all its text."""
         if node[0] == "#":
-            fixed = node[2] is not None and len(drawn) > 2 and held(node) >= 0.9 * len(drawn)
+            fixed = node[2] is not None and all_pages > 2 and 10 * held(node) >= 9 * all_pages
             if fixed:
                 constants.append([path, node[2]])
             return 0 if fixed else node[3], node[3]
@@ -383,7 +490,7 @@ def region_of(wrapper: list) -> tuple[list[str], list[list], list[list[str]]]:
                 named.add("\n".join(path))
         sizes = [walk(i[0], path, outside and not part) for i in node[1]]
         varies, whole = sum(x[0] for x in sizes), sum(x[1] for x in sizes)
-        if node[4] > 1 or (node[4] and not linked_mostly(node)):
+        if node[4] > 1 or (node[4] and not _linked_mostly(node)):
             found.append((outside, node[4], varies, whole, path))
         node[3] = 0 if part else varies
         return node[3], whole
@@ -527,7 +634,7 @@ def infer_templates(pages: DataFrame, html_col: str = "html", hosts_held: int =
             for part in slices(batch, "html"):
                 for host, html in zip(part["host"].to_pylist(), part["html"].to_pylist(), strict=True):
                     if html:
-                        held[host] = generalised(held.get(host), wrapper_of(parse(html), page_hash(html)))
+                        held[host] = generalised(held.get(host), wrapper_of(parse(html), None))
                         if len(held) > hosts_held:
                             yield out()
         yield out()
@@ -547,13 +654,43 @@ def infer_templates(pages: DataFrame, html_col: str = "html", hosts_held: int =
     @tidy
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, wrapper in merged(batches, ["host"]):
-            found = [json.dumps(x) for x in region_of(wrapper)]
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (host, *found)], ["host", "path", "constants", "parts"])
+            yield pa.RecordBatch.from_pydict({"host": pa.array([host], pa.string()), "wrapper": pa.array([json.dumps(wrapper)], pa.string())})
+
+    @tidy
+    def plans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "wrapper"):
+                yield pa.RecordBatch.from_arrays([part["host"].combine_chunks(), pa.array([json.dumps(places_sought(json.loads(w))) for w in part["wrapper"].to_pylist()], pa.string())], ["host", "plan"])
+
+    @tidy
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = lru_cache(64)(json.loads)
+        for batch in batches:
+            for part in slices(batch, "html"):
+                htmls = part["html"].to_pylist()
+                digests = [hashlib.blake2b(h.encode("utf-8", "surrogatepass"), digest_size=16).digest() for h in htmls]
+                found = [sorted(places_of(wrapper_of(parse(h), None), read(plan))) for h, plan in zip(htmls, part["plan"].to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part["host"].combine_chunks(), pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.int32()))], ["host", "page", "places"])
+
+    @tidy
+    def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "wrapper"):
+                counts = [{x["place"]: x["pages"] for x in c} for c in part["counts"].to_pylist()]
+                found = [[json.dumps(x) for x in region_of(json.loads(w), c)] for w, c in zip(part["wrapper"].to_pylist(), counts, strict=True)]
+                yield pa.RecordBatch.from_arrays([part["host"].combine_chunks(), *[pa.array(x, pa.string()) for x in zip(*found, strict=True)]], ["host", "path", "constants", "parts"])
 
     # A host's wrappers are merged in two levels: 32 tasks' at once, then what these make.
-    parts = pages.select("host", F.col(html_col).alias("html")).mapInArrow(infer, "host string, task int, wrapper string").withColumn("part", F.expr("task div 32"))
+    pages = pages.select("host", F.col(html_col).alias("html"))
+    parts = pages.mapInArrow(infer, "host string, task int, wrapper string").withColumn("part", F.expr("task div 32"))
     parts = parts.repartition("host", "part").sortWithinPartitions("host", "part").mapInArrow(some, "host string, wrapper string")
-    return parts.repartition("host").sortWithinPartitions("host").mapInArrow(whole, "host string, path string, constants string, parts string")
+    wrappers = materialise(parts.repartition("host").sortWithinPartitions("host").mapInArrow(whole, "host string, wrapper string"), "wrappers")
+    # Plans are a table of their own, as small as it can be: every page is joined with one.
+    sought = materialise(wrappers.mapInArrow(plans, "host string, plan string"), "places")
+    found = pages.where("html <> ''").join(sought, "host").select("host", "html", "plan").mapInArrow(places, "host string, page binary, places array<int>")
+    counts = found.dropDuplicates(["host", "page"]).select("host", F.explode("places").alias("place")).groupBy("host", "place").agg(F.count("*").alias("pages"))
+    counts = counts.groupBy("host").agg(F.collect_list(F.struct("place", "pages")).alias("counts"))
+    return wrappers.join(counts, "host").mapInArrow(regions, "host string, path string, constants string, parts string")
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

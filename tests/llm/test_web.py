@@ -1,6 +1,9 @@
+import json
+from collections import Counter
+
 from pyspark.sql import functions as F
 
-from shelfscope.llm.html_wrapper import extract_main_text, generalised, main_text, page_hash, parse, region_of, wrapper_of
+from shelfscope.llm.html_wrapper import extract_main_text, generalised, main_text, page_hash, parse, places_of, places_sought, region_of, wrapper_of
 from shelfscope.llm.preference import format_preferences
 from shelfscope.llm.urlfilter import filter_urls
 
@@ -107,6 +110,29 @@ def test_constants_survive_an_odd_page():
     assert region_of(wrapper)[1] == [[["root", "body", "div.top"], "Welcome"]]
 
 
+def test_shares_are_of_all_distinct_pages(spark):
+    page = "<body>{1}<div id=c><p>w{0} text w{0} text</p></div></body>"
+    having = [page.format(i, "<div id=top>Welcome</div>") for i in range(300)]
+    last = sorted(map(page_hash, having))[31]
+    lacking = [p for i in range(300, 420) if page_hash(p := page.format(i, "")) > last]  # so the 32 smallest hashes are of pages that have it
+    assert len(lacking) > 60  # fewer than nine in ten have it
+    rows = [(i, "http://h/x", p) for i, p in enumerate(having + lacking[:60])]
+    got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert all(got[i].startswith("Welcome\n\n") for i in range(300))
+
+
+def test_places_are_those_of_the_pages_in_the_wrapper():
+    pages = [f"<body><div id=top>Hi</div>{'<h3>s</h3><p>x' * (i % 4)}<ul class=menu><li><a>a</a><li><a>b{i % 3}</a></ul>{'<p>same</p>' if i % 2 else ''}<div id=c><p>w{i}</div></body>" for i in range(40)]
+    wrapper = counted = None
+    for html in pages + pages[:7]:
+        wrapper, counted = generalised(wrapper, wrapper_of(parse(html), page_hash(html))), generalised(counted, wrapper_of(parse(html), None))
+    plan, counts = json.loads(json.dumps(places_sought(counted))), Counter()
+    for html in pages:
+        counts.update(places_of(wrapper_of(parse(html), None), plan))
+    assert counts[0] == 40
+    assert region_of(counted, counts) == region_of(wrapper)
+
+
 def test_names_of_containers_do_not_drop_the_page():
     kept = [
         "<html class='no-search'><body class='has-sidebar'><p>x</body>",
