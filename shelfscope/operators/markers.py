@@ -4,14 +4,40 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+@lru_cache(8)
+def _automaton(sought: tuple[str, ...]) -> ahocorasick.Automaton:
+    automaton = ahocorasick.Automaton()
+    for m in sought:
+        automaton.add_word(m, m)
+    automaton.make_automaton()
+    return automaton
+
+
+def markers_found(fields: dict[str, Column], markers: list[str]) -> Column:
+    """What markers stand in which of the named texts, in lower case, as field:marker; one pass over a text, within its row."""
+    sought = tuple(sorted({m.lower() for m in markers}))
+    names = list(fields)
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def find(*columns: pa.Array) -> pa.Array:
+        automaton = _automaton(sought)
+        lists = []
+        for texts in zip(*[c.to_pylist() for c in columns], strict=True):
+            lists.append([f"{name}:{m}" for name, text in zip(names, texts, strict=True) if text for m in sorted({m for _, m in automaton.iter(text.lower())})])
+        return pa.array(lists, pa.list_(pa.string()))
+
+    return find(*fields.values())
+
+
 def marker_counts(rows: DataFrame, keys: list[str], fields: list[str], markers: list[str]) -> DataFrame:
     """keys, field, marker, times: how often each marker stands in each of the text columns, in lower case.
 
@@ -21,10 +47,7 @@ def marker_counts(rows: DataFrame, keys: list[str], fields: list[str], markers:
     sought = sorted({m.lower() for m in markers})
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = ahocorasick.Automaton()
-        for m in sought:
-            automaton.add_word(m, m)
-        automaton.make_automaton()
+        automaton = _automaton(tuple(sought))
         for batch in batches:
             at, where, what, times = [], [], [], []
             for field in fields:

@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import page_type as PT
 from ..functions import platforms as PL
 from ..functions.stores import stores
-from ..operators.elements import attribute, decoded, innermost, page_tables, text_table, texts_within
-from ..operators.markers import marker_counts
+from ..operators.elements import attribute, first, has_one, held, page_arrays, page_tables, span, text_inside
+from ..operators.markers import marker_counts, markers_found
 from ..registry import query
 from ..sources.catalog import spread, table
-from ..sources.files import checkpointed
 from .dom import KEYS
 
 #: The shop page of a part: markers of platforms, words and markup of listings, products and articles, by its number.
@@ -38,17 +37,21 @@ PAGES_SQL = f"""typed_pages AS (SELECT 'crawl' AS origin, page_id AS id, url, ht
 # Platforms.
 
 
-def platforms(pages: DataFrame, keys: list[str]) -> DataFrame:
-    """platform, display, confidence, headless of pages (url, html, headers if there); one pass over each page."""
-    if "headers" not in pages.columns:
-        pages = pages.withColumn("headers", F.lit(None).cast("string"))
-    hits = marker_counts(pages, keys, ["html", "url", "headers"], PL.markers()).groupBy(*keys).agg(F.collect_set(F.concat_ws(":", "field", "marker")).alias("found"))
-    rows = pages.select(*keys).join(hits, keys, "left").withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
+def with_platforms(pages: DataFrame) -> DataFrame:
+    """``pages`` (html, url, headers if there) with found and the columns of PL.steps(), told within the row of the page; one pass over each text."""
+    fields = {f: F.col(f) for f in ("html", "url", "headers") if f in pages.columns}
+    rows = held(pages, found=markers_found(fields, PL.markers()))
     for step in PL.steps(PT.Dialect()):
         rows = rows.withColumns({name: F.expr(x) for name, x in step.items()})
     return rows
 
 
+def platforms(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """platform, display, confidence, headless of pages (url, html, headers if there)."""
+    rows = with_platforms(pages.select(*keys, *[c for c in ("html", "url", "headers") if c in pages.columns]))
+    return rows.drop("html", "url", "headers")
+
+
 def _steps_sql(source: str, steps: list[dict[str, str]], name: str) -> str:
     """One CTE by step, each replacing columns of the one before."""
     parts = []
@@ -98,41 +101,33 @@ CHROME_TAGS = ["header", "nav", "footer"]
 CHROME_CLASSES = ["header", "site-header", "main-header", "footer", "site-footer", "main-footer", "menu", "navigation", "navbar", "nav", "mega-menu", "megamenu", "drawer", "mobile-menu", "announcement-bar", "breadcrumb", "breadcrumbs", "account", "login", "newsletter", "modal", "popup"]
 
 
-def page_facts(pages: DataFrame, keys: list[str]) -> DataFrame:
-    """url, path, html, body, main, seo, hrefs, headings, heads2, elements: what signals are sought in, one row per page.
+def page_facts(pages: DataFrame, keys: list[str], told: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """url, path, html, body, main, seo, hrefs, headings, heads2, elements: what signals are sought in, one row per page, and the columns ``told`` as they are.
 
     The main content is the first container of the list that a page has, without menus, headers,
-    footers and their like, however they are nested.
+    footers and their like, however they are nested.  All is told within the row of the page.
     """
-    toks, els = page_tables(pages, keys)
-    token = F.col("token")
-    classes = F.split(F.lower(attribute(token, "class")), r"\s+")
-    is_ = lambda kind, name: F.col("tag") == name if kind == "tag" else F.array_contains(classes, name) if kind == "class" else attribute(token, kind) == name
-    ranked = els.where("end > pos").select(*keys, "pos", "end", F.explode(F.array_compact(F.array(*[F.when(is_(*c), F.lit(k)) for k, c in enumerate(CONTAINERS)]))).alias("k"))
-    box = ranked.groupBy(*keys).agg(F.min(F.struct("k", "pos", "end")).alias("box")).select(*keys, F.col("box.pos").alias("box_from"), F.col("box.end").alias("box_upto"))
-    chrome = els.where(F.col("tag").isin(CHROME_TAGS) | F.arrays_overlap(classes, F.array(*map(F.lit, CHROME_CLASSES)))).select(*keys, "pos", "end", F.lit(True).alias("chrome"))
-    rows = toks.where("kind in ('text', 'open', 'single')").select(*keys, "pos", "kind", "tag", "token")
-    rows = innermost(rows, chrome.where("end > pos").select(*keys, "pos", "end"), keys, "_chrome").join(chrome.select(*keys, "pos", "chrome"), [*keys, "pos"], "left").join(box, keys, "left")
+    rows = page_arrays(pages.select(*keys, *told, F.lower(F.coalesce("url", F.lit(""))).alias("url"), F.lower(F.coalesce("html", F.lit(""))).alias("_low"), "html"))
+    is_ = lambda e, kind, name: e["tag"] == name if kind == "tag" else F.array_contains(e["classes"], name) if kind == "class" else attribute(e["token"], kind) == name
+    place = lambda e: F.coalesce(*[F.when(is_(e, *c), F.lit(k)) for k, c in enumerate(CONTAINERS)])
+    boxes = F.transform(F.filter("els", lambda e: e["end"] > e["pos"]), lambda e: F.struct(place(e).alias("k"), e["pos"].alias("pos"), e["end"].alias("end")))
+    chrome = F.transform(F.filter("els", lambda e: e["tag"].isin(CHROME_TAGS) | has_one(e, CHROME_CLASSES)), span)
+    rows = held(rows, box=F.array_min(F.filter(boxes, lambda x: x["k"].isNotNull())), chrome=chrome)
     # Without any container the whole page is one.
-    inside = F.col("box_from").isNull() | ((F.col("pos") >= F.col("box_from")) & (F.col("pos") < F.col("box_upto")))
-    rows = rows.withColumn("scoped", inside & F.col("_chrome").isNull() & F.col("chrome").isNull())
-    named = [F.lower(attribute(token, a)).alias(a.replace("-", "_")) for a in PT.ATTRIBUTES]
-    flags = [F.regexp_like(F.lower(token), F.lit(rf"\s{f}[\s=>]")).alias(f.replace("-", "_")) for f in PT.FLAGS]
-    element = F.struct("pos", "tag", "scoped", *named, *flags, F.lower(attribute(token, "href")).alias("href"))
-    text = F.struct("pos", "scoped", decoded(token).alias("text"))
-    held = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("kind") != "text", element))).alias("elements"), F.array_sort(F.collect_list(F.when(F.col("kind") == "text", text))).alias("texts"))
-    heads = texts_within(els.where("tag in ('title', 'h1', 'h2', 'h3')").select(*keys, "pos", "end", "tag"), text_table(toks, keys), keys, "said")
-    first = lambda tag: F.min_by(F.when(F.col("tag") == tag, F.col("said")), F.when(F.col("tag") == tag, F.col("pos")))
-    heads = heads.groupBy(*keys).agg(first("title").alias("title"), first("h1").alias("h1"), F.array_sort(F.collect_list(F.when(F.col("tag").isin("h2", "h3"), F.struct("pos", "tag", "said")))).alias("hs"))
-    rows = checkpointed(pages.select(*keys, F.lower(F.coalesce("url", F.lit(""))).alias("url"), F.lower(F.coalesce("html", F.lit(""))).alias("html")).join(held, keys, "left").join(heads, keys, "left"))
-    said = lambda test: F.lower(F.array_join(F.transform(F.filter(F.coalesce("texts", F.array().cast(rows.schema["texts"].dataType)), test), lambda t: t["text"]), " "))
-    elements = F.coalesce("elements", F.array().cast(rows.schema["elements"].dataType))
-    about = F.coalesce(F.get(F.filter(elements, lambda e: (e["tag"] == "meta") & (e["name"] == "description")), 0)["content"], F.lit(""))
-    tags = lambda *names: F.transform(F.filter(F.coalesce("hs", F.array().cast(rows.schema["hs"].dataType)), lambda h: h["tag"].isin(*names)), lambda h: h["said"])
-    return checkpointed(rows.select(
-        *keys, "url", "html", F.expr(PATH_SQL).alias("path"), said(lambda t: t["text"] != "").alias("body"), said(lambda t: t["scoped"] & (t["text"] != "")).alias("main"),
-        F.lower(F.trim(F.regexp_replace(F.concat_ws(" ", "title", about, "h1"), r"\s+", " "))).alias("seo"), F.transform(F.filter(elements, lambda e: (e["tag"] == "a") & e["scoped"] & (e["href"] != "")), lambda e: e["href"]).alias("hrefs"), tags("h2", "h3").alias("headings"), F.transform(tags("h2"), F.lower).alias("heads2"), elements.alias("elements"),
-    ))
+    inside = lambda x: F.col("box").isNull() | ((x["pos"] >= F.col("box.pos")) & (x["pos"] < F.col("box.end")))
+    scoped = lambda x: inside(x) & ~F.exists("chrome", lambda c: (c["pos"] == x["pos"]) | ((c["pos"] < x["pos"]) & (c["end"] > x["pos"])))
+    named = lambda e: [F.lower(e["cls"] if a == "class" else attribute(e["token"], a)).alias(a.replace("-", "_")) for a in PT.ATTRIBUTES]
+    flags = lambda e: [F.regexp_like(F.lower(e["token"]), F.lit(rf"\s{f}[\s=>]")).alias(f.replace("-", "_")) for f in PT.FLAGS]
+    element = lambda e: F.struct(e["pos"].alias("pos"), e["tag"].alias("tag"), scoped(e).alias("scoped"), *named(e), *flags(e), F.when(e["tag"] == "a", F.lower(attribute(e["token"], "href"))).alias("href"))
+    head = lambda e: F.struct(e["tag"].alias("tag"), text_inside(F.col("texts"), e).alias("said"))
+    rows = held(rows, elements=F.transform("els", element), heads=F.transform(F.filter("els", lambda e: e["tag"].isin("title", "h1", "h2", "h3")), head), scoped=F.filter("texts", scoped)).drop("els")
+    joined = lambda texts: F.lower(F.array_join(F.transform(texts, lambda t: t["text"]), " "))
+    about = F.coalesce(first("elements", lambda e: (e["tag"] == "meta") & (e["name"] == "description"))["content"], F.lit(""))
+    tags = lambda *names: F.transform(F.filter("heads", lambda h: h["tag"].isin(*names)), lambda h: h["said"])
+    return rows.select(
+        *keys, *told, "url", F.col("_low").alias("html"), F.expr(PATH_SQL).alias("path"), joined("texts").alias("body"), joined("scoped").alias("main"),
+        F.lower(F.trim(F.regexp_replace(F.concat_ws(" ", F.get(tags("title"), F.lit(0)), about, F.get(tags("h1"), F.lit(0))), r"\s+", " "))).alias("seo"), F.transform(F.filter("elements", lambda e: (e["tag"] == "a") & e["scoped"] & (e["href"] != "")), lambda e: e["href"]).alias("hrefs"), tags("h2", "h3").alias("headings"), F.transform(tags("h2"), F.lower).alias("heads2"), "elements",
+    )
 
 
 #: The path of a url in lower case; the root if there is none.
@@ -151,13 +146,12 @@ def type_steps(d: PT.Dialect) -> list[dict[str, str]]:
     ]
 
 
-def page_types_of(pages: DataFrame, keys: list[str]) -> DataFrame:
-    """page_type, confidence, reason, stage, subtype, scores and signals of pages (url, html); platforms are found first."""
-    rows = page_facts(pages, keys).join(platforms(pages, keys).select(*keys, "platform"), keys)
+def page_types_of(pages: DataFrame, keys: list[str], told: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """page_type, confidence, reason, stage, subtype, scores and signals of pages (url, html), and the columns ``told`` as they are; platforms are found first."""
+    rows = page_facts(with_platforms(pages), keys, [*told, "platform"])
     for k, step in enumerate(type_steps(PT.Dialect())):
-        rows = rows.withColumns({name: F.expr(x) for name, x in step.items()})
-        if k in (1, 3):  # else each condition would be repeated within all that use it
-            rows = checkpointed(rows)
+        columns = {name: F.expr(x) for name, x in step.items()}
+        rows = held(rows, **columns) if k in (0, 1, 3) else rows.withColumns(columns)  # else each condition would be repeated within all that use it
     return rows
 
 

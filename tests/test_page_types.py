@@ -100,6 +100,14 @@ def test_types(typed):
             assert typed[k]["reason"] == reason, (url, html, typed[k]["reason"], typed[k]["found"])
 
 
+def test_pages_are_judged_where_they_lie(spark):
+    df = spark.createDataFrame([(1, "https://a.com/x/y", CARDS)], "id long, url string, html string")
+    plan = page_types_of(df, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert not any(name in plan for name in ("Exchange", "Join", "Window", "Sort [")), plan
+    kept = page_types_of(df.selectExpr("*", "'x' AS low"), ["id"], ["low"]).collect()
+    assert [(r["id"], r["low"], r["page_type"]) for r in kept] == [(1, "x", "collection")]
+
+
 def test_scores(typed):
     at = next(k for k, row in enumerate(TYPES) if row[1] == CARDS)
     # nine product links (5 and 4), the grid (6): url and texts add nothing
