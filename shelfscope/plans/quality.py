@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import markup as M
 from ..functions import quality as Q
 from ..functions import rules as R
+from ..operators.elements import held
 from ..registry import query
 from ..sources.catalog import table
-from ..sources.files import checkpointed
 from .crawl import _BLOCK_RULES, _VISIBLE
 from .page_types import _TYPES_SQL, KEYS, page_types_of, typed_pages
 
@@ -34,12 +34,13 @@ def extraction_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.col("html")
     text = lambda pattern: F.coalesce(M.one(html, pattern), F.lit(""))
     seen = pages.select(
-        *KEYS, F.lower(html).alias("low"), R.visible_length(html).alias("visible"), R.page_block(html).isNotNull().alias("blocked"), text("(?i)<title>([^<]*)").alias("title"), text("(?i)<h1[^>]*>([^<]*)").alias("h1"), F.coalesce(M.meta(html, "description"), F.lit("")).alias("description"),
+        *KEYS, "url", "html", F.lower(html).alias("low"), R.visible_length(html).alias("visible"), R.page_block(html).isNotNull().alias("blocked"), text("(?i)<title>([^<]*)").alias("title"), text("(?i)<h1[^>]*>([^<]*)").alias("h1"), F.coalesce(M.meta(html, "description"), F.lit("")).alias("description"),
         F.regexp_count(F.lower(html), F.lit("<img[ >]")).alias("images"), F.regexp_count(F.lower(html), F.lit("<h2[ >]")).alias("sections"), F.regexp_count(F.lower(html), F.lit("<(?:button|form)[ >]")).alias("buttons"), F.regexp_count(F.lower(html), F.lit("<option[ >]")).alias("variants"),
         F.regexp_count(F.regexp_extract(F.lower(html), r"(?s)<nav[^>]*>(.*?)</nav>", 1), F.lit("<a ")).alias("links"),
     )
-    rows = checkpointed(page_types_of(pages, KEYS).select(*KEYS, F.col("page_type").alias("kind"), "product_links", "price_texts").join(seen, KEYS))
-    facts = checkpointed(rows.withColumns({c: F.expr(x) for c, x in FACTS.items()} | {"error_words": F.expr(_ERRORS)}))
+    told = [c for c in seen.columns if c not in (*KEYS, "url", "html")]
+    rows = page_types_of(seen, KEYS, told).select(*KEYS, *told, F.col("page_type").alias("kind"), "product_links", "price_texts")
+    facts = held(rows, **{c: F.expr(x) for c, x in FACTS.items()}, error_words=F.expr(_ERRORS))
     listed = lambda place: F.array_compact(F.array(*[F.expr(x) for x in Q.reasons(place)]))
     return facts.select(*KEYS, "kind", (F.expr(Q.graded()["hundredths"]).cast("int") / 100.0).alias("score"), F.array_join(listed(3), ",").alias("missing"), F.array_join(listed(4), "; ").alias("warnings"))
 
