@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.elements import attribute, innermost, text_table, texts_within
-from ..sources.files import checkpointed
+from ..operators.elements import attribute, first, gathered, held, inside, text_inside
 from .text import mapped
 
 # Currency and name by country.
@@ -50,56 +49,84 @@ def visible_currency(text: Column) -> Column:
 
 
 def stores(pages: DataFrame, toks: DataFrame, els: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Of pages (url, html) the stores (keys, rank, hreflang, country, name, url, currency, current, same_url) and what holds for the page (keys, currency, currencies, source).
+    """stores_in() of pages (url, html), as tables, whose tokens and elements are given; pages of the same keys are one."""
+    found = stores_in(pages.select(*keys, "url", "html").join(gathered(toks, els, keys), keys, "left"))
+    return ranked_stores(found, keys), page_money(found, keys)
+
+
+def ranked_stores(found: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, rank, hreflang, country, name, url, currency, current, same_url: one row per store."""
+    return found.select(*keys, F.posexplode("stores").alias("rank", "x")).select(*keys, (F.col("rank") + 1).alias("rank"), *[f"x.{c}" for c in ("hreflang", "country", "name", "url", "currency", "current", "same_url")])
+
+
+def page_money(found: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, currency, currencies, source: one row per page."""
+    offered = F.transform(F.filter("stores", lambda x: x["same_url"]), lambda x: x["currency"])
+    return found.select(*keys, F.col("told.code").alias("currency"), F.array_sort(F.array_distinct(F.array_compact(F.concat(offered, F.array("told.code"))))).alias("currencies"), F.col("told.source").alias("source"))
+
+
+def stores_in(rows: DataFrame) -> DataFrame:
+    """``rows`` (url, html, els, texts, as page_arrays() has them) with stores, in order, and told, what holds for the page (source, code).
 
     The page's currency is the active one, else that of visible prices, else that of its country,
     else the shop's base.  Stores are alternates by language, options of a country list and links
-    that set a country, the first of each country; exactly one is current and comes first.
+    that set a country, the first of each country; exactly one is current and comes first.  All is
+    told within the row of the page.
     """
-    token, texts = F.col("token"), text_table(toks, keys)
-    attr = lambda name: F.nullif(attribute(token, name), F.lit(""))
-    first = lambda test, value: F.min_by(F.when(test, value), F.when(test & value.isNotNull(), F.col("pos")))
-    meta = lambda kind, name: (F.col("tag") == "meta") & (F.lower(attribute(token, kind)) == name)
-    code = F.when(F.regexp_like(F.upper(attribute(token, "content")), F.lit("^[A-Z]{3}$")), F.upper(attribute(token, "content")))
-    heads = els.groupBy(*keys).agg(
-        first(F.col("tag") == "html", attr("lang")).alias("lang_tag"), first(meta("property", "og:locale"), attr("content")).alias("og_locale"), first(meta("property", "og:price:currency"), code).alias("c1"), first(meta("itemprop", "pricecurrency"), code).alias("c2"), first(meta("name", "currency"), code).alias("c3"),
+    kept = [c for c in rows.columns if c not in ("html", "els", "texts")]
+    blank = lambda c: F.coalesce(c, F.array().cast(rows.schema[c].dataType))
+    rows = held(rows, els=blank("els"), texts=blank("texts"))
+    attr = lambda e, name: F.nullif(attribute(e["token"], name), F.lit(""))
+    found = lambda test, value: first(F.filter(F.transform(F.filter("els", test), value), lambda x: x.isNotNull()))
+    meta = lambda kind, name: lambda e: (e["tag"] == "meta") & (F.lower(attribute(e["token"], kind)) == name)
+    code = lambda e: F.when(F.regexp_like(F.upper(attribute(e["token"], "content")), F.lit("^[A-Z]{3}$")), F.upper(attribute(e["token"], "content")))
+    said = lambda e: text_inside(F.col("texts"), e)
+    rows = held(
+        rows, lang_tag=found(lambda e: e["tag"] == "html", lambda e: attr(e, "lang")), og_locale=found(meta("property", "og:locale"), lambda e: attr(e, "content")), c1=found(meta("property", "og:price:currency"), code), c2=found(meta("itemprop", "pricecurrency"), code), c3=found(meta("name", "currency"), code),
+        switched=said(first("els", lambda e: F.regexp_like(e["cls"], F.lit("(?i)wcml-cs-active-currency|current-lang-currency")))), body=F.array_join(F.transform("texts", lambda t: t["text"]), " "),
     )
-    active = texts_within(els.where(F.regexp_like(attribute(token, "class"), F.lit("(?i)wcml-cs-active-currency|current-lang-currency"))).select(*keys, "pos", "end"), texts, keys, "said").groupBy(*keys).agg(F.min_by("said", "pos").alias("switched"))
-    body = texts.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda t: t["text"]), " ").alias("body"))
-    rows = pages.select(*keys, "url", "html").join(heads, keys, "left").join(active, keys, "left").join(body, keys, "left")
     shop = F.upper(F.nullif(F.regexp_extract("html", r"(?:window\.)?Shopify\.currency\s*=\s*\{[^}]*?[\"']active[\"']\s*:\s*[\"']([A-Za-z]{3})[\"']", 1), F.lit("")))
     part = lambda tag, k: F.nullif(F.get(F.split(tag, "[-_]"), F.lit(k)), F.lit(""))
     country = F.coalesce(F.upper(part(F.col("lang_tag"), 1)), F.upper(part(F.col("og_locale"), 1)), country_of_url(F.col("url")))
-    found = [("active_currency", F.coalesce(shop, "c1", "c2", "c3", _known(F.regexp_extract(F.upper("switched"), r"\b([A-Z]{3})\b", 1)))), ("visible_currency", visible_currency(F.coalesce("body", F.lit("")))), ("cctld_currency", mapped(country, CURRENCIES)), ("base_currency", F.nullif(F.regexp_extract("html", r'"currency"\s*:\s*"([A-Z]{3})"', 1), F.lit("")))]
-    told = F.coalesce(*[F.when(c.isNotNull(), F.struct(F.lit(n).alias("source"), c.alias("code"))) for n, c in found])
-    rows = checkpointed(rows.select(*keys, "url", F.coalesce(F.lower(part(F.col("lang_tag"), 0)), F.lower(part(F.col("og_locale"), 0))).alias("language"), country.alias("country"), told.alias("told")))
-    page = rows.select(*keys, F.col("url").alias("page_url"), "language", F.col("country").alias("own"), F.col("told.code").alias("money"))
+    rows = held(rows, language=F.coalesce(F.lower(part(F.col("lang_tag"), 0)), F.lower(part(F.col("og_locale"), 0))), own=country)
+    by = [("active_currency", F.coalesce(shop, "c1", "c2", "c3", _known(F.regexp_extract(F.upper("switched"), r"\b([A-Z]{3})\b", 1)))), ("visible_currency", visible_currency(F.col("body"))), ("cctld_currency", mapped(F.col("own"), CURRENCIES)), ("base_currency", F.nullif(F.regexp_extract("html", r'"currency"\s*:\s*"([A-Z]{3})"', 1), F.lit("")))]
+    rows = held(rows, told=F.coalesce(*[F.when(c.isNotNull(), F.struct(F.lit(n).alias("source"), c.alias("code"))) for n, c in by]))
+    page_url, own, money = F.col("url"), F.col("own"), F.col("told.code")
     host = lambda u: F.lower(F.regexp_extract(F.when(F.regexp_like(u, F.lit("^(?:https?:)?//")), u).otherwise(F.concat(F.lit("https://"), u)), "//([^/?#]*)", 1))
-    variant = lambda c: F.when(c == F.col("own"), F.col("page_url")).otherwise(F.concat("page_url", F.when(F.contains("page_url", F.lit("?")), "&").otherwise("?"), F.lit("country="), c))
-
-    alternate = els.where((F.col("tag") == "link") & F.contains(F.lower(attribute(token, "rel")), F.lit("alternate"))).select(*keys, "pos", attr("hreflang").alias("hreflang"), attr("href").alias("href")).where("href is not null and lower(hreflang) <> 'x-default'").join(page, keys)
-    alternate = alternate.withColumns({"country": F.upper(part(F.col("hreflang"), 1)), "near": F.coalesce(F.when(F.regexp_like("href", F.lit("^(?:https?:)?//")), host(F.col("href")) == host(F.col("page_url"))), F.lit(False))})
-    alternate = alternate.withColumn("current", F.col("near") | F.coalesce(F.col("country") == F.col("own"), F.lit(False)))
-    alternate = alternate.select(*keys, F.lit(0).alias("k"), "pos", "hreflang", "country", F.lit(None).cast("string").alias("label"), F.col("href").alias("url"), F.when(F.col("current") & F.col("money").isNotNull(), F.col("money")).otherwise(mapped(F.col("country"), CURRENCIES)).alias("currency"), "current", F.lit(False).alias("same_url"))
-
-    lists = els.where("tag = 'select'").withColumn("kind", F.when(attribute(token, "name") == "country_code", 0).when(F.contains(F.lower(attribute(token, "name")), F.lit("country")), 1)).where("kind is not null").groupBy(*keys).agg(F.min(F.struct("kind", "pos", "end")).alias("s")).select(*keys, F.col("s.pos").alias("pos"), F.col("s.end").alias("end"))
-    options = innermost(els.where("tag = 'option'").select(*keys, "pos", "end", F.upper(F.trim(attribute(token, "value"))).alias("country"), F.upper(F.coalesce(attr("data-currency"), attr("data-currency-code"))).alias("data")), lists, keys, "_list").where("_list is not null and length(country) = 2")
-    options = texts_within(options, texts, keys, "said").join(page, keys)
-    money = F.coalesce(F.when(F.regexp_like("data", F.lit("^[A-Z]{3}$")), F.col("data")), F.nullif(F.regexp_extract("said", r"\b([A-Z]{3})\b", 1), F.lit("")), mapped(F.col("country"), CURRENCIES))
-    named = F.concat_ws("-", F.coalesce("language", F.lit("en")), "country")
-    options = options.select(*keys, F.lit(1).alias("k"), "pos", named.alias("hreflang"), "country", F.trim(F.regexp_replace("said", r"\s*\(.*?\)\s*", " ")).alias("label"), variant(F.col("country")).alias("url"), money.alias("currency"), F.coalesce(F.col("country") == F.col("own"), F.lit(False)).alias("current"), F.lit(True).alias("same_url"))
-
-    links = els.where("tag = 'a'").select(*keys, "pos", F.upper(F.regexp_extract(attribute(token, "href"), r"[?&]country=([A-Za-z]{2})\b", 1)).alias("country")).where(F.col("country").isin(list(NAMES))).join(page, keys)
-    here = F.coalesce(F.col("country") == F.col("own"), F.lit(False))
-    links = links.select(*keys, F.lit(2).alias("k"), "pos", named.alias("hreflang"), "country", F.lit(None).cast("string").alias("label"), variant(F.col("country")).alias("url"), F.when(here & F.col("money").isNotNull(), F.col("money")).otherwise(mapped(F.col("country"), CURRENCIES)).alias("currency"), here.alias("current"), F.lit(True).alias("same_url"))
-
-    every = alternate.unionByName(options).unionByName(links).where("country is not null")
-    every = every.groupBy(*keys, "country").agg(F.min_by(F.struct("k", "pos", "hreflang", "label", "url", "currency", "current", "same_url"), F.struct("k", "pos")).alias("x")).select(*keys, "country", "x.*")
-    alone = page.join(every.select(*keys).distinct(), keys, "left_anti").where("own is not null or money is not null").select(*keys, F.col("own").alias("country"), F.lit(3).alias("k"), F.lit(0).alias("pos"), F.concat_ws("-", "language", "own").alias("hreflang"), F.lit(None).cast("string").alias("label"), F.col("page_url").alias("url"), F.col("money").alias("currency"), F.lit(True).alias("current"), F.lit(False).alias("same_url"))
-    every = every.unionByName(alone)
-    order = Window.partitionBy(*keys).orderBy(F.col("current").desc(), "k", "pos")
-    every = every.withColumn("current", F.row_number().over(order) == 1).withColumn("name", F.coalesce(mapped(F.col("country"), NAMES), F.nullif("label", F.lit("")), "country"))
-    ranked = every.select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("current").desc(), F.lower("name"), "country")).alias("rank"), "hreflang", "country", "name", "url", "currency", "current", "same_url")
-    offered = every.where("same_url").groupBy(*keys).agg(F.collect_set("currency").alias("offered"))
-    about = rows.join(offered, keys, "left").select(*keys, F.col("told.code").alias("currency"), F.array_sort(F.array_distinct(F.array_compact(F.concat(F.coalesce("offered", F.array().cast("array<string>")), F.array("told.code"))))).alias("currencies"), F.col("told.source").alias("source"))
-    return ranked, about
+    variant = lambda c: F.when(c == own, page_url).otherwise(F.concat(page_url, F.when(F.contains(page_url, F.lit("?")), "&").otherwise("?"), F.lit("country="), c))
+    here = lambda c: F.coalesce(c == own, F.lit(False))
+    named = lambda c: F.concat_ws("-", F.coalesce("language", F.lit("en")), c)
+    usual = lambda current, c: F.when(current & money.isNotNull(), money).otherwise(mapped(c, CURRENCIES))
+
+    def store(k: int, pos: Column, hreflang: Column, country: Column, label: Column, url: Column, currency: Column, current: Column, same_url: bool) -> Column:
+        return F.struct((~current).alias("later"), F.lit(k).alias("k"), pos.alias("pos"), hreflang.alias("hreflang"), country.alias("country"), label.cast("string").alias("label"), url.alias("url"), currency.alias("currency"), current.alias("current"), F.lit(same_url).alias("same_url"))
+
+    def alternate(x: Column) -> Column:
+        near = F.coalesce(F.when(F.regexp_like(x["href"], F.lit("^(?:https?:)?//")), host(x["href"]) == host(page_url)), F.lit(False))
+        current = near | here(x["country"])
+        return store(0, x["pos"], x["hreflang"], x["country"], F.lit(None), x["href"], usual(current, x["country"]), current, False)
+
+    def option(x: Column) -> Column:
+        currency = F.coalesce(F.when(F.regexp_like(x["data"], F.lit("^[A-Z]{3}$")), x["data"]), F.nullif(F.regexp_extract(x["said"], r"\b([A-Z]{3})\b", 1), F.lit("")), mapped(x["country"], CURRENCIES))
+        return store(1, x["pos"], named(x["country"]), x["country"], F.trim(F.regexp_replace(x["said"], r"\s*\(.*?\)\s*", " ")), variant(x["country"]), currency, here(x["country"]), True)
+
+    link = lambda x: store(2, x["pos"], named(x["country"]), x["country"], F.lit(None), variant(x["country"]), usual(here(x["country"]), x["country"]), here(x["country"]), True)
+    alternates = F.transform(F.filter("els", lambda e: (e["tag"] == "link") & F.contains(F.lower(attribute(e["token"], "rel")), F.lit("alternate"))), lambda e: F.struct(e["pos"].alias("pos"), attr(e, "hreflang").alias("hreflang"), attr(e, "href").alias("href"), F.upper(part(attr(e, "hreflang"), 1)).alias("country")))
+    kind = lambda e: F.when(attribute(e["token"], "name") == "country_code", 0).when(F.contains(F.lower(attribute(e["token"], "name")), F.lit("country")), 1)
+    lists = F.transform(F.filter("els", lambda e: (e["tag"] == "select") & kind(e).isNotNull()), lambda e: F.struct(kind(e).alias("kind"), e["pos"].alias("pos"), e["end"].alias("end")))
+    rows = held(rows, alternates=F.filter(alternates, lambda x: x["href"].isNotNull() & (F.lower(x["hreflang"]) != "x-default") & x["country"].isNotNull()), box=F.array_min(lists))
+    options = F.transform(F.filter(inside(F.col("els"), F.col("box")), lambda e: e["tag"] == "option"), lambda e: F.struct(e["pos"].alias("pos"), F.upper(F.trim(attribute(e["token"], "value"))).alias("country"), F.upper(F.coalesce(attr(e, "data-currency"), attr(e, "data-currency-code"))).alias("data"), said(e).alias("said")))
+    links = F.transform(F.filter("els", lambda e: e["tag"] == "a"), lambda e: F.struct(e["pos"].alias("pos"), F.upper(F.regexp_extract(attribute(e["token"], "href"), r"[?&]country=([A-Za-z]{2})\b", 1)).alias("country")))
+    rows = held(rows, options=F.coalesce(F.filter(options, lambda x: F.length(x["country"]) == 2), F.array()), links=F.filter(links, lambda x: x["country"].isin(list(NAMES))))
+    rows = held(rows, every=F.concat(F.transform("alternates", alternate), F.transform("options", option), F.transform("links", link)))
+    # The first of each country: alternates come first, then options, then links, each in the page's order.
+    first_of = F.transform(F.array_distinct(F.transform("every", lambda x: x["country"])), lambda c: first("every", lambda x: x["country"] == c))
+    rows = held(rows, firsts=F.array_sort(first_of))
+    alone = F.when(own.isNotNull() | money.isNotNull(), F.array(store(3, F.lit(0), F.concat_ws("-", "language", "own"), own, F.lit(None), page_url, money, F.lit(True), False)))
+    rows = held(rows, firsts=F.when(F.size("firsts") > 0, F.col("firsts")).otherwise(F.coalesce(alone, F.col("firsts"))))
+
+    def shown(x: Column, i: Column) -> Column:
+        name = F.coalesce(mapped(x["country"], NAMES), F.nullif(x["label"], F.lit("")), x["country"])
+        return F.struct((i > 0).alias("later"), F.lower(name).alias("low"), x["country"].alias("country"), x["hreflang"].alias("hreflang"), name.alias("name"), x["url"].alias("url"), x["currency"].alias("currency"), (i == 0).alias("current"), x["same_url"].alias("same_url"))
+
+    return held(rows, stores=F.array_sort(F.transform("firsts", shown))).select(*kept, "told", "stores")

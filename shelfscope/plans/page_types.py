@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import page_type as PT
 from ..functions import platforms as PL
-from ..functions.stores import stores
-from ..operators.elements import attribute, first, has_one, held, page_arrays, page_tables, span, text_inside
+from ..functions.stores import page_money, ranked_stores, stores_in
+from ..operators.elements import attribute, first, has_one, held, page_arrays, span, text_inside
 from ..operators.markers import marker_counts, markers_found
 from ..registry import query
 from ..sources.catalog import spread, table
@@ -186,6 +186,11 @@ def store_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.unionByName(spread(table(spark, sf_dir, "part"), "p_partkey").select(F.lit("shop").alias("origin"), F.col("p_partkey").alias("id"), F.lit("https://shop.example/a?b").alias("url"), F.expr(STORES).alias("html")))
 
 
+def stores_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = store_pages(spark, sf_dir)
+    return stores_in(page_arrays(pages.withColumn("raw", F.col("html")), "raw"))
+
+
 _OWN = "CASE p_partkey % 3 WHEN 0 THEN 'GB' END"
 _MONEY = "CASE p_partkey % 5 WHEN 0 THEN 'PKR' WHEN 1 THEN 'CAD' WHEN 3 THEN 'AED' ELSE CASE WHEN p_partkey % 3 = 0 THEN 'GBP' WHEN p_partkey % 5 = 2 THEN 'SEK' END END"
 _LANG = "CASE p_partkey % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'de' ELSE 'en' END"
@@ -209,9 +214,7 @@ SELECT 'shop' AS origin, id, row_number() OVER (PARTITION BY id ORDER BY now DES
 UNION ALL SELECT 'crawl', page_id, 1, lang || '-' || country, country, CASE country WHEN 'FR' THEN 'France' WHEN 'DE' THEN 'Germany' WHEN 'ES' THEN 'Spain' WHEN 'IT' THEN 'Italy' END, url, 'EUR', true, false FROM crawl WHERE country IS NOT NULL""")
 def page_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regional stores of every page, the current one first."""
-    pages = store_pages(spark, sf_dir)
-    toks, els = page_tables(pages, KEYS)
-    return stores(pages, toks, els, KEYS)[0]
+    return ranked_stores(stores_found(spark, sf_dir), KEYS)
 
 
 @query(f"""SELECT 'shop' AS origin, p_partkey AS id, {_MONEY} AS currency, array_to_string(list_sort(list_distinct(list_filter(CASE WHEN p_partkey % 4 = 1 THEN ['PKR', 'CHF', 'USD', 'CAD', {_MONEY}] ELSE [{_MONEY}] END, lambda x: x IS NOT NULL))), ',') AS currencies,
@@ -219,6 +222,4 @@ def page_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT 'crawl', page_id, CASE WHEN {_COUNTRY_SQL} IS NOT NULL THEN 'EUR' END, CASE WHEN {_COUNTRY_SQL} IS NOT NULL THEN 'EUR' ELSE '' END, CASE WHEN {_COUNTRY_SQL} IS NOT NULL THEN 'cctld_currency' END FROM pages""")
 def page_currencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The currency of every page, all that it offers, and what told it."""
-    pages = store_pages(spark, sf_dir)
-    toks, els = page_tables(pages, KEYS)
-    return stores(pages, toks, els, KEYS)[1].withColumn("currencies", F.array_join("currencies", ","))
+    return page_money(stores_found(spark, sf_dir), KEYS).withColumn("currencies", F.array_join("currencies", ","))

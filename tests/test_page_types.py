@@ -5,8 +5,8 @@ import random
 import pytest
 
 from shelfscope.functions.platforms import markers
-from shelfscope.functions.stores import stores
-from shelfscope.operators.elements import page_tables
+from shelfscope.functions.stores import page_money, ranked_stores, stores, stores_in
+from shelfscope.operators.elements import page_arrays, page_tables
 from shelfscope.operators.markers import marker_counts
 from shelfscope.plans.page_types import page_types_of, platforms
 
@@ -125,3 +125,14 @@ def test_stores(spark):
     got = sorted((r["id"], r["rank"], r["country"], r["currency"], r["current"], r["url"]) for r in ranked.collect() if r["country"])
     assert got == [(1, 1, "FR", "EUR", True, "https://a.com/"), (1, 2, "DE", "EUR", False, "https://a.com/?country=DE"), (1, 3, "SE", "SEK", False, "https://a.com/?country=SE"), (2, 1, "PK", "PKR", True, "https://shop.com.pk/x")]
     assert {r["id"]: (r["currency"], r["source"], r["currencies"]) for r in about.collect()} == {1: ("EUR", "cctld_currency", ["EUR", "SEK"]), 2: ("PKR", "cctld_currency", ["PKR"]), 3: ("USD", "visible_currency", ["USD"]), 4: (None, None, []), 5: ("USD", "active_currency", ["USD"])}
+
+
+def test_stores_are_found_where_pages_lie(spark):
+    html = "<html lang=fr-FR><select name=my_country><option value=DE>D<option value=fr>F<option value=DE>again</select><a href='?country=de'>D</a>"
+    rows = page_arrays(spark.createDataFrame([(1, "https://a.com/", html, html), (1, None, None, None)], "id long, url string, html string, raw string"), "raw")
+    ranked, about = ranked_stores(stores_in(rows), ["id"]), page_money(stores_in(rows), ["id"])
+    for df in (ranked, about):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not any(name in plan for name in ("Exchange", "Join", "Window", "Sort [")), plan
+    assert [(r["rank"], r["country"], r["name"], r["current"]) for r in ranked.collect()] == [(1, "FR", "France", True), (2, "DE", "Germany", False)]
+    assert [(r["currency"], r["currencies"]) for r in about.collect()] == [("EUR", ["EUR"]), (None, [])]
