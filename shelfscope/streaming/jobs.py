@@ -7,6 +7,7 @@ spark.checkpoint.dir names, so any executor can take over.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -100,10 +101,18 @@ def scattered(spark: SparkSession, sf_dir: str, files: int = 10) -> DataFrame:
     span = max(1, ((bounds["b"] or 0) - (bounds["a"] or 0) + 7_200_000) // files + 1)
     numbered = copies.withColumn("file", F.floor((arrival - (bounds["a"] or 0)) / span).cast("int")).drop("copy")
     last = spark.createDataFrame([(HEARTBEAT, None, None, None, None, files)], numbered.schema).withColumn("ts", F.timestamp_millis(F.lit((bounds["b"] or 0) + 10 * 86_400_000)))
-    # Written one after the other, as the source takes files by their time.
-    for k in range(files):
-        numbered.where(F.col("file") == k).drop("file").coalesce(1).write.mode("append").parquet(folder)
-    last.drop("file").coalesce(1).write.mode("append").parquet(folder)
+    # The events are read once and all files written at once; then they are put in their place, with times that say their order, as the source takes files by their time.
+    aside, fs_of = f"{_folder(spark)}/aside", spark._jvm.org.apache.hadoop.fs
+    numbered.unionByName(last).repartition(4 * files, "file").write.partitionBy("file").parquet(aside)
+    fs = fs_of.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(fs_of.Path(folder))
+    began = int(time.time()) - files - 1
+    for k in range(files + 1):
+        for n, status in enumerate(fs.globStatus(fs_of.Path(f"{aside}/file={k}/*.parquet")) or ()):
+            place = fs_of.Path(f"{folder}/part-{k:05d}-{n}.parquet")
+            if not fs.rename(status.getPath(), place):
+                raise OSError(f"cannot move {status.getPath()} to {place}")
+            fs.setTimes(place, (began + k) * 1000, -1)
     return spark.readStream.schema(numbered.drop("file").schema).option("maxFilesPerTrigger", 3).parquet(folder)
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfscope.streaming import stateful
-from shelfscope.streaming.jobs import HEARTBEAT, _run
+from shelfscope.streaming.jobs import HEARTBEAT, _run, scattered
 
 SCHEMA = "key long, id long, value int, at long"
 
@@ -51,3 +51,16 @@ def test_a_barrier_fires_once(spark, tmp_path):
     rows = stream(spark, tmp_path, parts * 2, 5).where(F.col("key") != HEARTBEAT)
     got = _run(stateful.rebuild_once(rows.select("key", "ts", "at", F.col("id").alias("part"), F.lit(3).alias("needed")))).collect()
     assert sorted(map(tuple, got)) == [(2, 3), (3, 3)]
+
+
+def test_files_are_written_at_once_and_taken_in_order(spark):
+    spark.sparkContext.setJobGroup("scattered", "")
+    stream = scattered(spark, "/root/testdata/sf0.001")
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("scattered"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 10  # a job by file would read all events for each
+    batches = []
+    query = stream.writeStream.foreachBatch(lambda rows, n: batches.append(rows.agg({"ts": "min"}).first()[0])).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert len(batches) == 4
+    assert batches == sorted(batches)
