@@ -9,15 +9,20 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import bigrams, jaccard, price_closeness
+from ..operators import site_pairs as S
 from ..operators.assignment import greedy_in_order
+from ..operators.site_pairs import Lists, coded, flat
 from ..registry import query
-from ..sources.catalog import CATALOG_SQL, catalog, rnd, table
+from ..sources.catalog import CATALOG_SQL, catalog, priced, rnd, table
 from ..sources.files import stored
 
 _CARDS_SQL = f"""{CATALOG_SQL}, cards AS (SELECT site, product, name, category, vendor, price, string_split(name, ' ') AS ws FROM catalog)"""
@@ -107,11 +112,56 @@ def suggest_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return right.withColumn("k", F.row_number().over(Window.partitionBy("site").orderBy(F.desc("score"), F.desc("left_product")))).where("k <= 40").drop("k")
 
 
+def _greedy(owner: pa.Table, rows: pa.Table) -> dict[str, object]:
+    """Matches of the owner's products and a rival's, over all pairs of a category that comparable() has."""
+    own, n = len(owner), len(owner) + len(rows)
+    both = pa.concat_tables([owner, rows])
+    (names, texts), (categories, _), (vendors, _) = (coded(both.column(c)) for c in ("name", "category", "vendor"))
+    at, codes, _, _ = flat(pc.split_pattern(texts, " "))
+    words = Lists(at, codes, len(texts) + 1)  # the last has no words, for products without name
+    price, product = S.numbers(both, "price"), both.column("product").to_numpy()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        log = np.where(price > 0, np.log(price), np.nan)
+    names = np.where(names < 0, len(texts), names)
+
+    def matches(a: np.ndarray, b: np.ndarray) -> S.Edges:
+        a, b = (x[np.argsort(product[x], kind="stable")] for x in (a, b))
+
+        def edges(xs: np.ndarray, ys: np.ndarray) -> S.Edges:
+            x, y = a[xs], b[ys]
+            (of_x, ix), (of_y, iy) = (np.unique(names[k], return_inverse=True) for k in (x, y))
+            base = 0.35 + np.minimum(0.3, 0.75 * words.shares(of_x, of_y))[np.ix_(ix, iy)]
+            same = (vendors[x][:, None] == vendors[y][None, :]) & (vendors[x] >= 0)[:, None]
+            near = np.fmax(0.0, 1.0 - np.abs(log[x][:, None] - log[y][None, :]) / 1.0986122886681098)
+            # Nearly the score; what may reach the bar is scored to the last bit.
+            i, j = np.nonzero((base + 0.1 * near + 0.2 * same >= 0.4499) & (categories[x][:, None] == categories[y][None, :]))
+            score = S.rounded(base[i, j] + 0.1 * S.closeness(price[x[i]], price[y[j]]) + np.where(same[i, j], 0.2, 0.0), 4)
+            good = score >= 0.45
+            return i[good], j[good], score[good]
+
+        # A product that stands there twice is one end.
+        left, right = (np.unique(product[k], return_inverse=True)[1] for k in (a, b))
+        i, j, score = S.greedy(edges, left, right)
+        return product[a[i]], product[b[j]], score
+
+    once = all(len(np.unique(x)) == len(x) for x in (product[:own], product[own:]))
+    wanted = np.intersect1d(categories[:own], categories[own:])
+    wanted = wanted[wanted >= 0]
+    # A product is of one category, so categories are matched by themselves, unless a product stands there twice.
+    groups = [[c] for c in wanted] if once else [wanted]
+    found = [matches(*(np.flatnonzero(np.isin(categories[lo:hi], g)) + lo for lo, hi in ((0, own), (own, n)))) for g in groups if len(g)]
+    left, right, score = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return {"left_product": left, "right_product": right, "score": score}
+
+
 @query()
 def match_products_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy one-to-one matching per rival over all pairs of a category; tested against a plain greedy loop."""
-    found = greedy_in_order(comparable(_cards(spark, sf_dir)), "site", "left_product", "right_product")
-    return found.select("site", "left_product", "right_product", "score")
+    """Greedy one-to-one matching per rival over all pairs of a category; tested against a plain greedy loop.
+
+    Pairs are made and matched where a rival's products lie, so none is shuffled or written.
+    """
+    cards = priced(spark, sf_dir).select("site", "product", "name", "category", "vendor", "price")
+    return S.each_rival(cards.where("site <> 0"), cards.where("site = 0"), _greedy, "site long, left_product long, right_product long, score double")
 
 
 @query(f"""WITH {CATALOG_SQL}, g AS (SELECT site, category, vendor, count(*) AS n FROM catalog GROUP BY ALL), t AS (SELECT site, category, arg_max(vendor, (n, vendor)) AS vendor, max(n) AS n FROM g GROUP BY site, category),
