@@ -19,7 +19,7 @@ PIECE, MOST = 1 << 20, 1 << 21
 Edges = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def each_rival(rivals: DataFrame, own: DataFrame, work: Callable[[pa.Table, pa.Table], dict[str, object]], schema: str) -> DataFrame:
+def each_rival(rivals: DataFrame, own: DataFrame, work: Callable[[pa.Table, pa.Table], dict[str, np.ndarray | pa.Array]], schema: str) -> DataFrame:
     """``work`` (the owner's products, a rival's products) of every rival; both have the same columns, site first, and rivals lie by site.
 
     ``work`` gives columns of ``schema`` after its first, which is the site.
@@ -36,7 +36,7 @@ def each_rival(rivals: DataFrame, own: DataFrame, work: Callable[[pa.Table, pa.T
         for rows in _rivals(batches):
             found = work(owner, rows)
             site = rows.column(0)[0].as_py()
-            columns = [pa.array(found[name]) for name in names[1:]]
+            columns = [x if isinstance(x := found[name], pa.Array) else pa.array(x) for name in names[1:]]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), site)), *columns], names)
 
     return rivals.sortWithinPartitions(rivals.columns[0]).mapInArrow(run, schema)
