@@ -127,18 +127,17 @@ def strict_log(x: np.ndarray) -> np.ndarray:
     s = f / (2.0 + f)
     z = s * s
     w = z * z
-    t1 = w * (3.999999999940941908e-01 + w * (2.222219843214978396e-01 + w * 1.531383769920937332e-01))
-    t2 = z * (6.666666666666735130e-01 + w * (2.857142874366239149e-01 + w * (1.818357216161805012e-01 + w * 1.479819860511658591e-01)))
-    r = t2 + t1
-    half = 0.5 * f * f
-    wide = ((high - 0x6147A) | (0x6B851 - high)) > 0
-    none = dk == 0
-    # With k = 0 both forms are the shorter one: f - (half - s * (half + r)) is 0 - ((half - (.. + 0)) - f).
-    long = np.where(none, f - (half - s * (half + r)), up - ((half - (s * (half + r) + low)) - f))
-    short = np.where(none, f - s * (f - r), up - ((s * (f - r) - low) - f))
-    tiny_r = f * f * (0.5 - 0.33333333333333333 * f)
-    tiny = np.where(f == 0, up + low, np.where(none, f - tiny_r, up - ((tiny_r - low) - f)))
-    return np.where((0xFFFFF & (2 + high)) < 3, tiny, np.where(wide, long, short))
+    r = z * (6.666666666666735130e-01 + w * (2.857142874366239149e-01 + w * (1.818357216161805012e-01 + w * 1.479819860511658591e-01))) + w * (3.999999999940941908e-01 + w * (2.222219843214978396e-01 + w * 1.531383769920937332e-01))
+    half = np.where(((high - 0x6147A) | (0x6B851 - high)) > 0, 0.5 * f * f, 0.0)
+    wide = half > 0
+    # Two forms of the rest, as fdlibm chooses them; with dk = 0 it leaves out what is zero, which changes nothing.
+    out = up - (np.where(wide, half - (s * (half + r) + low), s * (f - r) - low) - f)
+    rare = np.flatnonzero((0xFFFFF & (2 + high)) < 3)
+    if len(rare):
+        f, dk, low, up = f[rare], dk[rare], low[rare], up[rare]
+        rest = f * f * (0.5 - 0.33333333333333333 * f)
+        out[rare] = np.where(f == 0, up + low, np.where(dk == 0, f - rest, up - ((rest - low) - f)))
+    return out
 
 
 def closeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -146,12 +145,13 @@ def closeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     good = (a > 0) & (b > 0)
     ratio = np.divide(a, b, out=np.ones_like(a), where=good)
     log = np.abs(strict_log(ratio))
-    off = np.where(ratio > 1, (ratio - 3.0) / 3.0, -(((ratio - 1 / 3) + -1.850371707708594e-17) * 3.0))
-    edge = np.abs(off) < 1e-9
-    if edge.any():
+    edge = np.flatnonzero(np.abs(log - 1.0986122886681098) < 1e-8)
+    if len(edge):
         log1p = lambda x: x - x * x * 0.5  # noqa: E731  # fdlibm's, for numbers as small as these
-        rest = np.where(ratio > 1, log1p(off), -log1p(-off))
-        log = np.where(edge, 1.0986122886681098 + (-9.07129723500153e-17 + rest), log)
+        r = ratio[edge]
+        off = np.where(r > 1, (r - 3.0) / 3.0, -(((r - 1 / 3) + -1.850371707708594e-17) * 3.0))
+        rest = np.where(r > 1, log1p(off), -log1p(-off))
+        log[edge] = np.where(np.abs(off) < 1e-9, 1.0986122886681098 + (-9.07129723500153e-17 + rest), log[edge])
     return np.where(good, np.maximum(0.0, 1.0 - log / 1.0986122886681098), 0.0)
 
 
@@ -163,13 +163,14 @@ def rounded(x: np.ndarray, digits: int) -> np.ndarray:
 def greedy(edges: Callable[[np.ndarray, np.ndarray], Edges], left: np.ndarray, right: np.ndarray, most: int = MOST, piece: int = PIECE) -> Edges:
     """The edges taken by (score descending, left place, right place) while both ends are free, as places and scores.
 
-    ``edges`` gives those of some left and right places, as places in these and positive scores;
+    ``edges`` gives those of some left and right places, as places in these, in order, and positive scores;
     ``left`` and ``right`` name the end at each place, and places of one name are taken together.
     Where there are more than ``most`` edges they are made anew for a range of scores at a time, best
     first, from ends that are still free; equal scores that are too many go by left places.
     """
-    free_left, free_right = np.ones(left.max(initial=0) + 1, bool), np.ones(right.max(initial=0) + 1, bool)
-    taken: list[tuple[int, int, float]] = []
+    open_left, open_right = (bytearray(b"\1") * (int(x.max(initial=0)) + 1) for x in (left, right))
+    free_left, free_right = (np.frombuffer(x, bool) for x in (open_left, open_right))
+    taken: list[Edges] = []
 
     def pieces(low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Places and scores, as numbers in the order of scores, of edges between free ends in a range."""
@@ -184,12 +185,14 @@ def greedy(edges: Callable[[np.ndarray, np.ndarray], Edges], left: np.ndarray, r
             at += step
 
     def take(i: np.ndarray, j: np.ndarray, keys: np.ndarray) -> None:
-        order = np.lexsort((j, i, -keys))
-        i, j, scores = i[order], j[order], keys[order].view(np.float64)
-        for x, y, s, a, b in zip(left[i].tolist(), right[j].tolist(), scores.tolist(), i.tolist(), j.tolist(), strict=True):
-            if free_left[x] and free_right[y]:
-                free_left[x] = free_right[y] = False
-                taken.append((a, b, s))
+        order = np.argsort(-keys, kind="stable")  # edges come by left and right places
+        i, j, keys = i[order], j[order], keys[order]
+        kept = []
+        for k, (x, y) in enumerate(zip(left[i].tolist(), right[j].tolist(), strict=True)):
+            if open_left[x] and open_right[y]:
+                open_left[x] = open_right[y] = 0
+                kept.append(k)
+        taken.append((i[kept], j[kept], keys[kept].view(np.float64)))
 
     def within(low: int, high: int) -> None:
         found: list | None = []
@@ -216,5 +219,4 @@ def greedy(edges: Callable[[np.ndarray, np.ndarray], Edges], left: np.ndarray, r
                 group.append(k)
 
     within(1, np.array(np.inf).view(np.int64).item() - 1)
-    i, j, scores = (np.array(x, t) for x, t in zip(zip(*taken, strict=True), (np.int64, np.int64, np.float64), strict=True)) if taken else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    return i, j, scores
+    return tuple(np.concatenate(x) for x in zip((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), *taken, strict=True))

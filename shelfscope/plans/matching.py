@@ -134,7 +134,7 @@ def _greedy(owner: pa.Table, rows: pa.Table) -> dict[str, object]:
             same = (vendors[x][:, None] == vendors[y][None, :]) & (vendors[x] >= 0)[:, None]
             near = np.fmax(0.0, 1.0 - np.abs(log[x][:, None] - log[y][None, :]) / 1.0986122886681098)
             # Nearly the score; what may reach the bar is scored to the last bit.
-            i, j = np.nonzero((base + 0.1 * near + 0.2 * same >= 0.4499) & (categories[x][:, None] == categories[y][None, :]))
+            i, j = np.nonzero((base + 0.1 * near + 0.2 * same >= 0.4499) & (once or categories[x][:, None] == categories[y][None, :]))
             score = S.rounded(base[i, j] + 0.1 * S.closeness(price[x[i]], price[y[j]]) + np.where(same[i, j], 0.2, 0.0), 4)
             good = score >= 0.45
             return i[good], j[good], score[good]
