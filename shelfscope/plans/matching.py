@@ -2,7 +2,7 @@
 
 Candidates come from equi-joins on blocks, never from all pairs, but no pair that can reach a bar is
 lost: products of one category meet by a shared word, the vendor or the price; suggestions meet by a
-shared word and, within a kind of name, by the nearest prices; pages meet by shared pairs of letters.
+shared word, where a rival's products lie; pages meet by shared pairs of letters.
 """
 
 from __future__ import annotations
@@ -83,33 +83,54 @@ SELECT site, left_product, right_product, score FROM (SELECT *, row_number() OVE
 def suggest_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best partner of each owner's product, then one owner's product per partner, forty per rival.
 
-    A pair's score is the share of common words plus up to 0.15 for near prices.  Within a rival's
-    products of one name the words count alike, so only the nearest price below and above, and the
-    first product, can be best: two windows find them, and no pair of products is made in vain.
+    A pair's score is the share of common words plus up to 0.15 for near prices.  Pairs are scored
+    where a rival's products lie, so none is shuffled or written.
     """
-    from pyspark.sql import Window
+    cards = priced(spark, sf_dir).select("site", "product", "name", "price").where("name is not null")
+    return S.each_rival(cards.where("site <> 0"), cards.where("site = 0"), _suggested, "site long, left_product long, right_product long, score double")
+
 
-    cards = catalog(spark, sf_dir).select("site", "product", "name", "price", F.array_distinct(F.split("name", " ")).alias("ws"))
-    own, rival = cards.where("site = 0"), cards.where("site <> 0")
-    names = lambda rows, p: rows.select(F.col("name").alias(f"{p}_name"), F.col("ws").alias(f"{p}_ws")).distinct()
-    pairs = names(own, "a").withColumn("w", F.explode("a_ws")).join(names(rival, "b").withColumn("w", F.explode("b_ws")), "w")
-    pairs = pairs.select("a_name", "b_name", jaccard(F.col("a_ws"), F.col("b_ws")).alias("words")).distinct()
-    held = rival.groupBy("site", "name", "price").agg(F.min("product").alias("product"))
-    kinds = held.groupBy("site", "name").agg(F.min(F.struct("product", "price")).alias("first"))
-    asked = own.join(pairs, F.col("name") == F.col("a_name")).join(kinds.select("site", F.col("name").alias("b_name"), "first").withColumnRenamed("site", "b_site"), "b_name")
-    asked = asked.select(F.col("b_site").alias("site"), F.col("b_name").alias("name"), "price", F.col("product").alias("left_product"), "words", "first")
-    both = held.select("site", "name", "price", F.struct("product", "price").alias("there")).unionByName(asked, allowMissingColumns=True)
-    below = Window.partitionBy("site", "name").orderBy("price").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    # From the other end: a frame that begins at the current row would be read anew for each row.
-    above = Window.partitionBy("site", "name").orderBy(F.desc("price")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    near = both.select("site", "left_product", "price", "words", "first", F.last("there", True).over(below).alias("low"), F.last("there", True).over(above).alias("high")).where("left_product is not null")
-    found = near.select("site", "left_product", "price", "words", F.explode(F.array_distinct(F.array("first", "low", "high"))).alias("x")).where("x is not null")
-    ratio = F.try_divide(F.least("price", F.col("x.price")), F.greatest("price", F.col("x.price")))
-    score = rnd(F.least(F.lit(1.0), F.col("words") + F.when(ratio >= 0.6, 0.15 * ratio).otherwise(0.0)), 6)
-    good = found.select("site", "left_product", F.col("x.product").alias("right_product"), score.alias("score")).where("score >= 0.34")
-    left = good.groupBy("site", "left_product").agg(F.max(F.struct("score", (-F.col("right_product")).alias("r"))).alias("x")).select("site", "left_product", (-F.col("x.r")).alias("right_product"), "x.score")
-    right = left.groupBy("site", "right_product").agg(F.max(F.struct("score", "left_product")).alias("x")).select("site", F.col("x.left_product").alias("left_product"), "right_product", "x.score")
-    return right.withColumn("k", F.row_number().over(Window.partitionBy("site").orderBy(F.desc("score"), F.desc("left_product")))).where("k <= 40").drop("k")
+def _suggested(owner: pa.Table, rows: pa.Table, most: int = 40, piece: int = S.PIECE) -> dict[str, np.ndarray]:
+    """Suggestions for the owner's products out of a rival's; words are counted by names, of which there are fewer than products."""
+    both = pa.concat_tables([owner, rows])
+    names, texts = coded(both.column("name"))
+    at, codes, _, _ = flat(pc.split_pattern(texts, " "))
+    words = Lists(at, codes, len(texts))
+    price, product = S.numbers(both, "price"), both.column("product").to_numpy()
+    a, b = (x[np.argsort(product[x])] for x in (np.arange(len(owner)), np.arange(len(owner), len(both))))
+    of_x, ix = np.unique(names[a], return_inverse=True)
+    of_y, iy = np.unique(names[b], return_inverse=True)
+    groups = np.split(a[np.argsort(ix, kind="stable")], np.cumsum(np.bincount(ix))[:-1]) if len(a) else []
+    best: list[S.Edges] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    step = max(1, piece // max(1, len(of_y)))
+    for k, group in enumerate(groups):
+        if k % step == 0:
+            shares = words.shares(of_x[k : k + step], of_y)
+        # Products of the rival that share a word with this name.
+        found = shares[k % step][iy]
+        there = np.flatnonzero(found > 0)
+        if not len(there):
+            continue
+        common, q = found[there], price[b[there]]
+        for at in range(0, len(group), max(1, piece // len(there))):
+            x = group[at : at + max(1, piece // len(there))]
+            low, high = np.fmin(price[x][:, None], q), np.fmax(price[x][:, None], q)  # of a price that is not known the other is both, as in SQL
+            ratio = np.divide(low, high, out=np.zeros_like(low), where=high != 0)
+            score = S.rounded(np.minimum(1.0, common + np.where(ratio >= 0.6, 0.15 * ratio, 0.0)), 6)
+            j = score.argmax(1)  # of equal scores the first product
+            score = score[np.arange(len(x)), j]
+            good = np.flatnonzero(score >= 0.34)
+            best.append((product[x[good]], product[b[there[j[good]]]], score[good]))
+    left, right, score = (np.concatenate(x) for x in zip(*best, strict=True))
+    # One row for each of the owner's products, then one for each partner, then the best of all.
+    order = np.lexsort((right, -score, left))
+    order = order[np.unique(left[order], return_index=True)[1]]
+    left, right, score = left[order], right[order], score[order]
+    order = np.lexsort((-left, -score, right))
+    order = order[np.unique(right[order], return_index=True)[1]]
+    order = order[np.lexsort((-left[order], -score[order]))][:most]
+    left, right, score = left[order], right[order], score[order]
+    return {"left_product": left, "right_product": right, "score": score}
 
 
 def _greedy(owner: pa.Table, rows: pa.Table) -> dict[str, object]:

@@ -89,3 +89,28 @@ def test_odd_products_are_matched_as_the_edges_say(spark, tmp_path):
             want.add((site, left, right, score))
     assert len(want) > 50 and {tuple(r) for r in match_products_greedy(spark, data).collect()} == want
     assert match_products_greedy(spark, data).where("site = 99").count() == 0 and math.isclose(max(e[3] for e in edges), 0.95)
+
+
+def test_odd_products_are_suggested_as_the_sql_says(spark, tmp_path):
+    import duckdb
+
+    from shelfscope import registry
+    from shelfscope.plans.matching import suggest_matches
+
+    data, con = shop(tmp_path, spark), duckdb.connect()
+    for t in ("lineitem", "part", "supplier"):
+        con.execute(f"create view {t} as select * from read_parquet('{data}/{t}.parquet/*.parquet')")
+    want = con.sql(registry.oracle_sql()["suggest_matches"]).fetchall()
+    assert len(want) > 10 and sorted(tuple(r) for r in suggest_matches(spark, data).collect()) == sorted(want)
+    plan = suggest_matches(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Window" not in plan
+
+
+def test_suggestions_in_little_room_are_the_same():
+    from shelfscope.plans.matching import _suggested
+
+    rnd = random.Random(9)
+    table = lambda lo: pa.table({"site": [1] * 50, "product": [lo + k for k in range(50)], "name": [rnd.choice(["a b", "b c", "a c d"]) for _ in range(50)], "price": [rnd.choice([1.0, 2.0, 2.5, None]) for _ in range(50)]})
+    own, rows = table(0), table(100)
+    once, pieces = _suggested(own, rows), _suggested(own, rows, piece=60)
+    assert all((once[c] == pieces[c]).all() for c in once) and len(once["score"]) > 2
