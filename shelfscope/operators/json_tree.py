@@ -62,6 +62,11 @@ def pair_changes(pairs: DataFrame, keys: list[str], identity: tuple[str, ...]) -
 
 
 def same(a: Column, b: Column) -> Column:
-    flat = lambda x: F.lower(F.trim(F.regexp_replace(x, r"\s+", " ")))
     x, y = a.try_cast("double"), b.try_cast("double")
-    return F.when(x.isNotNull() & y.isNotNull(), F.abs(x - y) < 1e-9).otherwise(a.eqNullSafe(b) | F.coalesce(flat(a) == flat(b), F.lit(False)))
+    return F.when(x.isNotNull() & y.isNotNull(), F.abs(x - y) < 1e-9).otherwise(same_text(a, b))
+
+
+def same_text(a: Column, b: Column) -> Column:
+    """Whether texts differ in case or white space only, or not at all."""
+    flat = lambda x: F.lower(F.trim(F.regexp_replace(x, r"\s+", " ")))
+    return a.eqNullSafe(b) | F.coalesce(flat(a) == flat(b), F.lit(False))

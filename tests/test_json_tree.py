@@ -72,3 +72,50 @@ def test_diffs_of_reports_make_no_texts(spark):
     plan = registry.queries()["comparison_diffs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().lower()
     # Four fields are compared in columns; no report is written as JSON, parsed and walked.
     assert "to_json" not in plan and "parse_json" not in plan and "collect_list" not in plan
+
+
+def test_yearly_changes_of_odd_reports(spark, tmp_path):
+    """Years that are missing, states that are null, names that are numbers, against plain dictionaries of leaves."""
+    from pyspark.sql import functions as F
+
+    from shelfscope import registry
+
+    rnd = random.Random(6)
+    names = [None, "rod", " 17 ", "1e3", "Nancy", ".5x", "inf"]
+    parts = [(p, names[p % 7], "x" if p % 3 else None if p % 2 else "y", 1, 1.0, "B") for p in range(40)]
+    lines = [(s, p, k, 1 + k % 3, rnd.choice([None, 10.0, 20.0, 20.0]), 2.0, 0.0, rnd.choice(["R", "N", None]), rnd.choice(["O", "F"]), f"{rnd.choice([1992, 1993, 1995, 1996])}-02-0{1 + k % 9}") for k, (s, p) in enumerate((s, p) for s in range(3) for p in range(40) for _ in range(2))]
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_orderkey long, l_linenumber int, l_extendedprice double, l_quantity double, l_discount double, l_returnflag string, l_linestatus string, l_shipdate string").withColumn("l_shipdate", F.to_timestamp("l_shipdate")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string, p_size int, p_retailprice double, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+
+    newest, want = {}, set()
+    for x in lines:
+        key = (x[0], x[1], int(x[9][:4]))
+        newest[key] = max(newest.get(key, ("",)), (x[9], x[2], x))
+    reports = {}
+    for (site, product, year), (_, _, x) in newest.items():
+        category = parts[product][2]
+        if category is not None:
+            stock = None if x[7] in ("R", None) else "in stock" if x[8] == "O" else "sold out"
+            leaves = {"id": str(product), "name": parts[product][1], "price/amount": None if x[4] is None else x[4] / 2, "price/currency": "USD", "stock": stock, "rank": x[3]}
+            report = reports.setdefault((site, category, year), {"/summary/count": 0})
+            report["/summary/count"] += 1
+            report.update({f"/products/[{product}]/{k}": v for k, v in leaves.items() if v is not None})
+
+    def both(v):
+        try:
+            return (None, None) if v is None else (float(v), None)
+        except ValueError:
+            return None, v
+
+    for (site, category, year), new in reports.items():
+        old = reports.get((site, category, year - 1))
+        for path in {*new, *old} if old is not None else ():
+            a, b = old.get(path), new.get(path)
+            if a != b:
+                (an, at), (bn, bt) = both(a), both(b)
+                want.add((site, category, year, path, "added" if a is None else "removed" if b is None else "changed", an, bn, at, bt))
+    query = registry.queries()["yearly_report_changes"](spark, str(tmp_path))
+    assert len(want) > 200 and sorted(map(str, {tuple(r) for r in query.collect()})) == sorted(map(str, want))
+    # Leaves are compared in columns; no report is written as JSON, parsed and walked.
+    plan = query._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "to_json" not in plan and "parse_json" not in plan and "collect_list" not in plan
