@@ -37,6 +37,9 @@ PLAN_PERIOD = r"(?i)/\s*(mo(?:nth)?|yr|year|annual(?:ly)?|lifetime|one[- ]?time|
 # Words of headings of product sections.
 SECTION_WORDS = "ingredient benefit direction usage instruction feature highlight specification detail about faq question result why what key active formula description composition apply use size weight volume".split() + ["how to"]
 HEADS = ["summary", "button", "h1", "h2", "h3", "h4", "h5", "h6"]
+#: What the class or the attributes of every element that sections_of() asks for hold; the others are not asked.
+SECTION_CLASSES = "accordion|collapsible|disclosure|tab-content|tab-pane|tabs__pane|elementor|rte|product-info|product-details|product-description|product__description"
+SECTION_ATTRIBUTES = ["role", "data-accordion", "data-collapsible"]
 
 
 def _bare(url: Column) -> Column:
@@ -237,21 +240,25 @@ def sections_of(pages: DataFrame, keys: list[str]) -> DataFrame:
     tag_is = lambda e, *tags: e["tag"].isin(*tags)
     holds = lambda e, *parts: holds_one(e, list(parts))
     one_of = lambda e, *names: has_one(e, list(names))
-    spans = lambda test: F.transform(F.filter(els, test), span)
+    spans = lambda test, items="marked": F.transform(F.filter(items, test), span)
     filled = lambda x: F.nullif(x, F.lit(""))
     said = lambda x: text_inside(texts, x)
 
     def ranked(rank: Callable[[Column], Column]) -> Column:
         """Elements that have a rank, as struct(k, pos, end)."""
-        return F.filter(F.transform(els, lambda e: F.struct(rank(e).alias("k"), e["pos"].alias("pos"), e["end"].alias("end"))), lambda x: x["k"].isNotNull())
+        return F.filter(F.transform("marked", lambda e: F.struct(rank(e).alias("k"), e["pos"].alias("pos"), e["end"].alias("end"))), lambda x: x["k"].isNotNull())
 
+    # Few elements may be part of a section, so few are asked for classes and attributes.
+    marked = lambda e: tag_is(e, "details", "summary", "button") | F.regexp_like(F.lower(e["cls"]), F.lit(SECTION_CLASSES)) | F.exists(F.array(*map(F.lit, SECTION_ATTRIBUTES)), lambda a: F.contains(F.lower(e["token"]), a))
+    refers = lambda e: F.contains(e["token"], F.lit("#")) | F.contains(F.lower(e["token"]), F.lit("aria-controls"))
+    rows = held(pages.select(*keys, "els", "texts"), marked=F.filter(els, marked), refs=F.filter(els, refers))
     rows = held(
-        pages.select(*keys, "els", "texts"),
+        rows,
         heads=F.transform(F.filter(els, lambda e: tag_is(e, *HEADS)), lambda e: F.struct(e["pos"].alias("pos"), e["end"].alias("end"), e["tag"].alias("tag"), said(e).alias("said"))),
         headers=spans(lambda e: one_of(e, "accordion-header")),
-        listed=spans(lambda e: tag_is(e, "ul", "ol")),
+        listed=spans(lambda e: tag_is(e, "ul", "ol"), "els"),
         lis=F.filter(F.transform(F.filter(els, lambda e: tag_is(e, "li")), lambda e: F.struct(e["pos"].alias("pos"), said(e).alias("said"))), lambda x: x["said"] != ""),
-        refs=F.flatten(F.transform(els, lambda e: F.array(*[F.struct(F.lit(k).alias("k"), e["pos"].alias("pos"), e["end"].alias("end"), to.alias("id")) for k, to in enumerate([attribute(e["token"], "aria-controls"), *[F.regexp_extract(attribute(e["token"], a), "^#(.+)", 1) for a in ("data-target", "href", "data-bs-target")]])]))),
+        refs=F.flatten(F.transform("refs", lambda e: F.array(*[F.struct(F.lit(k).alias("k"), e["pos"].alias("pos"), e["end"].alias("end"), to.alias("id")) for k, to in enumerate([attribute(e["token"], "aria-controls"), *[F.regexp_extract(attribute(e["token"], a), "^#(.+)", 1) for a in ("data-target", "href", "data-bs-target")]])]))),
         rte=spans(lambda e: one_of(e, "rte")),
         product=spans(lambda e: holds(e, "product-info") | one_of(e, "product-details")),
         description=spans(lambda e: one_of(e, "product-description", "product__description")),
@@ -282,7 +289,7 @@ def sections_of(pages: DataFrame, keys: list[str]) -> DataFrame:
     def entries(strategy: int, test: Callable[[Column], Column], title: Callable[[Column], Column] | None, body: str | None) -> Column:
         """strategy, at, title, body."""
         entry = lambda e: F.struct(F.lit(strategy).alias("strategy"), e["pos"].alias("at"), (F.coalesce(title(e), titled(e)) if title else titled(e)).alias("title"), (F.coalesce(F.when(part(body, e).isNotNull(), span(part(body, e))), span(e)) if body else span(e)).alias("body"))
-        return F.transform(F.filter(els, test), entry)
+        return F.transform(F.filter("marked", test), entry)
 
     def controlled(e: Column) -> Column:
         """The text of what controls a tab panel."""

@@ -191,3 +191,22 @@ def test_menus_against_collections_shuffle_no_links(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+
+
+def test_few_elements_are_asked_for_sections(spark):
+    """Sections are asked of elements that may be part of one; marks in capitals and in attributes alone count, plain elements and links do not."""
+    from shelfscope.operators.elements import page_arrays
+    from shelfscope.operators.page_parts import sections_of
+
+    html = "<div><p class='x'>plain</p><a href='/y'>link</a></div>" + "".join([
+        "<div DATA-ACCORDION data-title='By data'><p>Told by an attribute</p></div>",
+        "<div class='ACCORDION-Item'><h4 class='Accordion-HEADER'><button>In capitals</button></h4><div class='ACCORDION-BODY'>Body of the item</div></div>",
+        "<a Data-Target='#t9'>Controlled</a><div ROLE='tabpanel' id='t9'>Text of the panel</div><b ARIA-CONTROLS='t8'>Named by aria</b><div role=tabpanel id=t8>Another long text</div>",
+        "<details><summary>Folded up</summary>Some folded text</details>",
+        "<div class='RTE'><h3>Active formula</h3><p>Words of it</p></div>",
+    ])
+    pages = page_arrays(spark.createDataFrame([(1, html)], "id long, html string"))
+    found = sections_of(pages, ["id"])
+    assert {(r["strategy"], r["title"], r["content"]) for r in found.collect()} == {
+        (3, "By data", "Told by an attribute"), (2, "In capitals", "Body of the item"), (4, "Controlled", "Text of the panel"), (4, "Named by aria", "Another long text"), (1, "Folded up", "Some folded text"), (6, "Active formula", "Words of it")}
+    assert "marked" in found._jdf.queryExecution().optimizedPlan().toString()
